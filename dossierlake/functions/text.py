@@ -125,7 +125,7 @@ def overlapping_count(c, phrase: str) -> Column:
 
 
 def path_segments(c, sep: str = ">") -> Column:
-    parts = F.transform(F.split(F.coalesce(col(c), F.lit("")), sep), F.trim)
+    parts = F.transform(F.split(F.coalesce(col(c), F.lit("")), sep), lambda x: F.trim(x))
     return F.filter(parts, lambda p: p != "")
 
 

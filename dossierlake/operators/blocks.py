@@ -56,8 +56,8 @@ def segments(elements: DataFrame, doc: list[str], tables_alone: bool = False) ->
     """
     flagged = _flags(elements, _section(tables_alone))
     empty = (F.col("kind") == "paragraph") & (F.col("text") == "")
-    before = scan.previous(
-        flagged.filter(~empty), doc, "ord",
+    before = scan.sliced_previous(
+        scan.slice_by_ordinal(flagged.filter(~empty), "ord"), doc, "ord",
         {"_toc": F.col("is_toc"), "_kind": F.col("kind"), "_ord": F.col("ord")},
     )
     boundary = (
@@ -70,8 +70,8 @@ def segments(elements: DataFrame, doc: list[str], tables_alone: bool = False) ->
         gap = F.col("ord") - F.col("_ord") - 1 >= EMPTY_RUN
         boundary = boundary | (F.col("kind") == "table") | gap
     opened = before.withColumn("_open", F.coalesce(boundary, F.lit(True)).cast("int"))
-    return scan.running_sum(opened, doc, "ord", F.col("_open"), "segment").drop(
-        "_toc", "_kind", "_ord", "_open"
+    return scan.sliced_sum(opened, doc, "ord", F.col("_open"), "segment").drop(
+        "_toc", "_kind", "_ord", "_open", "_slice"
     )
 
 
@@ -197,6 +197,10 @@ def document_blocks(elements: DataFrame, doc: list[str], tables_alone: bool = Fa
     )
 
 
+def _matches(pattern: str):
+    return lambda x: x.rlike(pattern)
+
+
 def source_text(header, paragraphs, table) -> Column:
     """Header, label hint, paragraphs and table of one block; long text keeps both ends.
 
@@ -205,7 +209,7 @@ def source_text(header, paragraphs, table) -> Column:
     h, p, t = T.col(header), T.col(paragraphs), T.col(table)
     found = F.filter(
         F.array(
-            *[F.when(F.exists(p, lambda x, r=rx: x.rlike(r)), F.lit(name)) for name, rx in LABELS.items()]
+            *[F.when(F.exists(p, _matches(rx)), F.lit(name)) for name, rx in LABELS.items()]
         ),
         lambda x: x.isNotNull(),
     )

@@ -35,8 +35,8 @@ def brief_type(
         .when(~scoring & (known == "BRIEF_EVALUATION"), F.lit("BRIEF_ADMIN"))
         .otherwise(known)
     )
-    never = title.rlike("|".join(fixed.NOT_SCORING_HEADER))
-    form = title.rlike("|".join(fixed.FORM_HEADER))
+    never = title.rlike("(?U)" + "|".join(fixed.NOT_SCORING_HEADER))
+    form = title.rlike("(?U)" + "|".join(fixed.FORM_HEADER))
     return (
         F.when((tabled == "BRIEF_EVALUATION") & never, F.lit("BRIEF_ADMIN"))
         .when((tabled == "BRIEF_PROJECT_INFO") & form, F.lit("BRIEF_SUBMISSION"))

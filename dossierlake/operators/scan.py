@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE_ROWS = 4096
-VALUE_SLICES = 64
+MIN_SLICES, MAX_SLICES = 8, 256
 
 
 def slice_by_ordinal(df: DataFrame, ordinal: str, width: int = SLICE_ROWS) -> DataFrame:
@@ -19,29 +19,37 @@ def slice_by_ordinal(df: DataFrame, ordinal: str, width: int = SLICE_ROWS) -> Da
     return df.withColumn("_slice", F.floor(F.col(ordinal) / F.lit(width)).cast("long"))
 
 
+def default_slices(df: DataFrame) -> int:
+    """As many slices as the session has shuffle partitions, within bounds."""
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(MIN_SLICES, min(MAX_SLICES, width))
+
+
 def slice_by_value(
-    df: DataFrame, lead: str, tie: str, descending: bool = False, slices: int = VALUE_SLICES
+    df: DataFrame, lead: str, tie: str, descending: bool = False, slices: int | None = None
 ) -> DataFrame:
     """Slice number that respects the order (lead, tie) of two numeric columns.
 
-    The cut points are quantiles, one bounded array read by a scalar subquery. A value that
-    is itself a cut point gets a slice of its own, split again along the tie-break column.
+    The cut points are quantiles, two bounded arrays read by one scalar subquery. A value
+    that is itself a cut point gets a slice of its own, split again along the tie-break.
     """
+    slices = slices or default_slices(df)
     points = [i / slices for i in range(1, slices)]
-    cuts = df.agg(
-        F.array_distinct(F.percentile_approx(F.col(lead).cast("double"), points)).alias("c")
-    ).scalar()
-    tie_cuts = df.agg(
-        F.array_distinct(F.percentile_approx(F.col(tie).cast("double"), points)).alias("c")
-    ).scalar()
-    cut = df.withColumn("_cuts", cuts).withColumn("_tie_cuts", tie_cuts)
+
+    def cut_points(c: str) -> Column:
+        return F.array_distinct(F.percentile_approx(F.col(c).cast("double"), points))
+
+    cuts = df.agg(F.struct(cut_points(lead).alias("lead"), cut_points(tie).alias("tie")).alias("c")).scalar()
     value, other = F.col(lead).cast("double"), F.col(tie).cast("double")
-    below = F.size(F.filter("_cuts", lambda c: c < value))
-    at_cut = F.array_contains("_cuts", value)
+    cut = df.withColumn("_cuts", cuts)
+    below = F.size(F.filter(F.col("_cuts.lead"), lambda c: c < value))
+    at_cut = F.array_contains(F.col("_cuts.lead"), value)
     first = (below * 2 + at_cut.cast("int")).cast("long")
-    second = F.when(at_cut, F.size(F.filter("_tie_cuts", lambda c: c < other))).otherwise(F.lit(0))
     first = -first if descending else first
-    return cut.withColumn("_slice", first * (slices + 1) + second).drop("_cuts", "_tie_cuts")
+    if lead == tie:
+        return cut.withColumn("_slice", first).drop("_cuts")
+    second = F.when(at_cut, F.size(F.filter(F.col("_cuts.tie"), lambda c: c < other))).otherwise(F.lit(0))
+    return cut.withColumn("_slice", first * (slices + 1) + second).drop("_cuts")
 
 
 def _carried(sliced: DataFrame, keys: list[str], sums: dict[str, Column], carry: dict) -> DataFrame:
@@ -67,7 +75,7 @@ def positions(
     tie: str,
     descending: bool = False,
     name: str = "pos",
-    slices: int = VALUE_SLICES,
+    slices: int | None = None,
 ) -> DataFrame:
     """1-based position of every row inside its key, ordered by (lead, tie)."""
     sliced = slice_by_value(df, lead, tie, descending, slices)
@@ -94,17 +102,22 @@ def running_sum(
     width: int = SLICE_ROWS,
 ) -> DataFrame:
     """Sum of ``value`` from the start of the key up to this row (or up to the row before)."""
-    sliced = slice_by_ordinal(df, ordinal, width).withColumn("_v", F.coalesce(value, F.lit(0)))
-    joined = _carried(
-        sliced, keys, {"_s": F.sum("_v")}, {"_base": lambda w: F.sum("_s").over(w)}
-    )
+    sliced = slice_by_ordinal(df, ordinal, width)
+    return sliced_sum(sliced, keys, ordinal, value, name, before).drop("_slice")
+
+
+def sliced_sum(
+    sliced: DataFrame, keys: list[str], ordinal: str, value: Column, name: str, before: bool = False
+) -> DataFrame:
+    valued = sliced.withColumn("_v", F.coalesce(value, F.lit(0)))
+    joined = _carried(valued, keys, {"_s": F.sum("_v")}, {"_base": lambda w: F.sum("_s").over(w)})
     here = F.sum("_v").over(
         _local(keys, [F.col(ordinal)]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     total = here + F.coalesce("_base", F.lit(0))
     if before:
         total = total - F.col("_v")
-    return joined.withColumn(name, total).drop("_slice", "_v", "_base")
+    return joined.withColumn(name, total).drop("_v", "_base")
 
 
 def carry_last(
@@ -151,10 +164,13 @@ def previous(
     width: int = SLICE_ROWS,
 ) -> DataFrame:
     """Value of each expression on the row before, in order of the ordinal."""
-    packed = F.struct(*[e.alias(n) for n, e in values.items()])
-    sliced = slice_by_ordinal(df, ordinal, width).withColumn("_row", packed)
+    return sliced_previous(slice_by_ordinal(df, ordinal, width), keys, ordinal, values).drop("_slice")
+
+
+def sliced_previous(sliced: DataFrame, keys: list[str], ordinal: str, values: dict[str, Column]) -> DataFrame:
+    packed = sliced.withColumn("_row", F.struct(*[e.alias(n) for n, e in values.items()]))
     joined = _carried(
-        sliced,
+        packed,
         keys,
         {"_end": F.max_by("_row", F.col(ordinal))},
         {"_prev": lambda w: F.last("_end").over(w)},
@@ -163,7 +179,7 @@ def previous(
     out = joined.withColumn("_lag", lagged)
     for name in values:
         out = out.withColumn(name, F.col("_lag")[name])
-    return out.drop("_slice", "_row", "_prev", "_lag")
+    return out.drop("_row", "_prev", "_lag")
 
 
 def following(
@@ -186,6 +202,7 @@ def runs(
 
     ``same_as_before`` may use the previous values, named by the keys of ``values``.
     """
-    looked = previous(df, keys, ordinal, values, width)
+    # sliced once: both scans and their joins share one partitioning
+    looked = sliced_previous(slice_by_ordinal(df, ordinal, width), keys, ordinal, values)
     opens = F.when(F.coalesce(same_as_before, F.lit(False)), F.lit(0)).otherwise(F.lit(1))
-    return running_sum(looked, keys, ordinal, opens, name, width=width).drop(*values)
+    return sliced_sum(looked, keys, ordinal, opens, name).drop("_slice", *values)

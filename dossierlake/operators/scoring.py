@@ -125,7 +125,7 @@ def text_bands(statements: DataFrame, doc: list[str]) -> DataFrame:
     """
     inside = F.regexp_extract("text", r"[（(](.+?)[)）]", 1)
     body = F.when(inside == "", F.col("text")).otherwise(inside)
-    clauses = F.transform(F.split(body, "[,，]"), F.trim)
+    clauses = F.transform(F.split(body, "[,，]"), lambda x: F.trim(x))
     weight = lambda c: F.regexp_extract(c, r"(\d+(?:\.\d+)?)\s*%", 1).try_cast("double")
     weighted = F.filter(clauses, lambda c: c.rlike(r"\d\s*%") & c.rlike(r"\d+\s*만"))
     bands = F.transform(weighted, lambda c: _band(c, weight(c)))

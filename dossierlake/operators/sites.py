@@ -33,7 +33,7 @@ def building_uses(facilities: str) -> Column:
     inner = F.flatten(
         F.transform(F.col(facilities), lambda f: F.regexp_extract_all(f, F.lit(r"\(([^)]*)\)"), F.lit(1)))
     )
-    trimmed = F.transform(inner, F.trim)
+    trimmed = F.transform(inner, lambda x: F.trim(x))
     return F.array_distinct(
         F.filter(trimmed, lambda t: (t != "") & (F.endswith(t, F.lit("시설")) | F.contains(t, F.lit("주택"))))
     )

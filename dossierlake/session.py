@@ -41,6 +41,7 @@ def build(app: str = "dossierlake", cores: int | None = None, **conf: str) -> Sp
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("DOSSIERLAKE_DRIVER_MEMORY", "12g"))
         .config("spark.sql.shuffle.partitions", str(cores))
     )
