@@ -38,98 +38,96 @@ def _site_row() -> Column:
     return (F.col("row_type") == "site_total") & F.coalesce(F.col("name").contains("부지"), F.lit(False))
 
 
-def multi_site_documents(rows: DataFrame, doc: list[str]) -> DataFrame:
-    return _prepared(rows).filter(_site_row()).select(*doc).distinct()
+def _owned(rows: DataFrame, doc: list[str], ordinal: str, hot: bool) -> DataFrame:
+    """Rows with the heading they stand below: a site where the document has sites, else a
+    facility. Totals and headings of another kind close the open one (``_CLOSED``)."""
+    flagged = scan.group_any(_prepared(rows), doc, _site_row(), "multi", hot=hot)
+    total, facility = F.col("row_type") == "site_total", F.col("row_type") == "facility"
+    opens = F.when(F.col("multi"), F.when(_site_row(), F.col(ordinal)).when(total, F.lit(_CLOSED))).otherwise(
+        F.when(facility, F.col(ordinal)).when(total, F.lit(_CLOSED))
+    )
+    placed = scan.carry_last(flagged, doc, ordinal, {"owner": opens}, hot=hot)
+    return placed.withColumn("owner", F.coalesce("owner", F.lit(_CLOSED)))
 
 
-def site_facilities(rows: DataFrame, doc: list[str], ordinal: str = "ord") -> DataFrame:
+def _open_facilities(owned: DataFrame, doc: list[str], ordinal: str, hot: bool) -> DataFrame:
     """Summary facilities below each site heading, until the declared total is reached.
 
-    A detail row or a heading of another kind also ends a site. The sum before a row only
-    grows, so "not yet closed" is the same as "sum before the row is short of the target".
+    A detail row also ends a site. The sum before a row only grows, so "not yet closed" is
+    the same as "sum before the row is short of the target".
     """
-    prepared = _prepared(rows)
-    opens = F.when(
-        F.col("row_type") == "site_total", F.when(_site_row(), F.col(ordinal)).otherwise(F.lit(_CLOSED))
-    )
-    placed = scan.carry_last(prepared, doc, ordinal, {"site": opens}).filter(F.col("site") >= 0)
-    site = [*doc, "site"]
-    bounds = placed.groupBy(*site).agg(
-        F.max(F.when(F.col("row_type") == "site_total", F.col("_sub"))).alias("_target"),
-        F.min(
-            F.when(~F.col("row_type").isin("site_total", "facility"), F.col(ordinal))
-        ).alias("_detail"),
-    )
-    facilities = (
-        placed.filter((F.col("row_type") == "facility") & F.col("_sub").isNotNull())
-        .join(bounds, site)
-        .filter(F.col("_detail").isNull() | (F.col(ordinal) < F.col("_detail")))
-    )
-    summed = scan.running_sum(facilities, site, ordinal, F.col("_sub"), "_before", before=True)
+    placed = owned.filter(F.col("multi") & (F.col("owner") >= 0))
+    site = [*doc, "owner"]
+    total, facility = F.col("row_type") == "site_total", F.col("row_type") == "facility"
+    running = scan.carry_last(
+        placed, site, ordinal,
+        {"_target": F.when(total, F.col("_sub")), "_detail": F.when(~(total | facility), F.lit(True))}, hot=hot,
+    ).filter(facility & F.col("_sub").isNotNull() & F.col("_detail").isNull())
+    summed = scan.running_sum(running, site, ordinal, F.col("_sub"), "_before", before=True, hot=hot)
     is_open = F.col("_target").isNull() | (F.col("_before") < F.col("_target") * CLOSE_SHARE)
     return summed.filter(is_open).select(
-        *doc, "site", ordinal,
+        *doc, F.col("owner").alias("site"), ordinal,
         F.coalesce(blank_to_null("name"), F.lit("시설")).alias("name"), F.col("_sub").alias("area"),
     )
 
 
-def facility_totals(rows: DataFrame, doc: list[str], ordinal: str = "ord", orphans: bool = True) -> DataFrame:
-    """Facilities of a table without sites: subtotal, else the sum of the spaces below.
-
-    With ``orphans`` rows above the first facility count as blocks of their own.
-    """
-    prepared = _prepared(rows)
-    opens = F.when(F.col("row_type") == "facility", F.col(ordinal)).when(
-        F.col("row_type") == "site_total", F.lit(_CLOSED)
+def _facility_blocks(owned: DataFrame, doc: list[str], ordinal: str) -> DataFrame:
+    """Facilities of tables without sites: subtotal, else the sum of the spaces below. Rows
+    above the first facility are blocks of their own."""
+    own, space = F.col("row_type") == "facility", F.col("row_type") == "space"
+    below = F.col("owner") >= 0
+    single = owned.filter(~F.col("multi") & (F.col("row_type") != "site_total")).withColumn(
+        "_block", F.when(below, F.col("owner")).otherwise(F.col(ordinal))
     )
-    placed = scan.carry_last(prepared, doc, ordinal, {"owner": opens}).filter(
-        F.col("row_type") != "site_total"
+    name = F.coalesce(blank_to_null("name"), F.when(own, F.lit("시설")).otherwise(F.lit("기타")))
+    blocks = single.groupBy(*doc, "_block").agg(
+        F.min_by(name, F.when(own | ~below, F.col(ordinal))).alias("name"),
+        F.coalesce(F.max(F.when(own, F.col("_sub"))), F.sum(F.when(space | ~below, F.col("_area")))).alias("area"),
     )
-    own = F.col("row_type") == "facility"
-    blocks = placed.filter(F.coalesce("owner", F.lit(_CLOSED)) >= 0).groupBy(*doc, "owner").agg(
-        F.max(F.when(own, F.coalesce(blank_to_null("name"), F.lit("시설")))).alias("name"),
-        F.coalesce(
-            F.max(F.when(own, F.col("_sub"))),
-            F.sum(F.when(F.col("row_type") == "space", F.col("_area"))) if orphans else F.lit(None).cast("double"),
-        ).alias("area"),
-    ).select(*doc, F.col("owner").alias(ordinal), "name", "area")
-    if orphans:
-        loose = placed.filter(F.coalesce("owner", F.lit(_CLOSED)) < 0).select(
-            *doc, ordinal, F.coalesce(blank_to_null("name"), F.lit("기타")).alias("name"), F.col("_area").alias("area")
-        )
-        blocks = blocks.unionByName(loose)
-    return blocks.filter(F.col("area") > 0)
+    return blocks.filter(F.col("area") > 0).select(*doc, F.col("_block").alias(ordinal), "name", "area")
 
 
-def programme_blocks(rows: DataFrame, doc: list[str], ordinal: str = "ord") -> DataFrame:
+def site_facilities(rows: DataFrame, doc: list[str], ordinal: str = "ord", hot: bool | None = None) -> DataFrame:
+    """Summary facilities (doc, site, name, area) of tables with site headings."""
+    hot = scan.is_hot(rows, doc) if hot is None else hot
+    return _open_facilities(_owned(rows, doc, ordinal, hot), doc, ordinal, hot)
+
+
+def facility_totals(rows: DataFrame, doc: list[str], ordinal: str = "ord", hot: bool | None = None) -> DataFrame:
+    """Blocks (doc, name, area) of tables without site headings."""
+    hot = scan.is_hot(rows, doc) if hot is None else hot
+    return _facility_blocks(_owned(rows, doc, ordinal, hot), doc, ordinal)
+
+
+def programme_blocks(rows: DataFrame, doc: list[str], ordinal: str = "ord", hot: bool | None = None) -> DataFrame:
     """Blocks (name, area) of every document: no subtotals, equal names merged, the smallest
     collected in one block when there are more than fourteen."""
-    several = multi_site_documents(rows, doc)
-    by_site = site_facilities(rows.join(several, doc, "left_semi"), doc, ordinal).drop("site")
-    by_facility = facility_totals(rows.join(several, doc, "left_anti"), doc, ordinal)
-    raw = by_site.select(*doc, ordinal, "name", "area").unionByName(
-        by_facility.select(*doc, ordinal, "name", "area")
+    hot = scan.is_hot(rows, doc) if hot is None else hot
+    owned = _owned(rows, doc, ordinal, hot)
+    raw = (
+        _open_facilities(owned, doc, ordinal, hot).select(*doc, ordinal, "name", "area")
+        .unionByName(_facility_blocks(owned, doc, ordinal))
     )
     clean = raw.withColumn("name", block_name("name")).filter(~is_subtotal("name"))
     merged = clean.groupBy(*doc, "name").agg(F.sum("area").alias("area"), F.min(ordinal).alias("place"))
+    # per document: the largest blocks, ranked by a limit that also applies before the shuffle
     totals = merged.groupBy(*doc).agg(
         F.count(F.lit(1)).alias("_n"), F.sum("area").alias("total")
     ).filter(F.col("_n") >= 2)
     order = Window.partitionBy(*doc).orderBy(F.desc("area"), "place")
     top = merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= MAX_BLOCKS)
-    shown = top.join(totals, doc).filter(
-        (F.col("_n") <= MAX_BLOCKS) | (F.col("rank") < MAX_BLOCKS)
-    )
-    rest = (
-        shown.filter(F.col("_n") > MAX_BLOCKS)
-        .groupBy(*doc, "_n", "total")
-        .agg(F.sum("area").alias("_kept"))
-        .select(
-            *doc, F.concat(F.lit("기타 "), F.col("_n") - (MAX_BLOCKS - 1), F.lit("개")).alias("name"),
-            (F.col("total") - F.col("_kept")).alias("area"), F.lit(MAX_BLOCKS).alias("rank"), "total",
-        )
+    shown = top.join(totals, doc).filter((F.col("_n") <= MAX_BLOCKS) | (F.col("rank") < MAX_BLOCKS))
+    kept_sum = F.sum("area").over(Window.partitionBy(*doc))  # at most fourteen rows per document
+    summed = shown.withColumn("_kept", kept_sum)
+    block = F.struct("name", "area", "rank")
+    rest = F.struct(
+        F.concat(F.lit("기타 "), F.col("_n") - (MAX_BLOCKS - 1), F.lit("개")).alias("name"),
+        (F.col("total") - F.col("_kept")).alias("area"),
+        F.lit(MAX_BLOCKS).alias("rank"),
     )
-    return shown.select(*doc, "name", "area", "rank", "total").unionByName(rest)
+    is_last = (F.col("_n") > MAX_BLOCKS) & (F.col("rank") == MAX_BLOCKS - 1)
+    emitted = F.when(is_last, F.array(block, rest)).otherwise(F.array(block))
+    return summed.select(*doc, "total", F.inline(emitted)).select(*doc, "name", "area", "rank", "total")
 
 
 def hierarchy_stats(rows: DataFrame, doc: list[str]) -> DataFrame:
@@ -146,6 +144,7 @@ def site_envelopes(sites: DataFrame, buckets: DataFrame, doc: list[str]) -> Data
     area. Both are numbered in order and matched by place.
     """
     usable = (F.col("area") > 0) & (F.col("bcr") > 0) & (F.col("far") > 0)
+    hot = scan.is_hot(buckets, doc)
     placed_sites = scan.positions(sites.filter(usable), doc, "ord", "ord", name="place")
     clean = buckets.filter(F.col("area") > 0).withColumn("name", block_name("name")).filter(~is_subtotal("name"))
     below = F.col("name").rlike(r"지\s*하")
@@ -153,7 +152,7 @@ def site_envelopes(sites: DataFrame, buckets: DataFrame, doc: list[str]) -> Data
         F.coalesce(F.sum(F.when(~below, F.col("area"))), F.lit(0.0)).alias("ground_est"),
         F.coalesce(F.sum(F.when(below, F.col("area"))), F.lit(0.0)).alias("under_sum"),
     )
-    placed = scan.positions(sums, doc, "ord", "ord", name="place").drop("ord")
+    placed = scan.positions(sums, doc, "ord", "ord", name="place", hot=hot).drop("ord")
     by_far = F.col("far") / F.col("bcr")
     by_height = F.when(F.col("h_limit") > 0, F.col("h_limit") / fixed.FLOOR_HEIGHT_M)
     joined = (

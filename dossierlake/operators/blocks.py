@@ -46,7 +46,9 @@ def _flags(elements: DataFrame, section: str) -> DataFrame:
     )
 
 
-def segments(elements: DataFrame, doc: list[str], tables_alone: bool = False) -> DataFrame:
+def segments(
+    elements: DataFrame, doc: list[str], tables_alone: bool = False, hot: bool | None = None
+) -> DataFrame:
     """Number the natural segments: headings, captions and numbered lines open one, a table
     closes one, a run of contents lines is one of its own.
 
@@ -56,22 +58,15 @@ def segments(elements: DataFrame, doc: list[str], tables_alone: bool = False) ->
     """
     flagged = _flags(elements, _section(tables_alone))
     empty = (F.col("kind") == "paragraph") & (F.col("text") == "")
-    before = scan.sliced_previous(
-        scan.slice_by_ordinal(flagged.filter(~empty), "ord"), doc, "ord",
-        {"_toc": F.col("is_toc"), "_kind": F.col("kind"), "_ord": F.col("ord")},
-    )
-    boundary = (
-        F.col("_kind").isNull()
-        | (F.col("_kind") == "table")
-        | (F.col("_toc") != F.col("is_toc"))
-        | F.col("opens")
+    same = ~(
+        F.col("_kind").isNull() | (F.col("_kind") == "table") | (F.col("_toc") != F.col("is_toc")) | F.col("opens")
     )
     if tables_alone:
         gap = F.col("ord") - F.col("_ord") - 1 >= EMPTY_RUN
-        boundary = boundary | (F.col("kind") == "table") | gap
-    opened = before.withColumn("_open", F.coalesce(boundary, F.lit(True)).cast("int"))
-    return scan.sliced_sum(opened, doc, "ord", F.col("_open"), "segment").drop(
-        "_toc", "_kind", "_ord", "_open", "_slice"
+        same = same & (F.col("kind") != "table") & ~gap
+    return scan.runs(
+        flagged.filter(~empty), doc, "ord", same,
+        {"_toc": F.col("is_toc"), "_kind": F.col("kind"), "_ord": F.col("ord")}, name="segment", hot=hot,
     )
 
 
@@ -93,7 +88,7 @@ def _cut_rows(keys: list[str]):
                     full = count >= fixed.FORCE_CUT_PARAGRAPHS or chars >= fixed.FORCE_CUT_CHARS
                     if full and not first:
                         cut, count, chars = cut + 1, 0, 0
-            yield frame[[*keys, "ord"]].assign(cut=cuts)
+            yield frame.assign(cut=cuts)
 
     return run
 
@@ -112,12 +107,13 @@ def forced_cuts(segmented: DataFrame, doc: list[str]) -> DataFrame:
     ).filter(
         (F.col("_n") >= fixed.FORCE_CUT_PARAGRAPHS) | (F.col("_chars") >= fixed.FORCE_CUT_CHARS)
     ).select(*keys)
-    rows = sized.join(long, keys, "left_semi").select(*keys, "ord", "kind", "size")
-    schema = ", ".join(
-        f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys, "ord").schema
-    ) + ", cut int"
-    cuts = rows.repartition(*keys).sortWithinPartitions(*keys, "ord").mapInPandas(_cut_rows(keys), schema)
-    return segmented.join(cuts, [*keys, "ord"], "left").withColumn("cut", F.coalesce("cut", F.lit(0)))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sized.schema) + ", cut int"
+    streamed = (
+        sized.join(long, keys, "left_semi").repartition(*keys).sortWithinPartitions(*keys, "ord")
+        .mapInPandas(_cut_rows(keys), schema)
+    )
+    whole = sized.join(long, keys, "left_anti").withColumn("cut", F.lit(0))
+    return whole.unionByName(streamed).drop("size")
 
 
 def _first_text(cond: Column) -> Column:
@@ -130,7 +126,8 @@ def document_blocks(elements: DataFrame, doc: list[str], tables_alone: bool = Fa
     A lone heading without content becomes a breadcrumb of the next block; trailing ones
     form a last, empty block.
     """
-    cut = forced_cuts(segments(elements, doc, tables_alone), doc)
+    hot = scan.is_hot(elements, doc)
+    cut = forced_cuts(segments(elements, doc, tables_alone, hot), doc)
     para, section = F.col("kind") == "paragraph", _section(tables_alone)
     figure = F.col("text").rlike(fixed.FIGURE_LINE) | F.col("text").rlike(fixed.CONTINUED)
     raw = cut.groupBy(*doc, "segment", "cut").agg(
@@ -155,7 +152,7 @@ def document_blocks(elements: DataFrame, doc: list[str], tables_alone: bool = Fa
         orphan = (F.col("paragraphs") == 1) & ~F.col("has_table") & ~F.col("is_toc") & F.col("_headed")
     marked = raw.withColumn("_orphan", orphan)
     numbered = scan.running_sum(
-        marked, doc, "start", (~F.col("_orphan")).cast("long"), "block_num"
+        marked, doc, "start", (~F.col("_orphan")).cast("long"), "block_num", hot=hot
     )
     cut_at = fixed.HEADER_MAX
     crumbs = numbered.filter("_orphan").groupBy(*doc, "block_num").agg(

@@ -28,28 +28,30 @@ def page_bounds(documents: DataFrame, pages: DataFrame, doc: list[str]) -> DataF
     )
 
 
-def citations(prose: DataFrame, text: str = "text") -> DataFrame:
-    """One row per cited page; '(p.?)' cites nothing."""
-    groups = F.regexp_extract_all(F.col(text), F.lit(CITATION), F.lit(1))
-    cited = prose.withColumn("_g", F.explode(groups)).filter(~F.col("_g").contains("?"))
-    number = F.trim(F.col("_n"))
+def citations(prose: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """One row per cited page with the citation as written; '(p.?)' cites nothing."""
+    written = F.regexp_extract_all(F.col(text), F.lit(CITATION), F.lit(0))
+    cited = prose.select(*keys, F.explode(written).alias("citation")).filter(~F.col("citation").contains("?"))
+    inside = F.regexp_extract("citation", CITATION, 1)
+    number = F.regexp_replace("_n", r"\s", "")
     return (
-        cited.withColumn("_n", F.explode(F.split("_g", ",")))
-        .filter(number != "")
-        .withColumn("cited_page", F.regexp_replace(number, r"\s", "").try_cast("long"))
-        .drop("_g", "_n")
+        cited.withColumn("_n", F.explode(F.split(inside, ",")))
+        .withColumn("cited_page", number.try_cast("long"))
+        .filter(F.col("cited_page").isNotNull())
+        .drop("_n")
     )
 
 
 def citation_flags(
-    prose: DataFrame, bounds: DataFrame, keys: list[str], union_keys: list[str] | None = None
+    prose: DataFrame, bounds: DataFrame, keys: list[str], union_keys: list[str] | None = None,
+    place: list[str] | None = None,
 ) -> DataFrame:
     """Citations outside 1..bound.
 
     A writer without an entry in ``bounds`` is checked against the widest bound of
     ``union_keys``; where no bound is known nothing is flagged.
     """
-    cited = citations(prose)
+    cited = citations(prose, [*keys, *(place or [])])
     known = bounds.withColumn("_known", F.lit(True))
     joined = cited.join(known, keys, "left")
     if union_keys:
@@ -58,44 +60,36 @@ def citation_flags(
             "bound", F.when(F.col("_known"), F.col("bound")).otherwise(F.col("_widest"))
         ).drop("_widest")
     outside = ~F.col("cited_page").between(F.lit(1), F.col("bound"))
-    around = F.regexp_extract(
-        "text", r"(?is)(.{0,20}\(p\.\s*[0-9][0-9,\s]*\s*\).{0,8})", 1
-    )
-    return joined.filter(F.col("bound").isNotNull() & outside).withColumn(
-        "context", F.trim(around)
-    ).drop("_known")
-
+    return joined.filter(F.col("bound").isNotNull() & outside).drop("_known")
 
-def _pairs(text: str) -> Column:
-    numbers = F.regexp_extract_all(F.col(text), F.lit(PAIR), F.lit(1))
-    units = F.regexp_extract_all(F.col(text), F.lit(PAIR), F.lit(2))
-    return F.zip_with(
-        numbers, units,
-        lambda n, u: F.struct(n.alias("value"), T.plain_number(n).alias("norm"), u.alias("unit")),
-    )
 
+def _tokens(rows: DataFrame, keys: list[str], pattern: str) -> DataFrame:
+    """One row per number with its unit; the text itself is not carried along.
 
-def _numbers(text: str, pattern: str) -> Column:
-    found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))
-    return F.transform(
-        found, lambda n: F.struct(n.alias("value"), T.plain_number(n).alias("norm"), F.lit("").alias("unit"))
+    Matching runs once per pattern; cleaning runs on the exploded tokens, in generated code.
+    """
+    found = F.concat(
+        F.regexp_extract_all("text", F.lit(PAIR), F.lit(0)), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    )
+    tokens = rows.select(*keys, F.explode(found).alias("_t"))
+    value = F.regexp_extract("_t", "^(" + T.NUMBER + ")", 1)
+    return tokens.select(
+        *keys, value.alias("value"), F.regexp_extract("_t", "(" + _UNIT + ")$", 1).alias("unit")
     )
 
 
 def prose_numbers(prose: DataFrame, keys: list[str], min_digits: int = 2) -> DataFrame:
     """Numbers a text claims: any with a risky unit, and bare ones of two or more digits."""
-    bare = F.filter(
-        _numbers("text", BARE), lambda n: F.length(F.regexp_replace(n.value, r"\D", "")) >= min_digits
+    digits = F.length(F.regexp_replace("value", r"\D", ""))
+    return _tokens(prose, keys, BARE).filter((F.col("unit") != "") | (digits >= min_digits)).withColumn(
+        "norm", T.plain_number("value")
     )
-    return prose.select(*keys, "text", F.inline(F.concat(_pairs("text"), bare)))
 
 
 def corpus_numbers(corpus: DataFrame, doc: list[str]) -> DataFrame:
     """Distinct numbers a document's sources contain, bare and with units."""
-    every = _numbers("text", "(" + T.NUMBER + ")")
-    return corpus.select(*doc, F.inline(F.concat(_pairs("text"), every))).select(
-        *doc, "norm", "unit"
-    ).distinct()
+    raw = _tokens(corpus, doc, T.NUMBER).distinct()
+    return raw.select(*doc, T.plain_number("value").alias("norm"), "unit").distinct()
 
 
 def scoring_numbers(scoring: DataFrame, doc: list[str]) -> DataFrame:
@@ -119,14 +113,27 @@ def ungrounded_numbers(
     if scoring is not None:
         known = known.unionByName(scoring_numbers(scoring, doc)).distinct()
     claimed = prose_numbers(prose, [*doc, field])
-    start = F.greatest(F.expr("locate(value, text)") - 18, F.lit(1))
-    flags = claimed.groupBy(*doc, field, "norm", "unit").agg(
-        F.min("value").alias("value"),
-        F.min(F.trim(F.substring("text", start, F.length("value") + 30))).alias("context"),
-    )
+    flags = claimed.select(*doc, field, "norm", "unit").distinct()
     return flags.join(known, [*doc, "norm", "unit"], "left_anti")
 
 
+def with_context(
+    flags: DataFrame, prose: DataFrame, keys: list[str], needle: str, before: int = 18, after: int = 12
+) -> DataFrame:
+    """Text around the first occurrence of each flagged value, for people to check.
+
+    Texts are joined to the flags only; they never travel with every number or citation.
+    """
+    texts = prose.select(*keys, F.col("text").alias("_text")).dropDuplicates(keys)
+    found = flags.join(texts, keys, "left").withColumn("_at", F.expr(f"locate({needle}, _text)"))
+    start = F.greatest(F.col("_at") - before, F.lit(1))
+    context = F.when(
+        F.col("_at") > 0,
+        F.trim(F.substring("_text", start, F.col("_at") - start + F.length(needle) + after)),
+    )
+    return found.withColumn("context", context).drop("_text", "_at")
+
+
 def unanchored_claims(items: DataFrame, keys: list[str], min_digits: int = 2) -> DataFrame:
     """Items without basis whose text states a number; the first such number per text.
 

@@ -1,8 +1,10 @@
-"""Order-dependent logic that stays split when one key holds a large share of the rows.
+"""Order-dependent logic over keys of any size.
 
-A plain window sends a whole key to one task. Here every key is cut into slices along its
-order, each slice is scanned on its own, and only one summary row per slice is combined
-across the key. The result is exact for any number of slices.
+The size of the largest key is checked first. Up to ``GROUP_LIMIT`` rows a plain window is
+exact, cheap, and needs one exchange for a whole chain of scans. Beyond it every key is cut
+into slices along its order, each slice is scanned on its own, and one summary row per slice
+is combined across the key, so that no task ever holds a large key. Both ways give the same
+result; ``hot`` chooses, and is measured where it is not given.
 """
 
 from __future__ import annotations
@@ -10,13 +12,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+GROUP_LIMIT = 1_000_000
 SLICE_ROWS = 4096
 MIN_SLICES, MAX_SLICES = 8, 256
 
 
-def slice_by_ordinal(df: DataFrame, ordinal: str, width: int = SLICE_ROWS) -> DataFrame:
-    """Slice number for an ordinal that is (close to) dense within its key."""
-    return df.withColumn("_slice", F.floor(F.col(ordinal) / F.lit(width)).cast("long"))
+def is_hot(df: DataFrame, keys: list[str], limit: int = GROUP_LIMIT) -> bool:
+    """Whether any key has more rows than a window should take.
+
+    A count per key, combined before its shuffle; one number reaches the driver. Operators
+    measure their input once and hand the answer to every scan below it.
+    """
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return (largest or 0) > limit
+
+
+def _measured(hot: bool | None, df: DataFrame, keys: list[str]) -> bool:
+    return is_hot(df, keys) if hot is None else hot
+
+
+# --- slices --------------------------------------------------------------------------
+
+
+def slice_by_ordinal(
+    df: DataFrame, keys: list[str], ordinal: str, width: int = SLICE_ROWS
+) -> DataFrame:
+    """Slice number for an ordinal; the rows are exchanged once by (keys, slice)."""
+    sliced = df.withColumn("_slice", F.floor(F.col(ordinal) / F.lit(width)).cast("long"))
+    return sliced.repartition(*keys, "_slice")
 
 
 def default_slices(df: DataFrame) -> int:
@@ -26,7 +49,7 @@ def default_slices(df: DataFrame) -> int:
 
 
 def slice_by_value(
-    df: DataFrame, lead: str, tie: str, descending: bool = False, slices: int | None = None
+    df: DataFrame, keys: list[str], lead: str, tie: str, descending: bool = False, slices: int | None = None
 ) -> DataFrame:
     """Slice number that respects the order (lead, tie) of two numeric columns.
 
@@ -47,9 +70,10 @@ def slice_by_value(
     first = (below * 2 + at_cut.cast("int")).cast("long")
     first = -first if descending else first
     if lead == tie:
-        return cut.withColumn("_slice", first).drop("_cuts")
+        return cut.withColumn("_slice", first).drop("_cuts").repartition(*keys, "_slice")
     second = F.when(at_cut, F.size(F.filter(F.col("_cuts.tie"), lambda c: c < other))).otherwise(F.lit(0))
-    return cut.withColumn("_slice", first * (slices + 1) + second).drop("_cuts")
+    numbered = cut.withColumn("_slice", first * (slices + 1) + second).drop("_cuts")
+    return numbered.repartition(*keys, "_slice")
 
 
 def _carried(sliced: DataFrame, keys: list[str], sums: dict[str, Column], carry: dict) -> DataFrame:
@@ -64,8 +88,15 @@ def _carried(sliced: DataFrame, keys: list[str], sums: dict[str, Column], carry:
     return sliced.join(handed, [*keys, "_slice"], "left")
 
 
-def _local(keys: list[str], order: list[Column]) -> Window:
-    return Window.partitionBy(*keys, "_slice").orderBy(*order)
+def _order(keys: list[str], order: list[Column]) -> Window:
+    return Window.partitionBy(*keys).orderBy(*order)
+
+
+def _up_to_here(keys: list[str], ordinal: str) -> Window:
+    return _order(keys, [F.col(ordinal)]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+# --- scans ---------------------------------------------------------------------------
 
 
 def positions(
@@ -76,17 +107,17 @@ def positions(
     descending: bool = False,
     name: str = "pos",
     slices: int | None = None,
+    hot: bool | None = None,
 ) -> DataFrame:
     """1-based position of every row inside its key, ordered by (lead, tie)."""
-    sliced = slice_by_value(df, lead, tie, descending, slices)
-    lead_order = F.col(lead).desc() if descending else F.col(lead).asc()
+    order = [F.col(lead).desc() if descending else F.col(lead).asc(), F.col(tie).asc()]
+    if not _measured(hot, df, keys):
+        return df.withColumn(name, F.row_number().over(_order(keys, order)).cast("long"))
+    sliced = slice_by_value(df, keys, lead, tie, descending, slices)
     joined = _carried(
-        sliced,
-        keys,
-        {"_n": F.count(F.lit(1))},
-        {"_offset": lambda w: F.sum("_n").over(w)},
+        sliced, keys, {"_n": F.count(F.lit(1))}, {"_offset": lambda w: F.sum("_n").over(w)}
     )
-    here = F.row_number().over(_local(keys, [lead_order, F.col(tie).asc()]))
+    here = F.row_number().over(_order([*keys, "_slice"], order))
     return joined.withColumn(
         name, (here + F.coalesce("_offset", F.lit(0))).cast("long")
     ).drop("_offset", "_slice")
@@ -100,24 +131,24 @@ def running_sum(
     name: str,
     before: bool = False,
     width: int = SLICE_ROWS,
+    hot: bool | None = None,
 ) -> DataFrame:
     """Sum of ``value`` from the start of the key up to this row (or up to the row before)."""
-    sliced = slice_by_ordinal(df, ordinal, width)
-    return sliced_sum(sliced, keys, ordinal, value, name, before).drop("_slice")
+    if not _measured(hot, df, keys):
+        valued = df.withColumn("_v", F.coalesce(value, F.lit(0)))
+        total = F.sum("_v").over(_up_to_here(keys, ordinal))
+        return valued.withColumn(name, total - F.col("_v") if before else total).drop("_v")
+    sliced = slice_by_ordinal(df, keys, ordinal, width)
+    return _sliced_sum(sliced, keys, ordinal, value, name, before).drop("_slice")
 
 
-def sliced_sum(
+def _sliced_sum(
     sliced: DataFrame, keys: list[str], ordinal: str, value: Column, name: str, before: bool = False
 ) -> DataFrame:
     valued = sliced.withColumn("_v", F.coalesce(value, F.lit(0)))
     joined = _carried(valued, keys, {"_s": F.sum("_v")}, {"_base": lambda w: F.sum("_s").over(w)})
-    here = F.sum("_v").over(
-        _local(keys, [F.col(ordinal)]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    total = here + F.coalesce("_base", F.lit(0))
-    if before:
-        total = total - F.col("_v")
-    return joined.withColumn(name, total).drop("_v", "_base")
+    total = F.sum("_v").over(_up_to_here([*keys, "_slice"], ordinal)) + F.coalesce("_base", F.lit(0))
+    return joined.withColumn(name, total - F.col("_v") if before else total).drop("_v", "_base")
 
 
 def carry_last(
@@ -126,12 +157,15 @@ def carry_last(
     ordinal: str,
     values: dict[str, Column],
     width: int = SLICE_ROWS,
+    hot: bool | None = None,
 ) -> DataFrame:
     """Latest non-null of each expression at or before the row, in order of the ordinal."""
-    sliced = slice_by_ordinal(df, ordinal, width)
     temp = {f"_v_{n}": e for n, e in values.items()}
-    for n, e in temp.items():
-        sliced = sliced.withColumn(n, e)
+    if not _measured(hot, df, keys):
+        out = df.withColumns(temp)
+        last = {n: F.last(f"_v_{n}", ignorenulls=True).over(_up_to_here(keys, ordinal)) for n in values}
+        return out.withColumns(last).drop(*temp)
+    sliced = slice_by_ordinal(df, keys, ordinal, width).withColumns(temp)
     joined = _carried(
         sliced,
         keys,
@@ -144,15 +178,10 @@ def carry_last(
             for n in temp
         },
     )
-    here = _local(keys, [F.col(ordinal)]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = joined
-    for name in values:
-        out = out.withColumn(
-            name,
-            F.coalesce(
-                F.last(F.col(f"_v_{name}"), ignorenulls=True).over(here), F.col(f"_c_v_{name}")
-            ),
-        )
+    here = _up_to_here([*keys, "_slice"], ordinal)
+    out = joined.withColumns(
+        {n: F.coalesce(F.last(f"_v_{n}", ignorenulls=True).over(here), F.col(f"_c_v_{n}")) for n in values}
+    )
     return out.drop("_slice", *temp, *[f"_c{n}" for n in temp])
 
 
@@ -162,12 +191,16 @@ def previous(
     ordinal: str,
     values: dict[str, Column],
     width: int = SLICE_ROWS,
+    hot: bool | None = None,
 ) -> DataFrame:
     """Value of each expression on the row before, in order of the ordinal."""
-    return sliced_previous(slice_by_ordinal(df, ordinal, width), keys, ordinal, values).drop("_slice")
+    if not _measured(hot, df, keys):
+        before = _order(keys, [F.col(ordinal)])
+        return df.withColumns({n: F.lag(e).over(before) for n, e in values.items()})
+    return _sliced_previous(slice_by_ordinal(df, keys, ordinal, width), keys, ordinal, values).drop("_slice")
 
 
-def sliced_previous(sliced: DataFrame, keys: list[str], ordinal: str, values: dict[str, Column]) -> DataFrame:
+def _sliced_previous(sliced: DataFrame, keys: list[str], ordinal: str, values: dict[str, Column]) -> DataFrame:
     packed = sliced.withColumn("_row", F.struct(*[e.alias(n) for n, e in values.items()]))
     joined = _carried(
         packed,
@@ -175,34 +208,40 @@ def sliced_previous(sliced: DataFrame, keys: list[str], ordinal: str, values: di
         {"_end": F.max_by("_row", F.col(ordinal))},
         {"_prev": lambda w: F.last("_end").over(w)},
     )
-    lagged = F.coalesce(F.lag("_row").over(_local(keys, [F.col(ordinal)])), F.col("_prev"))
+    lagged = F.coalesce(F.lag("_row").over(_order([*keys, "_slice"], [F.col(ordinal)])), F.col("_prev"))
     out = joined.withColumn("_lag", lagged)
-    for name in values:
-        out = out.withColumn(name, F.col("_lag")[name])
-    return out.drop("_row", "_prev", "_lag")
+    return out.withColumns({n: F.col("_lag")[n] for n in values}).drop("_row", "_prev", "_lag")
 
 
-def following(
+def runs(
     df: DataFrame,
     keys: list[str],
     ordinal: str,
+    same_as_before: Column,
     values: dict[str, Column],
+    name: str = "run",
     width: int = SLICE_ROWS,
-) -> DataFrame:
-    """Value of each expression on the row after, in order of the ordinal."""
-    turned = df.withColumn("_turned", -F.col(ordinal))
-    return previous(turned, keys, "_turned", values, width).drop("_turned")
-
-
-def runs(
-    df: DataFrame, keys: list[str], ordinal: str, same_as_before: Column, values: dict[str, Column],
-    name: str = "run", width: int = SLICE_ROWS,
+    hot: bool | None = None,
 ) -> DataFrame:
     """Number the runs of a key: a row opens one unless ``same_as_before`` holds.
 
     ``same_as_before`` may use the previous values, named by the keys of ``values``.
     """
-    # sliced once: both scans and their joins share one partitioning
-    looked = sliced_previous(slice_by_ordinal(df, ordinal, width), keys, ordinal, values)
     opens = F.when(F.coalesce(same_as_before, F.lit(False)), F.lit(0)).otherwise(F.lit(1))
-    return sliced_sum(looked, keys, ordinal, opens, name).drop("_slice", *values)
+    if not _measured(hot, df, keys):
+        looked = previous(df, keys, ordinal, values, hot=False)
+        return running_sum(looked, keys, ordinal, opens, name, hot=False).drop(*values)
+    # sliced once: both scans and their joins share one partitioning
+    looked = _sliced_previous(slice_by_ordinal(df, keys, ordinal, width), keys, ordinal, values)
+    return _sliced_sum(looked, keys, ordinal, opens, name).drop("_slice", *values)
+
+
+def group_any(df: DataFrame, keys: list[str], cond: Column, name: str, hot: bool | None = None) -> DataFrame:
+    """Whether the condition holds for any row of the key."""
+    cond = F.coalesce(cond, F.lit(False))
+    if not _measured(hot, df, keys):
+        return df.withColumn(name, F.max(cond).over(Window.partitionBy(*keys)))
+    flags = df.groupBy(*keys).agg(F.max(cond).alias(name))
+    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    joined = df.alias("l").join(flags.alias("r"), on)
+    return joined.select("l.*", f"r.{name}")

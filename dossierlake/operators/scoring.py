@@ -47,7 +47,7 @@ def scoring_focus(categories: DataFrame, doc: list[str]) -> DataFrame:
     share = F.col("points") / F.nullif(denominator, F.lit(0.0)) * 100
     ranked = scan.positions(
         chosen.filter(F.col("points").isNotNull()).select(*doc, "ord", "points"),
-        doc, "points", "ord", descending=True, name="rank",
+        doc, "points", "ord", descending=True, name="rank", hot=scan.is_hot(categories, doc),
     ).select(*doc, "ord", "rank")
     unshared = F.coalesce(F.size("shared_with"), F.lit(0)) <= 0
     return (
@@ -104,18 +104,19 @@ def basis_dimension(text) -> Column:
     )
 
 
-def _band(label: Column, weight: Column) -> Column:
-    sizes = F.transform(
-        F.regexp_extract_all(label, F.lit(r"(\d+)\s*만"), F.lit(1)),
-        lambda n: n.cast("double") * 10000.0,
-    )
-    ranged = label.rlike("[~∼－]") & (F.size(sizes) >= 2)
-    first, second = F.get(sizes, F.lit(0)), F.get(sizes, F.lit(1))
-    low = F.when(ranged, first).when(~label.contains("미만") & label.contains("이상"), first)
-    high = F.when(ranged, second).when(label.contains("미만"), first)
-    return F.struct(
-        label.alias("label"), low.alias("min_sqm"), high.alias("max_sqm"), weight.alias("weight_pct")
-    )
+def _band(label: Column, weight: Column) -> list[Column]:
+    """Limits a label states: under, from, or between two sizes in units of ten thousand."""
+    sizes = F.regexp_extract_all(label, F.lit(r"(\d+)\s*만"), F.lit(1))
+    first = F.get(sizes, F.lit(0)).cast("double") * 10000.0
+    second = F.get(sizes, F.lit(1)).cast("double") * 10000.0
+    ranged = label.rlike("[~∼－]") & second.isNotNull()
+    under, over = label.contains("미만"), label.contains("이상")
+    return [
+        label.alias("label"),
+        F.when(ranged | (~under & over), first).alias("min_sqm"),
+        F.when(ranged, second).when(under, first).alias("max_sqm"),
+        weight.alias("weight_pct"),
+    ]
 
 
 def text_bands(statements: DataFrame, doc: list[str]) -> DataFrame:
@@ -125,16 +126,15 @@ def text_bands(statements: DataFrame, doc: list[str]) -> DataFrame:
     """
     inside = F.regexp_extract("text", r"[（(](.+?)[)）]", 1)
     body = F.when(inside == "", F.col("text")).otherwise(inside)
-    clauses = F.transform(F.split(body, "[,，]"), lambda x: F.trim(x))
-    weight = lambda c: F.regexp_extract(c, r"(\d+(?:\.\d+)?)\s*%", 1).try_cast("double")
-    weighted = F.filter(clauses, lambda c: c.rlike(r"\d\s*%") & c.rlike(r"\d+\s*만"))
-    bands = F.transform(weighted, lambda c: _band(c, weight(c)))
-    return (
+    clause = (
         statements.withColumn("role", axis_role("text"))
         .filter(F.col("role") != "other")
-        .select(*doc, "role", "source_rank", "ord", F.posexplode(bands).alias("pos", "band"))
-        .select(*doc, "role", "source_rank", "ord", "pos", "band.*")
+        .select(*doc, "role", "source_rank", "ord", F.posexplode(F.split(body, "[,，]")).alias("pos", "_c"))
+        .withColumn("_c", F.trim("_c"))
+        .filter(F.col("_c").rlike(r"\d\s*%") & F.col("_c").rlike(r"\d+\s*만"))
     )
+    weight = F.regexp_extract("_c", r"(\d+(?:\.\d+)?)\s*%", 1).try_cast("double")
+    return clause.select(*doc, "role", "source_rank", "ord", "pos", *_band(F.col("_c"), weight))
 
 
 def method_bands(statements: DataFrame, doc: list[str]) -> DataFrame:
@@ -159,18 +159,28 @@ def method_bands(statements: DataFrame, doc: list[str]) -> DataFrame:
         .filter(F.col("role") != "other")
         .select(
             *doc, "role", "source_rank", "ord", "pos",
-            F.inline(F.array(_band(F.col("label"), F.col("z.w").cast("double")))),
+            *_band(F.col("label"), F.col("z.w").cast("double")),
         )
     )
 
 
 def preferred_bands(bands: DataFrame, doc: list[str]) -> DataFrame:
-    """Per role the bands of the best source that states any size limit."""
-    limited = bands.filter(F.col("min_sqm").isNotNull() | F.col("max_sqm").isNotNull())
-    best = limited.groupBy(*doc, "role").agg(
-        F.min(F.struct("source_rank", "ord")).alias("_b")
-    ).select(*doc, "role", F.col("_b.source_rank").alias("source_rank"), F.col("_b.ord").alias("ord"))
-    return bands.join(best, [*doc, "role", "source_rank", "ord"], "left_semi")
+    """Per role the bands of the best source that states any size limit.
+
+    The bands of one statement form a short list; the lists compete in one aggregate, so
+    the texts are read once.
+    """
+    band = F.struct("pos", "label", "min_sqm", "max_sqm", "weight_pct")
+    limited = F.col("min_sqm").isNotNull() | F.col("max_sqm").isNotNull()
+    per_statement = bands.groupBy(*doc, "role", "source_rank", "ord").agg(
+        F.collect_list(band).alias("_bands"), F.max(limited).alias("_limited")
+    ).filter("_limited")
+    best = per_statement.groupBy(*doc, "role").agg(
+        F.min_by(F.struct("source_rank", "ord", "_bands"), F.struct("source_rank", "ord")).alias("_b")
+    )
+    return best.select(
+        *doc, "role", F.col("_b.source_rank").alias("source_rank"), F.col("_b.ord").alias("ord"), F.inline("_b._bands")
+    )
 
 
 def band_thresholds(bands: DataFrame, doc: list[str]) -> DataFrame:
@@ -205,18 +215,22 @@ def weight_range(text) -> Column:
     return F.when(a.isNotNull(), F.struct(F.least(a, b).alias("low"), F.greatest(a, b).alias("high")))
 
 
-def _columns_of(cells: DataFrame, table: list[str]) -> DataFrame:
-    """Points and detail column of every table, from its header row."""
-    head = cells.filter(F.col("row") == 0)
-    h = F.col("text")
-    rank = (
-        F.when(h.rlike(HEADER_EXCLUDED), -1).when(h.rlike(HEADER_POINTS), 3)
-        .when(h.rlike(HEADER_SCORE), 1).otherwise(0)
+def _header_columns() -> Column:
+    """Points and detail column named by a header row, from its list of cells."""
+
+    def rank(c: Column) -> Column:
+        return (
+            F.when(c.text.rlike(HEADER_EXCLUDED), -1).when(c.text.rlike(HEADER_POINTS), 3)
+            .when(c.text.rlike(HEADER_SCORE), 1).otherwise(0)
+        )
+
+    ranked = F.filter(
+        F.transform("_cells", lambda c: F.struct(rank(c).alias("rank"), (-c.col).alias("left"))), lambda c: c["rank"] > 0
+    )
+    detail = F.filter("_cells", lambda c: (c.col != 0) & c.text.rlike(HEADER_DETAIL))
+    return F.struct(
+        (-F.array_max(ranked)["left"]).alias("points_col"), F.get(detail, F.lit(0))["col"].alias("detail_col")
     )
-    return head.groupBy(*table).agg(
-        F.max_by(F.when(rank > 0, F.col("col")), F.struct(rank, -F.col("col"))).alias("points_col"),
-        F.min(F.when((F.col("col") != 0) & h.rlike(HEADER_DETAIL), F.col("col"))).alias("detail_col"),
-    ).filter(F.col("points_col").isNotNull())
 
 
 def parse_points(c) -> Column:
@@ -226,73 +240,78 @@ def parse_points(c) -> Column:
     return F.when((v > 0) & (v <= 1.0), v * 100).otherwise(v)
 
 
-def scoring_rows(cells: DataFrame, table: list[str]) -> DataFrame:
-    """Scoring categories read from table cells, without subtotal rows.
+def scoring_rows(cells: DataFrame, table: list[str], hot: bool | None = None) -> DataFrame:
+    """Scoring categories read from table cells; subtotal rows are marked.
 
     ``cells`` has the table key, row (0 is the header), col, text, rowspan; continued cells
     of a vertical merge are blank. A merged points cell makes one category shared by the
-    names it spans; a merged name cell makes one category per row.
+    names it spans; a merged name cell makes one category per row. The header and the open
+    merges are carried down the rows, so a table is read in one pass.
     """
-    columns = _columns_of(cells, table)
-    body = cells.join(columns, table).filter(F.col("row") >= 1)
+    hot = scan.is_hot(cells, table) if hot is None else hot
+    listed = cells.groupBy(*table, "row").agg(
+        F.sort_array(F.collect_list(F.struct("col", F.trim("text").alias("text"), "rowspan"))).alias("_cells")
+    )
+    headed = scan.carry_last(
+        listed, table, "row", {"_h": F.when(F.col("row") == 0, _header_columns())}, hot=hot
+    ).filter(F.col("_h.points_col").isNotNull())
 
-    def pick(col_name: str) -> Column:
-        return F.max(F.when(F.col("col") == F.col(col_name), F.trim("text")))
+    def cell(at: Column) -> Column:
+        return F.get(F.filter("_cells", lambda c: c.col == at), F.lit(0))
 
-    rows = body.withColumn("name_col", F.lit(0)).groupBy(*table, "row").agg(
-        F.coalesce(pick("name_col"), F.lit("")).alias("name_text"),
-        F.coalesce(pick("detail_col"), F.lit("")).alias("detail"),
-        F.coalesce(pick("points_col"), F.lit("")).alias("points_text"),
-        F.max(F.trim("text") != "").alias("_any"),
+    named = headed.select(
+        *table, "row",
+        cell(F.lit(0)).alias("_n"), cell(F.col("_h.detail_col")).alias("_d"), cell(F.col("_h.points_col")).alias("_p"),
+        F.exists("_cells", lambda c: c.text != "").alias("_any"),
     )
+    first = F.greatest(F.col("row"), F.lit(1))
 
-    def spans(which: Column, prefix: str) -> DataFrame:
-        merged = cells.join(columns, table).filter((F.col("rowspan") > 1) & (F.col("col") == which))
-        start = F.greatest(F.col("row"), F.lit(1))
-        return merged.select(
-            *table, start.alias(f"{prefix}_start"), F.trim("text").alias(f"{prefix}_value"),
-            F.explode(F.sequence(start, F.greatest(start, F.col("row") + F.col("rowspan") - 1))).alias("row"),
-        ).filter(F.col("row") >= 1)
-
-    joined = (
-        rows.filter("_any")
-        .join(spans(F.lit(0), "n"), [*table, "row"], "left")
-        .join(spans(F.col("points_col"), "p"), [*table, "row"], "left")
-    )
-    joined = joined.withColumn(
-        "name", F.coalesce(F.nullif(F.col("n_value"), F.lit("")), F.col("name_text"))
+    def span(prefix: str) -> Column:
+        size = F.col(f"_{prefix}.rowspan")
+        return F.when(
+            size > 1,
+            F.struct(first.alias("start"), (F.col("row") + size - 1).alias("end"), F.col(f"_{prefix}.text").alias("value")),
+        )
+
+    merged = scan.carry_last(named, table, "row", {"_ns": span("n"), "_ps": span("p")}, hot=hot)
+
+    def inside(prefix: str) -> Column:
+        return F.when(F.col("row") <= F.col(f"_{prefix}s.end"), F.col(f"_{prefix}s"))
+
+    body = merged.filter(F.col("_any") & (F.col("row") >= 1)).select(
+        *table, "row",
+        F.coalesce("_n.text", F.lit("")).alias("name_text"), F.coalesce("_d.text", F.lit("")).alias("detail"),
+        F.coalesce("_p.text", F.lit("")).alias("points_text"), inside("n").alias("n"), inside("p").alias("p"),
+    ).withColumn("n_start", F.col("n.start"))
+    # a merged name is read row by row once any of its rows stands outside a merged points cell
+    flagged = scan.group_any(body, [*table, "n_start"], F.col("p").isNull(), "_free", hot=hot)
+    in_name, in_points = F.col("n").isNotNull(), F.col("p").isNotNull()
+    own_name = F.coalesce(F.nullif(F.col("n.value"), F.lit("")), F.col("name_text"))
+
+    def entry(group: Column, points: Column, name: Column, kind: str) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"), group.alias("group"), name.alias("name"), points.alias("points"), F.col("detail").alias("detail")
+        )
+
+    shared = F.when(in_points, entry(F.col("p.start"), parse_points("p.value"), own_name, "shared"))
+    per_row = F.when(
+        F.when(in_name, F.col("_free")).otherwise(~in_points & (F.col("name_text") != "")),
+        entry(F.col("row"), parse_points("points_text"), F.trim(F.regexp_replace(own_name, "\n", " ")), "row"),
     )
-    no_shared = F.array().cast("array<string>")
-    merged_points = joined.filter(F.col("p_start").isNotNull()).groupBy(*table, "p_start", "p_value").agg(
-        F.sort_array(F.collect_list(F.struct("row", "name", "detail"))).alias("_m"), F.min("row").alias("row")
+    entries = F.filter(F.array(shared, per_row), lambda e: e.isNotNull())
+    grouped = (
+        flagged.select(*table, "row", F.inline(entries))
+        .groupBy(*table, "kind", "group", "points")
+        .agg(F.min("row").alias("row"), F.sort_array(F.collect_list(F.struct("row", "name", "detail"))).alias("_m"))
     )
     names = F.array_distinct(F.filter(F.transform("_m", lambda m: m["name"]), lambda n: n != ""))
-    shared = merged_points.select(
+    out = grouped.select(
         *table, "row",
-        F.coalesce(F.get(names, F.lit(0)), F.lit("")).alias("name"),
-        parse_points("p_value").alias("points"),
+        F.coalesce(F.get(names, F.lit(0)), F.lit("")).alias("name"), "points",
         F.slice(names, 2, 1_000_000).alias("shared_with"),
         F.filter(F.transform("_m", lambda m: m["detail"]), lambda d: d != "").alias("sub_items"),
     ).filter((F.col("name") != "") | F.col("points").isNotNull())
-
-    # a merged name is read row by row once any of its rows stands outside a merged points cell
-    free = joined.filter(F.col("p_start").isNull() & F.col("n_start").isNotNull()).select(
-        *table, "n_start"
-    ).distinct()
-    one_row = F.when(F.col("detail") != "", F.array("detail")).otherwise(no_shared)
-    named = joined.join(free, [*table, "n_start"], "left_semi").select(
-        *table, "row",
-        F.trim(F.regexp_replace(F.col("name"), "\n", " ")).alias("name"),
-        parse_points("points_text").alias("points"), no_shared.alias("shared_with"), one_row.alias("sub_items"),
-    )
-    single = joined.filter(
-        F.col("p_start").isNull() & F.col("n_start").isNull() & (F.col("name_text") != "")
-    ).select(
-        *table, "row", F.col("name_text").alias("name"), parse_points("points_text").alias("points"),
-        no_shared.alias("shared_with"), one_row.alias("sub_items"),
-    )
-    every = shared.unionByName(named).unionByName(single)
-    return every.withColumn("is_subtotal", F.col("name").rlike(fixed.SCORING_SUBTOTAL))
+    return out.withColumn("is_subtotal", F.col("name").rlike(fixed.SCORING_SUBTOTAL))
 
 
 def scoring_totals(rows: DataFrame, table: list[str]) -> DataFrame:
@@ -337,6 +356,7 @@ def unit_programme(cells: DataFrame, table: list[str]) -> DataFrame:
             "block": F.when(opens, F.trim(F.regexp_replace("first", UNIT_TENURE, ""))),
             "tenure": F.when(opens, F.regexp_extract("first", UNIT_TENURE, 1)),
         },
+        hot=scan.is_hot(cells, table),
     )
     rest = F.filter(
         F.transform(F.sort_array("_cells"), lambda x: x.t),

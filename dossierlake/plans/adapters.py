@@ -20,13 +20,14 @@ TABLES = (
 DIALECT = {
     "spark": {
         "explode_lines": "LATERAL VIEW posexplode(split({0}, '\\n')) AS {1}, {2}",
-        "from0": "0",
+        "explode_ints": "LATERAL VIEW explode(array({1})) AS {0}",
     },
     "duckdb": {
         "explode_lines": (
             ", LATERAL (SELECT unnest(string_split({0}, chr(10))) AS {2}, "
             "unnest(range(0, len(string_split({0}, chr(10))))) AS {1})"
         ),
+        "explode_ints": ", LATERAL (SELECT unnest([{1}]) AS {0})",
     },
 }
 
@@ -178,6 +179,37 @@ VIEWS: dict[str, str] = {
                CASE WHEN l_quantity < 3 THEN ' '
                     ELSE '반드시 ' || CAST(CAST(l_quantity AS BIGINT) AS STRING) || '층 배치, ' || l_returnflag || ' 특히 고려' END AS text
         FROM lineitem""",
+    # table rows of an order: its lines in a fixed order, with the number of rows
+    "table_lines": """
+        SELECT l_orderkey AS doc_id,
+               CAST(ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS INT) AS r,
+               CAST(COUNT(*) OVER (PARTITION BY l_orderkey) AS INT) AS n,
+               l_returnflag, l_linestatus, l_linenumber, l_suppkey, l_quantity, l_tax, l_discount
+        FROM lineitem""",
+    # a scoring table per order: the name cell of rows 1-2 or their points cell may be merged
+    "scoring_cells": """
+        SELECT doc_id, 0 AS row, col, CASE col WHEN 0 THEN '구분' WHEN 1 THEN '세부 항목' WHEN 2 THEN '점수 계산 방법' ELSE '배점' END AS text, 1 AS rowspan
+        FROM (SELECT doc_id FROM table_lines WHERE r = 1) h {explode_ints:col:0, 1, 2, 3}
+        UNION ALL
+        SELECT doc_id, r, col,
+               CASE col WHEN 0 THEN CASE WHEN r = n AND n > 3 THEN '합 계' WHEN r = 2 AND n > 1 AND doc_id % 2 = 0 THEN '' ELSE l_returnflag || '계획' || CAST(r AS STRING) END
+                        WHEN 1 THEN CASE WHEN l_linestatus = 'F' THEN '세부' || CAST(l_linenumber AS STRING) ELSE '' END
+                        WHEN 2 THEN '등급별 99점'
+                        ELSE CASE WHEN r = n AND n > 3 THEN '100' WHEN r = 2 AND n > 2 AND doc_id % 3 = 0 THEN ''
+                                  ELSE '○' || CAST(CAST(l_quantity AS BIGINT) AS STRING) || '점' END END,
+               CASE WHEN r = 1 AND ((col = 0 AND n > 1 AND doc_id % 2 = 0) OR (col = 3 AND n > 2 AND doc_id % 3 = 0)) THEN 2 ELSE 1 END
+        FROM table_lines t {explode_ints:col:0, 1, 2, 3}""",
+    "unit_cells": """
+        SELECT doc_id, 0 AS row, 0 AS col, CASE WHEN doc_id % 10 = 0 THEN '심사 배점' ELSE '구분' END AS text
+        FROM table_lines WHERE r = 1
+        UNION ALL
+        SELECT doc_id, r, col,
+               CASE col WHEN 0 THEN CASE WHEN l_linestatus = 'F' THEN CAST(l_suppkey % 9 + 1 AS STRING) || 'BL (임대)' ELSE '' END
+                        WHEN 1 THEN CASE WHEN l_returnflag = 'A' THEN CAST(l_linenumber * 10 AS STRING) || '형' ELSE '' END
+                        WHEN 2 THEN CASE WHEN l_tax > 0.02 THEN '전용 ' || CAST(CAST(l_quantity AS BIGINT) AS STRING) || '㎡' ELSE '' END
+                        WHEN 3 THEN CASE WHEN l_discount > 0.05 THEN CAST(l_linenumber AS STRING) || '% 내외' ELSE '' END
+                        ELSE '비고' || CAST(l_linenumber AS STRING) END
+        FROM table_lines t {explode_ints:col:0, 1, 2, 3, 4}""",
     # parts as search documents with weighted columns
     "part_docs": """
         SELECT CAST(p_partkey AS STRING) AS competition_id, p_name AS facility_text, p_brand AS ranking,

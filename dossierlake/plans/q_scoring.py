@@ -109,29 +109,11 @@ def band_thresholds(t: Tables):
     return scoring.band_thresholds(scoring.method_bands(notes, ["doc_id"]), ["doc_id"])
 
 
-# a scoring table per order: rows are its lines, the name cell of rows 1-2 may be merged
-CELLS = """
-lines AS (SELECT l_orderkey AS doc_id, CAST(ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS INT) AS r, * FROM lineitem),
-size AS (SELECT doc_id, MAX(r) AS n FROM lines GROUP BY doc_id),
-cells AS (
-  SELECT doc_id, 0 AS row, 0 AS col, '구분' AS text, 1 AS rowspan FROM size
-  UNION ALL SELECT doc_id, 0, 1, '세부 항목', 1 FROM size
-  UNION ALL SELECT doc_id, 0, 2, '점수 계산 방법', 1 FROM size
-  UNION ALL SELECT doc_id, 0, 3, '배점', 1 FROM size
-  UNION ALL SELECT l.doc_id, r, 0, CASE WHEN r = n AND n > 3 THEN '합 계' WHEN r = 2 AND n > 1 AND l.doc_id % 2 = 0 THEN '' ELSE l_returnflag || '계획' || CAST(r AS STRING) END,
-      CASE WHEN r = 1 AND n > 1 AND l.doc_id % 2 = 0 THEN 2 ELSE 1 END FROM lines l JOIN size s ON s.doc_id = l.doc_id
-  UNION ALL SELECT doc_id, r, 1, CASE WHEN l_linestatus = 'F' THEN '세부' || CAST(l_linenumber AS STRING) ELSE '' END, 1 FROM lines
-  UNION ALL SELECT doc_id, r, 2, '등급별 99점', 1 FROM lines
-  UNION ALL SELECT l.doc_id, r, 3, CASE WHEN r = n AND n > 3 THEN '100' WHEN r = 2 AND n > 2 AND l.doc_id % 3 = 0 THEN '' ELSE '○' || CAST(CAST(l_quantity AS BIGINT) AS STRING) || '점' END,
-      CASE WHEN r = 1 AND n > 2 AND l.doc_id % 3 = 0 THEN 2 ELSE 1 END FROM lines l JOIN size s ON s.doc_id = l.doc_id)"""
-
-
 @query(
-    "scoring_table", "",
-    "WITH " + CELLS.strip() + """,
-    b AS (SELECT l.doc_id, r, n, l_returnflag || '계획' || CAST(r AS VARCHAR) AS nm, CAST(CAST(l_quantity AS BIGINT) AS DOUBLE) AS q,
+    "scoring_table", "table_lines",
+    """b AS (SELECT l.doc_id, r, n, l_returnflag || '계획' || CAST(r AS VARCHAR) AS nm, CAST(CAST(l_quantity AS BIGINT) AS DOUBLE) AS q,
         l.doc_id % 2 = 0 AND n > 1 AND r <= 2 AS in_name, l.doc_id % 3 = 0 AND n > 2 AND r <= 2 AS in_points, r = n AND n > 3 AS total_row
-      FROM lines l JOIN size s ON s.doc_id = l.doc_id),
+      FROM table_lines l),
     f AS (SELECT doc_id, min(nm) FILTER (WHERE r = 1) AS nm1, min(q) FILTER (WHERE r = 1) AS q1 FROM b GROUP BY doc_id),
     merged AS (SELECT b.doc_id, 1 AS row, nm1 AS name, CASE WHEN q1 <= 1 THEN q1 * 100 ELSE q1 END AS points, CASE WHEN b.doc_id % 2 = 0 THEN '' ELSE min(nm) FILTER (WHERE r = 2) END AS shared
       FROM b JOIN f USING (doc_id) WHERE in_points GROUP BY b.doc_id, nm1, q1),
@@ -141,33 +123,19 @@ cells AS (
     SELECT doc_id, row, name, points, shared, name = '합 계' AS is_subtotal FROM (SELECT * FROM merged UNION ALL SELECT * FROM plain)""",
 )
 def scoring_table(t: Tables):
-    cells = t.sql("WITH " + CELLS + " SELECT * FROM cells")
-    rows = scoring.scoring_rows(cells, ["doc_id"])
+    rows = scoring.scoring_rows(t.view("scoring_cells"), ["doc_id"])
     return rows.select("doc_id", "row", "name", "points", F.array_join("shared_with", "|").alias("shared"), "is_subtotal")
 
 
 @query("scoring_totals")
 def scoring_totals(t: Tables):
-    cells = t.sql("WITH " + CELLS + " SELECT * FROM cells")
-    return scoring.scoring_totals(scoring.scoring_rows(cells, ["doc_id"]), ["doc_id"])
-
-
-UNITS = """
-u AS (SELECT l_orderkey AS doc_id, CAST(ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS INT) AS row, * FROM lineitem),
-ucells AS (
-  SELECT DISTINCT doc_id, 0 AS row, 0 AS col, CASE WHEN doc_id % 10 = 0 THEN '심사 배점' ELSE '구분' END AS text FROM u
-  UNION ALL SELECT doc_id, row, 0, CASE WHEN l_linestatus = 'F' THEN CAST(l_suppkey % 9 + 1 AS STRING) || 'BL (임대)' ELSE '' END FROM u
-  UNION ALL SELECT doc_id, row, 1, CASE WHEN l_returnflag = 'A' THEN CAST(l_linenumber * 10 AS STRING) || '형' ELSE '' END FROM u
-  UNION ALL SELECT doc_id, row, 2, CASE WHEN l_tax > 0.02 THEN '전용 ' || CAST(CAST(l_quantity AS BIGINT) AS STRING) || '㎡' ELSE '' END FROM u
-  UNION ALL SELECT doc_id, row, 3, CASE WHEN l_discount > 0.05 THEN CAST(l_linenumber AS STRING) || '% 내외' ELSE '' END FROM u
-  UNION ALL SELECT doc_id, row, 4, '비고' || CAST(l_linenumber AS STRING) FROM u)"""
+    return scoring.scoring_totals(scoring.scoring_rows(t.view("scoring_cells"), ["doc_id"]), ["doc_id"])
 
 
 @query(
-    "unit_programme", "",
-    "WITH " + UNITS.strip() + """,
-    f AS (SELECT *, last_value(CASE WHEN l_linestatus = 'F' THEN CAST(l_suppkey % 9 + 1 AS VARCHAR) || 'BL' END IGNORE NULLS)
-        OVER (PARTITION BY doc_id ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS block FROM u),
+    "unit_programme", "table_lines",
+    """f AS (SELECT *, r AS row, last_value(CASE WHEN l_linestatus = 'F' THEN CAST(l_suppkey % 9 + 1 AS VARCHAR) || 'BL' END IGNORE NULLS)
+        OVER (PARTITION BY doc_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS block FROM table_lines),
     e AS (SELECT doc_id, row, block, '임대' AS tenure, CASE WHEN l_returnflag = 'A' THEN CAST(l_linenumber * 10 AS VARCHAR) || '형' ELSE '' END AS type_label,
         CASE WHEN l_tax > 0.02E0 THEN '전용 ' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '㎡' ELSE '' END AS area_text,
         CASE WHEN l_discount > 0.05E0 THEN CAST(l_linenumber AS VARCHAR) || '% 내외' ELSE '' END AS ratio_text, '비고' || l_linenumber AS note
@@ -176,7 +144,7 @@ ucells AS (
       SELECT *, row_number() OVER (PARTITION BY doc_id, block, tenure, type_label, area_text ORDER BY row) AS k FROM e WHERE area_text <> '' OR ratio_text <> '') WHERE k = 1""",
 )
 def unit_programme(t: Tables):
-    return scoring.unit_programme(t.sql("WITH " + UNITS + " SELECT * FROM ucells"), ["doc_id"])
+    return scoring.unit_programme(t.view("unit_cells"), ["doc_id"])
 
 
 @query(

@@ -135,7 +135,7 @@ bounds AS (SELECT l_orderkey AS doc_id, l_suppkey % 4 AS company, CASE WHEN COUN
 def citation_bounds(t: Tables):
     text = t.sql("WITH " + CITED + " SELECT doc_id, company, place, text FROM cited")
     bounds = t.sql("WITH " + CITED + " SELECT * FROM bounds")
-    flags = prose.citation_flags(text, bounds, ["doc_id", "company"], ["doc_id"])
+    flags = prose.citation_flags(text, bounds, ["doc_id", "company"], ["doc_id"], ["place"])
     return flags.select("doc_id", "company", "place", "cited_page", "bound")
 
 
