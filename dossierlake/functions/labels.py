@@ -45,19 +45,11 @@ def grade_label(c) -> Column:
 def floor_order(c) -> Column:
     """ROOF 10000, basement n -> -n, storey n -> n (1..200), NULL when unreadable."""
     s = F.upper(F.trim(col(c)))
-    below = F.coalesce(
-        F.nullif(F.regexp_extract(s, r"(?:B\s*|지하\s*)(\d+)", 1), F.lit(""))
-    ).try_cast("int")
-    above = F.coalesce(
-        F.nullif(F.regexp_extract(s, r"(?:(\d+)\s*[F층]|지상\s*(\d+))", 1), F.lit("")),
-        F.nullif(F.regexp_extract(s, r"(?:(\d+)\s*[F층]|지상\s*(\d+))", 2), F.lit("")),
-    ).try_cast("int")
-    roof = s.rlike("ROOF|옥상|PENTHOUSE") | s.rlike(r"^PH\d?$")
-    return (
-        F.when(roof, F.lit(10000))
-        .when(below.isNotNull(), -below)
-        .when(above.between(1, 200), above)
-    )
+    below = F.regexp_extract(s, r"(?:B\s*|지하\s*)(\d+)", 1).try_cast("int")
+    storey = F.regexp_extract(s, r"(\d+\s*[F층]|지상\s*\d+)", 1)
+    above = F.regexp_extract(storey, r"(\d+)", 1).try_cast("int")
+    roof = s.rlike(r"ROOF|옥상|PENTHOUSE|^PH\d?$")
+    return F.coalesce(F.when(roof, F.lit(10000)), -below, F.when(above.between(1, 200), above))
 
 
 def floor_label(order) -> Column:
