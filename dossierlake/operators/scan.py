@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GROUP_LIMIT = 1_000_000
-SLICE_ROWS = 4096
-MIN_SLICES, MAX_SLICES = 8, 256
+MIN_SLICES, MAX_SLICES = 8, 1024
 
 
 def is_hot(df: DataFrame, keys: list[str], limit: int = GROUP_LIMIT) -> bool:
@@ -34,14 +33,6 @@ def _measured(hot: bool | None, df: DataFrame, keys: list[str]) -> bool:
 # --- slices --------------------------------------------------------------------------
 
 
-def slice_by_ordinal(
-    df: DataFrame, keys: list[str], ordinal: str, width: int = SLICE_ROWS
-) -> DataFrame:
-    """Slice number for an ordinal; the rows are exchanged once by (keys, slice)."""
-    sliced = df.withColumn("_slice", F.floor(F.col(ordinal) / F.lit(width)).cast("long"))
-    return sliced.repartition(*keys, "_slice")
-
-
 def default_slices(df: DataFrame) -> int:
     """As many slices as the session has shuffle partitions, within bounds."""
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -53,7 +44,7 @@ def slice_by_value(
 ) -> DataFrame:
     """Slice number that respects the order (lead, tie) of two numeric columns.
 
-    The cut points are quantiles, two bounded arrays read by one scalar subquery. A value
+    The rows are exchanged once by (keys, slice). Cut points are quantiles, two bounded arrays read by one scalar subquery. A value
     that is itself a cut point gets a slice of its own, split again along the tie-break.
     """
     slices = slices or default_slices(df)
@@ -130,7 +121,7 @@ def running_sum(
     value: Column,
     name: str,
     before: bool = False,
-    width: int = SLICE_ROWS,
+    slices: int | None = None,
     hot: bool | None = None,
 ) -> DataFrame:
     """Sum of ``value`` from the start of the key up to this row (or up to the row before)."""
@@ -138,7 +129,7 @@ def running_sum(
         valued = df.withColumn("_v", F.coalesce(value, F.lit(0)))
         total = F.sum("_v").over(_up_to_here(keys, ordinal))
         return valued.withColumn(name, total - F.col("_v") if before else total).drop("_v")
-    sliced = slice_by_ordinal(df, keys, ordinal, width)
+    sliced = slice_by_value(df, keys, ordinal, ordinal, slices=slices)
     return _sliced_sum(sliced, keys, ordinal, value, name, before).drop("_slice")
 
 
@@ -156,7 +147,7 @@ def carry_last(
     keys: list[str],
     ordinal: str,
     values: dict[str, Column],
-    width: int = SLICE_ROWS,
+    slices: int | None = None,
     hot: bool | None = None,
 ) -> DataFrame:
     """Latest non-null of each expression at or before the row, in order of the ordinal."""
@@ -165,7 +156,7 @@ def carry_last(
         out = df.withColumns(temp)
         last = {n: F.last(f"_v_{n}", ignorenulls=True).over(_up_to_here(keys, ordinal)) for n in values}
         return out.withColumns(last).drop(*temp)
-    sliced = slice_by_ordinal(df, keys, ordinal, width).withColumns(temp)
+    sliced = slice_by_value(df, keys, ordinal, ordinal, slices=slices).withColumns(temp)
     joined = _carried(
         sliced,
         keys,
@@ -190,14 +181,14 @@ def previous(
     keys: list[str],
     ordinal: str,
     values: dict[str, Column],
-    width: int = SLICE_ROWS,
+    slices: int | None = None,
     hot: bool | None = None,
 ) -> DataFrame:
     """Value of each expression on the row before, in order of the ordinal."""
     if not _measured(hot, df, keys):
         before = _order(keys, [F.col(ordinal)])
         return df.withColumns({n: F.lag(e).over(before) for n, e in values.items()})
-    return _sliced_previous(slice_by_ordinal(df, keys, ordinal, width), keys, ordinal, values).drop("_slice")
+    return _sliced_previous(slice_by_value(df, keys, ordinal, ordinal, slices=slices), keys, ordinal, values).drop("_slice")
 
 
 def _sliced_previous(sliced: DataFrame, keys: list[str], ordinal: str, values: dict[str, Column]) -> DataFrame:
@@ -220,7 +211,7 @@ def runs(
     same_as_before: Column,
     values: dict[str, Column],
     name: str = "run",
-    width: int = SLICE_ROWS,
+    slices: int | None = None,
     hot: bool | None = None,
 ) -> DataFrame:
     """Number the runs of a key: a row opens one unless ``same_as_before`` holds.
@@ -232,7 +223,7 @@ def runs(
         looked = previous(df, keys, ordinal, values, hot=False)
         return running_sum(looked, keys, ordinal, opens, name, hot=False).drop(*values)
     # sliced once: both scans and their joins share one partitioning
-    looked = _sliced_previous(slice_by_ordinal(df, keys, ordinal, width), keys, ordinal, values)
+    looked = _sliced_previous(slice_by_value(df, keys, ordinal, ordinal, slices=slices), keys, ordinal, values)
     return _sliced_sum(looked, keys, ordinal, opens, name).drop("_slice", *values)
 
 

@@ -54,7 +54,7 @@ VIEWS: dict[str, str] = {
                     WHEN 'AO' THEN 'COMMUNITY_PROGRAM' WHEN 'NF' THEN 'BUSINESS_VIABILITY'
                     WHEN 'NO' THEN 'FLOOR_PLAN' WHEN 'RF' THEN 'SKETCH' ELSE 'COVER' END AS type,
                l_discount * 10 AS confidence,
-               l_partkey * 100000 + l_suppkey AS ord,
+               (l_partkey * 100000 + l_suppkey) * 10 + l_linenumber AS ord,
                CAST(l_quantity AS INT) AS quantity
         FROM lineitem""",
     "quant": """
@@ -118,7 +118,7 @@ VIEWS: dict[str, str] = {
         FROM documents {explode_lines:text:p:line}""",
     # scoring categories of an order, one page per ship year parity
     "categories": """
-        SELECT l_orderkey AS doc_id, CAST(l_suppkey % 2 AS INT) + 1 AS page, l_partkey * 100000 + l_suppkey AS ord,
+        SELECT l_orderkey AS doc_id, CAST(l_suppkey % 2 AS INT) + 1 AS page, (l_partkey * 100000 + l_suppkey) * 10 + l_linenumber AS ord,
                CASE WHEN l_linenumber = 7 THEN '' ELSE l_returnflag || l_linestatus || '계획' END AS name,
                CASE WHEN l_linenumber = 3 THEN NULL ELSE l_quantity END AS points,
                CASE WHEN l_discount > 0.08 THEN '공유' ELSE '' END AS shared,
@@ -126,7 +126,7 @@ VIEWS: dict[str, str] = {
         FROM lineitem""",
     # area rows of an order: site headings, facilities, spaces
     "area_rows": """
-        SELECT l_orderkey AS doc_id, l_partkey * 100000 + l_suppkey AS ord,
+        SELECT l_orderkey AS doc_id, (l_partkey * 100000 + l_suppkey) * 10 + l_linenumber AS ord,
                CASE WHEN l_orderkey % 2 = 0 AND l_linenumber <= 2 THEN 'site_total'
                     WHEN l_linenumber <= 5 THEN 'facility' ELSE 'space' END AS row_type,
                CASE WHEN l_orderkey % 2 = 0 AND l_linenumber = 1 THEN '부지' || CAST(l_suppkey AS STRING)
@@ -292,3 +292,8 @@ class Tables:
 def r4(expr: str) -> str:
     """Oracle side of ``plans.registry.r4``."""
     return f"CAST(CAST({expr} AS DECIMAL(18,4)) AS DOUBLE)"
+
+
+def r8(expr: str) -> str:
+    """Oracle side of ``plans.registry.r8``."""
+    return f"CAST(CAST({expr} AS DECIMAL(18,8)) AS DOUBLE)"

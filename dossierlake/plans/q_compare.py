@@ -54,7 +54,7 @@ def gap_analysis(t: Tables):
 
 
 PLANS = """
-plans AS (SELECT s.competition_id, s.company, l.l_partkey * 100000 + l.l_suppkey AS ord,
+plans AS (SELECT s.competition_id, s.company, (l.l_partkey * 100000 + l.l_suppkey) * 10 + l.l_linenumber AS ord,
     CASE l.l_linenumber WHEN 1 THEN 'b' || CAST(l.l_suppkey % 4 + 1 AS STRING) WHEN 2 THEN CAST(l.l_suppkey % 30 AS STRING) || ' f' WHEN 3 THEN '옥상'
       WHEN 4 THEN '지하 ' || CAST(l.l_suppkey % 3 + 1 AS STRING) WHEN 5 THEN '지상 ' || CAST(l.l_suppkey % 5 + 1 AS STRING) ELSE '미상' END AS floor_level,
     CASE l.l_returnflag WHEN 'A' THEN ' 주차장' WHEN 'N' THEN '주민 도서관' ELSE CASE WHEN l.l_linestatus = 'F' THEN 'unit plan' ELSE '회의실' END END AS programme
@@ -155,7 +155,7 @@ def comparison_excerpts(t: Tables):
 
 
 ZONES = """
-zones AS (SELECT l_orderkey AS doc_id, l_linenumber AS alt, l_partkey * 100000 + l_suppkey AS ord, 'z' || CAST(l_suppkey % 4 AS STRING) AS program,
+zones AS (SELECT l_orderkey AS doc_id, l_linenumber AS alt, (l_partkey * 100000 + l_suppkey) * 10 + l_linenumber AS ord, 'z' || CAST(l_suppkey % 4 AS STRING) AS program,
     'p' || CAST(l_partkey % 5 AS STRING) AS plan, 'l' || l_returnflag AS level, l_discount > 0.07 AS required FROM lineitem)"""
 
 

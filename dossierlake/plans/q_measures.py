@@ -6,7 +6,8 @@ from dossierlake import fixed
 from dossierlake.operators import audit, measures, patterns
 from dossierlake.plans.adapters import Tables
 from dossierlake.plans.adapters import r4 as R4
-from dossierlake.plans.registry import query, r4
+from dossierlake.plans.adapters import r8 as R8
+from dossierlake.plans.registry import query, r4, r8
 
 # the consistency rules once more, as SQL over the view ``quant``
 FLAGS = """
@@ -133,12 +134,12 @@ def page_share(t: Tables):
 
 @query(
     "page_stats", "page_counts",
-    PAGES + f" SELECT facility_type, cohort, key, {R4('mean')} AS mean, {R4('std')} AS std, n FROM pstats",
+    PAGES + f" SELECT facility_type, cohort, key, {R8('mean')} AS mean, {R8('std')} AS std, n FROM pstats",
 )
 def page_stats(t: Tables):
     keys = ["facility_type", "cohort"]
     stats = patterns.page_stats(t.view("page_counts"), keys)
-    return stats.select(*keys, "key", r4("mean").alias("mean"), r4("std").alias("std"), "n")
+    return stats.select(*keys, "key", r8("mean").alias("mean"), r8("std").alias("std"), "n")
 
 
 @query(
@@ -152,16 +153,18 @@ def page_stats(t: Tables):
       UNION ALL SELECT facility_type, cohort, 'quantitative', field, mean, std, n, NULL FROM stats
       UNION ALL SELECT facility_type, cohort, 'concept_keywords', keyword, NULL, NULL, occurrences, freq FROM freqs WHERE rank <= 20
       UNION ALL SELECT facility_type, cohort, 'mass_types', mass_type, NULL, NULL, occurrences, freq FROM masses)
-    SELECT facility_type, cohort, family, key, {R4('mean')} AS mean, {R4('std')} AS std, n, {R4('freq')} AS freq
+    SELECT facility_type, cohort, family, key, CASE WHEN family = 'quantitative' THEN {R4('mean')} ELSE {R8('mean')} END AS mean,
+      CASE WHEN family = 'quantitative' THEN {R4('std')} ELSE {R8('std')} END AS std, n, freq
     FROM pattern WHERE facility_type IN (SELECT facility_type FROM sizes WHERE cohort = 'win')""",
 )
 def facility_pattern(t: Tables):
     out = patterns.facility_pattern(
         t.view("subs"), t.view("page_counts"), t.view("quant"), t.view("keywords"), t.view("mass_types")
     )
+    large = F.col("family") == "quantitative"
+    shown = {c: F.when(large, r4(c)).otherwise(r8(F.when(~large, F.col(c)))) for c in ("mean", "std")}
     return out.select(
-        "facility_type", "cohort", "family", "key", r4("mean").alias("mean"), r4("std").alias("std"),
-        "n", r4("freq").alias("freq"),
+        "facility_type", "cohort", "family", "key", *[e.alias(c) for c, e in shown.items()], "n", "freq"
     )
 
 
@@ -182,17 +185,17 @@ def selected_pattern(t: Tables):
 
 @query(
     "keyword_freq", "subs keywords",
-    FREQ + f" SELECT facility_type, cohort, keyword, occurrences, {R4('freq')} AS freq FROM freqs WHERE rank <= 20",
+    FREQ + f" SELECT facility_type, cohort, keyword, occurrences, freq FROM freqs WHERE rank <= 20",
 )
 def keyword_freq(t: Tables):
     keys = ["facility_type", "cohort"]
     freqs = patterns.term_frequency(t.view("keywords"), patterns.cohort_sizes(t.view("subs")), keys, "keyword", 20)
-    return freqs.select(*keys, "keyword", "occurrences", r4("freq").alias("freq"))
+    return freqs.select(*keys, "keyword", "occurrences", "freq")
 
 
 @query(
     "keyword_lift", "subs keywords",
-    FREQ + f""" SELECT w.facility_type, w.keyword, {R4('w.freq')} AS win_freq, {R4('coalesce(l.freq, 0)')} AS lose_freq,
+    FREQ + f""" SELECT w.facility_type, w.keyword, w.freq AS win_freq, coalesce(l.freq, 0) AS lose_freq,
       CASE WHEN w.freq - coalesce(l.freq, 0) > 0.2E0 THEN 'positive' WHEN w.freq - coalesce(l.freq, 0) < -0.2E0 THEN 'negative'
            ELSE 'neutral' END AS lift
       FROM freqs w LEFT JOIN freqs l ON l.facility_type = w.facility_type AND l.keyword = w.keyword AND l.cohort = 'lose'
@@ -202,7 +205,7 @@ def keyword_lift(t: Tables):
     keys = ["facility_type", "cohort"]
     freqs = patterns.term_frequency(t.view("keywords"), patterns.cohort_sizes(t.view("subs")), keys, "keyword")
     lift = patterns.keyword_lift(freqs, ["facility_type"])
-    return lift.select("facility_type", "keyword", r4("win_freq").alias("win_freq"), r4("lose_freq").alias("lose_freq"), "lift")
+    return lift.select("facility_type", "keyword", "win_freq", "lose_freq", "lift")
 
 
 @query(
@@ -212,14 +215,14 @@ def keyword_lift(t: Tables):
              w.mean AS win_mean, l.mean AS lose_mean
       FROM (SELECT * FROM pstats WHERE cohort = 'win') w
       FULL JOIN (SELECT * FROM pstats WHERE cohort = 'lose') l ON w.facility_type = l.facility_type AND w.key = l.key)
-    SELECT facility_type, key, {R4('win_mean')} AS win_mean, {R4('lose_mean')} AS lose_mean,
-      {R4('greatest(max(coalesce(win_mean, 0)) OVER (PARTITION BY facility_type), max(coalesce(lose_mean, 0)) OVER (PARTITION BY facility_type), 0.1E0)')} AS scale
+    SELECT facility_type, key, {R8('win_mean')} AS win_mean, {R8('lose_mean')} AS lose_mean,
+      {R8('greatest(max(coalesce(win_mean, 0)) OVER (PARTITION BY facility_type), max(coalesce(lose_mean, 0)) OVER (PARTITION BY facility_type), 0.1E0)')} AS scale
     FROM both_sides""",
 )
 def cohort_compare(t: Tables):
     table = patterns.cohort_table(patterns.page_stats(t.view("page_counts"), ["facility_type", "cohort"]), ["facility_type"])
     return table.select(
-        "facility_type", "key", r4("win_mean").alias("win_mean"), r4("lose_mean").alias("lose_mean"), r4("scale").alias("scale")
+        "facility_type", "key", r8("win_mean").alias("win_mean"), r8("lose_mean").alias("lose_mean"), r8("scale").alias("scale")
     )
 
 

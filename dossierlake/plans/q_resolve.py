@@ -12,7 +12,7 @@ from dossierlake.sources import readers, upserts
 
 def _stated(t: Tables):
     """Measures stated by four kinds of pages of an order."""
-    base = t.sql("SELECT l_orderkey AS doc_id, l_partkey * 100000 + l_suppkey AS ordinal, * FROM lineitem")
+    base = t.sql("SELECT l_orderkey AS doc_id, (l_partkey * 100000 + l_suppkey) * 10 + l_linenumber AS ordinal, * FROM lineitem")
     areas = base.filter("l_linenumber = 1").select(
         "doc_id", "ordinal", F.col("l_quantity").alias("site_area_sqm"),
         F.expr("CASE WHEN l_discount > 0.05 THEN l_extendedprice END").alias("building_area_sqm"),
@@ -40,7 +40,7 @@ def _stated(t: Tables):
 
 
 STATED = """
-base AS (SELECT l_orderkey AS doc_id, l_partkey * 100000 + l_suppkey AS ordinal, * FROM lineitem),
+base AS (SELECT l_orderkey AS doc_id, (l_partkey * 100000 + l_suppkey) * 10 + l_linenumber AS ordinal, * FROM lineitem),
 stated AS (
   SELECT doc_id, 'site_area_sqm' AS field, l_quantity AS value, 0 AS rank, ordinal FROM base WHERE l_linenumber = 1
   UNION ALL SELECT doc_id, 'building_area_sqm', l_extendedprice, 0, ordinal FROM base WHERE l_linenumber = 1 AND l_discount > 0.05E0
@@ -146,15 +146,15 @@ def ordered_union(t: Tables):
 
 @query(
     "row_supplement", "",
-    """WITH p AS (SELECT l_orderkey AS doc_id, l_linenumber AS block, l_returnflag AS label, l_partkey * 100000 + l_suppkey AS ord, l_quantity AS v, 0 AS rank
+    """WITH p AS (SELECT l_orderkey AS doc_id, l_linenumber AS block, l_returnflag AS label, (l_partkey * 100000 + l_suppkey) * 10 + l_linenumber AS ord, l_quantity AS v, 0 AS rank
         FROM lineitem WHERE l_linestatus = 'O'
-        UNION ALL SELECT l_orderkey, l_linenumber, l_returnflag, l_partkey * 100000 + l_suppkey, l_quantity, 1 FROM lineitem WHERE l_linestatus = 'F')
+        UNION ALL SELECT l_orderkey, l_linenumber, l_returnflag, (l_partkey * 100000 + l_suppkey) * 10 + l_linenumber, l_quantity, 1 FROM lineitem WHERE l_linestatus = 'F')
     SELECT doc_id, block, label, v, source_rank FROM (SELECT *, rank AS source_rank,
       row_number() OVER (PARTITION BY doc_id, block, label ORDER BY rank, ord) AS r FROM p) WHERE r = 1""",
 )
 def row_supplement(t: Tables):
     rows = t.sql(
-        """SELECT l_orderkey AS doc_id, l_linenumber AS block, l_returnflag AS label, l_partkey * 100000 + l_suppkey AS ord,
+        """SELECT l_orderkey AS doc_id, l_linenumber AS block, l_returnflag AS label, (l_partkey * 100000 + l_suppkey) * 10 + l_linenumber AS ord,
            l_quantity AS v, l_linestatus FROM lineitem"""
     )
     split = {s: rows.filter(F.col("l_linestatus") == s).drop("l_linestatus") for s in ("O", "F")}

@@ -195,7 +195,7 @@ def limit_mismatch(t: Tables):
 
 
 EVAL_TEXT = """
-texts AS (SELECT s.doc_id, s.facility_type, l.l_partkey * 100000 + l.l_suppkey AS ord,
+texts AS (SELECT s.doc_id, s.facility_type, (l.l_partkey * 100000 + l.l_suppkey) * 10 + l.l_linenumber AS ord,
     CASE l.l_linenumber WHEN 1 THEN '본 연구원의 특성 병원' WHEN 2 THEN '학교와 호텔의 연계' WHEN 3 THEN '공장 배치' WHEN 4 THEN '청사 상징성' ELSE '공간 계획' END || CAST(l.l_suppkey AS STRING) AS text
   FROM subs s JOIN lineitem l ON l.l_orderkey = s.doc_id)"""
 _HIT = """CASE

@@ -241,7 +241,7 @@ def site_envelopes(t: Tables):
 
 # a parcel corner per supplier line: longitude and latitude from its numbers
 CORNERS = """
-corners AS (SELECT l_orderkey AS doc_id, l_partkey * 100000 + l_suppkey AS ord, 126.5E0 + (l_partkey % 1000) / 1000.0E0 AS lng, 37.0E0 + (l_suppkey % 1000) / 1000.0E0 AS lat FROM lineitem)"""
+corners AS (SELECT l_orderkey AS doc_id, (l_partkey * 100000 + l_suppkey) * 10 + l_linenumber AS ord, 126.5E0 + (l_partkey % 1000) / 1000.0E0 AS lng, 37.0E0 + (l_suppkey % 1000) / 1000.0E0 AS lat FROM lineitem)"""
 MX = "lng * 20037508.342789244E0 / 180.0E0"
 MY = "ln(tan(radians(lat)) + 1.0E0 / cos(radians(lat))) * 20037508.342789244E0 / pi()"
 

@@ -34,3 +34,8 @@ def query(name: str, uses: str = "", sql: str | None = None):
 def r4(c) -> Column:
     """Four decimals as a double, so that two engines agree on the last bit."""
     return col(c).cast("decimal(18,4)").cast("double")
+
+
+def r8(c) -> Column:
+    """Eight decimals, for averages of small numbers, where four would meet ties."""
+    return col(c).cast("decimal(18,8)").cast("double")

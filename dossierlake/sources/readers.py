@@ -16,25 +16,90 @@ def scan_records(
 ) -> DataFrame:
     """One row per file: path, name, facility and competition from the path, the record as
     VARIANT (NULL when the text is no JSON) and the raw text of unreadable files."""
-    raw = (
-        spark.read.option("wholetext", "true")
-        .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", str(recursive).lower())
-        .text(root)
-        .select(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_name").alias("file_name"),
-            F.col("_metadata.file_size").alias("file_size"),
-            "value",
+    if pattern.startswith("_"):
+        raw = _read_underscored(_walk(spark, root, pattern))
+    else:
+        raw = (
+            spark.read.option("wholetext", "true")
+            .option("pathGlobFilter", pattern)
+            .option("recursiveFileLookup", str(recursive).lower())
+            .text(root)
+            .select(
+                F.col("_metadata.file_path").alias("path"),
+                F.col("_metadata.file_size").alias("file_size"),
+                "value",
+            )
         )
-    )
     record = F.try_parse_json("value")
     return raw.select(
-        "path", "file_name", "file_size", *path_keys("path"), record.alias("record"),
+        "path", F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), "file_size",
+        *path_keys("path"), record.alias("record"),
         F.when(record.isNull(), F.col("value")).alias("corrupt"),
     )
 
 
+def _walk(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """Files of a facility/competition tree by name, found by tasks.
+
+    Spark's file sources skip names that start with an underscore, so these are listed
+    through Arrow file systems: the facility folders (a fixed, small number) by the driver,
+    the competition folders and their files by tasks.
+    """
+    from pyarrow import fs
+
+    uri = root if "://" in root else "file://" + root
+    system, base = fs.FileSystem.from_uri(uri)
+    prefix = uri[: len(uri) - len(base)] if uri.endswith(base) else ""
+    facilities = [
+        (prefix + f.path,) for f in system.get_file_info(fs.FileSelector(base)) if f.type == fs.FileType.Directory
+    ]
+    folders = spark.createDataFrame(facilities, "path string").repartition(max(1, len(facilities)))
+    competitions = folders.mapInPandas(_list_folder(None), "path string, length bigint")
+    spread = competitions.select("path").repartition("path")
+    return spread.mapInPandas(_list_folder(pattern), "path string, length bigint")
+
+
+def _list_folder(pattern: str | None):
+    """Sub-folders (no pattern) or matching files of every folder in a batch."""
+
+    def run(batches):
+        from fnmatch import fnmatch
+
+        import pandas as pd
+        from pyarrow import fs
+
+        for frame in batches:
+            for uri in frame["path"]:
+                system, base = fs.FileSystem.from_uri(uri)
+                prefix = uri[: len(uri) - len(base)]
+                wanted = fs.FileType.File if pattern else fs.FileType.Directory
+                found = [
+                    (prefix + f.path, f.size or 0)
+                    for f in system.get_file_info(fs.FileSelector(base))
+                    if f.type == wanted and (pattern is None or fnmatch(f.base_name, pattern))
+                ]
+                yield pd.DataFrame(found, columns=["path", "length"]).astype({"path": "object", "length": "int64"})
+
+    return run
+
+
+def _read_underscored(files: DataFrame) -> DataFrame:
+    """Whole text of every listed file, one at a time."""
+
+    def run(batches):
+        import pandas as pd
+        from pyarrow import fs
+
+        for frame in batches:
+            for uri, size in zip(frame["path"], frame["length"]):
+                system, path = fs.FileSystem.from_uri(uri)
+                with system.open_input_file(path) as f:
+                    text = f.read().decode("utf-8", errors="replace")
+                yield pd.DataFrame({"path": [uri], "file_size": [size], "value": [text]})
+
+    return files.mapInPandas(run, "path string, file_size bigint, value string")
+
+
 def path_keys(path: str) -> list[Column]:
     """facility_type and competition_id of .../{facility}/{competition}[/submissions]/{file}."""
     stem = F.regexp_replace(F.col(path), r"/submissions/[^/]+$|/[^/]+$", "")
@@ -56,6 +121,8 @@ def quarantine(records: DataFrame) -> DataFrame:
 
 def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """Paths only; file contents are not read."""
+    if pattern.startswith("_"):
+        return _walk(spark, root, pattern)
     return (
         spark.read.format("binaryFile").option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", "true").load(root).select("path", "length")

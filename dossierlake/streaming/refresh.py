@@ -45,33 +45,31 @@ def refresh_partitions(
     """foreachBatch body: merge the batch into the silver table, then rebuild the target for
     the affected facilities only.
 
-    The set of facilities is small and of fixed domain; it prunes the partitions that are
-    read. A facility left without rows keeps an empty partition of the silver table, and its
-    target rows are removed by the same rewrite.
+    Facility types are a small fixed domain, so their names may reach the driver. A facility
+    left without rows loses its partitions.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
         current = spark.read.parquet(silver)
-        touched = affected(current, batch, key)
-        scope = current.join(touched, "facility_type", "left_semi")
-        merged = apply_changes(scope, batch, key)
+        # at most one name per facility type: literals that prune the partitions to read
+        names = [r[0] for r in affected(current, batch, key).collect()]
+        scope = current.filter(F.col("facility_type").isin(names))
         staged = f"{silver}__staged"
         # written first: the merge reads the partitions it is about to replace
-        merged.write.mode("overwrite").partitionBy("facility_type").parquet(staged)
+        apply_changes(scope, batch, key).write.mode("overwrite").partitionBy("facility_type").parquet(staged)
         fresh = spark.read.schema(current.schema).parquet(staged)
-        emptied = touched.join(fresh.select("facility_type").distinct(), "facility_type", "left_anti")
+        kept = {r[0] for r in fresh.select("facility_type").distinct().collect()}
         write_partitions(fresh, silver)
         write_partitions(build(fresh), target)
-        _drop_partitions(spark, emptied, [silver, target])
+        _drop_partitions(spark, [n for n in names if n not in kept], [silver, target])
 
     return run
 
 
-def _drop_partitions(spark: SparkSession, facilities: DataFrame, paths: list[str]) -> None:
+def _drop_partitions(spark: SparkSession, names: list[str], paths: list[str]) -> None:
     """Remove the partitions of facilities that no longer have rows (at most one per type)."""
-    names = [r[0] for r in facilities.select("facility_type").collect()]
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for name in names:

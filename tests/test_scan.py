@@ -33,19 +33,19 @@ def test_positions(rows, descending):
 @pytest.mark.parametrize("before", [False, True])
 def test_running_sum(rows, before):
     args = (["k"], "o", F.col("v"), "s", before)
-    _same(scan.running_sum(rows, *args, width=64, hot=True), scan.running_sum(rows, *args, hot=False))
+    _same(scan.running_sum(rows, *args, slices=8, hot=True), scan.running_sum(rows, *args, hot=False))
 
 
 def test_carry_and_previous(rows):
     e = {"c": F.when(F.col("v") == 2, F.col("o")), "d": F.when(F.col("v") == 3, F.col("v"))}
-    _same(scan.carry_last(rows, ["k"], "o", e, width=64, hot=True), scan.carry_last(rows, ["k"], "o", e, hot=False))
+    _same(scan.carry_last(rows, ["k"], "o", e, slices=8, hot=True), scan.carry_last(rows, ["k"], "o", e, hot=False))
     p = {"pv": F.col("v"), "po": F.col("o")}
-    _same(scan.previous(rows, ["k"], "o", p, width=64, hot=True), scan.previous(rows, ["k"], "o", p, hot=False))
+    _same(scan.previous(rows, ["k"], "o", p, slices=8, hot=True), scan.previous(rows, ["k"], "o", p, hot=False))
 
 
 def test_runs_and_group_any(rows):
     args = (["k"], "o", F.col("pv") == F.col("v"), {"pv": F.col("v")})
-    _same(scan.runs(rows, *args, width=64, hot=True), scan.runs(rows, *args, hot=False))
+    _same(scan.runs(rows, *args, slices=8, hot=True), scan.runs(rows, *args, hot=False))
     cond = F.col("v") == 8
     _same(scan.group_any(rows, ["k"], cond, "f", hot=True), scan.group_any(rows, ["k"], cond, "f", hot=False))
 
