@@ -109,9 +109,8 @@ def band_thresholds(t: Tables):
     return scoring.band_thresholds(scoring.method_bands(notes, ["doc_id"]), ["doc_id"])
 
 
-@query(
-    "scoring_table", "table_lines",
-    """b AS (SELECT l.doc_id, r, n, l_returnflag || '계획' || CAST(r AS VARCHAR) AS nm, CAST(CAST(l_quantity AS BIGINT) AS DOUBLE) AS q,
+SCORED = """
+b AS (SELECT l.doc_id, r, n, l_returnflag || '계획' || CAST(r AS VARCHAR) AS nm, CAST(CAST(l_quantity AS BIGINT) AS DOUBLE) AS q,
         l.doc_id % 2 = 0 AND n > 1 AND r <= 2 AS in_name, l.doc_id % 3 = 0 AND n > 2 AND r <= 2 AS in_points, r = n AND n > 3 AS total_row
       FROM table_lines l),
     f AS (SELECT doc_id, min(nm) FILTER (WHERE r = 1) AS nm1, min(q) FILTER (WHERE r = 1) AS q1 FROM b GROUP BY doc_id),
@@ -119,15 +118,23 @@ def band_thresholds(t: Tables):
       FROM b JOIN f USING (doc_id) WHERE in_points GROUP BY b.doc_id, nm1, q1),
     plain AS (SELECT b.doc_id, r AS row, CASE WHEN in_name THEN nm1 WHEN total_row THEN '합 계' ELSE nm END AS name,
         CASE WHEN total_row THEN 100 WHEN q <= 1 THEN q * 100 ELSE q END AS points, '' AS shared
-      FROM b JOIN f USING (doc_id) WHERE NOT in_points AND NOT (total_row AND in_name))
-    SELECT doc_id, row, name, points, shared, name = '합 계' AS is_subtotal FROM (SELECT * FROM merged UNION ALL SELECT * FROM plain)""",
-)
+      FROM b JOIN f USING (doc_id) WHERE NOT in_points AND NOT (total_row AND in_name)),
+scored AS (SELECT doc_id, row, name, points, shared, name = '합 계' AS is_subtotal FROM (SELECT * FROM merged UNION ALL SELECT * FROM plain))"""
+
+
+@query("scoring_table", "table_lines", SCORED + " SELECT * FROM scored")
 def scoring_table(t: Tables):
     rows = scoring.scoring_rows(t.view("scoring_cells"), ["doc_id"])
     return rows.select("doc_id", "row", "name", "points", F.array_join("shared_with", "|").alias("shared"), "is_subtotal")
 
 
-@query("scoring_totals")
+@query(
+    "scoring_totals", "table_lines",
+    SCORED + """ SELECT doc_id, count(*) FILTER (WHERE NOT is_subtotal) AS categories,
+      coalesce(arg_max(points, row) FILTER (WHERE is_subtotal AND points BETWEEN 95 AND 105),
+        CASE WHEN sum(points) FILTER (WHERE NOT is_subtotal) > 0 THEN sum(points) FILTER (WHERE NOT is_subtotal) END) AS total_points
+      FROM scored GROUP BY doc_id""",
+)
 def scoring_totals(t: Tables):
     return scoring.scoring_totals(scoring.scoring_rows(t.view("scoring_cells"), ["doc_id"]), ["doc_id"])
 
