@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from dossierlake.llm import decontamination, sharding, url_rules
+from dossierlake.llm import decontamination, fingerprints, packing, sharding, url_rules
 from dossierlake.llm.registry import query, table
 
 
@@ -61,6 +62,9 @@ def op3_sharding(spark, folder):
     )
 
 
+#: Vocabulary of the packed sequences.
+TOKENIZER = "word_bpe_49k.json"
+
 #: The contract's rules: verdict, host, path.
 URL_RULES = [
     ("allow", "org", "/"),
@@ -99,3 +103,15 @@ def op4_url_rules(spark, folder):
     rules = url_rules.path_rules(spark, URL_RULES).unionByName(url_rules.word_rules(spark))
     judged = url_rules.judge_urls(table(spark, folder, "pages"), rules)
     return judged.select("page_id", "host", "path", F.when(F.col("rank") == 1, F.col("rule")).alias("rule"), "verdict")
+
+
+@query("op5_packing")
+def op5_packing(spark, folder):
+    """Documents packed into sequences of at most 4096 tokens."""
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+@query("op2_fingerprints")
+def op2_fingerprints(spark, folder):
+    """Fingerprints of every text and of its edited form, and how near they are."""
+    return fingerprints.neighbour_fingerprints(table(spark, folder, "documents"))
