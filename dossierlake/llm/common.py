@@ -112,7 +112,7 @@ def class_counts(df: DataFrame, cls: str, sums: dict[str, str] | None = None) ->
 
 
 def ranked(df: DataFrame, cls: str, order: list[str], counts: dict[str, np.ndarray], base: np.ndarray | None = None,
-           extra: dict[str, tuple[str, np.ndarray]] | None = None, least: int = 20_000, out: str = "rank") -> DataFrame:
+           extra: dict[str, tuple[str, np.ndarray]] | None = None, least: int = 1_000, out: str = "rank") -> DataFrame:
     """Number the rows of every class of a bounded set of classes gaplessly, from ``base`` (0).
 
     ``counts`` is ``class_counts(df, cls)``. A class beyond four mean classes (at least ``least``
