@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from dossierlake.llm import decontamination, fingerprints, packing, sharding, url_rules
+from dossierlake.llm import decontamination, fingerprints, packing, sharding, similarity_join, url_rules
 from dossierlake.llm.registry import query, table
 
 
@@ -115,3 +115,10 @@ def op5_packing(spark, folder):
 def op2_fingerprints(spark, folder):
     """Fingerprints of every text and of its edited form, and how near they are."""
     return fingerprints.neighbour_fingerprints(table(spark, folder, "documents"))
+
+
+@query("op10_similarity_join")
+def op10_similarity_join(spark, folder):
+    """Components of documents whose 3-word shingle sets have a Jaccard index of 0.9 or more."""
+    linked = similarity_join.link_documents(table(spark, folder, "documents"), n=3, percent=90)
+    return linked.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", "n_links")
