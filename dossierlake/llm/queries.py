@@ -5,7 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from dossierlake.llm import decontamination, fingerprints, packing, sharding, similarity_join, url_rules
+from dossierlake.llm import (
+    common,
+    decontamination,
+    fingerprints,
+    packing,
+    quality,
+    sharding,
+    similarity_join,
+    toxicity,
+    url_rules,
+)
 from dossierlake.llm.registry import query, table
 
 
@@ -122,3 +132,28 @@ def op10_similarity_join(spark, folder):
     """Components of documents whose 3-word shingle sets have a Jaccard index of 0.9 or more."""
     linked = similarity_join.link_documents(table(spark, folder, "documents"), n=3, percent=90)
     return linked.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", "n_links")
+
+
+def _judged(scored, threshold: float):
+    return scored.select(
+        "doc_id",
+        (common.id_crc_bucket("doc_id") == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark, folder):
+    """Toxicity of every text, learned from the labels outside the held-out fold."""
+    docs = table(spark, folder, "documents")
+    model = toxicity.train(docs, table(spark, folder, "labels"))
+    return _judged(toxicity.score_documents(docs, model), 0.5)
+
+
+@query("op9_quality")
+def op9_quality(spark, folder):
+    """Quality of every text, learned from the labels outside the held-out fold."""
+    docs = table(spark, folder, "documents")
+    model = quality.train(docs, table(spark, folder, "labels"))
+    return _judged(quality.score_documents(docs, model), 0.3)
