@@ -10,6 +10,7 @@ from dossierlake.llm import (
     decontamination,
     fingerprints,
     packing,
+    page_text,
     quality,
     sharding,
     similarity_join,
@@ -157,3 +158,10 @@ def op9_quality(spark, folder):
     docs = table(spark, folder, "documents")
     model = quality.train(docs, table(spark, folder, "labels"))
     return _judged(quality.score_documents(docs, model), 0.3)
+
+
+@query("op8_page_text")
+def op8_page_text(spark, folder):
+    """Main text of every page, blocks labelled by a network trained on a sample of the pages."""
+    pages = table(spark, folder, "pages")
+    return page_text.extract_main_text(pages, page_text.train(pages))
