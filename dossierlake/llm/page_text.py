@@ -319,10 +319,10 @@ def main_texts(model: BlockLabeller, pages: list[str | None], padded: int = 40_0
     return out
 
 
-def train(pages: DataFrame, html_col: str = "html", most: int = SAMPLE_PAGES, most_bytes: int = SAMPLE_BYTES) -> BlockLabeller:
-    """Fit on ``most`` pages of at most ``most_bytes`` bytes, those whose content hashes lowest."""
+def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most: int = SAMPLE_PAGES, most_bytes: int = SAMPLE_BYTES) -> BlockLabeller:
+    """Fit on ``most`` pages of at most ``most_bytes`` bytes, those whose id hashes lowest."""
     size = F.octet_length(html_col)
-    sample = pages.where(size.between(1, most_bytes)).select(F.col(html_col).alias("html")).orderBy(F.xxhash64("html"), "html").limit(most)
+    sample = pages.where(size.between(1, most_bytes)).select(F.col(html_col).alias("html")).orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(most)
     return fit([r.html for r in sample.collect()])
 
 

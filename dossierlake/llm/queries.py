@@ -11,6 +11,7 @@ from dossierlake.llm import (
     fingerprints,
     packing,
     page_text,
+    private_data,
     quality,
     sharding,
     similarity_join,
@@ -165,3 +166,30 @@ def op8_page_text(spark, folder):
     """Main text of every page, blocks labelled by a network trained on a sample of the pages."""
     pages = table(spark, folder, "pages")
     return page_text.extract_main_text(pages, page_text.train(pages))
+
+
+def _listed(spans):
+    """kind:start:end, by kind and start, comma-joined, of flat triples."""
+    triple = lambda i: F.struct(*[F.get(spans, (3 * i + j).cast("int")).alias(n) for j, n in enumerate(("kind", "start", "end"))])
+    count = (F.size(spans) / 3).cast("int")
+    triples = F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), triple))
+    names = F.array(*[F.lit(k) for k in private_data.KINDS])
+    text = F.transform(
+        F.array_sort(triples), lambda s: F.concat_ws(":", F.get(names, s["kind"].cast("int")), s["start"].cast("string"), s["end"].cast("string"))
+    )
+    return F.coalesce(F.array_join(text, ","), F.lit(""))
+
+
+@query("op7_private_data")
+def op7_private_data(spark, folder):
+    """Spans of personal data: the fixed patterns, and what a skip-chain field adds to them."""
+    docs = table(spark, folder, "documents")
+    found = private_data.find_private_data(docs, private_data.train(docs))
+    kinds = F.filter("base", lambda x, i: i % 3 == 0)
+    counts = [F.size(F.filter(kinds, lambda x, k=k: x == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(private_data.KINDS)]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(_listed("base"), 256).alias("base_sha256"),
+        _listed(F.concat("base", "added")).alias("spans"),
+    )
