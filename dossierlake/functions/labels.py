@@ -43,13 +43,13 @@ def grade_label(c) -> Column:
 
 
 def floor_order(c) -> Column:
-    """ROOF 10000, basement n -> -n, storey n -> n (1..200), NULL when unreadable."""
+    """ROOF 10000, basement n -> -n, storey n -> n, NULL when unreadable."""
     s = F.upper(F.trim(col(c)))
     below = F.regexp_extract(s, r"(?:B\s*|지하\s*)(\d+)", 1).try_cast("int")
     storey = F.regexp_extract(s, r"(\d+\s*[F층]|지상\s*\d+)", 1)
     above = F.regexp_extract(storey, r"(\d+)", 1).try_cast("int")
     roof = s.rlike(r"ROOF|옥상|PENTHOUSE|^PH\d?$")
-    return F.coalesce(F.when(roof, F.lit(10000)), -below, F.when(above.between(1, 200), above))
+    return F.coalesce(F.when(roof, F.lit(10000)), -below, F.when(above > 0, above))
 
 
 def floor_label(order) -> Column:

@@ -134,10 +134,12 @@ def leaf(c, sep: str = ">") -> Column:
     return F.trim(F.element_at(parts, -1))
 
 
-def cell_text(c, limit: int = 60) -> Column:
-    """Cell as one line: line breaks become blanks, pipes are escaped, long text is cut."""
+def cell_text(c, limit: int | None = None) -> Column:
+    """Cell as one line: line breaks become blanks, pipes are escaped; cut to ``limit`` if one is given."""
     t = F.trim(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"\s*\n+\s*", " "))
     t = F.replace(t, F.lit("|"), F.lit("&#124;"))
+    if limit is None:
+        return t
     return F.when(F.length(t) > limit, F.concat(F.substring(t, 1, limit - 1), F.lit("…"))).otherwise(t)
 
 

@@ -11,7 +11,6 @@ from dossierlake.functions.text import blank_to_null
 from dossierlake.operators import scan
 
 CLOSE_SHARE = 0.995
-MAX_BLOCKS = 14
 _CLOSED = -1
 
 
@@ -99,9 +98,9 @@ def facility_totals(rows: DataFrame, doc: list[str], ordinal: str = "ord", hot:
     return _facility_blocks(_owned(rows, doc, ordinal, hot), doc, ordinal)
 
 
-def programme_blocks(rows: DataFrame, doc: list[str], ordinal: str = "ord", hot: bool | None = None) -> DataFrame:
-    """Blocks (name, area) of every document: no subtotals, equal names merged, the smallest
-    collected in one block when there are more than fourteen."""
+def programme_blocks(rows: DataFrame, doc: list[str], ordinal: str = "ord", hot: bool | None = None, most: int | None = None) -> DataFrame:
+    """Blocks (name, area) of every document with at least two: no subtotals, equal names merged.
+    With ``most``, the smallest are collected in one block where there are more than that."""
     hot = scan.is_hot(rows, doc) if hot is None else hot
     owned = _owned(rows, doc, ordinal, hot)
     raw = (
@@ -115,17 +114,20 @@ def programme_blocks(rows: DataFrame, doc: list[str], ordinal: str = "ord", hot:
         F.count(F.lit(1)).alias("_n"), F.sum("area").alias("total")
     ).filter(F.col("_n") >= 2)
     order = Window.partitionBy(*doc).orderBy(F.desc("area"), "place")
-    top = merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= MAX_BLOCKS)
-    shown = top.join(totals, doc).filter((F.col("_n") <= MAX_BLOCKS) | (F.col("rank") < MAX_BLOCKS))
-    kept_sum = F.sum("area").over(Window.partitionBy(*doc))  # at most fourteen rows per document
+    ranked = merged.withColumn("rank", F.row_number().over(order))
+    if most is None:
+        return ranked.join(totals, doc).select(*doc, "name", "area", "rank", "total")
+    top = ranked.filter(F.col("rank") <= most)
+    shown = top.join(totals, doc).filter((F.col("_n") <= most) | (F.col("rank") < most))
+    kept_sum = F.sum("area").over(Window.partitionBy(*doc))  # at most ``most`` rows per document
     summed = shown.withColumn("_kept", kept_sum)
     block = F.struct("name", "area", "rank")
     rest = F.struct(
-        F.concat(F.lit("기타 "), F.col("_n") - (MAX_BLOCKS - 1), F.lit("개")).alias("name"),
+        F.concat(F.lit("기타 "), F.col("_n") - (most - 1), F.lit("개")).alias("name"),
         (F.col("total") - F.col("_kept")).alias("area"),
-        F.lit(MAX_BLOCKS).alias("rank"),
+        F.lit(most).alias("rank"),
     )
-    is_last = (F.col("_n") > MAX_BLOCKS) & (F.col("rank") == MAX_BLOCKS - 1)
+    is_last = (F.col("_n") > most) & (F.col("rank") == most - 1)
     emitted = F.when(is_last, F.array(block, rest)).otherwise(F.array(block))
     return summed.select(*doc, "total", F.inline(emitted)).select(*doc, "name", "area", "rank", "total")
 

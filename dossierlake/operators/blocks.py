@@ -254,49 +254,50 @@ def html_cells(pages: DataFrame, keys: list[str], html: str = "html") -> DataFra
     return cells.select(*keys, "table_no", "row", "seq", T.squeeze(text).alias("text"), span("rowspan"), span("colspan"))
 
 
-_GRID = "array<struct<row:int,col:int,text:string,rowspan:int>>"
-
-
-def _place_cells(cells) -> list[dict]:
-    """Put the cells of one table on a grid. Spans from above push cells to the right."""
-    by_row: dict[int, list] = {}
-    for c in cells:
-        by_row.setdefault(int(c["row"]), []).append(c)
-    out, waiting = [], {}
-    for r in range(max(by_row, default=-1) + 1):
-        queue = [c for c in sorted(by_row.get(r, []), key=lambda c: c["seq"] if c["seq"] is not None else -1) if c["seq"] is not None]
-        col = 0
-        while queue or col in waiting:
-            if col in waiting:
-                out.append({"row": r, "col": col, "text": "", "rowspan": 1})
-                waiting[col] -= 1
-                if waiting[col] <= 0:
-                    del waiting[col]
-                col += 1
-                continue
-            c = queue.pop(0)
-            for _ in range(int(c["colspan"])):
-                out.append({"row": r, "col": col, "text": c["text"], "rowspan": int(c["rowspan"])})
-                if int(c["rowspan"]) > 1:
-                    waiting[col] = int(c["rowspan"]) - 1
-                col += 1
-    return out
+# widest column span of the HTML standard
+MAX_COLSPAN = 1000
 
 
 def cell_grid(cells: DataFrame, table: list[str]) -> DataFrame:
-    """Dense grid of every table: repeated across a column span, blank below a row span.
+    """Dense grid of every table: a cell repeats across its column span and is blank below, along
+    its row span; the cells of a row take the columns that spans from above leave free.
 
-    The cells of one table come from one page, so an array per table is bounded by it.
+    The rows of a table are folded in the JVM; what a row hands on is the columns still spanned.
+    Column spans count up to ``MAX_COLSPAN``. A row without cells shows only spans from above. The
+    cells of one table come from one page, so an array per table is bounded by it.
     """
+    own = F.when(F.col("seq").isNotNull(), F.struct("seq", "text", "rowspan", F.least("colspan", F.lit(MAX_COLSPAN)).alias("colspan")))
+    by_row = cells.groupBy(*table, F.col("row").cast("int").alias("row")).agg(F.array_sort(F.collect_list(own)).alias("_own"))
+    packed = by_row.groupBy(*table).agg(
+        F.map_from_entries(F.collect_list(F.struct("row", "_own"))).alias("_rows"), F.max("row").alias("_last")
+    )
+    kind = "array<struct<row:int,placed:array<struct<col:int,text:string,rowspan:int>>,spanned:array<struct<col:int,left:int>>>>"
+
+    def one_row(done: Column, row: Column) -> Column:
+        above = F.try_element_at(done, F.lit(-1))
+        going_on = F.transform(above["spanned"], lambda s: F.struct(s["col"].alias("col"), (s["left"] - 1).alias("left")))
+        begun = F.transform(above["placed"], lambda p: F.struct(p["col"].alias("col"), (p["rowspan"] - 1).alias("left")))
+        spanned = F.coalesce(
+            F.filter(F.concat(going_on, begun), lambda s: s["left"] > 0), F.array().cast("array<struct<col:int,left:int>>")
+        )
+        units = F.coalesce(
+            F.flatten(F.transform(F.col("_rows")[row], lambda c: F.array_repeat(F.struct(c["text"].alias("text"), c["rowspan"].cast("int").alias("rowspan")), c["colspan"]))),
+            F.array().cast("array<struct<text:string,rowspan:int>>"),
+        )
+        taken = F.transform(spanned, lambda s: s["col"])
+        free = F.filter(F.sequence(F.lit(0), F.size(units) + F.size(spanned)), lambda c: ~F.array_contains(taken, c))
+        placed = F.zip_with(
+            units, F.slice(free, 1, F.size(units)),
+            lambda u, c: F.struct(c.alias("col"), u["text"].alias("text"), u["rowspan"].alias("rowspan")),
+        )
+        new = F.struct(row.alias("row"), placed.alias("placed"), spanned.alias("spanned"))
+        return F.concat(done, F.array(new))
 
-    @F.pandas_udf(_GRID)
-    def place(column: pd.Series) -> pd.Series:
-        return column.map(_place_cells)
-
-    packed = cells.groupBy(*table).agg(
-        F.collect_list(F.struct("row", "seq", "text", "rowspan", "colspan")).alias("_cells")
+    folded = packed.select(*table, F.explode(F.aggregate(F.sequence(F.lit(0), "_last"), F.array().cast(kind), one_row)).alias("_r"))
+    blank = F.transform("_r.spanned", lambda s: F.struct(s["col"].alias("col"), F.lit("").alias("text"), F.lit(1).alias("rowspan")))
+    return folded.select(*table, F.col("_r.row").alias("row"), F.explode(F.concat("_r.placed", blank)).alias("_c")).select(
+        *table, "row", "_c.*"
     )
-    return packed.select(*table, F.inline(place("_cells")))
 
 
 def merge_list(grid: DataFrame, table: list[str]) -> DataFrame:

@@ -140,10 +140,10 @@ def cross_selection(
     )
 
 
-def reference_cases(winners: DataFrame, projects: DataFrame, keys: list[str], limit: int = 3) -> DataFrame:
-    """Newest winning records with a strategy text, per facility.
+def reference_cases(winners: DataFrame, projects: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
+    """Winning records with a strategy text, per facility, newest first; all or the first ``limit``.
 
-    The rank limit is applied before the shuffle as well, so a large facility stays split.
+    A rank limit is applied before the shuffle as well, so a large facility stays split.
     """
     told = winners.filter(F.trim(F.coalesce("main_strategy", F.lit(""))) != "")
     dated = told.join(
@@ -153,7 +153,7 @@ def reference_cases(winners: DataFrame, projects: DataFrame, keys: list[str], li
     order = Window.partitionBy("facility_type").orderBy(F.desc("_when"), *keys)
     return (
         dated.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= limit)
+        .filter(F.lit(True) if limit is None else F.col("rank") <= limit)
         .withColumn(
             "competition_name", F.coalesce("competition_name", F.col("competition_id").cast("string"))
         )
@@ -161,15 +161,16 @@ def reference_cases(winners: DataFrame, projects: DataFrame, keys: list[str], li
     )
 
 
-def comparison_excerpts(texts: DataFrame, projects: DataFrame, limit: int = 4, min_len: int = 10) -> DataFrame:
-    """Concept texts of the newest projects, per facility. ``texts`` has axis_ord and text."""
+def comparison_excerpts(texts: DataFrame, projects: DataFrame, limit: int | None = None, min_len: int = 10) -> DataFrame:
+    """Concept texts per facility, newest projects first; all or the first ``limit``. ``texts`` has axis_ord and text."""
     long_enough = texts.filter(F.length(F.trim("text")) >= min_len)
     dated = long_enough.join(
         projects.select("facility_type", "competition_id", "created_at"),
         ["facility_type", "competition_id"],
     ).withColumn("_when", F.coalesce(F.col("created_at").cast("string"), F.lit("")))
     order = Window.partitionBy("facility_type").orderBy(F.desc("_when"), "competition_id", "axis_ord")
-    return dated.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).drop("_when")
+    ranked = dated.withColumn("rank", F.row_number().over(order)).drop("_when")
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
 def axis_rubric(base: DataFrame, override: DataFrame, facilities: DataFrame) -> DataFrame:
@@ -188,12 +189,12 @@ def axis_rubric(base: DataFrame, override: DataFrame, facilities: DataFrame) ->
     )
 
 
-def lock_alternatives(base: DataFrame, alternatives: DataFrame, doc: list[str], keep: int = 2) -> DataFrame:
+def lock_alternatives(base: DataFrame, alternatives: DataFrame, doc: list[str], keep: int | None = None) -> DataFrame:
     """Required zones of the base plan hold in every alternative.
 
     ``base`` has doc, ord, program, plan, level, required; ``alternatives`` has doc, alt,
-    ord, program, plan, level, required. The first ``keep`` alternatives with a named zone
-    are kept; required zones overwrite plan and level and are added where missing.
+    ord, program, plan, level, required. Alternatives with a named zone are kept, all or
+    the first ``keep``; required zones overwrite plan and level and are added where missing.
     """
     name = F.trim("program")
     fixed_zones = base.filter(F.col("required") & (name != "")).groupBy(*doc, name.alias("program")).agg(
@@ -202,7 +203,7 @@ def lock_alternatives(base: DataFrame, alternatives: DataFrame, doc: list[str],
     zones = alternatives.withColumn("program", name).filter(F.col("program") != "")
     order = Window.partitionBy(*doc).orderBy("alt")
     kept = zones.select(*doc, "alt").distinct().withColumn("_r", F.row_number().over(order)).filter(
-        F.col("_r") <= keep
+        F.lit(True) if keep is None else F.col("_r") <= keep
     ).drop("_r")
     zones = zones.join(kept, [*doc, "alt"], "left_semi")
     locked = zones.join(fixed_zones.withColumn("_lock", F.lit(True)), [*doc, "program"], "left").select(

@@ -15,12 +15,12 @@ def file_conflicts(values: DataFrame, doc: list[str]) -> DataFrame:
 
     ``values`` has doc, kind (quantitative, site, block), key, file_no, file_name, number,
     text. Numbers differ by more than 1e-9, other values after white-space cleaning. Blocks
-    compare their first 400 characters with the first file only, and the block of sites is
+    compare their whole text with the first file only, and the block of sites is
     left out where a site value already differs. One row per losing value.
     """
     stated = values.filter(F.col("number").isNotNull() | F.col("text").isNotNull()).withColumn(
         "text",
-        F.when(F.col("kind") == "block", squeeze(F.substring("text", 1, 400))).otherwise(
+        F.when(F.col("kind") == "block", squeeze("text")).otherwise(
             squeeze(F.coalesce("text", F.col("number").cast("string")))
         ),
     )
@@ -207,7 +207,7 @@ def keyword_conflicts(texts: DataFrame, doc: list[str], keywords: dict | None =
         texts.withColumn("keyword", hit)
         .filter(F.col("keyword").isNotNull())
         .groupBy(*doc, "facility_type", "keyword")
-        .agg(F.count(F.lit(1)).alias("hits"), F.min_by(F.substring("text", 1, 40), "ord").alias("sample"))
+        .agg(F.count(F.lit(1)).alias("hits"), F.min_by("text", "ord").alias("sample"))
         .withColumn("severity", F.lit("high"))
     )
 
@@ -254,8 +254,8 @@ def validation_summary(flags: DataFrame, doc: list[str]) -> DataFrame:
     )
 
 
-def severity_order(flags: DataFrame, doc: list[str], tie: list[str], cap: int) -> DataFrame:
-    """Worst flags first, at most ``cap`` shown per document; the rest is counted."""
+def severity_order(flags: DataFrame, doc: list[str], tie: list[str], cap: int | None = None) -> DataFrame:
+    """Worst flags first, all or the first ``cap`` of a document; the rest is counted."""
     from pyspark.sql import Window
 
     rank = F.when(F.col("severity").isin("high", "error"), 0).when(
@@ -264,10 +264,10 @@ def severity_order(flags: DataFrame, doc: list[str], tie: list[str], cap: int) -
     order = Window.partitionBy(*doc).orderBy("_sev", *tie)
     total = flags.groupBy(*doc).agg(F.count(F.lit(1)).alias("_total"))
     shown = flags.withColumn("_sev", rank).withColumn("rank", F.row_number().over(order)).filter(
-        F.col("rank") <= cap
+        F.lit(True) if cap is None else F.col("rank") <= cap
     )
     return shown.join(total, doc).withColumn(
-        "not_shown", F.greatest(F.col("_total") - cap, F.lit(0))
+        "not_shown", F.greatest(F.col("_total") - (F.col("_total") if cap is None else F.lit(cap)), F.lit(0))
     ).drop("_sev", "_total")
 
 

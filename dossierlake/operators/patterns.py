@@ -92,12 +92,12 @@ def facility_pattern(
     quant: DataFrame,
     keywords: DataFrame,
     mass_types: DataFrame,
-    top: int = 20,
+    top: int | None = None,
 ) -> DataFrame:
     """Long pattern table for every facility that has winners.
 
     All inputs carry facility_type and cohort. Losers add statistics only where winners
-    exist, and no mass types. Values are not rounded; use ``rounded_pattern`` for display.
+    exist, and no mass types; all keywords, or the ``top`` most frequent. Values are not rounded; use ``rounded_pattern`` for display.
     """
     sizes = subs.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("size"))
     none = F.lit(None).cast("double")
@@ -169,15 +169,13 @@ def cohort_table(stats: DataFrame, keys: list[str]) -> DataFrame:
     return both.join(scale, keys)
 
 
-def keyword_lift(freqs: DataFrame, keys: list[str], top: int = 20) -> DataFrame:
-    """Top winner keywords with the difference to the losers' frequency."""
-    order = Window.partitionBy(*keys).orderBy(F.desc("freq"), F.asc("keyword"))
-    win = (
-        freqs.filter(F.col("cohort") == "win")
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= top)
-        .select(*keys, "keyword", F.col("freq").alias("win_freq"))
-    )
+def keyword_lift(freqs: DataFrame, keys: list[str], top: int | None = None) -> DataFrame:
+    """Winner keywords (all, or the ``top`` most frequent) with the difference to the losers' frequency."""
+    win = freqs.filter(F.col("cohort") == "win")
+    if top is not None:
+        order = Window.partitionBy(*keys).orderBy(F.desc("freq"), F.asc("keyword"))
+        win = win.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    win = win.select(*keys, "keyword", F.col("freq").alias("win_freq"))
     lose = freqs.filter(F.col("cohort") == "lose").select(
         *keys, "keyword", F.col("freq").alias("lose_freq")
     )
@@ -203,11 +201,12 @@ def collect_insights(lines: DataFrame, keys: list[str]) -> DataFrame:
     return lines.join(told.select(*keys).distinct(), keys, "left_semi")
 
 
-def frequent_lines(lines: DataFrame, keys: list[str], top: int = 5) -> DataFrame:
-    """Most frequent insight lines per group and kind."""
+def frequent_lines(lines: DataFrame, keys: list[str], top: int | None = None) -> DataFrame:
+    """Insight lines ranked by frequency per group and kind, all or the first ``top``."""
     counted = lines.groupBy(*keys, "kind", "text").agg(F.count(F.lit(1)).alias("occurrences"))
     order = Window.partitionBy(*keys, "kind").orderBy(F.desc("occurrences"), F.asc("text"))
-    return counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    ranked = counted.withColumn("rank", F.row_number().over(order))
+    return ranked if top is None else ranked.filter(F.col("rank") <= top)
 
 
 def sample_basis(subs: DataFrame, cases: DataFrame, comparisons: DataFrame) -> DataFrame:

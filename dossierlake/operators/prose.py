@@ -178,18 +178,15 @@ def category_weights(items: DataFrame, doc: list[str]) -> DataFrame:
     )
 
 
-def placement_sentences(items: DataFrame, doc: list[str], ordinal: str = "ord", limit: int = 14) -> DataFrame:
-    """First sentences that state where a programme part belongs."""
+def placement_sentences(items: DataFrame, doc: list[str], ordinal: str = "ord", limit: int | None = None) -> DataFrame:
+    """Sentences that state where a programme part belongs, whole, in order; all or the first ``limit``."""
     text = F.trim("text")
     placed = items.filter((F.length(text) >= 6) & T.contains_any(text, fixed.PLACEMENT_WORDS)).groupBy(
         *doc, text.alias("text")
     ).agg(F.min(ordinal).alias("place"))
     order = Window.partitionBy(*doc).orderBy("place")
-    return (
-        placed.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= limit)
-        .withColumn("text", F.substring("text", 1, 180))
-    )
+    ranked = placed.withColumn("rank", F.row_number().over(order))
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
 def differentiator_parts(lines: DataFrame, axis_labels: dict[str, str] | None = None) -> DataFrame:

@@ -206,8 +206,8 @@ def normalise_guidelines(items: DataFrame, doc: list[str]) -> DataFrame:
     """Guideline items as a two-level tree in long form.
 
     ``items`` has doc, page, entry, item, facility_scope, space_scope, category,
-    section_path, label, text. Entries equal in scope, space, path and the first 60
-    characters of their first item are kept once; items equal in label and text are kept
+    section_path, label, text. Entries equal in scope, space, path and
+    first item are kept once; scopes are trimmed; items equal in label and text are kept
     once per (scope, section, sub_path).
     """
     entry_keys = [*doc, "page", "entry"]
@@ -218,7 +218,7 @@ def normalise_guidelines(items: DataFrame, doc: list[str]) -> DataFrame:
                 F.trim(F.coalesce("facility_scope", F.lit(""))).alias("scope"),
                 F.trim(F.coalesce("space_scope", F.lit(""))).alias("space"),
                 F.trim(F.coalesce("section_path", F.lit(""))).alias("path"),
-                F.substring(F.coalesce("text", F.lit("")), 1, 60).alias("head"),
+                F.coalesce("text", F.lit("")).alias("head"),
             ),
             F.col("item"),
         ).alias("k")
@@ -232,11 +232,11 @@ def normalise_guidelines(items: DataFrame, doc: list[str]) -> DataFrame:
         .join(kept, entry_keys, "left_semi")
         .select(
             *doc,
-            F.coalesce(F.nullif(F.col("facility_scope"), F.lit("")), F.lit("전체")).alias("facility_scope"),
-            F.coalesce(F.nullif(F.col("space_scope"), F.lit("")), F.lit("전체")).alias("space_scope"),
+            F.coalesce(F.nullif(F.trim("facility_scope"), F.lit("")), F.lit("전체")).alias("facility_scope"),
+            F.coalesce(F.nullif(F.trim("space_scope"), F.lit("")), F.lit("전체")).alias("space_scope"),
             F.coalesce(F.nullif(F.col("category"), F.lit("")), F.lit("기타")).alias("category"),
             F.coalesce(F.get(segments, F.lit(0)), F.lit("")).alias("section"),
-            F.array_join(F.slice(segments, 2, 1_000_000), " > ").alias("sub_path"),
+            F.array_join(F.slice(segments, F.lit(2), F.greatest(F.size(segments), F.lit(0))), " > ").alias("sub_path"),
             F.trim(F.coalesce("label", F.lit(""))).alias("label"),
             F.trim("text").alias("text"),
             F.struct("page", "entry", "item").alias("place"),

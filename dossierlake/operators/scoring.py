@@ -65,15 +65,17 @@ def scoring_focus(categories: DataFrame, doc: list[str]) -> DataFrame:
     )
 
 
-def top_scoring(focus: DataFrame, doc: list[str], limit: int = 12) -> DataFrame:
-    """Rank-ordered rows, unranked last, with the number of rows left out."""
+def top_scoring(focus: DataFrame, doc: list[str], limit: int | None = None) -> DataFrame:
+    """Rank-ordered rows, unranked last, all or the first ``limit``, with the number left out."""
     from pyspark.sql import Window
 
     order = Window.partitionBy(*doc).orderBy(F.coalesce("rank", F.lit(99)), "ord")
     total = focus.groupBy(*doc).agg(F.count(F.lit(1)).alias("_n"))
-    shown = focus.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+    shown = focus.withColumn("place", F.row_number().over(order))
+    if limit is not None:
+        shown = shown.filter(F.col("place") <= limit)
     return shown.join(total, doc).withColumn(
-        "dropped", F.greatest(F.col("_n") - limit, F.lit(0))
+        "dropped", F.greatest(F.col("_n") - (F.col("_n") if limit is None else F.lit(limit)), F.lit(0))
     ).drop("_n")
 
 
@@ -308,7 +310,7 @@ def scoring_rows(cells: DataFrame, table: list[str], hot: bool | None = None) ->
     out = grouped.select(
         *table, "row",
         F.coalesce(F.get(names, F.lit(0)), F.lit("")).alias("name"), "points",
-        F.slice(names, 2, 1_000_000).alias("shared_with"),
+        F.slice(names, F.lit(2), F.greatest(F.size(names), F.lit(0))).alias("shared_with"),
         F.filter(F.transform("_m", lambda m: m["detail"]), lambda d: d != "").alias("sub_items"),
     ).filter((F.col("name") != "") | F.col("points").isNotNull())
     return out.withColumn("is_subtotal", F.col("name").rlike(fixed.SCORING_SUBTOTAL))

@@ -161,27 +161,28 @@ def bm25(docs: DataFrame, key: str, phrases: list[str], weights: dict[str, float
 
 
 def search(
-    docs: DataFrame, key: str, phrases: list[str], weights: dict[str, float] | None = None, limit: int = 20
+    docs: DataFrame, key: str, phrases: list[str], weights: dict[str, float] | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Best documents first."""
-    return bm25(docs, key, phrases, weights or fixed.SEARCH_WEIGHTS).orderBy("score", key).limit(limit)
+    """Best documents first, all or the first ``limit``."""
+    best = bm25(docs, key, phrases, weights or fixed.SEARCH_WEIGHTS).orderBy("score", key)
+    return best if limit is None else best.limit(limit)
 
 
 def routed_search(
     docs: DataFrame, cards: DataFrame, query: str, key: str = "competition_id",
     facility: str | None = None, result: str | None = None, keywords: list[str] | None = None,
-    limit: int = 50, weights: dict[str, float] | None = None,
+    limit: int | None = None, weights: dict[str, float] | None = None,
 ) -> DataFrame:
-    """Short queries list all cards, longer ones search; filters apply after the limit.
+    """Short queries list all cards, longer ones search. Filters apply first, then the best
+    ``limit`` of what they leave (all without one); scores are those of the whole collection.
 
     Without ``keywords`` the whole query is one phrase.
     """
     from dossierlake.operators.comparison import card_filter
 
     text = (query or "").strip()
+    wanted = card_filter(cards, facility, result)
     if len(text) <= 2:
-        found = cards
-    else:
-        hits = search(docs, key, keywords or [text], weights, limit)
-        found = cards.join(hits, key)
-    return card_filter(found, facility, result)
+        return wanted
+    hits = wanted.join(bm25(docs, key, keywords or [text], weights or fixed.SEARCH_WEIGHTS), key)
+    return hits if limit is None else hits.orderBy("score", key).limit(limit)

@@ -12,7 +12,7 @@ from dossierlake.functions.text import any_of, blank_to_null
 # fixed values: how sites, counts and grades are written
 SITE_MARKER = r"([^,(]+?)\s*\(\s*부지\s*(\d+)"
 ADMIN_PREFIX = r"^((?:\S*[시도군구](?:\s+|$))+)"
-PARKING_COUNT = r"([\d,]{1,7})\s*대"
+PARKING_COUNT = r"(?<![\d,])(\d[\d,]*)\s*대"
 
 
 def zone_use(text) -> Column:
@@ -69,7 +69,7 @@ def parking_statements(statements: DataFrame, doc: list[str], ordinal: str = "or
     """Demand statements with a count, attributed to the last site named before it."""
     t = F.col("text")
     demand = t.rlike(any_of(fixed.PARKING_DEMAND_WORDS)) & ~t.rlike(any_of(fixed.PARKING_OPERATION_WORDS))
-    before = F.regexp_extract(t, r"(?s)^(.*?)[\d,]{1,7}\s*대", 1)
+    before = F.regexp_extract(t, r"(?s)^(.*?)(?<![\d,])\d[\d,]*\s*대", 1)
     named = F.regexp_extract_all(before, F.lit(r"부지\s*(\d+)"), F.lit(1))
     last = F.get(named, F.size(named) - 1)
     return statements.filter(demand & t.rlike(PARKING_COUNT)).select(

@@ -158,7 +158,7 @@ VIEWS: dict[str, str] = {
         SELECT o_custkey AS doc_id, o_orderkey AS ord,
                CASE o_orderkey % 6
                     WHEN 0 THEN '부지1 및 부지' || CAST(o_orderkey % 3 + 1 AS STRING) || '에 주차 ' || CAST(o_orderkey % 900 AS STRING) || '대 이상 확보'
-                    WHEN 1 THEN '총 1,' || CAST(o_orderkey % 800 + 100 AS STRING) || '대 설치'
+                    WHEN 1 THEN '총 2,001,' || CAST(o_orderkey % 800 + 100 AS STRING) || '대 설치'
                     WHEN 2 THEN '기존 주차장 ' || CAST(o_orderkey % 500 AS STRING) || '대 운영'
                     WHEN 3 THEN '부지2 용적률은 심의로 정한다'
                     WHEN 4 THEN '주차 ' || CAST(o_orderkey % 70 AS STRING) || '대'
@@ -180,7 +180,7 @@ VIEWS: dict[str, str] = {
                '계획 > ' || l_linestatus || CAST(l_suppkey % 4 AS STRING) || CASE WHEN l_discount > 0.05 THEN ' > 상세 > 끝' ELSE ' >  ' END AS section_path,
                CASE WHEN l_quantity > 40 THEN '유의' ELSE '' END AS label,
                CASE WHEN l_quantity < 3 THEN ' '
-                    ELSE '반드시 ' || CAST(CAST(l_quantity AS BIGINT) AS STRING) || '층 배치, ' || l_returnflag || ' 특히 고려' END AS text
+                    ELSE '반드시 ' || CAST(CAST(l_quantity AS BIGINT) AS STRING) || '층 배치, 이용자의 접근과 관리의 편의를 함께 살피고 주변 건물과의 관계, 향과 소음, 이후의 증축까지 미리 헤아려 정하며, ' || l_returnflag || ' 특히 고려' END AS text
         FROM lineitem""",
     # table rows of an order: its lines in a fixed order, with the number of rows
     "table_lines": """

@@ -137,7 +137,7 @@ def reference_cases(t: Tables):
     winners = subs.filter("result <> 'lose'").drop("created_at").withColumn(
         "main_strategy", F.when(F.col("priority") != "5-LOW", F.col("priority"))
     )
-    return comparison.reference_cases(winners, projects, ["doc_id"]).select("facility_type", "doc_id", "competition_id", "rank")
+    return comparison.reference_cases(winners, projects, ["doc_id"], 3).select("facility_type", "doc_id", "competition_id", "rank")
 
 
 @query(
@@ -151,7 +151,7 @@ def comparison_excerpts(t: Tables):
     subs = t.view("subs")
     projects = subs.groupBy("facility_type", "competition_id").agg(F.max("created_at").alias("created_at"))
     texts = subs.select("facility_type", "competition_id", F.col("doc_id").alias("axis_ord"), F.col("priority").alias("text"))
-    return comparison.comparison_excerpts(texts, projects).drop("created_at")
+    return comparison.comparison_excerpts(texts, projects, 4).drop("created_at")
 
 
 ZONES = """
@@ -163,7 +163,7 @@ zones AS (SELECT l_orderkey AS doc_id, l_linenumber AS alt, (l_partkey * 100000
     "lock_alternatives", "",
     "WITH " + ZONES.strip() + """,
     canon AS (SELECT doc_id, program, arg_min(plan, ord) AS cp, arg_min(level, ord) AS cl FROM zones WHERE alt = 1 AND required GROUP BY ALL),
-    kept AS (SELECT doc_id, alt FROM (SELECT DISTINCT doc_id, alt, dense_rank() OVER (PARTITION BY doc_id ORDER BY alt) AS r FROM zones WHERE alt > 1) WHERE r <= 2),
+    kept AS (SELECT doc_id, alt FROM zones WHERE alt > 1 GROUP BY ALL),
     z AS (SELECT zones.* FROM zones JOIN kept USING (doc_id, alt))
     SELECT z.doc_id, z.alt, z.program, coalesce(cp, plan) AS plan, coalesce(cl, level) AS level, cp IS NOT NULL OR required AS required, false AS added FROM z LEFT JOIN canon USING (doc_id, program)
     UNION ALL SELECT k.doc_id, k.alt, c.program, c.cp, c.cl, true, true FROM kept k JOIN canon c USING (doc_id)
@@ -255,18 +255,18 @@ def document_search(t: Tables):
     _bm25(["small"], "part_docs", "competition_id", W) + f" SELECT competition_id, {R4('score')} AS score FROM scored ORDER BY score, competition_id LIMIT 20",
 )
 def top_search(t: Tables):
-    return search.search(t.view("part_docs"), "competition_id", ["small"]).withColumn("score", r4("score"))
+    return search.search(t.view("part_docs"), "competition_id", ["small"], limit=20).withColumn("score", r4("score"))
 
 
 @query(
     "routed_search", "part_docs",
-    _bm25(["large"], "part_docs", "competition_id", W) + f""", top AS (SELECT * FROM scored ORDER BY score, competition_id LIMIT 50)
-    SELECT p.competition_id, {R4('score')} AS score FROM top JOIN part_docs p USING (competition_id) WHERE p_size % 2 = 1""",
+    _bm25(["large"], "part_docs", "competition_id", W) + f""", top AS (SELECT s.* FROM scored s JOIN part_docs p USING (competition_id) WHERE p_size % 2 = 1 ORDER BY score, competition_id LIMIT 50)
+    SELECT competition_id, {R4('score')} AS score FROM top""",
 )
 def routed_search(t: Tables):
     docs = t.view("part_docs")
     cards = docs.select("competition_id", F.lit("public").alias("facility_type"), (F.col("p_size") % 2).alias("winners"))
-    out = search.routed_search(docs, cards, "large", facility="public", result="win")
+    out = search.routed_search(docs, cards, "large", facility="public", result="win", limit=50)
     return out.select("competition_id", r4("score").alias("score"))
 
 

@@ -151,7 +151,7 @@ def page_stats(t: Tables):
       SELECT facility_type, cohort, 'count' AS family, 'records' AS key, NULL AS mean, NULL AS std, size AS n, NULL AS freq FROM sizes
       UNION ALL SELECT facility_type, cohort, 'page_distribution', key, mean, std, n, NULL FROM pstats
       UNION ALL SELECT facility_type, cohort, 'quantitative', field, mean, std, n, NULL FROM stats
-      UNION ALL SELECT facility_type, cohort, 'concept_keywords', keyword, NULL, NULL, occurrences, freq FROM freqs WHERE rank <= 20
+      UNION ALL SELECT facility_type, cohort, 'concept_keywords', keyword, NULL, NULL, occurrences, freq FROM freqs
       UNION ALL SELECT facility_type, cohort, 'mass_types', mass_type, NULL, NULL, occurrences, freq FROM masses)
     SELECT facility_type, cohort, family, key, CASE WHEN family = 'quantitative' THEN {R4('mean')} ELSE {R8('mean')} END AS mean,
       CASE WHEN family = 'quantitative' THEN {R4('std')} ELSE {R8('std')} END AS std, n, freq
@@ -185,11 +185,11 @@ def selected_pattern(t: Tables):
 
 @query(
     "keyword_freq", "subs keywords",
-    FREQ + f" SELECT facility_type, cohort, keyword, occurrences, freq FROM freqs WHERE rank <= 20",
+    FREQ + f" SELECT facility_type, cohort, keyword, occurrences, freq FROM freqs",
 )
 def keyword_freq(t: Tables):
     keys = ["facility_type", "cohort"]
-    freqs = patterns.term_frequency(t.view("keywords"), patterns.cohort_sizes(t.view("subs")), keys, "keyword", 20)
+    freqs = patterns.term_frequency(t.view("keywords"), patterns.cohort_sizes(t.view("subs")), keys, "keyword")
     return freqs.select(*keys, "keyword", "occurrences", "freq")
 
 
@@ -199,7 +199,7 @@ def keyword_freq(t: Tables):
       CASE WHEN w.freq - coalesce(l.freq, 0) > 0.2E0 THEN 'positive' WHEN w.freq - coalesce(l.freq, 0) < -0.2E0 THEN 'negative'
            ELSE 'neutral' END AS lift
       FROM freqs w LEFT JOIN freqs l ON l.facility_type = w.facility_type AND l.keyword = w.keyword AND l.cohort = 'lose'
-      WHERE w.cohort = 'win' AND w.rank <= 20""",
+      WHERE w.cohort = 'win'""",
 )
 def keyword_lift(t: Tables):
     keys = ["facility_type", "cohort"]
@@ -228,7 +228,7 @@ def cohort_compare(t: Tables):
 
 @query(
     "submission_vs_cohort", "quant",
-    STATS + f""" SELECT e.doc_id, e.field, e.value, {R4('w.mean')} AS win_mean, {R4('l.mean')} AS lose_mean,
+    STATS.replace(" AS (SELECT", " AS MATERIALIZED (SELECT") + f""" SELECT e.doc_id, e.field, e.value, {R4('w.mean')} AS win_mean, {R4('l.mean')} AS lose_mean,
       CASE WHEN e.value < w.mean * 0.85E0 THEN 'low' WHEN e.value >= w.mean * 0.95E0 THEN 'ok' ELSE 'info' END AS status
     FROM every e LEFT JOIN stats w ON w.facility_type = e.facility_type AND w.field = e.field AND w.cohort = 'win'
     LEFT JOIN stats l ON l.facility_type = e.facility_type AND l.field = e.field AND l.cohort = 'lose'""",
@@ -330,4 +330,4 @@ def insight_lines(t: Tables):
         "subs",
     )
     told = patterns.collect_insights(lines, ["facility_type", "competition_id"])
-    return patterns.frequent_lines(told, ["facility_type"])
+    return patterns.frequent_lines(told, ["facility_type"], 5)

@@ -185,7 +185,7 @@ def keyed_merge(t: Tables):
 @query(
     "guideline_tree", "guideline_items",
     """heads AS (SELECT doc_id, page, entry, arg_min(trim(facility_scope), item) AS a, arg_min(trim(space_scope), item) AS b,
-        arg_min(trim(section_path), item) AS c, arg_min(substr(text, 1, 60), item) AS d FROM guideline_items GROUP BY ALL),
+        arg_min(trim(section_path), item) AS c, arg_min(text, item) AS d FROM guideline_items GROUP BY ALL),
     kept AS (SELECT doc_id, page, entry FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, a, b, c, d ORDER BY page, entry) AS r FROM heads) WHERE r = 1),
     flat AS (SELECT g.doc_id, coalesce(nullif(g.facility_scope, ''), '전체') AS facility_scope, g.space_scope, coalesce(nullif(g.category, ''), '기타') AS category,
         [trim(x) for x in string_split(g.section_path, '>') if trim(x) <> ''] AS seg, g.label, trim(g.text) AS text, g.page, g.entry, g.item
@@ -209,13 +209,11 @@ files AS (SELECT o_custkey AS doc_id, o_orderkey AS file_no,
 vals AS (
   SELECT doc_id, 'quantitative' AS kind, 'parking' AS key, file_no, file_name, number, CAST(NULL AS STRING) AS text FROM files WHERE o_orderpriority <> '1-URGENT'
   UNION ALL SELECT doc_id, 'site', '부지1.site_area_sqm', file_no, file_name, number + 1, NULL FROM files WHERE o_orderstatus = 'F'
-  UNION ALL SELECT doc_id, 'block', 'brief_project_info', file_no, file_name, NULL, o_orderpriority || '  ' || o_orderstatus FROM files
+  UNION ALL SELECT doc_id, 'block', 'brief_project_info', file_no, file_name, NULL, repeat('사업 개요와  대지의 조건 ', 40) || o_orderpriority || '  ' || o_orderstatus FROM files
   UNION ALL SELECT doc_id, 'block', 'brief_program', file_no, file_name, NULL, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END FROM files)"""
 
 
-@query(
-    "file_conflicts", "",
-    "WITH " + FILES.strip() + """,
+LOST = """
     stated AS (SELECT * FROM vals WHERE number IS NOT NULL OR text IS NOT NULL),
     w AS (SELECT doc_id, kind, key, min(file_no) AS w_no, arg_min(file_name, file_no) AS w_name, arg_min(number, file_no) AS w_num,
           arg_min(regexp_replace(text, '\\s+', ' ', 'g'), file_no) AS w_text FROM stated GROUP BY ALL),
@@ -225,7 +223,12 @@ vals AS (
         CASE WHEN w.w_name LIKE '공고%' THEN '20' || substr(w.w_name, 4, 6) WHEN w.w_name LIKE '20%' THEN substr(w.w_name, 1, 8) ELSE '' END AS w_day
       FROM stated s JOIN w USING (doc_id, kind, key) JOIN base USING (doc_id)),
     lost AS (SELECT * FROM dated WHERE file_no > w_no AND CASE WHEN kind = 'block' THEN w_no = base AND regexp_replace(text, '\\s+', ' ', 'g') <> w_text
-        ELSE abs(number - w_num) > 1e-9 END)
+        ELSE abs(number - w_num) > 1e-9 END)"""
+
+
+@query(
+    "file_conflicts", "",
+    "WITH " + FILES.strip() + "," + LOST + """
     SELECT doc_id, kind, key, w_no AS chosen_file, file_no AS other_file, day <> '' AND w_day <> '' AND day > w_day AS later_differs
     FROM lost WHERE NOT (key = 'brief_project_info' AND doc_id IN (SELECT doc_id FROM lost WHERE kind = 'site'))""",
 )
@@ -236,16 +239,14 @@ def file_conflicts(t: Tables):
 
 @query(
     "conflict_flags", "",
-    "WITH " + FILES.strip() + """,
-    s AS (SELECT * FROM vals WHERE kind = 'quantitative'),
-    w AS (SELECT doc_id, min(file_no) AS w_no, arg_min(number, file_no) AS w_num FROM s GROUP BY doc_id)
-    SELECT doc_id, 'parking' AS key, w_no AS chosen_file, count(*) AS others FROM s JOIN w USING (doc_id)
-    WHERE abs(number - w_num) > 1e-9 GROUP BY ALL""",
+    "WITH " + FILES.strip() + "," + LOST + """
+    SELECT doc_id, kind, key, w_no AS chosen_file, count(*) AS others, bool_or(day <> '' AND w_day <> '' AND day > w_day) AS later_differs
+    FROM lost WHERE NOT (key = 'brief_project_info' AND doc_id IN (SELECT doc_id FROM lost WHERE kind = 'site')) GROUP BY ALL""",
 )
 def conflict_flags(t: Tables):
-    vals = t.sql("WITH " + FILES + " SELECT * FROM vals WHERE kind = 'quantitative'")
+    vals = t.sql("WITH " + FILES + " SELECT * FROM vals")
     rows = conflicts.file_conflicts(vals, ["doc_id"])
-    return conflicts.conflict_flags(rows, ["doc_id"]).select("doc_id", "key", "chosen_file", "others")
+    return conflicts.conflict_flags(rows, ["doc_id"]).select("doc_id", "kind", "key", "chosen_file", "others", "later_differs")
 
 
 SOURCES = """

@@ -216,7 +216,7 @@ _HIT = """CASE
 @query(
     "keyword_conflicts", "subs",
     EVAL_TEXT.strip() + f""", h AS (SELECT *, {_HIT} AS keyword FROM texts)
-    SELECT doc_id, facility_type, keyword, count(*) AS hits, arg_min(substr(text, 1, 40), ord) AS sample, 'high' AS severity FROM h WHERE keyword IS NOT NULL GROUP BY doc_id, facility_type, keyword""",
+    SELECT doc_id, facility_type, keyword, count(*) AS hits, arg_min(text, ord) AS sample, 'high' AS severity FROM h WHERE keyword IS NOT NULL GROUP BY doc_id, facility_type, keyword""",
 )
 def keyword_conflicts(t: Tables):
     # the hot words of every facility in list order; the oracle spells out the ones that occur

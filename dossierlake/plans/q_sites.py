@@ -52,7 +52,7 @@ def certifications(t: Tables):
 
 
 PARKING = """
-park AS (SELECT doc_id, ord, text, CASE ord % 6 WHEN 0 THEN ord % 900 WHEN 1 THEN 1000 + ord % 800 + 100 ELSE ord % 70 END AS cnt,
+park AS (SELECT doc_id, ord, text, CASE ord % 6 WHEN 0 THEN ord % 900 WHEN 1 THEN 2001000 + ord % 800 + 100 ELSE ord % 70 END AS cnt,
    CASE WHEN ord % 6 = 0 THEN '부지' || (ord % 3 + 1) END AS site_id FROM statements WHERE ord % 6 IN (0, 1))"""
 
 
@@ -208,9 +208,13 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY area DESC,
     sum(area) OVER (PARTITION BY doc_id) AS total FROM merged)"""
 
 
-@query("area_blocks", "area_rows", AREA + " SELECT doc_id, name, area, rank, total FROM ranked WHERE n >= 2 AND n <= 14")
+@query(
+    "area_blocks", "area_rows",
+    AREA + """ SELECT doc_id, name, area, rank, total FROM ranked WHERE n >= 2 AND (n <= 3 OR rank < 3)
+    UNION ALL SELECT doc_id, '기타 ' || (n - 2) || '개', total - sum(area) FILTER (WHERE rank < 3), 3, total FROM ranked WHERE n > 3 GROUP BY doc_id, n, total""",
+)
 def area_blocks(t: Tables):
-    return areas.programme_blocks(t.view("area_rows"), ["doc_id"])
+    return areas.programme_blocks(t.view("area_rows"), ["doc_id"], most=3)
 
 
 @query("hierarchy_stats", "area_rows", "SELECT doc_id, row_type, count(*) AS rows, count(area) AS area_filled FROM area_rows GROUP BY ALL")

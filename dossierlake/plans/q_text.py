@@ -225,7 +225,7 @@ def category_weights(t: Tables):
     "placement_sentences", "statements",
     """f AS (SELECT doc_id, trim(text) AS text, min(ord) AS place FROM statements WHERE length(trim(text)) >= 6
         AND regexp_matches(text, '층|지하|지상|배치|위치|인접|남측') GROUP BY ALL)
-    SELECT doc_id, text, place, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS rank FROM f) WHERE rank <= 14""",
+    SELECT doc_id, text, place, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS rank FROM f)""",
 )
 def placement_sentences(t: Tables):
     return prose.placement_sentences(t.view("statements"), ["doc_id"])

@@ -68,8 +68,8 @@ def test_site_blocks_stop_at_the_declared_total(spark, hot):
 @pytest.mark.parametrize("hot", [False, True])
 def test_small_blocks_are_collected(spark, hot):
     rows = [("d", i, "facility", f"· f{i}", str(100 - i), None) for i in range(20)] + [("d", 99, "facility", "소 계", "5000", None)]
-    got = areas.programme_blocks(spark.createDataFrame(rows, AREA), ["doc"], hot=hot).collect()
-    assert len(got) == 14
+    got = areas.programme_blocks(spark.createDataFrame(rows, AREA), ["doc"], hot=hot, most=14).collect()
+    assert len(got) == 14 and areas.programme_blocks(spark.createDataFrame(rows, AREA), ["doc"], hot=hot).count() == 20
     last = next(r for r in got if r["rank"] == 14)
     assert last.name == "기타 7개" and last.area == sum(100 - i for i in range(13, 20)) and last.total == sum(100 - i for i in range(20))
 
