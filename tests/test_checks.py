@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from dossierlake.operators import conflicts, pages, prose, resolve, similar
+from dossierlake.operators import conflicts, pages, prose, resolve, similar, sites
 
 
 def test_coverage_fixture(spark):
@@ -193,3 +193,25 @@ def test_merge_sites(spark):
     df = spark.createDataFrame(rows, "doc string, ord int, site_id string, area double, height double, uses array<string>")
     got = {r.site_id: (r.area, r.height, r.uses) for r in resolve.merge_sites(df, ["doc"], "ord", ["area", "height"], "uses").collect()}
     assert got == {"부지1": (10.0, 5.0, ["a", "b"]), "부지2": (None, 7.0, [])}
+
+
+def test_differences_late_in_a_text_count(spark):
+    """Blocks that differ after 400 characters conflict; entries alike in 60 characters both stay."""
+    text = "같은 내용 " * 100
+    vals = spark.createDataFrame(
+        [("d", "block", "brief_program", i, f"f{i}", None, text + end) for i, end in enumerate(("가", "나"))],
+        "doc string, kind string, key string, file_no int, file_name string, number double, text string",
+    )
+    assert conflicts.file_conflicts(vals, ["doc"]).count() == 1
+    items = spark.createDataFrame(
+        [("d", 1, e, 0, scope, "", "", "계획", "", text + end) for e, (scope, end) in enumerate(((" A", "가"), ("A", "나"), ("A", "나")))],
+        "doc string, page int, entry int, item int, facility_scope string, space_scope string, category string, section_path string, label string, text string",
+    )
+    got = resolve.normalise_guidelines(items, ["doc"]).collect()
+    assert len(got) == 2 and {r.facility_scope for r in got} == {"A"}
+
+
+def test_parking_counts_of_any_length(spark):
+    rows = [("d", 1, "총 1,234,567대 설치"), ("d", 2, "부지1에 주차 90대 이상 확보")]
+    got = sites.parking_statements(spark.createDataFrame(rows, "doc string, ord int, text string"), ["doc"]).orderBy("ord").collect()
+    assert [r["count"] for r in got] == [1234567, 90]

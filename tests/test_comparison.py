@@ -29,7 +29,7 @@ def test_gap_analysis(spark):
 @pytest.mark.parametrize(
     "raw,expected",
     [("b2", (-2, "B2")), ("지하 3층", (-3, "B3")), ("12F", (12, "12F")), ("지상 4", (4, "4F")), ("3층", (3, "3F")),
-     ("옥상", (10000, "ROOF")), ("PH1", (10000, "ROOF")), ("250F", (None, None)), ("로비", (None, None))],
+     ("옥상", (10000, "ROOF")), ("PH1", (10000, "ROOF")), ("250F", (250, "250F")), ("로비", (None, None))],
 )
 def test_floors(spark, raw, expected):
     df = spark.createDataFrame([(raw,)], "f string").withColumn("o", labels.floor_order("f"))
@@ -83,5 +83,5 @@ def test_lock_alternatives(spark):
         [("d", 1, 1, "로비", "서", "3F", None), ("d", 2, 1, "카페", "동", "1F", None), ("d", 3, 1, "로비", "서", "3F", None)],
         "doc string, alt int, ord int, program string, plan string, level string, required boolean",
     )
-    got = {(r.alt, r.program, r.plan, r.level, r.required, r.added) for r in comparison.lock_alternatives(base, alts, ["doc"]).collect()}
+    got = {(r.alt, r.program, r.plan, r.level, r.required, r.added) for r in comparison.lock_alternatives(base, alts, ["doc"], keep=2).collect()}
     assert got == {(1, "로비", "중앙", "1F", True, False), (2, "카페", "동", "1F", False, False), (2, "로비", "중앙", "1F", True, True)}

@@ -134,3 +134,12 @@ def test_grid(spark):
     got = {(r.row, r.col): r.text for r in grid.collect()}
     assert got == {(0, 0): "a", (0, 1): "b c", (0, 2): "b c", (1, 0): "", (1, 1): "d", (1, 2): "e", (2, 0): "f", (2, 1): "g&", (2, 2): ""}
     assert {(r.row, r.col, r.merged_rows) for r in blocks.merge_list(grid, ["page", "table_no"]).collect()} == {(0, 0, 2), (1, 2, 3)}
+
+
+def test_grid_of_a_wide_span(spark):
+    html = "<table><tr><td rowspan=2>a</td><td colspan=999999999>w</td></tr><tr><td>x</td><td>y</td></tr></table>"
+    cells = blocks.html_cells(spark.createDataFrame([(1, html)], "page int, html string"), ["page"])
+    grid = blocks.cell_grid(cells, ["page", "table_no"])
+    got = {(r.row, r.col): r.text for r in grid.collect()}
+    assert len(got) == 1 + blocks.MAX_COLSPAN + 3 and got[0, 1000] == "w" and got[1, 0] == "" and got[1, 2] == "y"
+    assert "Python" not in grid._jdf.queryExecution().executedPlan().toString()
