@@ -260,22 +260,23 @@ MAX_COLSPAN = 1000
 
 def cell_grid(cells: DataFrame, table: list[str]) -> DataFrame:
     """Dense grid of every table: a cell repeats across its column span and is blank below, along
-    its row span; the cells of a row take the columns that spans from above leave free.
+    its row span; the cells of a row take the columns that spans from above leave free. A row ends before
+    its first empty column; a span beyond it waits for a row that reaches it.
 
     The rows of a table are folded in the JVM; what a row hands on is the columns still spanned.
-    Column spans count up to ``MAX_COLSPAN``. A row without cells shows only spans from above. The
-    cells of one table come from one page, so an array per table is bounded by it.
+    Column spans count up to ``MAX_COLSPAN``. The cells of one
+    table come from one page, so an array per table is bounded by it.
     """
     own = F.when(F.col("seq").isNotNull(), F.struct("seq", "text", "rowspan", F.least("colspan", F.lit(MAX_COLSPAN)).alias("colspan")))
     by_row = cells.groupBy(*table, F.col("row").cast("int").alias("row")).agg(F.array_sort(F.collect_list(own)).alias("_own"))
     packed = by_row.groupBy(*table).agg(
         F.map_from_entries(F.collect_list(F.struct("row", "_own"))).alias("_rows"), F.max("row").alias("_last")
     )
-    kind = "array<struct<row:int,placed:array<struct<col:int,text:string,rowspan:int>>,spanned:array<struct<col:int,left:int>>>>"
+    kind = "array<struct<row:int,placed:array<struct<col:int,text:string,rowspan:int>>,spanned:array<struct<col:int,left:int>>,until:int>>"
 
     def one_row(done: Column, row: Column) -> Column:
         above = F.try_element_at(done, F.lit(-1))
-        going_on = F.transform(above["spanned"], lambda s: F.struct(s["col"].alias("col"), (s["left"] - 1).alias("left")))
+        going_on = F.transform(above["spanned"], lambda s: F.struct(s["col"].alias("col"), (s["left"] - (s["col"] < above["until"]).cast("int")).alias("left")))
         begun = F.transform(above["placed"], lambda p: F.struct(p["col"].alias("col"), (p["rowspan"] - 1).alias("left")))
         spanned = F.coalesce(
             F.filter(F.concat(going_on, begun), lambda s: s["left"] > 0), F.array().cast("array<struct<col:int,left:int>>")
@@ -290,11 +291,11 @@ def cell_grid(cells: DataFrame, table: list[str]) -> DataFrame:
             units, F.slice(free, 1, F.size(units)),
             lambda u, c: F.struct(c.alias("col"), u["text"].alias("text"), u["rowspan"].alias("rowspan")),
         )
-        new = F.struct(row.alias("row"), placed.alias("placed"), spanned.alias("spanned"))
+        new = F.struct(row.alias("row"), placed.alias("placed"), spanned.alias("spanned"), F.get(free, F.size(units)).alias("until"))
         return F.concat(done, F.array(new))
 
     folded = packed.select(*table, F.explode(F.aggregate(F.sequence(F.lit(0), "_last"), F.array().cast(kind), one_row)).alias("_r"))
-    blank = F.transform("_r.spanned", lambda s: F.struct(s["col"].alias("col"), F.lit("").alias("text"), F.lit(1).alias("rowspan")))
+    blank = F.transform(F.filter("_r.spanned", lambda s: s["col"] < F.col("_r.until")), lambda s: F.struct(s["col"].alias("col"), F.lit("").alias("text"), F.lit(1).alias("rowspan")))
     return folded.select(*table, F.col("_r.row").alias("row"), F.explode(F.concat("_r.placed", blank)).alias("_c")).select(
         *table, "row", "_c.*"
     )

@@ -1,10 +1,12 @@
 """Order-dependent logic over keys of any size.
 
-The size of the largest key is checked first. Up to ``GROUP_LIMIT`` rows a plain window is
-exact, cheap, and needs one exchange for a whole chain of scans. Beyond it every key is cut
-into slices along its order, each slice is scanned on its own, and one summary row per slice
-is combined across the key, so that no task ever holds a large key. Both ways give the same
-result; ``hot`` chooses, and is measured where it is not given.
+The size of the largest key is checked first. Where no key has more than ``GROUP_LIMIT`` rows a
+plain window is cheap and needs one exchange for a whole chain of scans. Beyond it the large keys
+are cut into slices along their order, at quantiles of their own rows; each slice is scanned on its
+own, and one summary row per slice is combined across the key, so that no task holds a large key.
+Keys below the limit are one slice. Both plans give the same rows: keys are compared null-safely
+and fractions are added as decimals, whose sum does not depend on the order. ``hot`` is the largest
+key's number of rows (0 below the limit), and is measured where it is not given.
 """
 
 from __future__ import annotations
@@ -13,58 +15,74 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GROUP_LIMIT = 1_000_000
-MIN_SLICES, MAX_SLICES = 8, 1024
+SLICE_ROWS, MIN_SLICES = 250_000, 8
 
 
-def is_hot(df: DataFrame, keys: list[str], limit: int = GROUP_LIMIT) -> bool:
-    """Whether any key has more rows than a window should take.
+def is_hot(df: DataFrame, keys: list[str], limit: int = GROUP_LIMIT) -> int:
+    """Rows of the largest key if they are more than a window should take, else 0.
 
     A count per key, combined before its shuffle; one number reaches the driver. Operators
     measure their input once and hand the answer to every scan below it.
     """
-    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return (largest or 0) > limit
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return largest if largest > limit else 0
 
 
-def _measured(hot: bool | None, df: DataFrame, keys: list[str]) -> bool:
+def _measured(hot: int | bool | None, df: DataFrame, keys: list[str]) -> int | bool:
     return is_hot(df, keys) if hot is None else hot
 
 
-# --- slices --------------------------------------------------------------------------
+def _same_key(keys: list[str], left: str = "l", right: str = "r") -> list[Column]:
+    return [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys]
+
+
+def _exact(df: DataFrame, value: Column) -> tuple[Column, str | None]:
+    """A value to add up and the type its sum goes back to: fractions are added as decimals."""
+    kind = df.select(value.alias("v")).schema["v"].dataType.simpleString()
+    return (value.cast("decimal(30,9)"), kind) if kind in ("double", "float") else (value, None)
 
 
-def default_slices(df: DataFrame) -> int:
-    """As many slices as the session has shuffle partitions, within bounds."""
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(MIN_SLICES, min(MAX_SLICES, width))
+def _limit(hot: int | bool | None) -> int:
+    """``True`` stands for a test that wants every key sliced."""
+    return 0 if hot is True else GROUP_LIMIT
+
+
+# --- slices --------------------------------------------------------------------------
 
 
 def slice_by_value(
-    df: DataFrame, keys: list[str], lead: str, tie: str, descending: bool = False, slices: int | None = None
+    df: DataFrame, keys: list[str], lead: str, tie: str, descending: bool = False, slices: int | None = None,
+    hot: int | bool = True, limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Slice number that respects the order (lead, tie) of two numeric columns.
 
-    The rows are exchanged once by (keys, slice). Cut points are quantiles, two bounded arrays read by one scalar subquery. A value
-    that is itself a cut point gets a slice of its own, split again along the tie-break.
+    Only keys of more than ``limit`` rows are sliced, into about ``SLICE_ROWS`` rows each: the cut
+    points are quantiles of the key's own rows, one bounded array per large key, and the large keys
+    are few, being a bounded share of the rows each. A value that is itself a cut point gets a slice
+    of its own, split again along the tie-break. The rows are exchanged once by (keys, slice).
     """
-    slices = slices or default_slices(df)
+    slices = slices or max(MIN_SLICES, -(-int(hot) // SLICE_ROWS))
     points = [i / slices for i in range(1, slices)]
 
     def cut_points(c: str) -> Column:
         return F.array_distinct(F.percentile_approx(F.col(c).cast("double"), points))
 
-    cuts = df.agg(F.struct(cut_points(lead).alias("lead"), cut_points(tie).alias("tie")).alias("c")).scalar()
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit)
+    of_large = df.alias("l").join(large.alias("r"), _same_key(keys)).select("l.*")
+    cuts = of_large.groupBy(*keys).agg(F.struct(cut_points(lead).alias("lead"), cut_points(tie).alias("tie")).alias("_cuts"))
+    cut = df.alias("l").join(cuts.alias("r"), _same_key(keys), "left").select("l.*", "r._cuts")
     value, other = F.col(lead).cast("double"), F.col(tie).cast("double")
-    cut = df.withColumn("_cuts", cuts)
     below = F.size(F.filter(F.col("_cuts.lead"), lambda c: c < value))
-    at_cut = F.array_contains(F.col("_cuts.lead"), value)
+    at_cut = F.coalesce(F.array_contains(F.col("_cuts.lead"), value), F.lit(False))
     first = (below * 2 + at_cut.cast("int")).cast("long")
     first = -first if descending else first
     if lead == tie:
-        return cut.withColumn("_slice", first).drop("_cuts").repartition(*keys, "_slice")
-    second = F.when(at_cut, F.size(F.filter(F.col("_cuts.tie"), lambda c: c < other))).otherwise(F.lit(0))
-    numbered = cut.withColumn("_slice", first * (slices + 1) + second).drop("_cuts")
-    return numbered.repartition(*keys, "_slice")
+        number = first
+    else:
+        second = F.when(at_cut, F.size(F.filter(F.col("_cuts.tie"), lambda c: c < other))).otherwise(F.lit(0))
+        number = first * (slices + 1) + second
+    small = F.col("_cuts").isNull()
+    return cut.withColumn("_slice", F.when(small, F.lit(0)).otherwise(number).cast("long")).drop("_cuts").repartition(*keys, "_slice")
 
 
 def _carried(sliced: DataFrame, keys: list[str], sums: dict[str, Column], carry: dict) -> DataFrame:
@@ -76,7 +94,8 @@ def _carried(sliced: DataFrame, keys: list[str], sums: dict[str, Column], carry:
         .rowsBetween(Window.unboundedPreceding, Window.currentRow - 1)
     )
     handed = summary.select(*keys, "_slice", *[f(before).alias(n) for n, f in carry.items()])
-    return sliced.join(handed, [*keys, "_slice"], "left")
+    joined = sliced.alias("l").join(handed.alias("r"), _same_key([*keys, "_slice"]), "left")
+    return joined.select("l.*", *[f"r.{n}" for n in carry])
 
 
 def _order(keys: list[str], order: list[Column]) -> Window:
@@ -98,13 +117,14 @@ def positions(
     descending: bool = False,
     name: str = "pos",
     slices: int | None = None,
-    hot: bool | None = None,
+    hot: int | bool | None = None,
 ) -> DataFrame:
     """1-based position of every row inside its key, ordered by (lead, tie)."""
     order = [F.col(lead).desc() if descending else F.col(lead).asc(), F.col(tie).asc()]
-    if not _measured(hot, df, keys):
+    hot = _measured(hot, df, keys)
+    if not hot:
         return df.withColumn(name, F.row_number().over(_order(keys, order)).cast("long"))
-    sliced = slice_by_value(df, keys, lead, tie, descending, slices)
+    sliced = slice_by_value(df, keys, lead, tie, descending, slices, hot, _limit(hot))
     joined = _carried(
         sliced, keys, {"_n": F.count(F.lit(1))}, {"_offset": lambda w: F.sum("_n").over(w)}
     )
@@ -122,24 +142,29 @@ def running_sum(
     name: str,
     before: bool = False,
     slices: int | None = None,
-    hot: bool | None = None,
+    hot: int | bool | None = None,
 ) -> DataFrame:
     """Sum of ``value`` from the start of the key up to this row (or up to the row before)."""
-    if not _measured(hot, df, keys):
-        valued = df.withColumn("_v", F.coalesce(value, F.lit(0)))
+    hot = _measured(hot, df, keys)
+    if not hot:
+        exact, kind = _exact(df, F.coalesce(value, F.lit(0)))
+        valued = df.withColumn("_v", exact)
         total = F.sum("_v").over(_up_to_here(keys, ordinal))
-        return valued.withColumn(name, total - F.col("_v") if before else total).drop("_v")
-    sliced = slice_by_value(df, keys, ordinal, ordinal, slices=slices)
+        total = total - F.col("_v") if before else total
+        return valued.withColumn(name, total.cast(kind) if kind else total).drop("_v")
+    sliced = slice_by_value(df, keys, ordinal, ordinal, slices=slices, hot=hot, limit=_limit(hot))
     return _sliced_sum(sliced, keys, ordinal, value, name, before).drop("_slice")
 
 
 def _sliced_sum(
     sliced: DataFrame, keys: list[str], ordinal: str, value: Column, name: str, before: bool = False
 ) -> DataFrame:
-    valued = sliced.withColumn("_v", F.coalesce(value, F.lit(0)))
+    exact, kind = _exact(sliced, F.coalesce(value, F.lit(0)))
+    valued = sliced.withColumn("_v", exact)
     joined = _carried(valued, keys, {"_s": F.sum("_v")}, {"_base": lambda w: F.sum("_s").over(w)})
     total = F.sum("_v").over(_up_to_here([*keys, "_slice"], ordinal)) + F.coalesce("_base", F.lit(0))
-    return joined.withColumn(name, total - F.col("_v") if before else total).drop("_v", "_base")
+    total = total - F.col("_v") if before else total
+    return joined.withColumn(name, total.cast(kind) if kind else total).drop("_v", "_base")
 
 
 def carry_last(
@@ -148,15 +173,16 @@ def carry_last(
     ordinal: str,
     values: dict[str, Column],
     slices: int | None = None,
-    hot: bool | None = None,
+    hot: int | bool | None = None,
 ) -> DataFrame:
     """Latest non-null of each expression at or before the row, in order of the ordinal."""
     temp = {f"_v_{n}": e for n, e in values.items()}
-    if not _measured(hot, df, keys):
+    hot = _measured(hot, df, keys)
+    if not hot:
         out = df.withColumns(temp)
         last = {n: F.last(f"_v_{n}", ignorenulls=True).over(_up_to_here(keys, ordinal)) for n in values}
         return out.withColumns(last).drop(*temp)
-    sliced = slice_by_value(df, keys, ordinal, ordinal, slices=slices).withColumns(temp)
+    sliced = slice_by_value(df, keys, ordinal, ordinal, slices=slices, hot=hot, limit=_limit(hot)).withColumns(temp)
     joined = _carried(
         sliced,
         keys,
@@ -182,13 +208,14 @@ def previous(
     ordinal: str,
     values: dict[str, Column],
     slices: int | None = None,
-    hot: bool | None = None,
+    hot: int | bool | None = None,
 ) -> DataFrame:
     """Value of each expression on the row before, in order of the ordinal."""
-    if not _measured(hot, df, keys):
+    hot = _measured(hot, df, keys)
+    if not hot:
         before = _order(keys, [F.col(ordinal)])
         return df.withColumns({n: F.lag(e).over(before) for n, e in values.items()})
-    return _sliced_previous(slice_by_value(df, keys, ordinal, ordinal, slices=slices), keys, ordinal, values).drop("_slice")
+    return _sliced_previous(slice_by_value(df, keys, ordinal, ordinal, slices=slices, hot=hot, limit=_limit(hot)), keys, ordinal, values).drop("_slice")
 
 
 def _sliced_previous(sliced: DataFrame, keys: list[str], ordinal: str, values: dict[str, Column]) -> DataFrame:
@@ -212,27 +239,27 @@ def runs(
     values: dict[str, Column],
     name: str = "run",
     slices: int | None = None,
-    hot: bool | None = None,
+    hot: int | bool | None = None,
 ) -> DataFrame:
     """Number the runs of a key: a row opens one unless ``same_as_before`` holds.
 
     ``same_as_before`` may use the previous values, named by the keys of ``values``.
     """
     opens = F.when(F.coalesce(same_as_before, F.lit(False)), F.lit(0)).otherwise(F.lit(1))
-    if not _measured(hot, df, keys):
+    hot = _measured(hot, df, keys)
+    if not hot:
         looked = previous(df, keys, ordinal, values, hot=False)
         return running_sum(looked, keys, ordinal, opens, name, hot=False).drop(*values)
     # sliced once: both scans and their joins share one partitioning
-    looked = _sliced_previous(slice_by_value(df, keys, ordinal, ordinal, slices=slices), keys, ordinal, values)
+    looked = _sliced_previous(slice_by_value(df, keys, ordinal, ordinal, slices=slices, hot=hot, limit=_limit(hot)), keys, ordinal, values)
     return _sliced_sum(looked, keys, ordinal, opens, name).drop("_slice", *values)
 
 
-def group_any(df: DataFrame, keys: list[str], cond: Column, name: str, hot: bool | None = None) -> DataFrame:
+def group_any(df: DataFrame, keys: list[str], cond: Column, name: str, hot: int | bool | None = None) -> DataFrame:
     """Whether the condition holds for any row of the key."""
     cond = F.coalesce(cond, F.lit(False))
     if not _measured(hot, df, keys):
         return df.withColumn(name, F.max(cond).over(Window.partitionBy(*keys)))
     flags = df.groupBy(*keys).agg(F.max(cond).alias(name))
-    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    joined = df.alias("l").join(flags.alias("r"), on)
+    joined = df.alias("l").join(flags.alias("r"), _same_key(keys))
     return joined.select("l.*", f"r.{name}")

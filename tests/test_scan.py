@@ -11,7 +11,7 @@ from dossierlake.operators import scan
 def rows(spark):
     # key 0 holds more than a third of the rows, one value repeats heavily
     return spark.range(3000).select(
-        F.when(F.col("id") % 5 < 2, 0).otherwise(F.col("id") % 7).alias("k"),
+        F.when(F.col("id") % 5 < 2, 0).when(F.col("id") % 11 == 3, None).otherwise(F.col("id") % 7).alias("k"),
         F.col("id").alias("o"),
         F.when(F.col("id") % 3 == 0, 1).otherwise(F.abs(F.hash("id")) % 9).alias("v"),
     ).repartition(3, F.rand(seed=7))
@@ -32,8 +32,9 @@ def test_positions(rows, descending):
 
 @pytest.mark.parametrize("before", [False, True])
 def test_running_sum(rows, before):
-    args = (["k"], "o", F.col("v"), "s", before)
-    _same(scan.running_sum(rows, *args, slices=8, hot=True), scan.running_sum(rows, *args, hot=False))
+    args = (["k"], "o", F.col("v") * 0.1, "s", before)
+    for slices in (3, 8):
+        _same(scan.running_sum(rows, *args, slices=slices, hot=True), scan.running_sum(rows, *args, hot=False))
 
 
 def test_carry_and_previous(rows):
@@ -55,3 +56,11 @@ def test_hot_is_measured(rows):
     assert not scan.is_hot(rows, ["k"], limit=2000)
     expected = rows.withColumn("pos", F.row_number().over(Window.partitionBy("k").orderBy("o")).cast("long"))
     _same(scan.positions(rows, ["k"], "o", "o"), expected)
+
+
+def test_a_hot_key_in_a_narrow_range_is_cut(spark):
+    """A key with 1 % of the rows, all in one stretch of ordinals, falls into many slices."""
+    rows = spark.range(100_000).select(F.when(F.col("id").between(5000, 5999), 1).otherwise(F.col("id") + 10).alias("k"), F.col("id").alias("o"))
+    sizes = scan.slice_by_value(rows, ["k"], "o", "o", slices=10, limit=500).groupBy("k", "_slice").count()
+    assert sizes.filter("k = 1").count() >= 10
+    assert sizes.agg(F.max("count")).first()[0] <= 200
