@@ -1,7 +1,8 @@
 """Incremental refresh: landed changes update only the facilities they touch.
 
-Every batch function is idempotent, so a batch replayed after a failure gives the same
-tables: upserts are by key, outputs replace whole partitions.
+A batch replayed after a failure at any step gives the same tables: upserts are by key, outputs
+replace whole partitions, and the facilities a batch touches are stored under its id before the
+silver table changes, as afterwards the former facility of a moved record is no longer known.
 """
 
 from __future__ import annotations
@@ -53,8 +54,11 @@ def refresh_partitions(
         if batch.isEmpty():
             return
         current = spark.read.parquet(silver)
+        touched = f"{silver}__touched/batch={batch_id}"
+        if not _is_written(spark, touched):
+            affected(current, batch, key).write.mode("overwrite").parquet(touched)
         # at most one name per facility type: literals that prune the partitions to read
-        names = [r[0] for r in affected(current, batch, key).collect()]
+        names = [r[0] for r in spark.read.schema("facility_type string").parquet(touched).collect()]
         scope = current.filter(F.col("facility_type").isin(names))
         staged = f"{silver}__staged"
         # written first: the merge reads the partitions it is about to replace
@@ -68,6 +72,12 @@ def refresh_partitions(
     return run
 
 
+def _is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+
 def _drop_partitions(spark: SparkSession, names: list[str], paths: list[str]) -> None:
     """Remove the partitions of facilities that no longer have rows (at most one per type)."""
     jvm = spark.sparkContext._jvm

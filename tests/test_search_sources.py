@@ -2,6 +2,7 @@ import json
 import math
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from dossierlake.functions import geo
@@ -154,6 +155,37 @@ def test_stream_refreshes_only_touched_facilities(spark, tmp_path):
     assert {f: os.path.getmtime(f"{target}/facility_type=c/{f}") for f in os.listdir(f"{target}/facility_type=c")} == untouched
 
 
+@pytest.mark.parametrize("step", ["build", "write"])
+def test_a_replayed_batch_reaches_the_former_facility(spark, tmp_path, monkeypatch, step):
+    """Record 2 moves from a to b; the batch dies before or while the target is written."""
+    silver, target = str(tmp_path / "silver"), str(tmp_path / "target")
+    upserts.write_partitions(spark.createDataFrame([("a", 1, "win"), ("a", 2, "lose"), ("b", 3, "win")], SUBS), silver)
+    upserts.write_partitions(_counts(spark.read.parquet(silver)), target)
+    batch = spark.createDataFrame([("b", 2, "win", "upsert", 1)], CHANGE)
+    failed = []
+
+    def build(df):
+        if step == "build" and not failed:
+            failed.append(1)
+            raise RuntimeError("lost")
+        return _counts(df)
+
+    write = refresh.write_partitions
+
+    def broken(df, path):
+        if step == "write" and path == target and not failed:
+            failed.append(1)
+            raise RuntimeError("lost")
+        write(df, path)
+
+    monkeypatch.setattr(refresh, "write_partitions", broken)
+    run = refresh.refresh_partitions(spark, silver, target, ["id"], build)
+    with pytest.raises(RuntimeError):
+        run(batch, 0)
+    run(batch, 0)
+    assert {(r.facility_type, r.n, r.wins) for r in spark.read.parquet(target).collect()} == {("a", 1, 1), ("b", 2, 2)}
+
+
 def test_landing_validation(spark, tmp_path):
     from dossierlake import fixed
 
