@@ -5,6 +5,7 @@ from dossierlake.plans import (  # noqa: F401  (registers the queries)
     q_compare,
     q_measures,
     q_pages,
+    q_records,
     q_resolve,
     q_scoring,
     q_sites,
