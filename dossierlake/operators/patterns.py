@@ -47,6 +47,11 @@ def page_stats(counts: DataFrame, keys: list[str], digits: int | None = 3) -> Da
 
     ``counts`` has keys, primary_type, pages, total_pages.
     """
+    return measures.grouped_stats(_page_values(counts, keys, digits), [*keys, "key"])
+
+
+def _page_values(counts: DataFrame, keys: list[str], digits: int | None = 3) -> DataFrame:
+    """Pages and page ratio of every document and type as (keys, key, value)."""
     ratio = F.col("pages") / F.coalesce(
         F.nullif(F.col("total_pages").cast("double"), F.lit(0.0)), F.lit(1.0)
     )
@@ -56,8 +61,7 @@ def page_stats(counts: DataFrame, keys: list[str], digits: int | None = 3) -> Da
         F.struct(F.col("primary_type").alias("key"), F.col("pages").cast("double").alias("value")),
         F.struct(F.concat("primary_type", F.lit("_ratio")).alias("key"), ratio.alias("value")),
     )
-    long = counts.select(*keys, F.inline(pairs))
-    return measures.grouped_stats(long, [*keys, "key"])
+    return counts.select(*keys, F.inline(pairs))
 
 
 def first_concept(concepts: DataFrame, keys: list[str], ordinal: str = "ord") -> DataFrame:
@@ -99,45 +103,43 @@ def facility_pattern(
     All inputs carry facility_type and cohort. Losers add statistics only where winners
     exist, and no mass types; all keywords, or the ``top`` most frequent. Values are not rounded; use ``rounded_pattern`` for display.
     """
-    sizes = subs.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("size"))
     none = F.lit(None).cast("double")
 
-    def family(df: DataFrame, name: str, key: str, mean, std, n, freq) -> DataFrame:
-        return df.select(
-            *GROUP,
-            F.lit(name).alias("family"),
-            F.col(key).alias("key"),
-            mean.alias("mean"),
-            std.alias("std"),
-            n.cast("long").alias("n"),
-            freq.alias("freq"),
-        )
+    def family(df: DataFrame, name: str, key: Column, value: Column = none) -> DataFrame:
+        return df.select(*GROUP, F.lit(name).alias("family"), key.alias("key"), value.alias("value"))
 
-    stat = (F.col("mean"), F.col("std"), F.col("n"), none)
-    freq = (none, none, F.col("occurrences"), F.col("freq"))
-    count = (none, none, F.col("size"), none)
-    parts = [
-        family(sizes.withColumn("key", F.lit("records")), "count", "key", *count),
-        family(page_stats(page_counts, GROUP), "page_distribution", "key", *stat),
-        family(
-            measures.grouped_stats(measures.clean_values(quant, GROUP), [*GROUP, "field"]),
-            "quantitative", "field", *stat,
-        ),
+    long = family(subs, "count", F.lit("records"))
+    for part in (
+        family(_page_values(page_counts, GROUP), "page_distribution", F.col("key"), F.col("value")),
+        family(measures.clean_values(quant, GROUP), "quantitative", F.col("field"), F.col("value")),
+        family(keywords.filter(F.col("keyword") != ""), "concept_keywords", F.col("keyword")),
         family(
-            term_frequency(keywords, sizes, GROUP, "keyword", top), "concept_keywords", "keyword", *freq
+            mass_types.filter((F.col("cohort") == "win") & (F.col("mass_type") != "")), "mass_types", F.col("mass_type")
         ),
-        family(
-            term_frequency(
-                mass_types.filter(F.col("cohort") == "win"), sizes, GROUP, "mass_type"
-            ),
-            "mass_types", "mass_type", *freq,
-        ),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    with_winners = sizes.filter(F.col("cohort") == "win").select("facility_type")
-    return out.join(with_winners, "facility_type", "left_semi")
+    ):
+        long = long.unionByName(part)
+    # one aggregation for all families; sizes are then read off its own rows
+    found = long.groupBy(*GROUP, "family", "key").agg(
+        F.avg("value").alias("mean"), measures.spread("value").alias("_std"),
+        F.count("value").alias("_values"), F.count(F.lit(1)).alias("_rows"),
+    )
+    records = F.col("family") == "count"
+    of_facility = Window.partitionBy("facility_type")
+    for c in ("win", "lose"):
+        found = found.withColumn(f"_{c}", F.max(F.when(records & (F.col("cohort") == c), F.col("_rows"))).over(of_facility))
+    found = found.filter(F.col("_win").isNotNull())
+    stat = F.col("family").isin("page_distribution", "quantitative")
+    size = F.when(F.col("cohort") == "win", F.col("_win")).otherwise(F.col("_lose"))
+    out = found.select(
+        *GROUP, "family", "key", "mean", F.when(stat, F.col("_std")).alias("std"),
+        F.when(stat, F.col("_values")).otherwise(F.col("_rows")).alias("n"),
+        F.when(~stat & ~records, F.col("_rows") / size).alias("freq"),
+    )
+    if top is None:
+        return out
+    ranks = Window.partitionBy(*GROUP, "family").orderBy(F.desc("n"), F.asc("key"))
+    ranked = out.withColumn("_rank", F.row_number().over(ranks))
+    return ranked.filter((F.col("family") != "concept_keywords") | (F.col("_rank") <= top)).drop("_rank")
 
 
 def rounded_pattern(pattern: DataFrame) -> DataFrame:
