@@ -10,7 +10,7 @@ from dossierlake.functions import text as T
 
 # fixed values: patterns of citations and of numbers with and without a risky unit
 CITATION = r"(?i)\(p\.\s*([0-9][0-9,\s]*|\?)\s*\)"
-_UNIT = "만원|억|원|%|세대|가구|호"
+_UNIT = "|".join(fixed.RISKY_UNITS)
 PAIR = r"(\d[\d,]*(?:\.\d+)?)\s*(" + _UNIT + ")"
 # a whole number that no risky unit follows
 BARE = (

@@ -284,7 +284,7 @@ class Tables:
         views = with_clause(uses.split(), "spark") if uses.split() else ""
         whole = (f"WITH {views}\n" if views else "") + text
         for name in TABLES:
-            if re.search(rf"\b{name}\b", whole):
+            if re.search(rf"(?i)\b(?:FROM|JOIN)\s+{name}\b", whole):
                 self.table(name).createOrReplaceTempView(name)
         return self.spark.sql(whole)
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -26,14 +25,6 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a fresh local one only where it is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return root
-
-
 def build(app: str = "dossierlake", cores: int | None = None, **conf: str) -> SparkSession:
     """A local session for tests and benchmarks."""
     cores = cores or int(os.environ.get("BENCH_CPUS", "8"))
