@@ -33,10 +33,17 @@ def blank_words(text: str | None) -> list[bytes]:
 
 def rows_of(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     """The named columns of Arrow batches, row by row."""
-    for batch in batches:
+    for batch in small(batches):
         yield from zip(*(batch.column(n).to_pylist() for n in names))
 
 
+def small(batches: Iterable[pa.RecordBatch], size: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            yield batch.slice(at, size)
+
+
 def arrow_batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 4096, max_bytes: int = 32 << 20) -> Iterator[pa.RecordBatch]:
     """Rows as Arrow batches of bounded length and, as far as strings and binaries go, bounded bytes."""
     held: list[tuple] = []

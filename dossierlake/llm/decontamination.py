@@ -178,7 +178,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
         tables = docs.sparkSession.sparkContext.broadcast(build_searchers(items, window))
 
         def clean(batches, tables=tables):
-            for batch in batches:
+            for batch in common.small(batches):
                 texts = batch.column(text_col).to_pylist()
                 yield batch.filter(pa.array([not any(True for s in tables.value for _ in s.search(w)) for w in map(common.alnum_words, texts)], pa.bool_()))
 

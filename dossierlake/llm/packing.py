@@ -14,7 +14,7 @@ from dossierlake.llm import common
 
 CAPACITY = 4096
 #: Words and word parts whose ids a task keeps, each.
-CACHE = 400_000
+CACHE = 150_000
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 

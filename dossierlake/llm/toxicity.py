@@ -285,7 +285,7 @@ def drop_toxic(docs: DataFrame, model: TextCnn, text_col: str = "text", threshol
     def keep(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in common.small(batches, 1024):
             got = [s for _, s in _scored(((t,) for t in batch.column(text_col).to_pylist()), shared.value)]
             yield batch.filter(pa.array([s < threshold for s in got], pa.bool_()))
 
