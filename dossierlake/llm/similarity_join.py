@@ -13,14 +13,18 @@ from pyspark.sql.window import Window
 
 from dossierlake.llm import common, graph
 
-#: Counters of the frequency sketch, and the slices in which they are summed.
-SKETCH, SLICES = 1 << 20, 256
+#: Counters of every frequency sketch, and the slices in which they are summed.
+SKETCH_BITS, SLICES = 22, 256
 #: Places of the filter that keeps texts without candidates from being read twice.
 FILTER = 1 << 20
-#: Classes and shingles of a block; two blocks meet in one task.
+#: Classes of a token that are paired with each other; more are tied to one of them instead.
+PAIRED = 16
+#: Prefix tokens that a pair has to share under an order; prefixes are longer by all but one of them.
+SHARED = 4
+#: Classes and shingles of a block; two blocks meet in a task.
 BLOCK_ROWS, BLOCK_SHINGLES = 256, 1 << 20
-#: Multipliers of the token orders.
-ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+#: Multipliers of the token orders; each has a sketch of its own.
+ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -44,22 +48,29 @@ def set_key(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def levels(counts: np.ndarray) -> np.ndarray:
-    """Frequency levels of the sketch's counters: 0 for what chance explains, then by size."""
-    mean = counts.mean()
-    over = np.maximum(counts - (mean + 4 * np.sqrt(mean) + 1), 0)
-    return np.where(over > 0, 1 + np.log2(over + 1).astype(np.int64), 0).astype(np.uint8)
+def place(tokens: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counter of every token in the order's sketch, and its 64-bit hash under that order."""
+    mixed = (tokens ^ (tokens >> np.uint64(31))) * np.uint64(ORDERS[order])
+    return (mixed >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), mixed
+
+
+def rarity(counts: np.ndarray) -> np.ndarray:
+    """Counters on a scale of 16 bits, fine enough to tell neighbouring loads apart."""
+    return np.minimum(65535, np.round(2048 * np.log2(1.0 + counts))).astype(np.uint16)
 
 
-def prefix(tokens: np.ndarray, level: np.ndarray, order: int, percent: int) -> np.ndarray:
-    """The first tokens of a set under a global order: rarer levels first, then by a hash of the
-    order. Two sets of the required likeness share one of them, under every order."""
+def prefix(tokens: np.ndarray, sketches: list[np.ndarray], order: int, percent: int) -> np.ndarray:
+    """The first tokens of a set under a global order: by the order's sketch, rarest first, then by
+    its hash. Two sets of the required likeness have at least ``percent`` / 100 of the larger one in
+    common, so at most the rest comes before the first ``SHARED`` common tokens of either: they
+    share ``SHARED`` tokens of their prefixes (all that is in common, if that is less)."""
     n = len(tokens)
-    keep = n - -(-percent * n // 100) + 1
-    mixed = (tokens ^ (tokens >> np.uint64(31))) * np.uint64(ORDERS[order])
-    mixed ^= mixed >> np.uint64(32)
-    key = (level[(tokens % np.uint64(SKETCH)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (mixed >> np.uint64(8))
-    return tokens[np.argpartition(key, keep - 1)[:keep]] if keep < n else tokens
+    keep = n - -(-percent * n // 100) + SHARED
+    if keep >= n:
+        return tokens
+    at, mixed = place(tokens, order)
+    key = (sketches[order][at].astype(np.uint64) << np.uint64(48)) | (mixed & np.uint64((1 << 48) - 1))
+    return tokens[np.argpartition(key, keep - 1)[:keep]]
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -84,7 +95,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def links_within(sets: list[np.ndarray], blocks: list[int], level: np.ndarray, percent: int, orders: int, cross: bool) -> np.ndarray:
+def links_within(sets: list[np.ndarray], blocks: list[int], sketches: list[np.ndarray], percent: int, cross: bool) -> np.ndarray:
     """Which sets link: pairs that share prefix tokens under every order, then verified exactly.
     ``cross``: only pairs of different blocks."""
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -93,10 +104,11 @@ def links_within(sets: list[np.ndarray], blocks: list[int], level: np.ndarray, p
     if cross:
         b = np.array(blocks)
         may &= b[:, None] != b[None, :]
-    for order in range(orders):
+    needed = np.minimum(SHARED, -(-percent * np.maximum.outer(sizes, sizes) // 100))
+    for order in range(len(ORDERS)):
         if not may.any():
             return may
-        may &= overlaps([prefix(s, level, order, percent) for s in sets]) > 0
+        may &= overlaps([prefix(s, sketches, order, percent) for s in sets]) >= needed
     rows = np.flatnonzero(may.any(axis=1))
     if not len(rows):
         return may
@@ -119,44 +131,76 @@ def roots(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _sums(rows: DataFrame, width: int, slices: int) -> np.ndarray:
-    """Add up partial counters (slice, packed): summed slice by slice as a stream, then collected."""
+def _sums(rows: DataFrame, finish, kind) -> dict[int, np.ndarray]:
+    """Add up partial counters (slice, packed) slice by slice, as a stream; ``finish`` is applied to
+    each sum before the slices are collected, in order."""
 
     def add(rows):
         held: dict[int, np.ndarray] = {}
         for number, packed in rows:
-            part = np.frombuffer(zlib.decompress(packed), np.uint32).astype(np.int64)
-            held[number] = held[number] + part if number in held else part
+            part = np.frombuffer(zlib.decompress(packed), np.uint8)
+            held[number] = held[number] + part if number in held else part.astype(np.int64)
         for number, part in held.items():
-            yield number, part.tobytes()
+            yield number, finish(part).tobytes()
 
     parts = common.map_rows(rows.repartition("slice"), ["slice", "packed"], add, "slice int, packed binary")
-    out = np.zeros((slices, width // slices), np.int64)
-    for r in parts.collect():
-        out[r.slice] = np.frombuffer(r.packed, np.int64)
-    return out.reshape(-1)
+    return {r.slice: np.frombuffer(r.packed, kind) for r in parts.toLocalIterator()}
 
 
-def _packed(counts: np.ndarray, slices: int):
-    for number, part in enumerate(counts.reshape(slices, -1)):
+def _packed(counts: np.ndarray, first: int = 0):
+    """Slices of a task's counters, each up to 255."""
+    counts = np.minimum(counts, 255).astype(np.uint8)
+    for number, part in enumerate(counts.reshape(SLICES, -1)):
         if part.any():
-            yield number, zlib.compress(part.astype(np.uint32).tobytes(), 1)
+            yield first + number, zlib.compress(part.tobytes(), 1)
+
+
+def _joined(parts: dict[int, np.ndarray], first: int, width: int, kind) -> np.ndarray:
+    """Slices from ``first`` on in one array; those nobody reported are 0."""
+    out = np.zeros((SLICES, width // SLICES), kind)
+    for number in range(SLICES):
+        if first + number in parts:
+            out[number] = parts[first + number]
+    return out.reshape(-1)
+
+
+def _may_link(a, b, percent: int):
+    """Whether sets of these sizes can have the required likeness."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+
+class Sketches:
+    """The sketches as they are broadcast: packed, and unpacked once in every Python worker."""
+
+    def __init__(self, packed: list[bytes]):
+        self.packed = packed
+        self.opened: list[np.ndarray] | None = None
+
+    def __reduce__(self):
+        return Sketches, (self.packed,)
+
+    def open(self) -> list[np.ndarray]:
+        if self.opened is None:
+            self.opened = [np.frombuffer(zlib.decompress(p), np.uint16) for p in self.packed]
+        return self.opened
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80,
-                   orders: int = 2, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                   block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Documents whose ``n``-word shingle sets have a Jaccard index of ``percent`` / 100 or more.
 
     Columns: doc_id, mark (hash of the text), n_shingles, component_id (smallest id reachable by
     links, itself included), n_links (other documents linked directly, copies included) and stays
     (the row is the first of its component).
 
-    Documents of equal sets form one class, and only classes go on. A sketch of all documents'
-    shingles ranks them by frequency. Under the first order every class posts the prefix of its set;
-    classes that meet at a token are tied to the smallest, and the components of these ties are the
-    candidate groups: no pair is written out. Groups are cut into blocks; two blocks meet in a task,
-    where pairs have to share prefix tokens under every further order as well before their whole
-    sets are compared. Tasks report one root per class, whose components are the result.
+    Documents of equal sets form one class, and only classes go on. Two sketches over all documents'
+    shingles rank them by frequency, one per global token order. Under both orders every class posts
+    the prefix of its set. Classes that meet at ``SHARED`` tokens of up to ``PAIRED`` classes become
+    pairs, if their sizes allow a link and they meet as often under the other order; those that meet
+    at a more frequent token are tied to one of them, so no group is paired out. The components of pairs and ties are the candidate
+    groups. They are cut into blocks; two blocks meet in a task, where a pair has to share prefix
+    tokens under every order before whole sets are compared. Tasks report one root per class, whose
+    components are the result.
 
     Null and empty texts, and texts of blanks, have no shingles and link with nothing. A null id
     takes part; it is the smallest only where no other is. Repeated rows are copies of each other.
@@ -166,27 +210,24 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
 
+    width = 1 << SKETCH_BITS
+
     def first_pass(rows):
-        counts = np.zeros(SKETCH, np.int64)
-        held: list[np.ndarray] = []
-        size = 0
+        counts = [np.zeros(width, np.uint32) for _ in ORDERS]
         for doc_id, text, mark in rows:
             tokens = shingles(text, n)
-            held.append((tokens % np.uint64(SKETCH)).astype(np.int64))
-            size += len(tokens)
-            if size > SKETCH:
-                counts += np.bincount(np.concatenate(held), minlength=SKETCH)
-                held, size = [], 0
+            for order, held in enumerate(counts):
+                np.add.at(held, place(tokens, order)[0], np.uint32(1))
             yield doc_id, mark, len(tokens), set_key(tokens) if len(tokens) else None, None, None
-        if held:
-            counts += np.bincount(np.concatenate(held), minlength=SKETCH)
-        for number, packed in _packed(counts, SLICES):
-            yield None, None, None, None, number, packed
+        for order, held in enumerate(counts):
+            for number, packed in _packed(held, order * SLICES):
+                yield None, None, None, None, number, packed
 
     read = common.checkpoint(
         common.map_rows(rows, ["doc_id", "text", "mark"], first_pass, f"doc_id {kind}, mark long, n long, key binary, slice int, packed binary")
     )
-    level = spark.sparkContext.broadcast(levels(_sums(read.where("slice IS NOT NULL").select("slice", "packed"), SKETCH, SLICES)))
+    parts = _sums(read.where("slice IS NOT NULL").select("slice", "packed"), rarity, np.uint16)
+    sketches = spark.sparkContext.broadcast(Sketches([zlib.compress(_joined(parts, o * SLICES, width, np.uint16), 1) for o in range(len(ORDERS))]))
     members = read.where("slice IS NULL").select("doc_id", "mark", "n", "key")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
     classes = members.where("key IS NOT NULL").groupBy("key").agg(
@@ -199,28 +240,56 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             tokens = shingles(text, n)
             if len(tokens) and (key := set_key(tokens)) not in done:
                 done.add(key)
-                for token in prefix(tokens, level.value, 0, percent).view(np.int64).tolist():
-                    yield token, key
-
-    postings = common.map_rows(rows, ["text"], post, "token long, key binary")
-    met = postings.withColumn("least", F.min("key").over(Window.partitionBy("token"))).where("key != least")
-    grouped = graph.components(met.select(F.col("key").alias("u"), F.col("least").alias("v")))
+                for order in range(len(ORDERS)):
+                    for token in prefix(tokens, sketches.value.open(), order, percent).view(np.int64).tolist():
+                        yield order, token, key, len(tokens)
+
+    at_token = Window.partitionBy("ord", "token")
+    shared = (
+        common.map_rows(rows, ["text"], post, "ord int, token long, key binary, n int")
+        .withColumn("key", F.xxhash64("key"))  # short keys only propose: what they stand for is compared later
+        .select("*", F.min("key").over(at_token).alias("least"), F.max("key").over(at_token).alias("most"))
+        .where("least != most")
+        .drop("most")
+        .distinct()  # copies of a class that several tasks posted
+    )
+    met = common.checkpoint(shared.withColumn("classes", F.count(F.lit(1)).over(at_token)))
+    frequent = met.where(F.col("classes") > PAIRED)
+    ties = frequent.where((F.col("ord") == 0) & (F.col("key") != F.col("least"))).select(F.col("key").alias("u"), F.col("least").alias("v")).distinct()
+    # a list holds at most PAIRED classes
+    listed = met.where(F.col("classes") <= PAIRED).groupBy("ord", "token").agg(F.array_sort(F.collect_list(F.struct("key", "n"))).alias("keys"))
+    ahead = listed.select("ord", F.posexplode("keys").alias("i", "u"), "keys").select(
+        "ord", "u", F.explode(F.filter("keys", lambda v: (v["key"] > F.col("u.key")) & _may_link(F.col("u.n"), v["n"], percent))).alias("v")
+    )
+    needed = F.least(F.lit(SHARED), F.ceil(F.greatest("u.n", "v.n") * percent / 100))
+    pairs = (
+        ahead.groupBy(F.col("u.key").alias("u"), F.col("v.key").alias("v"), needed.alias("needed"))
+        .agg(F.count_if(F.col("ord") == 0).alias("first"), F.count_if(F.col("ord") == 1).alias("second"))
+        .where("first >= needed")
+    )
+    # under the second order frequent tokens are not counted, so classes that have some may pass
+    often = frequent.where("ord = 1").select("key").distinct()
+    unsure = pairs.where("second < needed").select("u", "v")
+    half = unsure.join(often.withColumnRenamed("key", "u"), "u", "left_semi").join(often.withColumnRenamed("key", "v"), "v", "left_semi")
+    edges = ties.unionByName(pairs.where("second >= needed").select("u", "v")).unionByName(half.select("u", "v"))
+    grouped = graph.components(edges)
     candidates = common.checkpoint(
-        grouped.select(F.col("node").alias("key"), F.col("label").alias("cluster")).join(classes.select("key", "n", "copies", "mark"), "key")
+        grouped.select(F.col("node").alias("short"), F.col("label").alias("cluster"))
+        .join(classes.select("key", "n", "copies", "mark", F.xxhash64("key").alias("short")), "short")
+        .drop("short")
     )
 
     def note(rows):
-        bits = np.zeros(FILTER, np.int64)
+        held = np.zeros(FILTER, np.uint32)
         for (mark,) in rows:
-            bits[mark % FILTER] = 1
-        yield from _packed(bits, SLICES)
+            held[mark % FILTER] = 1
+        yield from _packed(held)
 
-    wanted = spark.sparkContext.broadcast(
-        np.packbits(_sums(common.map_rows(candidates, ["mark"], note, "slice int, packed binary"), FILTER, SLICES) > 0)
-    )
+    noted = _sums(common.map_rows(candidates, ["mark"], note, "slice int, packed binary"), lambda part: part > 0, bool)
+    wanted = spark.sparkContext.broadcast(_joined(noted, 0, FILTER, bool))
 
     def read_sets(rows):
-        held = np.unpackbits(wanted.value).astype(bool)
+        held = wanted.value
         done: set[bytes] = set()
         for text, mark in rows:
             if held[mark % FILTER]:
@@ -255,7 +324,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def verified(held):
         linked = links_within(
-            [np.frombuffer(r[6], np.uint64) for r in held], [r[3] for r in held], level.value, percent, orders, held[0][1] != held[0][2]
+            [np.frombuffer(r[6], np.uint64) for r in held], [r[3] for r in held], sketches.value.open(), percent, held[0][1] != held[0][2]
         )
         weight = linked @ np.array([r[5] for r in held], np.int64)
         for r, root, links in zip(held, roots(linked).tolist(), weight.tolist()):
@@ -286,10 +355,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     """The documents with all their columns, of every group of near duplicates only the first (by id,
     nulls last, then by the text's hash). Documents without shingles all stay."""
     stays = link_documents(docs, id_col, text_col, n, percent).where("stays").groupBy("doc_id", "mark").agg(
-        (F.max("n_shingles") == 0).alias("_all")
+        (F.max("n_shingles") == 0).alias("bare")
     )
-    keys = stays.select(F.col("doc_id").alias("_id"), F.coalesce("mark", F.lit(0)).alias("_mark"), "_all")
-    mark = F.xxhash64(F.col(text_col))
-    joined = docs.withColumn("_row_mark", mark).join(keys, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_row_mark") == F.col("_mark")))
-    number = F.row_number().over(Window.partitionBy("_id", "_mark").orderBy("_mark"))
-    return joined.withColumn("_number", number).where("_all OR _number = 1").select(*docs.columns)
+    # the row travels as one column, so its own columns cannot clash with these
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("row_id"), F.xxhash64(F.col(text_col)).alias("row_mark"))
+    joined = rows.join(stays, F.col("row_id").eqNullSafe(F.col("doc_id")) & (F.col("row_mark") == F.col("mark")))
+    number = F.row_number().over(Window.partitionBy("doc_id", "mark").orderBy("mark"))
+    return joined.withColumn("number", number).where("bare OR number = 1").select("row.*")
