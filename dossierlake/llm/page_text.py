@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossierlake.llm import common
+from dossierlake.llm import common, training
 
 #: Pages of the training sample, and the longest page (bytes) that is learned from.
 SAMPLE_PAGES, SAMPLE_BYTES = 700, 30_000
@@ -322,8 +322,8 @@ def main_texts(model: BlockLabeller, pages: list[str | None], padded: int = 40_0
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most: int = SAMPLE_PAGES, most_bytes: int = SAMPLE_BYTES) -> BlockLabeller:
     """Fit on ``most`` pages of at most ``most_bytes`` bytes, those whose id hashes lowest."""
     size = F.octet_length(html_col)
-    sample = pages.where(size.between(1, most_bytes)).select(F.col(html_col).alias("html")).orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(most)
-    return fit([r.html for r in sample.collect()])
+    rows = pages.where(size.between(1, most_bytes)).select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
+    return fit([r.html for r in training.lowest_hashed(rows, "id", most).collect()])
 
 
 def extract_main_text(pages: DataFrame, model: BlockLabeller, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossierlake.llm import common
+from dossierlake.llm import common, training
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents of the training sample, and the longest (bytes) that is learned from.
@@ -308,8 +308,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
     """Fit on ``most`` texts with a digit or an @, of at most ``most_bytes`` bytes, those whose id
     hashes lowest."""
     fits = F.octet_length(text_col).between(1, most_bytes) & F.col(text_col).rlike("[0-9@]")
-    sample = docs.where(fits).select(F.col(text_col).alias("text")).orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(most)
-    return fit([r.text for r in sample.collect()])
+    rows = docs.where(fits).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return fit([r.text for r in training.lowest_hashed(rows, "id", most).collect()])
 
 
 def _found(rows, model: SkipChainCrf, together: int = 256, size: int = 4 << 20):
@@ -369,7 +369,7 @@ def mask_private_data(docs: DataFrame, model: SkipChainCrf, text_col: str = "tex
     def mask(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in common.small(batches, 1024):
             texts = batch.column(text_col).to_pylist()
             new = [masked(text, base + more) if base else text for _, text, base, more in _found(((t,) for t in texts), shared.value)]
             new = [None if old is None else n for old, n in zip(texts, new)]

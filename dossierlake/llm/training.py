@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from dossierlake.llm import common
 
 
+def lowest_hashed(rows: DataFrame, id_col: str, most: int) -> DataFrame:
+    """The ``most`` rows whose ids hash lowest, in that order.
+
+    The rows are counted first, and only hashes below twice the share that is wanted are sorted, so
+    about 2 * ``most`` rows leave their tasks, however many tasks there are.
+    """
+    total = rows.count()
+    h = F.xxhash64(F.col(id_col))
+    if total > 2 * most:
+        rows = rows.where(h < F.lit(int((2 * most / total) * 2.0**64) - 2**63))
+    return rows.orderBy(h, F.col(id_col)).limit(most)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_bytes: int, id_col: str = "doc_id",
                     text_col: str = "text", folds: int = 5) -> list[tuple[str, int]]:
     """Texts and labels to learn from, in a fixed order.
@@ -23,7 +36,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     )
     chosen = None
     for value in (0, 1):
-        part = rows.where(F.col("_label") == value).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
+        part = lowest_hashed(rows.where(F.col("_label") == value), "_id", per_class)
         chosen = part if chosen is None else chosen.unionAll(part)
     size = F.octet_length(text_col)
     texts = docs.where(size.between(1, most_bytes)).select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text"))

@@ -199,3 +199,12 @@ def test_labeller_gradients():
         down = loss()
         w[at] = old
         assert abs((up - down) / 2e-3 - g[at]) < 2e-3
+
+
+def test_lowest_hashed_is_the_same_however_the_rows_lie(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(20_000).withColumnRenamed("id", "key")
+    expected = [r.key for r in rows.orderBy(F.xxhash64("key"), "key").limit(300).collect()]
+    assert [r.key for r in training.lowest_hashed(rows.repartition(17), "key", 300).collect()] == expected
+    assert training.lowest_hashed(rows.limit(10), "key", 300).count() == 10
