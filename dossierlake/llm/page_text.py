@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,8 +18,8 @@ from dossierlake.llm import common, training
 SAMPLE_PAGES, SAMPLE_BYTES = 700, 30_000
 #: Hashed places of tag-path words and of text words, and their dimensions.
 PATH_PLACES, WORD_PLACES, PATH_DIM, WORD_DIM, FIGURES, HIDDEN = 1 << 11, 1 << 12, 12, 8, 5, 12
-#: Words of a block that are looked at for its label; its text is kept whole.
-LABEL_WORDS = 40
+#: Characters of a block whose words are held at a time.
+PIECE = 1 << 16
 
 #: Elements that end a block, elements without an end tag, elements whose content is no text.
 BLOCK_TAGS = frozenset(
@@ -124,28 +125,46 @@ def weak_label(path: list[str]) -> int:
 
 @dataclass
 class Sequences:
-    """Blocks of one page as numbers: places of path words and text words with their block, figures."""
+    """Blocks of one page as numbers: places of path words and text words with their block, how often
+    a text word's place occurs in the block, figures."""
 
     n: int
     path: np.ndarray
     path_at: np.ndarray
     word: np.ndarray
     word_at: np.ndarray
+    count: np.ndarray
     figures: np.ndarray
 
 
+def _word_counts(text: str) -> dict[int, int]:
+    """Hashed places of all words of a block and how often each occurs. Long blocks are read in
+    pieces that end at a blank, so what is held is bounded by the number of places."""
+    counts: dict[int, int] = {}
+    at = 0
+    while at < len(text):
+        end = text.find(" ", at + PIECE)
+        end = len(text) if end < 0 else end
+        for w, k in Counter(common.alnum_words(text[at:end])).items():
+            place = zlib.crc32(w) % WORD_PLACES
+            counts[place] = counts.get(place, 0) + k
+        at = end
+    return counts
+
+
 def describe(found: list[tuple[list[str], str, float]]) -> Sequences:
-    path, path_at, word, word_at = [], [], [], []
+    path, path_at, word, word_at, count = [], [], [], [], []
     figures = np.zeros((len(found), FIGURES), np.float32)
     for i, (words, text, share) in enumerate(found):
         path += [zlib.crc32(w.encode()) % PATH_PLACES for w in words]
         path_at += [i] * len(words)
-        head = common.alnum_words(text[: 16 * LABEL_WORDS])[:LABEL_WORDS]
-        word += [zlib.crc32(w) % WORD_PLACES for w in head]
-        word_at += [i] * len(head)
+        counts = _word_counts(text)
+        word += counts.keys()
+        word_at += [i] * len(counts)
+        count += counts.values()
         figures[i] = (np.log1p(len(text)) / 8, share, i / len(found), (len(found) - i) / len(found), text[-1] in ".!?…")
     as_int = lambda x: np.array(x, np.int64)
-    return Sequences(len(found), as_int(path), as_int(path_at), as_int(word), as_int(word_at), figures)
+    return Sequences(len(found), as_int(path), as_int(path_at), as_int(word), as_int(word_at), as_int(count), figures)
 
 
 def _sigmoid(x):
@@ -180,13 +199,13 @@ class BlockLabeller:
         path_at = np.concatenate([p.path_at + i * longest for i, p in enumerate(pages)])
         word = np.concatenate([p.word for p in pages])
         word_at = np.concatenate([p.word_at + i * longest for i, p in enumerate(pages)])
-        share = 1 / np.maximum(1, np.bincount(word_at, minlength=len(flat)))[word_at].astype(np.float32)
+        count = np.concatenate([p.count for p in pages])
+        share = (count / np.maximum(1, np.bincount(word_at, count, len(flat)))[word_at]).astype(np.float32)
         summed = np.zeros((len(flat), PATH_DIM), np.float32)
         np.add.at(summed, path_at, self.path[path])
         flat[:, :PATH_DIM] = summed
-        summed = np.zeros((len(flat), WORD_DIM), np.float32)
-        np.add.at(summed, word_at, self.word[word] * share[:, None])
-        flat[:, PATH_DIM : PATH_DIM + WORD_DIM] = summed
+        for k in range(WORD_DIM):
+            flat[:, PATH_DIM + k] = np.bincount(word_at, self.word[word, k] * share, len(flat))
         for i, p in enumerate(pages):
             x[i, : p.n, PATH_DIM + WORD_DIM :] = p.figures
         return x, (path, path_at, word, word_at, share)
@@ -243,7 +262,8 @@ class BlockLabeller:
         dx = (dx_a + self.turned(dx_b, sizes)).reshape(-1, x.shape[2])
         dpath, dword = np.zeros_like(self.path), np.zeros_like(self.word)
         np.add.at(dpath, path, dx[path_at, :PATH_DIM])
-        np.add.at(dword, word, dx[word_at, PATH_DIM : PATH_DIM + WORD_DIM] * share[:, None])
+        for k in range(WORD_DIM):
+            dword[:, k] = np.bincount(word, dx[word_at, PATH_DIM + k] * share, WORD_PLACES)
         return [dpath, dword, *cell_a, *cell_b, np.einsum("pbh,pb->h", both, error), np.array([error.sum()], np.float32)]
 
     def _back(self, x, kept, out, cell, dout):

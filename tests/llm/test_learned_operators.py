@@ -176,6 +176,20 @@ def test_page_text(spark):
     assert page_text.extract_main_text(pages.limit(0), model).count() == 0
 
 
+def test_labeller_reads_whole_blocks():
+    """Words anywhere in a block count for its vector, and a tail alone can tell two blocks apart."""
+    head = prose(1, 200)
+    page = "<div><div>{}</div></div>"
+    model = page_text.BlockLabeller(1)
+    one, two = (model.inputs([page_text.describe(page_text.blocks(page.format(f"{head} {tail}")))])[0] for tail in ("alpha", "gamma"))
+    assert one.shape == two.shape and not np.allclose(one, two)
+    text = "Ab-c " * 30_000 + prose(2, 5000)
+    found = page_text.describe(page_text.blocks(f"<p>{text}</p>"))
+    words = alnum_words(" ".join(text.split()))
+    expected = np.bincount([zlib.crc32(w) % page_text.WORD_PLACES for w in words], minlength=page_text.WORD_PLACES)
+    assert np.array_equal(np.bincount(found.word, found.count, page_text.WORD_PLACES), expected)
+
+
 def test_labeller_gradients():
     """The gradients of the recurrent network against differences."""
     pages = [page_text.describe(page_text.blocks(PAGE)), page_text.describe(page_text.blocks(PAGE)[:3])]
