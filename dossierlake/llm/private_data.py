@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +19,8 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 20_000
 #: Hashed places of token features.
 PLACES = 1 << 13
+#: Score of a label that a token or hub cannot have, and the change of messages that counts as none.
+NEVER, SETTLED = -1e6, 1e-4
 #: Probability from which a token's label adds a span.
 SURE = 0.9
 
@@ -86,13 +89,13 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
 @dataclass
 class Graph:
     """Tokens of one document that could be personal data: features, spans, neighbours in the text and
-    links between repeated or similar tokens."""
+    the group of repeated or similar tokens that each belongs to (-1: none)."""
 
     spans: list[tuple[int, int]]
     feature: np.ndarray
     feature_at: np.ndarray
     chain: np.ndarray
-    skip: np.ndarray
+    group: np.ndarray
 
 
 def _shape(token: str) -> str:
@@ -102,13 +105,12 @@ def _shape(token: str) -> str:
 def document_graph(text: str) -> Graph | None:
     """Nodes are the tokens between blanks with a digit or an @; the others cannot be personal data.
 
-    Neighbouring tokens are joined. So are tokens with the same text, and with the same six or more
-    digits: each with the one before it, so a token that recurs a thousand times has a thousand
-    links, not a million.
+    Neighbouring tokens are joined. Tokens with the same six or more digits, or with fewer digits and
+    the same text, form a group, whose hub links any two of them over two edges; a token that recurs a
+    thousand times has a thousand links, not a million.
     """
     spans, features, at = [], [], []
-    chain, skip = [], []
-    seen: dict[str, int] = {}
+    chain, keys = [], []
     before = ""
     last = -2
     for number, m in enumerate(_TOKEN.finditer(text)):
@@ -126,15 +128,14 @@ def document_graph(text: str) -> Graph | None:
         at += [i] * len(found)
         if number == last + 1:
             chain.append((i - 1, i))
-        for key in {core.lower(), digits if len(digits) >= 6 else core.lower()}:
-            if key in seen and len(key) > 1:
-                skip.append((seen[key], i))
-            seen[key] = i
+        keys.append(digits if len(digits) >= 6 else core.lower())
         before, last = token, number
     if not spans:
         return None
-    pairs = lambda x: np.array(x, np.int64).reshape(-1, 2)
-    return Graph(spans, np.array(features, np.int64), np.array(at, np.int64), pairs(chain), np.unique(pairs(skip), axis=0))
+    repeated = [key for key, k in Counter(keys).items() if k > 1 and len(key) > 1]
+    number_of = {key: i for i, key in enumerate(repeated)}
+    group = np.array([number_of.get(key, -1) for key in keys], np.int64)
+    return Graph(spans, np.array(features, np.int64), np.array(at, np.int64), np.array(chain, np.int64).reshape(-1, 2), group)
 
 
 def token_labels(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> np.ndarray:
@@ -148,17 +149,20 @@ def token_labels(spans: list[tuple[int, int]], base: list[tuple[int, int, int]])
 
 
 def _joined(graphs: list[Graph]):
-    """Several documents as one graph without links between them."""
+    """Several documents as one graph without links between them: tokens, features, neighbours,
+    groups and their number, document of every token."""
     sizes = [len(g.spans) for g in graphs]
     shift = np.concatenate([[0], np.cumsum(sizes)])
+    groups = np.concatenate([[0], np.cumsum([g.group.max() + 1 for g in graphs])])
     cat = lambda xs: np.concatenate(xs)
     return (
         int(shift[-1]),
         cat([g.feature for g in graphs]),
         cat([g.feature_at + s for g, s in zip(graphs, shift)]),
         cat([g.chain + s for g, s in zip(graphs, shift)]),
-        cat([g.skip + s for g, s in zip(graphs, shift)]),
-        shift,
+        cat([np.where(g.group < 0, -1, g.group + s) for g, s in zip(graphs, groups)]),
+        int(groups[-1]),
+        np.repeat(np.arange(len(graphs)), sizes),
     )
 
 
@@ -177,36 +181,63 @@ class SkipChainCrf:
         np.add.at(out, at, rows if weight is None else rows * weight[:, None])
         return out
 
-    def marginals(self, graphs: list[Graph], known: np.ndarray | None = None, rounds: int = 12) -> np.ndarray:
-        """Label probabilities of all tokens by loopy sum-product messages, all edges at once, damped.
-        ``known`` holds labels of tokens that are sure (-1: open)."""
-        n, feature, at, chain, skip, _ = _joined(graphs)
-        scores = self.node_scores(n, feature, at)
+    def marginals(self, graphs: list[Graph], known: np.ndarray | None = None) -> np.ndarray:
+        """Label probabilities of all tokens by loopy sum-product messages, damped, until those of every
+        document have settled. ``known`` holds labels of tokens that are sure (-1: open).
+
+        The hub of a group with sure members of some kind has their kinds, in their shares, however many
+        open members there are."""
+        n, feature, at, chain, group, n_groups, doc = _joined(graphs)
+        member = np.flatnonzero(group >= 0)
+        hub = n + group[member]
+        scores = np.concatenate([self.node_scores(n, feature, at), np.zeros((n_groups, self.unary.shape[1]))])
         if known is not None:
             sure = np.flatnonzero(known >= 0)
-            scores[sure] = -30
+            scores[sure] = NEVER
             scores[sure, known[sure]] = 0
-        edges = np.concatenate([chain, skip])
-        if not len(edges):
-            return _softmax(scores)
-        table = np.concatenate([np.repeat(self.chain[None], len(chain), 0), np.repeat(self.skip[None], len(skip), 0)])
-        source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-        table = np.concatenate([table, table.transpose(0, 2, 1)])
-        back = np.concatenate([np.arange(len(edges), 2 * len(edges)), np.arange(len(edges))])
+            counts = _group_labels(group, n_groups, np.maximum(known, 0))[:, 1:]
+            told = np.flatnonzero(counts.any(axis=1))
+            scores[n + told] = NEVER
+            scores[n + told, 1:] = np.where(counts[told] > 0, np.log(np.maximum(1, counts[told])), NEVER)
+        ends = [(chain[:, 0], chain[:, 1]), (chain[:, 1], chain[:, 0]), (member, hub), (hub, member)]
+        tables = [np.exp(t) for t in (self.chain, self.chain.T, self.skip, self.skip.T)]
+        source, target = (np.concatenate([e[k] for e in ends]) for k in (0, 1))
+        kind = np.repeat(np.arange(4), [len(e[0]) for e in ends])
+        place = np.arange(len(source))
+        back = place + np.array([len(chain), -len(chain), len(member), -len(member)])[kind]
+        of = doc[np.where(source < n, source, target)]
+        sizes = np.bincount(doc, minlength=len(graphs))
         message = np.zeros((len(source), scores.shape[1]))
-        for _ in range(rounds):
-            belief = scores.copy()
-            np.add.at(belief, target, message)
-            new = _log_sum(belief[source][:, :, None] - message[back][:, :, None] + table, 1)
+        live, rounds, step = place, 0, np.full(len(graphs), 0.5)
+        while len(live):
+            rounds += 1
+            x = _received(scores, target[live], message[live])[source[live]] - message[back[live]]
+            x = np.exp(x - x.max(axis=1, keepdims=True))
+            new = np.empty_like(x)
+            for k, table in enumerate(tables):
+                these = kind[live] == k
+                new[these] = np.log(x[these] @ table)
             new -= _log_sum(new, 1)[:, None]
-            new = 0.5 * message + 0.5 * new
-            moved = np.abs(new - message).max()
-            message = new
-            if moved < 1e-3:
-                break
-        belief = scores.copy()
-        np.add.at(belief, target, message)
-        return _softmax(belief)
+            change = step[of[live]][:, None] * (new - message[live])
+            message[live] += change
+            moved = np.zeros(len(graphs))
+            np.maximum.at(moved, of[live], np.abs(change).max(axis=1))
+            # a document without loops settles within some rounds a token; one that swings takes smaller steps
+            step[rounds % (200 + 4 * sizes) == 0] /= 2
+            live = live[moved[of[live]] >= SETTLED]
+        return _softmax(_received(scores, target, message)[:n])
+
+
+def _received(scores: np.ndarray, target: np.ndarray, message: np.ndarray) -> np.ndarray:
+    """Scores of all nodes plus the messages that reach them."""
+    return scores + np.stack([np.bincount(target, message[:, k], len(scores)) for k in range(scores.shape[1])], axis=1)
+
+
+def _group_labels(group: np.ndarray, n_groups: int, labels: np.ndarray) -> np.ndarray:
+    """Members of every group by label."""
+    width = len(KINDS) + 1
+    inside = group >= 0
+    return np.bincount(group[inside] * width + labels[inside], minlength=n_groups * width).reshape(n_groups, width)
 
 
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -221,35 +252,40 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 def fit(texts: list[str], steps: int = 300, rate: float = 0.1, decay: float = 1e-3, seed: int = 9) -> SkipChainCrf:
     """Learn from what the fixed patterns find, by pseudo-likelihood: every token's label given its
-    features and its neighbours' labels. A token's own features are left out for half the tokens of
-    a step, so that the links learn to carry labels. Links favour equal labels from the start."""
+    features, its neighbours' labels and the kind that most others of its group have, if any has one.
+    A token's own features are left out for half the tokens of a step, so that the links learn to
+    carry labels. Links favour equal labels from the start."""
     model = SkipChainCrf()
     model.skip += 4 * np.eye(len(KINDS) + 1)
     pairs = [(g, token_labels(g.spans, base_spans(t))) for t in texts if (g := document_graph(t)) is not None]
     if not pairs:
         return model
     rng = np.random.default_rng(seed)
-    n, feature, at, chain, skip, _ = _joined([g for g, _ in pairs])
+    n, feature, at, chain, group, n_groups, _ = _joined([g for g, _ in pairs])
     y = np.concatenate([labels for _, labels in pairs])
+    member = np.flatnonzero(group >= 0)
+    others = _group_labels(group, n_groups, y)[group[member]]
+    others[np.arange(len(member)), y[member]] -= 1
+    hub = np.where(others[:, 1:].any(axis=1), 1 + others[:, 1:].argmax(axis=1), 0)
     weights = [model.unary, model.chain, model.skip]
     squares = [np.full_like(w, 1e-6) for w in weights]
     start = [w.copy() for w in weights]
     for _ in range(steps):
         shown = (rng.random(n) < 0.5)[at].astype(float)
         scores = model.node_scores(n, feature, at, shown)
-        for edges, table in ((chain, model.chain), (skip, model.skip)):
-            np.add.at(scores, edges[:, 1], table[y[edges[:, 0]]])
-            np.add.at(scores, edges[:, 0], table.T[y[edges[:, 1]]])
+        np.add.at(scores, chain[:, 1], model.chain[y[chain[:, 0]]])
+        np.add.at(scores, chain[:, 0], model.chain.T[y[chain[:, 1]]])
+        scores[member] += model.skip[hub]
         error = _softmax(scores)
         error[np.arange(n), y] -= 1
         error /= n
         gradients = [np.zeros_like(w) for w in weights]
         np.add.at(gradients[0], feature, error[at] * shown[:, None])
-        for k, edges in ((1, chain), (2, skip)):
-            np.add.at(gradients[k], y[edges[:, 0]], error[edges[:, 1]])
-            turned = np.zeros_like(gradients[k])
-            np.add.at(turned, y[edges[:, 1]], error[edges[:, 0]])
-            gradients[k] += turned.T
+        np.add.at(gradients[1], y[chain[:, 0]], error[chain[:, 1]])
+        turned = np.zeros_like(gradients[1])
+        np.add.at(turned, y[chain[:, 1]], error[chain[:, 0]])
+        gradients[1] += turned.T
+        np.add.at(gradients[2], hub, error[member])
         for w, g, s, w0 in zip(weights, gradients, squares, start):
             g += decay * (w - w0)
             s += g**2
@@ -258,17 +294,11 @@ def fit(texts: list[str], steps: int = 300, rate: float = 0.1, decay: float = 1e
     return model
 
 
-def tied(n: int, skip: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """For every token and label, whether links lead from the token to one that is known to have it."""
-    out = np.zeros((n, len(KINDS) + 1), bool)
-    out[np.flatnonzero(known > 0), known[known > 0]] = True
-    while len(skip):
-        new = out.copy()
-        np.logical_or.at(new, skip[:, 0], out[skip[:, 1]])
-        np.logical_or.at(new, skip[:, 1], out[skip[:, 0]])
-        if (new == out).all():
-            break
-        out = new
+def tied(group: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """For every token and label, whether a token of its group is known to have it."""
+    counts = _group_labels(group, int(group.max()) + 1, known)
+    out = np.zeros((len(group), len(KINDS) + 1), bool)
+    out[group >= 0] = counts[group[group >= 0]] > 0
     return out
 
 
@@ -289,7 +319,7 @@ def added_spans(model: SkipChainCrf, texts: list[str], bases: list[list[tuple[in
     for i, labels in zip(live, known):
         g = graphs[i]
         joined = {b for a, b in g.chain.tolist()}
-        reached = tied(len(labels), g.skip, labels)
+        reached = tied(g.group, labels)
         new = [
             int(best[at + t]) if not labels[t] and sureness[at + t] >= sure and reached[t, best[at + t]] else 0 for t in range(len(labels))
         ]

@@ -141,6 +141,19 @@ def test_links_carry_labels(spark):
     assert private_data.fit([]).skip[1, 1] > 0
 
 
+def test_links_carry_labels_at_any_distance():
+    """A match ties all later repeats of its token, near or far, and messages settle by document."""
+    model = private_data.fit([f"call +1 (499) 555-{i:04d} or {i} times, mail u{i}@mail.example.com on 12.5." for i in range(1000, 1400)])
+    far = "+1 (499) 555-6503 " + prose(1, 40) + " 5556503 then" * 80
+    mirrored = "5556503 then " * 80 + prose(1, 40) + " +1 (499) 555-6503"
+    texts = [far, mirrored, "1 2 3 4 5 6 7 8 9 " * 300 + "a@b.c"]
+    bases = [private_data.base_spans(t) for t in texts]
+    together = private_data.added_spans(model, texts, bases)
+    for text, spans in zip(texts[:2], together):
+        assert [(3, *m.span()) for m in re.finditer("5556503", text)] == spans
+    assert together == [private_data.added_spans(model, [t], [b])[0] for t, b in zip(texts, bases)]
+
+
 def test_private_data_query(spark):
     import hashlib
 
