@@ -21,8 +21,9 @@ SAMPLE_ROWS, SAMPLE_BYTES = 3000, 20_000
 PLACES = 1 << 13
 #: Score of a label that a token or hub cannot have, and the change of messages that counts as none.
 NEVER, SETTLED = -1e6, 1e-4
-#: Probability from which a token's label adds a span.
-SURE = 0.9
+#: Probability from which a token's label adds a span, and the precision on held-out matches up to
+#: which that probability is raised for tokens that no match of the document ties to the kind.
+SURE, PRECISION = 0.9, 0.99
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -109,6 +110,8 @@ def document_graph(text: str) -> Graph | None:
     the same text, form a group, whose hub links any two of them over two edges; a token that recurs a
     thousand times has a thousand links, not a million.
     """
+    if not _HINT.search(text):
+        return None
     spans, features, at = [], [], []
     chain, keys = [], []
     before = ""
@@ -171,6 +174,7 @@ class SkipChainCrf:
 
     def __init__(self):
         n = len(KINDS) + 1
+        self.sure = SURE
         self.unary = np.zeros((PLACES, n))
         self.chain = np.zeros((n, n))
         self.skip = np.zeros((n, n))
@@ -251,13 +255,39 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], steps: int = 300, rate: float = 0.1, decay: float = 1e-3, seed: int = 9) -> SkipChainCrf:
-    """Learn from what the fixed patterns find, by pseudo-likelihood: every token's label given its
-    features, its neighbours' labels and the kind that most others of its group have, if any has one.
-    A token's own features are left out for half the tokens of a step, so that the links learn to
-    carry labels. Links favour equal labels from the start."""
+    """Learn from what the fixed patterns find, and how sure the field must be of a token by itself:
+    a field learned without every fifth text is held against the matches of those."""
+    pairs = [(g, token_labels(g.spans, base_spans(t))) for t in texts if (g := document_graph(t)) is not None]
+    model = _learned(pairs, steps, rate, decay, seed)
+    held = pairs[::5]
+    if len(pairs) > len(held):
+        judge = _learned([p for i, p in enumerate(pairs) if i % 5], steps, rate, decay, seed)
+        model.sure = _least_sure(judge.marginals([g for g, _ in held]), np.concatenate([y for _, y in held]))
+    return model
+
+
+def _least_sure(p: np.ndarray, y: np.ndarray) -> float:
+    """The least probability, ``SURE`` at least, from which ``PRECISION`` of the labels other than 0 are
+    right; above 1 if there is none."""
+    best, sureness = p.argmax(axis=1), p.max(axis=1)
+    found = np.flatnonzero((best > 0) & (sureness >= SURE))
+    found = found[np.argsort(-sureness[found], kind="stable")]
+    if not len(found):
+        return SURE
+    precise = np.cumsum(best[found] == y[found]) >= PRECISION * np.arange(1, len(found) + 1)
+    if precise[-1]:
+        return SURE
+    last = np.flatnonzero(precise)
+    return float(sureness[found[last[-1]]]) if len(last) else 2.0
+
+
+def _learned(pairs: list[tuple[Graph, np.ndarray]], steps: int, rate: float, decay: float, seed: int) -> SkipChainCrf:
+    """Learn by pseudo-likelihood: every token's label given its features, its neighbours' labels and
+    the kind that most others of its group have, if any has one. A token's own features are left out
+    for half the tokens of a step, so that the links learn to carry labels. Links favour equal labels
+    from the start."""
     model = SkipChainCrf()
     model.skip += 4 * np.eye(len(KINDS) + 1)
-    pairs = [(g, token_labels(g.spans, base_spans(t))) for t in texts if (g := document_graph(t)) is not None]
     if not pairs:
         return model
     rng = np.random.default_rng(seed)
@@ -303,10 +333,11 @@ def tied(group: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def added_spans(model: SkipChainCrf, texts: list[str], bases: list[list[tuple[int, int, int]]], sure: float = SURE) -> list[list[tuple[int, int, int]]]:
-    """Spans of tokens that the field labels with at least ``sure``, that no pattern covers and that
-    links tie to a pattern match of the kind. Tokens in pattern matches keep their labels.
-    Neighbouring tokens of a kind form one span."""
-    graphs = [document_graph(t) if b else None for t, b in zip(texts, bases)]
+    """Spans of tokens that no pattern covers and that the field labels with at least ``sure``, or
+    ``model.sure`` if that is more and no match of the document ties them to the kind. Every text with
+    a candidate token is looked at. Tokens in pattern matches keep their labels. Neighbouring tokens of
+    a kind form one span."""
+    graphs = [document_graph(t) for t in texts]
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     live = [i for i, g in enumerate(graphs) if g is not None]
     if not live:
@@ -320,9 +351,9 @@ def added_spans(model: SkipChainCrf, texts: list[str], bases: list[list[tuple[in
         g = graphs[i]
         joined = {b for a, b in g.chain.tolist()}
         reached = tied(g.group, labels)
-        new = [
-            int(best[at + t]) if not labels[t] and sureness[at + t] >= sure and reached[t, best[at + t]] else 0 for t in range(len(labels))
-        ]
+        mine, how = best[at : at + len(labels)], sureness[at : at + len(labels)]
+        least = np.where(reached[np.arange(len(labels)), mine], sure, max(sure, model.sure))
+        new = np.where((labels == 0) & (how >= least), mine, 0).tolist()
         at += len(labels)
         for t, label in enumerate(new):
             if not label:
@@ -365,7 +396,7 @@ def find_private_data(docs: DataFrame, model: SkipChainCrf, id_col: str = "doc_i
     """Spans of personal data in whole texts, as code points, end exclusive: doc_id, and base and
     added, each an array of (kind, start, end) triples laid flat, kinds numbered as in ``KINDS``.
 
-    Null and empty texts have none. A document without a pattern match has nothing to carry over.
+    Null and empty texts have none. Added spans do not depend on a pattern match in the document.
     Repeated rows and null ids are kept. Only the two named columns are read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -401,7 +432,7 @@ def mask_private_data(docs: DataFrame, model: SkipChainCrf, text_col: str = "tex
 
         for batch in common.small(batches, 1024):
             texts = batch.column(text_col).to_pylist()
-            new = [masked(text, base + more) if base else text for _, text, base, more in _found(((t,) for t in texts), shared.value)]
+            new = [masked(text, base + more) if base or more else text for _, text, base, more in _found(((t,) for t in texts), shared.value)]
             new = [None if old is None else n for old, n in zip(texts, new)]
             columns = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
             columns[text_col] = pa.array(new, batch.schema.field(text_col).type)

@@ -154,6 +154,25 @@ def test_links_carry_labels_at_any_distance():
     assert together == [private_data.added_spans(model, [t], [b])[0] for t, b in zip(texts, bases)]
 
 
+def test_field_finds_what_no_pattern_of_the_document_ties(spark):
+    """What was learned adds a span in a document without any match, if it is sure enough."""
+    model = private_data.fit([f"call +1 (499) 555-{i:04d} or {i} times, mail u{i}@mail.example.com on 12.5." for i in range(1000, 1400)])
+    rows = [(1, "please call 1 (499) 555-6503 today"), (2, "we met 12 and 2024 times"), (3, "call 1 (499) 555-6503 or mail a@b.c")]
+    got = {r.doc_id: r for r in private_data.find_private_data(edge_docs(spark, rows), model).collect()}
+    for i, text in (rows[0], rows[2]):
+        assert got[i].added == [3, *re.search(r"1 \(.*6503", text).span()]
+    assert got[1].base == got[2].base == got[2].added == []
+    masked = {r.doc_id: r.text for r in private_data.mask_private_data(edge_docs(spark, rows), model).collect()}
+    assert masked[1] == "please call <PHONE> today" and masked[2] == rows[1][1] and masked[3] == "call <PHONE> or mail <EMAIL>"
+
+
+def test_needed_probability_is_calibrated():
+    p = np.array([[1 - q, q, 0, 0, 0] for q in (0.99, 0.98, 0.97, 0.96, 0.95, 0.2)])
+    assert private_data._least_sure(p, np.array([1, 1, 1, 1, 1, 1])) == private_data.SURE
+    assert private_data._least_sure(p, np.array([1, 1, 1, 0, 0, 0])) == 0.97
+    assert private_data._least_sure(p, np.array([0, 0, 0, 0, 0, 0])) > 1
+
+
 def test_private_data_query(spark):
     import hashlib
 
