@@ -287,7 +287,6 @@ CAPTION = r"\[\s*(표|양식|서식|별표)\s*\d+"
 CONTENTS_LINE = r"\t\d+\s*$"
 FIGURE_LINE = r"^(그림\s*\d+|Fig\.)"
 CONTINUED = r"\(\s*계속\s*\)"
-SOURCE_TEXT_CAP = 6000
 SOURCE_HEAD = 4000
 SOURCE_TAIL = 2000
 CUT_MARK = "\n\n[...생략...]\n\n"

@@ -120,11 +120,19 @@ def _first_text(cond: Column) -> Column:
     return F.min_by(F.col("text"), F.when(cond, F.col("ord")))
 
 
-def document_blocks(elements: DataFrame, doc: list[str], tables_alone: bool = False) -> DataFrame:
+def _start(text, most: int | None):
+    """The text, or its first ``most`` characters."""
+    return T.col(text) if most is None else F.substring(text, 1, most)
+
+
+def document_blocks(
+    elements: DataFrame, doc: list[str], tables_alone: bool = False, header_max: int | None = None, trail_max: int | None = None
+) -> DataFrame:
     """Blocks with number, header and size.
 
     A lone heading without content becomes a breadcrumb of the next block; trailing ones
-    form a last, empty block.
+    form a last, empty block. Headers and trails are whole unless ``header_max`` and
+    ``trail_max`` say how many characters to keep.
     """
     hot = scan.is_hot(elements, doc)
     cut = forced_cuts(segments(elements, doc, tables_alone, hot), doc)
@@ -154,10 +162,9 @@ def document_blocks(elements: DataFrame, doc: list[str], tables_alone: bool = Fa
     numbered = scan.running_sum(
         marked, doc, "start", (~F.col("_orphan")).cast("long"), "block_num", hot=hot
     )
-    cut_at = fixed.HEADER_MAX
     crumbs = numbered.filter("_orphan").groupBy(*doc, "block_num").agg(
         F.transform(
-            F.sort_array(F.collect_list(F.struct("start", F.substring("_only", 1, cut_at).alias("t")))),
+            F.sort_array(F.collect_list(F.struct("start", _start("_only", header_max).alias("t")))),
             lambda x: x.t,
         ).alias("_crumbs"),
         F.min("start").alias("_crumb_start"),
@@ -167,7 +174,7 @@ def document_blocks(elements: DataFrame, doc: list[str], tables_alone: bool = Fa
     trail = F.coalesce("_crumbs", none)
     dangling = F.col("start").isNull()
     if tables_alone:
-        short = (F.length("_only") < cut_at) & ~F.col("_only").rlike(fixed.FIGURE_LINE)
+        short = (F.length("_only") < fixed.HEADER_MAX) & ~F.col("_only").rlike(fixed.FIGURE_LINE)
         candidates = ["_numbered", F.when(short, F.col("_only")), "_table", "_plain"]
     else:
         candidates = ["_heading", "_caption", "_table", "_plain"]
@@ -176,13 +183,13 @@ def document_blocks(elements: DataFrame, doc: list[str], tables_alone: bool = Fa
         .when(F.col("is_toc"), F.lit("(목차)"))
         .otherwise(
             F.coalesce(
-                *[F.substring(c, 1, cut_at) for c in candidates],
+                *[_start(c, header_max) for c in candidates],
                 F.concat(F.lit("(블록 "), F.col("block_num").cast("string"), F.lit(")")),
             )
         )
     )
     path = F.when(dangling, F.slice(trail, 1, F.greatest(F.size(trail) - 1, F.lit(0)))).otherwise(trail)
-    header = F.when(F.size(path) > 0, F.substring(F.array_join(F.concat(path, F.array(own)), " > "), 1, cut_at * 2)).otherwise(own)
+    header = F.when(F.size(path) > 0, _start(F.array_join(F.concat(path, F.array(own)), " > "), trail_max)).otherwise(own)
     return blocks.select(
         *doc, "block_num",
         F.when(F.coalesce(F.col("cut"), F.lit(0)) > 0, F.concat(header, F.lit(" (계속)"))).otherwise(header).alias("header_text"),
@@ -198,8 +205,9 @@ def _matches(pattern: str):
     return lambda x: x.rlike(pattern)
 
 
-def source_text(header, paragraphs, table) -> Column:
-    """Header, label hint, paragraphs and table of one block; long text keeps both ends.
+def source_text(header, paragraphs, table, ends: tuple[int, int] | None = None) -> Column:
+    """Header, label hint, paragraphs and table of one block, whole unless ``ends`` gives how many
+    characters of the start and the end to keep of a longer text.
 
     ``paragraphs`` is ARRAY<STRING> and bounded by the forced cut.
     """
@@ -219,8 +227,11 @@ def source_text(header, paragraphs, table) -> Column:
         F.when(filled, F.array_join(p, "\n")),
         F.when(T.blank_to_null(t).isNotNull(), F.concat(F.lit("[TABLE]\n\n"), t)),
     )
-    return F.when(F.length(whole) <= fixed.SOURCE_TEXT_CAP, whole).otherwise(
-        F.concat(F.substring(whole, 1, fixed.SOURCE_HEAD), F.lit(fixed.CUT_MARK), F.right(whole, F.lit(fixed.SOURCE_TAIL)))
+    if ends is None:
+        return whole
+    head, tail = ends
+    return F.when(F.length(whole) <= head + tail, whole).otherwise(
+        F.concat(F.substring(whole, 1, head), F.lit(fixed.CUT_MARK), F.right(whole, F.lit(tail)))
     )
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from dossierlake import fixed
 from dossierlake.operators import audit, blocks, evaluation
 from dossierlake.plans.adapters import Tables
 from dossierlake.plans.adapters import r4 as R4
@@ -231,7 +232,8 @@ def flat_blocks(t: Tables):
 )
 def block_source_text(t: Tables):
     docs = t.table("documents").withColumn("paragraphs", F.array("text")).withColumn("tab", F.lit(""))
-    return docs.select("doc_id", F.md5(blocks.source_text("source", "paragraphs", "tab")).alias("digest"))
+    text = blocks.source_text("source", "paragraphs", "tab", ends=(fixed.SOURCE_HEAD, fixed.SOURCE_TAIL))
+    return docs.select("doc_id", F.md5(text).alias("digest"))
 
 
 # a table per order as HTML: one row per line, the first cell spans two rows or two columns

@@ -127,6 +127,22 @@ def test_forced_cut(spark):
     assert [r.paragraphs for r in blocks.document_blocks(elements(spark, long), ["doc"]).orderBy("block_num").collect()] == [2, 2]
 
 
+def test_headers_and_source_text_are_whole(spark):
+    from pyspark.sql import functions as F
+
+    chapter, section, body = "제1장 " + "가" * 100, "1.1 " + "나" * 150, "다" * 9000
+    lines = elements(spark, [(chapter, True), (section, True), (body, False)])
+    got = blocks.document_blocks(lines, ["doc"]).orderBy("block_num").collect()
+    assert [r.header_text for r in got] == [f"{chapter} > {section}"]
+    assert [r.header_text for r in blocks.document_blocks(lines, ["doc"], header_max=60, trail_max=120).collect()] == [f"{chapter[:60]} > {section[:60]}"[:120]]
+    flat = blocks.document_blocks(lines, ["doc"], tables_alone=True).orderBy("block_num").collect()
+    assert [r.header_text for r in flat] == [chapter, section]
+    one = spark.range(1).select(F.lit("h").alias("h"), F.array(F.lit(body)).alias("p"), F.lit("").alias("t"))
+    whole = "[HEADER] h\n\n[PARAGRAPHS]\n\n" + body
+    assert one.select(blocks.source_text("h", "p", "t")).first()[0] == whole
+    assert one.select(blocks.source_text("h", "p", "t", ends=(4000, 2000))).first()[0] == whole[:4000] + "\n\n[...생략...]\n\n" + whole[-2000:]
+
+
 def test_grid(spark):
     html = "<table><tr><td rowspan=2>a</td><td colspan=2>b<br>c</td></tr><tr><td>d</td><td rowspan=3>e</td></tr><tr><td>f</td><td>g&amp;</td></tr><tr></tr></table>"
     pages = spark.createDataFrame([(1, html), (2, "<p>none</p>")], "page int, html string")
