@@ -13,10 +13,13 @@ from dossierlake.llm import (
     page_text,
     private_data,
     quality,
+    secrets,
     sharding,
     similarity_join,
+    spelling,
     toxicity,
     url_rules,
+    vector_codes,
 )
 from dossierlake.llm.registry import query, table
 
@@ -195,3 +198,149 @@ def op7_private_data(spark, folder):
         F.sha2(_listed("base"), 256).alias("base_sha256"),
         _listed(F.concat("base", "added")).alias("spans"),
     )
+
+
+def _codes_sql(rounds: int, parts: int, entries: int) -> str:
+    """DuckDB: the codebooks round by round, every distance computed."""
+    near = """
+    near{r} AS MATERIALIZED (
+        SELECT rid, part, min(d)::BIGINT AS d, arg_min(i, d * 256 + i) AS i
+        FROM (SELECT rid, x.part, i, x.norm - 2 * list_dot_product(x.v, b.v) + b.norm AS d FROM parts x JOIN book{r} b ON x.part = b.part)
+        GROUP BY rid, part)"""
+    move = """
+    moved{r} AS (
+        SELECT part, i, k, floor(sum(x) / count(*)) AS m
+        FROM (SELECT part, i, unnest(v) AS x, unnest(range(len(v))) AS k FROM parts JOIN near{r} USING (rid, part)) GROUP BY part, i, k),
+    book{s} AS MATERIALIZED (
+        SELECT part, i, coalesce(w, v) AS v, list_dot_product(coalesce(w, v), coalesce(w, v)) AS norm
+        FROM book{r} LEFT JOIN (SELECT part, i, list(m ORDER BY k) AS w FROM moved{r} GROUP BY part, i) USING (part, i))"""
+    steps = ",".join(near.format(r=r) + "," + move.format(r=r, s=r + 1) for r in range(rounds)) + "," + near.format(r=rounds)
+    return f"""
+    WITH kept AS (
+        SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS rid, vec_id, label,
+               list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
+        FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    cut AS (SELECT rid, p::INT AS part, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS v FROM kept, range({parts}) AS r(p)),
+    parts AS MATERIALIZED (SELECT *, list_dot_product(v, v) AS norm FROM cut),
+    book0 AS MATERIALIZED (SELECT part, rid::INT AS i, v, norm FROM parts WHERE rid < {entries}),{steps},
+    coded AS (
+        SELECT rid, string_agg(format('{{:02x}}', i), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM near{rounds} GROUP BY rid),
+    digest AS (
+        SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY part, i, k)) AS codebooks_sha256
+        FROM (SELECT part, i, unnest(v) AS x, unnest(range(len(v))) AS k FROM book{rounds}))
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+    FROM kept JOIN coded USING (rid), digest
+    """
+
+
+@query("op11_vector_codes", sql=_codes_sql(vector_codes.ROUNDS, vector_codes.PARTS, vector_codes.ENTRIES))
+def op11_vector_codes(spark, folder):
+    """Codes of all vectors in four parts of 256 entries, and the errors summed by label."""
+    coded, book = vector_codes.encode_vectors(table(spark, folder, "embeddings"), keep=["label"])
+    digest = F.lit(book.digest() if book else None).cast("string").alias("codebooks_sha256")
+    return vector_codes.label_errors(common.stored(coded, "codes")).select("vec_id", "code", "error", "label_error", digest)
+
+
+_CRC_SQL = """
+    crc_table AS (
+        SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY b) AS t
+        FROM range(256) AS r(b))"""
+
+
+@query(
+    "op12_spelling",
+    sql=rf"""
+    WITH RECURSIVE {_CRC_SQL},
+    runs AS (
+        SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+        FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents)
+        WHERE length(run) >= 7 GROUP BY ALL),
+    bytes AS (
+        SELECT *, flatten(list_transform(string_split(id || ':' || run, ''),
+            lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [(192 + unicode(c) // 64)::BIGINT, (128 + unicode(c) % 64)::BIGINT] END)) AS b
+        FROM runs),
+    hashed AS (
+        SELECT run, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c // 256, t[(xor(c, x) % 256) + 1])), 4294967295) AS h
+        FROM bytes, crc_table),
+    edited AS (
+        SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+    words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM edited WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+    dropped AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM words, unnest(range(1, length(word) + 1)) AS r(i)),
+    shorter AS (SELECT DISTINCT d.word, d.n, w.word AS other, w.n AS other_n FROM dropped d JOIN words w ON d.rest = w.word),
+    near AS (
+        SELECT word, n, other, other_n FROM shorter UNION ALL SELECT other, other_n, word, n FROM shorter
+        UNION ALL SELECT a.word, a.n, b.word, b.n FROM dropped a JOIN dropped b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word),
+    best AS (
+        SELECT word, count(*) AS n_near, arg_min(other, (-other_n, encode(other))) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+    formed AS MATERIALIZED (
+        SELECT word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN other_n >= 10 * w.n THEN other END AS form,
+               CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+    chain AS (
+        SELECT word, form AS at FROM formed WHERE form IS NOT NULL
+        UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON c.at = f.word WHERE f.form IS NOT NULL),
+    roots AS (SELECT c.word, c.at FROM chain c JOIN formed f ON c.at = f.word WHERE f.form IS NULL)
+    SELECT f.word, f.n, f.n_near, f.form, f.form_n, coalesce(r.at, f.word) AS root FROM formed f LEFT JOIN roots r ON f.word = r.word
+    """,
+)
+def op12_spelling(spark, folder):
+    """Every word of the documents with its accepted form and the last form of the chain."""
+    return spelling.group_variants(spelling.corpus_words(table(spark, folder, "documents")))
+
+
+def _placed_sql(kind: int, pattern: str, kept: str) -> str:
+    """DuckDB: matches of one kind with their places, from the gaps between them."""
+    return rf"""
+    SELECT row_no, start, {kind} AS kind, start + length(m) AS stop, m FROM (
+        SELECT row_no, m, sum(length(gap) + length(m)) OVER (PARTITION BY row_no ORDER BY k) - length(m) AS start FROM (
+            SELECT row_no, unnest(f) AS m, unnest(string_split_regex(text, $${pattern}$$)[1:len(f)]) AS gap, unnest(range(len(f))) AS k
+            FROM (SELECT row_no, text, regexp_extract_all(text, $${pattern}$$) AS f FROM d) WHERE len(f) > 0)) WHERE {kept}"""
+
+
+def _secrets_sql() -> str:
+    base = []
+    for kind, (pattern, least, group) in enumerate(secrets.BASE.values()):
+        measured = f"regexp_extract(m, $${pattern}$$, {group})" if group else "m"
+        base.append(_placed_sql(kind, pattern, f"length({measured}) >= {least}"))
+    allowed = " OR ".join(f"regexp_full_match(m, $${p}$$)" for p in secrets.ALLOWED if "\\1" not in p)
+    kinds = len(secrets.BASE)
+    kind = " ".join(f"WHEN regexp_full_match(m, $${p}$$) THEN {kinds + i}" for i, (_, p, _, _) in enumerate(secrets.CLASSES))
+    window = secrets.CLASSES[0][2]
+    limits = " ".join(f"WHEN {kinds + i} THEN {secrets.most_weight(w, bits)}" for i, (_, _, w, bits) in enumerate(secrets.CLASSES))
+    names = [*secrets.BASE, *(c[0] for c in secrets.CLASSES)]
+    return rf"""
+    WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text FROM documents),
+    base AS MATERIALIZED ({" UNION ALL ".join(base)}),
+    strings AS (SELECT *, CASE {kind} END AS class FROM ({_placed_sql(-1, secrets.CANDIDATE, "true")})
+        WHERE NOT ({allowed} OR length(replace(m, m[1], '')) = 0)),
+    counts AS (
+        SELECT row_no, start, class, stop, w, c, count(*) AS n
+        FROM (SELECT row_no, start, class, stop, w, unnest(string_split(substr(m, w, {window}), '')) AS c
+              FROM strings, unnest(range(1, length(m) - {window} + 2)) AS r(w)) GROUP BY ALL),
+    weighed AS (
+        SELECT row_no, start, class, stop, w, sum(({secrets.weights(window)})[n + 1]) AS weight FROM counts GROUP BY ALL),
+    added AS (
+        SELECT row_no, start, class AS kind, stop FROM weighed GROUP BY row_no, start, class, stop HAVING min(weight) <= CASE class {limits} END),
+    spans AS (
+        SELECT row_no, start, kind, ({names})[kind + 1] || ':' || start || ':' || stop AS span
+        FROM (SELECT row_no, start, kind, stop FROM base UNION ALL SELECT * FROM added)),
+    listed AS (
+        SELECT row_no, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+               string_agg(span, ',' ORDER BY start, kind) FILTER (kind < {kinds}) AS base, string_agg(span, ',' ORDER BY start, kind) AS spans
+        FROM spans GROUP BY row_no)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+           sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM d LEFT JOIN listed USING (row_no)
+    """
+
+
+@query("op13_secrets", sql=_secrets_sql())
+def op13_secrets(spark, folder):
+    """Secrets of every text: the fixed patterns, and strings of high entropy."""
+    found = secrets.find_secrets(table(spark, folder, "documents"))
+    text = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["name"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(secrets.BASE)]
+    base = F.filter("spans", lambda s: s["kind"] < len(secrets.BASE))
+    return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
