@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from dossierlake.llm import common
 
 CAPACITY = 4096
-#: Words and word parts whose ids a task keeps, each.
-CACHE = 150_000
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Words whose ids a task keeps in each of two tables, and the longest word kept.
+CACHE, KEPT_WORD = 150_000, 64
+_PLAIN = re.compile("[\\t-\\r !-~À-ÖØ-öø-ÿ]*")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\t-\\r a-z0-9ß-öø-ÿ]+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -27,20 +27,22 @@ def _byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
 
 
+
 class WordIds(dict):
-    """Token ids (little-endian uint32) of words between blanks, looked up once per word.
+    """Token ids (little-endian uint32) of words and parts of words, looked up once each.
 
     The tokenizer never joins characters across white space, so a text's ids are those of its words
-    in turn. Words of ASCII and Latin-1 letters are split here and only their parts go to the model;
-    every other word goes through the whole tokenizer. Lives in a broadcast, so a Python worker
-    keeps what it has looked up; both tables start afresh when they are full.
+    in turn. Texts and words of ASCII and Latin-1 letters are split into parts here, which go to the
+    model; every other word goes through the whole tokenizer. Lives in a broadcast, so a Python
+    worker keeps what it has looked up. A full table becomes the old one, and what is met again moves
+    up from there: frequent words stay while memory is bounded.
     """
 
     def __init__(self, tokenizer_json: str):
         super().__init__()
         self.source = tokenizer_json
         self.tokenizer = None
-        self.parts: dict[str, bytes] = {}
+        self.old: dict[str | bytes, bytes] = {}
 
     def __reduce__(self):
         return WordIds, (self.source,)
@@ -55,33 +57,34 @@ class WordIds(dict):
         return self
 
     def ids(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode().split())) if text else b""
+        if not text:
+            return b""
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self.__getitem__, _PARTS.findall(text.lower())))
+        return b"".join(map(self.__getitem__, text.encode().split()))
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def __missing__(self, key: str | bytes) -> bytes:
+        """A part as text, a word as bytes."""
+        found = self.old.get(key)
+        if found is None:
+            found = self.part(key) if isinstance(key, str) else self.word(key.decode())
+            if len(key) > KEPT_WORD:
+                return found
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
 
-    def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
+    def word(self, text: str) -> bytes:
         if _PLAIN.fullmatch(text) and "<|" not in text:
-            found = b"".join([self.part(p) for p in _PARTS.findall(text.lower())])
-        else:
-            found = self.whole(text)
-        if len(word) <= 64:
-            if len(self) >= CACHE:
-                self.clear()
-            self[word] = found
-        return found
+            return self.ids(text)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def part(self, text: str) -> bytes:
-        found = self.parts.get(text)
-        if found is None:
-            shown = text if text.isascii() else "".join([self.letters[b] for b in text.encode()])
-            got = [t.id for t in self.model.tokenize(shown)]
-            found = struct.pack(f"<{len(got)}I", *got)
-            if len(self.parts) >= CACHE:
-                self.parts.clear()
-            self.parts[text] = found
-        return found
+        shown = text if text.isascii() else "".join([self.letters[b] for b in text.encode()])
+        got = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(got)}I", *got)
 
 
 def token_pieces(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text",
