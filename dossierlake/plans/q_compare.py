@@ -1,5 +1,7 @@
 """Queries on comparisons of submissions and on search."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from dossierlake import fixed
@@ -8,6 +10,7 @@ from dossierlake.operators import comparison, patterns, scan, search
 from dossierlake.plans.adapters import Tables
 from dossierlake.plans.adapters import r4 as R4
 from dossierlake.plans.registry import query, r4
+from dossierlake.sources import files, search_index
 
 
 @query(
@@ -217,13 +220,33 @@ def _bm25(phrases: list[str], docs: str, key: str, weights: dict[str, float]) ->
     scored AS (SELECT {key}, 0.0E0 {terms} AS score FROM m, t WHERE {hit})"""
 
 
-@query(
-    "phrase_search", "part_docs",
-    "SELECT competition_id FROM part_docs WHERE lower(facility_text || '~' || winner_patterns || '~' || extra_meta) LIKE '%red wid%'",
-)
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def _stored_index(t: Tables, name: str, docs, key: str, columns: list[str], **options) -> search_index.Index:
+    """The stored index of one collection, written once per session and folder."""
+    at = (t.spark.sparkContext.applicationId, t.folder, name)
+    if at not in _STORED:
+        path = f"{files.shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+        search_index.build_index(docs(), key, columns, path, **options)
+        _STORED[at] = path
+    return search_index.Index(t.spark, _STORED[at])
+
+
+def _parts(t: Tables) -> search_index.Index:
+    return _stored_index(t, "part_docs", lambda: t.view("part_docs"), "competition_id", list(W), buckets=16, splits=1)
+
+
+def _documents(t: Tables) -> search_index.Index:
+    return _stored_index(t, "documents", lambda: t.table("documents"), "doc_id", ["text", "source"])
+
+
+_ANY_COLUMN = " || chr(10) || ".join(W)
+
+
+@query("phrase_search", "part_docs", f"SELECT competition_id FROM part_docs WHERE contains(lower({_ANY_COLUMN}), 'red wid')")
 def phrase_search(t: Tables):
-    found = search.phrase_matches(t.view("part_docs"), "Red Wid", ["facility_text", "winner_patterns", "extra_meta"])
-    return found.select("competition_id")
+    return search_index.phrase_matches(_parts(t), "Red Wid")
 
 
 @query(
@@ -231,7 +254,7 @@ def phrase_search(t: Tables):
     _bm25(["small"], "part_docs", "competition_id", W) + f" SELECT competition_id, {R4('score')} AS score FROM scored",
 )
 def bm25_search(t: Tables):
-    return search.bm25(t.view("part_docs"), "competition_id", ["small"], W).withColumn("score", r4("score"))
+    return search_index.bm25(_parts(t), ["small"], W).withColumn("score", r4("score"))
 
 
 @query(
@@ -239,7 +262,7 @@ def bm25_search(t: Tables):
     _bm25(["promo", "brand#12", "blue"], "part_docs", "competition_id", W) + f" SELECT competition_id, {R4('score')} AS score FROM scored",
 )
 def or_search(t: Tables):
-    return search.bm25(t.view("part_docs"), "competition_id", ["PROMO", "Brand#12", "blue", "xy"], W).withColumn("score", r4("score"))
+    return search_index.bm25(_parts(t), ["PROMO", "Brand#12", "blue", "xy"], W).withColumn("score", r4("score"))
 
 
 @query(
@@ -247,7 +270,7 @@ def or_search(t: Tables):
     "WITH " + _bm25(["with the", "inthe"], "documents", "doc_id", {"text": 1.0, "source": 0.5}) + f" SELECT doc_id, {R4('score')} AS score FROM scored",
 )
 def document_search(t: Tables):
-    return search.bm25(t.table("documents"), "doc_id", ["with the", "inthe"], {"text": 1.0, "source": 0.5}).withColumn("score", r4("score"))
+    return search_index.bm25(_documents(t), ["with the", "inthe"], {"text": 1.0, "source": 0.5}).withColumn("score", r4("score"))
 
 
 @query(
@@ -255,7 +278,7 @@ def document_search(t: Tables):
     _bm25(["small"], "part_docs", "competition_id", W) + f" SELECT competition_id, {R4('score')} AS score FROM scored ORDER BY score, competition_id LIMIT 20",
 )
 def top_search(t: Tables):
-    return search.search(t.view("part_docs"), "competition_id", ["small"], limit=20).withColumn("score", r4("score"))
+    return search_index.search(_parts(t), ["small"], W, limit=20).withColumn("score", r4("score"))
 
 
 @query(
@@ -264,12 +287,70 @@ def top_search(t: Tables):
     SELECT competition_id, {R4('score')} AS score FROM top""",
 )
 def routed_search(t: Tables):
-    docs = t.view("part_docs")
-    cards = docs.select("competition_id", F.lit("public").alias("facility_type"), (F.col("p_size") % 2).alias("winners"))
-    out = search.routed_search(docs, cards, "large", facility="public", result="win", limit=50)
+    cards = t.view("part_docs").select("competition_id", F.lit("public").alias("facility_type"), (F.col("p_size") % 2).alias("winners"))
+    out = search_index.routed_search(_parts(t), cards, "large", W, facility="public", result="win", limit=50)
     return out.select("competition_id", r4("score").alias("score"))
 
 
+@query(
+    "scanned_search", "",
+    "WITH " + _bm25(["tion of", "heit"], "documents", "doc_id", {"text": 1.0}) + f" SELECT doc_id, {R4('score')} AS score FROM scored",
+)
+def scanned_search(t: Tables):
+    """Without an index: one scan of the texts."""
+    return search.bm25(t.table("documents"), "doc_id", ["tion of", "heit"], {"text": 1.0}).withColumn("score", r4("score"))
+
+
+@query(
+    "word_search", "",
+    f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+    m AS (SELECT doc_id, CAST(len(w) AS DOUBLE) AS len, CAST(len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) AS DOUBLE) AS f0,
+        CAST(len(list_filter(w, lambda x: x = 'que')) AS DOUBLE) AS f1 FROM w),
+    t AS (SELECT count(*) AS n, avg(len) AS avg_len, count(*) FILTER (WHERE f0 > 0) AS n0, count(*) FILTER (WHERE f1 > 0) AS n1 FROM m),
+    scored AS (SELECT doc_id, 0.0E0 - CASE WHEN ln((t.n - n0 + 0.5E0) / (n0 + 0.5E0)) <= 0 THEN 1e-6 ELSE ln((t.n - n0 + 0.5E0) / (n0 + 0.5E0)) END * f0 * 2.2E0 / (f0 + 1.2E0 * (0.25E0 + 0.75E0 * len / avg_len))
+        - CASE WHEN ln((t.n - n1 + 0.5E0) / (n1 + 0.5E0)) <= 0 THEN 1e-6 ELSE ln((t.n - n1 + 0.5E0) / (n1 + 0.5E0)) END * f1 * 2.2E0 / (f1 + 1.2E0 * (0.25E0 + 0.75E0 * len / avg_len)) AS score
+        FROM m, t WHERE f0 > 0 OR f1 > 0)
+    SELECT doc_id, {R4('score')} AS score FROM scored""",
+)
+def word_search(t: Tables):
+    """The same over words, where parts of words are not searched."""
+    index = _stored_index(t, "document_words", lambda: t.table("documents"), "doc_id", ["text"], tokens="word")
+    return search_index.bm25(index, ["Of the", "que"], {"text": 1.0}).withColumn("score", r4("score"))
+
+
+@query(
+    "index_refresh", "",
+    """WITH now AS (
+        SELECT p_partkey AS id, lower(CASE WHEN p_size % 5 = 0 THEN p_type || ' ' || p_name ELSE p_name END) AS name, lower(p_brand) AS brand FROM part WHERE p_size % 7 <> 0
+        UNION ALL SELECT 1000000000 + c_custkey, lower(c_name), lower(c_mktsegment) FROM customer),
+    grams AS (SELECT id, unnest([substr(name, i::INT, 3) for i in range(1, length(name) - 1)]) AS gram FROM now
+        UNION ALL SELECT id, unnest([substr(brand, i::INT, 3) for i in range(1, length(brand) - 1)]) FROM now)
+    SELECT gram, count(DISTINCT id) AS docs, count(*) AS places FROM grams GROUP BY gram
+    UNION ALL SELECT '', count(*), CAST(sum(greatest(length(name) - 2, 0) + greatest(length(brand) - 2, 0)) AS BIGINT) FROM now""",
+)
+def index_refresh(t: Tables):
+    """Postings and totals (the row without a gram) of an index after two batches, each delivered twice."""
+    path = f"{files.shared_folder(t.spark)}/index-{uuid.uuid4().hex}"
+    base = t.sql("SELECT p_partkey AS id, p_name AS name, p_brand AS brand FROM part")
+    search_index.build_index(base, "id", ["name", "brand"], path, buckets=8, splits=1)
+    first = t.sql(
+        """SELECT p_partkey AS id, 'upsert' AS op, 1 AS seq, p_type || ' ' || p_name AS name, p_brand AS brand FROM part WHERE p_size % 5 = 0
+        UNION ALL SELECT 1000000000 + c_custkey, 'upsert', 1, c_name, 'before' FROM customer"""
+    )
+    second = t.sql(
+        """SELECT p_partkey AS id, 'delete' AS op, 2 AS seq, '' AS name, '' AS brand FROM part WHERE p_size % 7 = 0
+        UNION ALL SELECT 1000000000 + c_custkey, 'upsert', 2, c_name, c_mktsegment FROM customer
+        UNION ALL SELECT 1000000000 + c_custkey, 'delete', 1, '', '' FROM customer"""
+    )
+    for number, batch in enumerate((first, first, second, second)):
+        index = search_index.apply_batch(t.spark, path, batch, "changes", number // 2)
+    grams = index.postings().groupBy("gram").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("at")).alias("places"))
+    totals = index.documents().limit(0).groupBy().agg(
+        F.lit("").alias("gram"), F.lit(index.state["docs"]).cast("long").alias("docs"), F.lit(index.state["length"]).cast("long").alias("places")
+    )
+    return grams.unionByName(totals)
+
+
 @query(
     "trigram_postings", "",
     """WITH d AS (SELECT conv_id * 100 + turn AS id, lower(text) AS x FROM conversations)

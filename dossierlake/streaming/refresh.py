@@ -1,18 +1,22 @@
 """Incremental refresh: landed changes update only the facilities they touch.
 
 A batch replayed after a failure at any step gives the same tables: upserts are by key, outputs
-replace whole partitions, and the facilities a batch touches are stored under its id before the
-silver table changes, as afterwards the former facility of a moved record is no longer known.
+replace whole partitions, and the facilities a batch touches are stored under its stream and id
+before the silver table changes, as afterwards the former facility of a moved record is no longer
+known. Stored names only ever add to what the batch itself touches, so a stale folder cannot hide a
+facility. Streams on one table take turns; each has a checkpoint of its own.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossierlake.operators import measures
+from dossierlake.sources.files import delete_path, written
 from dossierlake.sources.upserts import delete_keys, upsert_submissions, write_partitions
 
 
@@ -42,52 +46,45 @@ def refresh_partitions(
     target: str,
     key: list[str],
     build: Callable[[DataFrame], DataFrame],
+    source: str = "",
 ) -> Callable[[DataFrame, int], None]:
     """foreachBatch body: merge the batch into the silver table, then rebuild the target for
-    the affected facilities only.
+    the affected facilities only. ``source`` names the stream: its batch numbers start at 0 again
+    for every checkpoint location.
 
     Facility types are a small fixed domain, so their names may reach the driver. A facility
     left without rows loses its partitions.
     """
+    stream = f"source={zlib.crc32(source.encode()):08x}"
 
     def run(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
         current = spark.read.parquet(silver)
-        touched = f"{silver}__touched/batch={batch_id}"
-        if not _is_written(spark, touched):
+        touched = f"{silver}__touched/{stream}/batch={batch_id}"
+        if not written(spark, touched):
             affected(current, batch, key).write.mode("overwrite").parquet(touched)
+        stored = spark.read.schema("facility_type string").parquet(touched)
         # at most one name per facility type: literals that prune the partitions to read
-        names = [r[0] for r in spark.read.schema("facility_type string").parquet(touched).collect()]
+        names = [r[0] for r in stored.unionByName(affected(current, batch, key)).distinct().collect()]
         scope = current.filter(F.col("facility_type").isin(names))
-        staged = f"{silver}__staged"
+        staged = f"{silver}__staged/{stream}"
         # written first: the merge reads the partitions it is about to replace
         apply_changes(scope, batch, key).write.mode("overwrite").partitionBy("facility_type").parquet(staged)
         fresh = spark.read.schema(current.schema).parquet(staged)
         kept = {r[0] for r in fresh.select("facility_type").distinct().collect()}
         write_partitions(fresh, silver)
         write_partitions(build(fresh), target)
-        _drop_partitions(spark, [n for n in names if n not in kept], [silver, target])
+        for name in names:
+            if name not in kept:
+                for path in (silver, target):
+                    delete_path(spark, f"{path}/facility_type={name}")
+        # the batch before is committed once this one runs
+        delete_path(spark, f"{silver}__touched/{stream}/batch={batch_id - 1}")
 
     return run
 
 
-def _is_written(spark: SparkSession, path: str) -> bool:
-    """Whether a table was written there to its end."""
-    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
-
-
-def _drop_partitions(spark: SparkSession, names: list[str], paths: list[str]) -> None:
-    """Remove the partitions of facilities that no longer have rows (at most one per type)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for name in names:
-        for path in paths:
-            folder = jvm.org.apache.hadoop.fs.Path(f"{path}/facility_type={name}")
-            folder.getFileSystem(conf).delete(folder, True)
-
-
 def start_refresh(
     spark: SparkSession, landing: str, schema, silver: str, target: str, checkpoint: str,
     key: list[str], build: Callable[[DataFrame], DataFrame],
@@ -95,7 +92,7 @@ def start_refresh(
     """File-source stream over a landing folder of change records (with tombstones)."""
     changes = spark.readStream.schema(schema).parquet(landing)
     return (
-        changes.writeStream.foreachBatch(refresh_partitions(spark, silver, target, key, build))
+        changes.writeStream.foreachBatch(refresh_partitions(spark, silver, target, key, build, checkpoint))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -114,9 +111,3 @@ def start_landing_validation(spark: SparkSession, landing: str, schema, flags: s
         .trigger(availableNow=True)
         .start()
     )
-
-
-def refresh_postings(index: DataFrame, batch_docs: DataFrame, gone: DataFrame, key: str, build) -> DataFrame:
-    """Postings without the changed and deleted documents, plus the new postings."""
-    changed = batch_docs.select(key).unionByName(gone.select(key)).distinct()
-    return index.join(changed, key, "left_anti").unionByName(build(batch_docs))

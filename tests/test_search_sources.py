@@ -186,6 +186,19 @@ def test_a_replayed_batch_reaches_the_former_facility(spark, tmp_path, monkeypat
     assert {(r.facility_type, r.n, r.wins) for r in spark.read.parquet(target).collect()} == {("a", 1, 1), ("b", 2, 2)}
 
 
+def test_a_second_stream_keeps_every_row(spark, tmp_path):
+    """Two checkpoints on one table, whose batch numbers both start at 0."""
+    silver, target = (str(tmp_path / n) for n in ("silver", "target"))
+    upserts.write_partitions(spark.createDataFrame([("a", 1, "win"), ("b", 2, "win"), ("b", 4, "win")], SUBS), silver)
+    upserts.write_partitions(_counts(spark.read.parquet(silver)), target)
+    for n, change in enumerate([("a", 1, "lose", "upsert", 1), ("b", 2, "lose", "upsert", 1)]):
+        landing = str(tmp_path / f"landing{n}")
+        spark.createDataFrame([change], CHANGE).write.parquet(landing)
+        refresh.start_refresh(spark, landing, CHANGE, silver, target, str(tmp_path / f"ck{n}"), ["id"], _counts).awaitTermination()
+    assert {(r.facility_type, r.id, r.result) for r in spark.read.parquet(silver).collect()} == {("a", 1, "lose"), ("b", 2, "lose"), ("b", 4, "win")}
+    assert {(r.facility_type, r.n, r.wins) for r in spark.read.parquet(target).collect()} == {("a", 1, 0), ("b", 2, 1)}
+
+
 def test_landing_validation(spark, tmp_path):
     from dossierlake import fixed
 
