@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -13,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from dossierlake.sources.files import shared_folder
+
 #: A-Z to a-z; every other byte stays.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: The same, and every ASCII byte that is neither letter nor digit becomes a space.
@@ -87,16 +88,6 @@ def map_rows(df: DataFrame, names: list[str], work, ddl: str) -> DataFrame:
     return df.select(*names).mapInArrow(run, ddl)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``; only a session without
-    that setting gets a folder of its own."""
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with files in the shared folder."""
     shared_folder(df.sparkSession)

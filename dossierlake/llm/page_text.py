@@ -28,11 +28,16 @@ BLOCK_TAGS = frozenset(
     "title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements whose content is raw text up to their end tag or the end of the page, and
+#: those whose content is no page text where they have an end tag.
+RAW_TAGS = ("script", "style", "noscript", "iframe")
+HIDDEN_TAGS = ("template", "svg", "math")
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg)\b.*?(?:</\1[^>]*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|iframe)(?=[\s/>]).*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>?|<[!?][^>]*>?",
     re.S | re.I,
 )
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in HIDDEN_TAGS}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -55,7 +60,9 @@ def _path_words(tag: str, attributes: str) -> list[str]:
 def blocks(page: str | None) -> list[tuple[list[str], str, float]]:
     """Leaf blocks of a page in order: words of the tag path, text, and the share of it in links.
 
-    Comments, scripts, styles and other content without text are skipped. Character references are
+    Comments, scripts, styles and other content without text are skipped: raw text up to its end tag,
+    or the end of the page without one; drawings and templates only where they have an end tag.
+    Elements whose names merely begin like these are ordinary ones. Character references are
     decoded and white space becomes one space. An unclosed element ends with its parent, and a
     paragraph or list item also before the next block or item.
     """
@@ -79,7 +86,8 @@ def blocks(page: str | None) -> list[tuple[list[str], str, float]]:
 
     at = 0
     page = page or ""
-    for m in _TOKEN.finditer(page):
+    endless: set[str] = set()
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             text = page[at : m.start()]
             text = html.unescape(text) if "&" in text else text
@@ -99,6 +107,15 @@ def blocks(page: str | None) -> list[tuple[list[str], str, float]]:
             continue
         if tag in VOID_TAGS:
             continue
+        if tag in HIDDEN_TAGS:
+            # self-closed it is empty; with an end tag all up to it goes; else only the tag itself
+            if not m[4].endswith("/") and tag not in endless:
+                end = _END[tag].search(page, at)
+                if end:
+                    at = end.end()
+                else:
+                    endless.add(tag)
+            continue
         if tag in BLOCK_TAGS:
             for i in range(len(stack) - 1, -1, -1):
                 open_tag = stack[i][0]
@@ -123,6 +140,12 @@ def weak_label(path: list[str]) -> int:
     return int(any(w in MAIN_WORDS for w in path) and not any(w in OTHER_WORDS for w in path))
 
 
+def unnamed(found: list[tuple[list[str], str, float]]) -> list[bool]:
+    """Labels where no page of the sample names its parts: all blocks that are not mostly links and
+    whose path has no word of other parts."""
+    return [share < 0.5 and not any(w in OTHER_WORDS for w in path) for path, _, share in found]
+
+
 @dataclass
 class Sequences:
     """Blocks of one page as numbers: places of path words and text words with their block, how often
@@ -186,6 +209,7 @@ class BlockLabeller:
         self.word = rng.normal(0, 0.1, (WORD_PLACES, WORD_DIM)).astype(np.float32)
         self.cells = [[draw(size, 4 * HIDDEN), draw(HIDDEN, 4 * HIDDEN), np.repeat([0, 1, 0, 0], HIDDEN).astype(np.float32)] for _ in range(2)]
         self.out = [draw(2 * HIDDEN), np.zeros(1, np.float32)]
+        self.trained = False
 
     def parameters(self) -> list[np.ndarray]:
         return [self.path, self.word, *self.cells[0], *self.cells[1], *self.out]
@@ -301,7 +325,7 @@ def _disguised(found: list[tuple[list[str], str, float]], rng) -> list[tuple[lis
 
 def fit(sample: list[str], epochs: int = 8, steps: int = 250, batch: int = 24, rate: float = 0.01, seed: int = 3) -> BlockLabeller:
     """Learn from pages whose tag paths say what is main text (``weak_label``), each as it is and
-    once more with its parts renamed. Without pages the labeller stays as it starts."""
+    once more with its parts renamed. Where no page says so nothing is learned, and ``unnamed`` labels."""
     rng = np.random.default_rng(seed)
     model = BlockLabeller(seed)
     parsed = [b for b in map(blocks, sample) if b]
@@ -313,6 +337,7 @@ def fit(sample: list[str], epochs: int = 8, steps: int = 250, batch: int = 24, r
     labels = [np.array([weak_label(p) for p, _, _ in b], np.float32) for b in parsed]
     by_size = np.argsort([p.n for p in pages], kind="stable")
     groups = [by_size[i : i + batch] for i in range(0, len(by_size), batch)]
+    model.trained = True
     weights = model.parameters()
     first, second, done = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
     for _ in range(max(epochs, -(-steps // len(groups)))):
@@ -334,8 +359,9 @@ def main_texts(model: BlockLabeller, pages: list[str | None], padded: int = 40_0
     while order:
         size = max(1, min(len(order), padded // len(parsed[order[-1]])))
         chosen, order = order[-size:], order[:-size]
-        for i, z in zip(chosen, model.logits([describe(parsed[i]) for i in chosen])):
-            out[i] = "\n".join(text for (_, text, _), is_main in zip(parsed[i], z > 0) if is_main)
+        labels = [z > 0 for z in model.logits([describe(parsed[i]) for i in chosen])] if model.trained else [unnamed(parsed[i]) for i in chosen]
+        for i, mains in zip(chosen, labels):
+            out[i] = "\n".join(text for (_, text, _), is_main in zip(parsed[i], mains) if is_main)
     return out
 
 
@@ -343,14 +369,17 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", mos
     """Fit on ``most`` pages of at most ``most_bytes`` bytes, those whose id hashes lowest."""
     size = F.octet_length(html_col)
     rows = pages.where(size.between(1, most_bytes)).select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
-    return fit([r.html for r in training.lowest_hashed(rows, "id", most).collect()])
+    model = fit([r.html for r in training.lowest_hashed(rows, "id", most).collect()])
+    training.give_back()
+    return model
 
 
 def extract_main_text(pages: DataFrame, model: BlockLabeller, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
                       together: int = 256) -> DataFrame:
     """page_id, url, text and n_chars of every page, from its whole html.
 
-    Null and empty html, and pages without main text, give an empty text. Repeated rows, null ids and
+    Null and empty html, and pages without main text, give an empty text. Where no page of the sample
+    named its parts, the text is that of all blocks which ``unnamed`` keeps. Repeated rows, null ids and
     null urls are kept. Only the three named columns are read.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model)

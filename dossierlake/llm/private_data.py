@@ -61,7 +61,7 @@ def _emails(text: str):
 
 def _ips(text: str):
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(n := p.lstrip("0")) <= 3 and int(n or 0) <= 255 for p in m[0].split(".")):
             yield m.span()
 
 
@@ -100,7 +100,7 @@ class Graph:
 
 
 def _shape(token: str) -> str:
-    return re.sub("[a-z]+", "a", re.sub("[A-Z]+", "A", re.sub("[0-9]", "9", token)))[:40]
+    return re.sub("[a-z]+", "a", re.sub("[A-Z]+", "A", re.sub("[0-9]", "9", token)))
 
 
 def document_graph(text: str) -> Graph | None:
@@ -126,7 +126,7 @@ def document_graph(text: str) -> Graph | None:
         i = len(spans)
         spans.append((start, start + len(core)) if core else m.span())
         digits = "".join(c for c in token if "0" <= c <= "9")
-        found = [f"shape {_shape(core)}", f"digits {min(len(digits), 20)}", f"before {before.lower()[:20]}", f"plus {'+' in token} at {'@' in token}", "any"]
+        found = [f"shape {_shape(core)}", f"digits {len(digits)}", f"before {before.lower()}", f"plus {'+' in token} at {'@' in token}", "any"]
         features += [zlib.crc32(f.encode()) % PLACES for f in found]
         at += [i] * len(found)
         if number == last + 1:

@@ -13,7 +13,7 @@ from dossierlake.llm import common, training
 
 #: Rows per class and bytes per text of the training sample.
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 20_000
-#: Words of a passage, and bytes of a text that are described at once.
+#: Words of a passage, and about how many bytes of a text are described at once.
 PASSAGE, PIECE_BYTES = 64, 4 << 20
 HIDDEN, GATES = 24, 12
 
@@ -28,23 +28,49 @@ KINDS = len(_KINDS) + 2
 _BLANK = np.zeros(256, bool)
 _BLANK[list(b" \t\n\r\x0b\x0c")] = True
 #: Shares of neighbouring byte kinds, then: repeated neighbours, distinct words in the passage and
-#: in the piece, word length, length of the passage.
+#: in the text, word length, length of the passage.
 FEATURES = KINDS * KINDS + 5
 
 
 def passages(text: str | None) -> np.ndarray:
     """One row of features per passage of ``PASSAGE`` words of the whole text; a text without words
-    is one passage of zeros."""
+    is one passage of zeros. A long text is described in pieces that end between passages, which
+    changes nothing."""
     raw = (text or "").encode()
-    found = [_describe(raw[at : at + PIECE_BYTES]) for at in range(0, len(raw), PIECE_BYTES)]
-    found = [x for x in found if len(x)]
-    return np.concatenate(found) if found else np.zeros((1, FEATURES), np.float32)
+    found, at, size = [], 0, PIECE_BYTES
+    seen, count, last = np.zeros(0, np.int64), 0, -1
+    while at < len(raw):
+        end = len(raw) if at + size >= len(raw) else _passage_end(raw, at, at + size)
+        if end == at:
+            size *= 2
+            continue
+        lead = at > 0
+        rows, hashed = _describe(raw[at - lead : end], lead, last)
+        if len(rows):
+            found.append(rows)
+            seen, count, last = np.union1d(seen, hashed), count + len(hashed), int(hashed[-1])
+        at, size = end, PIECE_BYTES
+    if not found:
+        return np.zeros((1, FEATURES), np.float32)
+    out = np.concatenate(found)
+    out[:, KINDS * KINDS + 2] = len(seen) / count
+    return out
+
+
+def _passage_end(raw: bytes, start: int, end: int) -> int:
+    """Where the last passage that begins in this part of a text begins; ``start`` if none does after it."""
+    blank = _BLANK[np.frombuffer(raw, np.uint8, end - start, start)]
+    begins = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+    k = (len(begins) - 1) // PASSAGE * PASSAGE if len(begins) else 0
+    return start + int(begins[k]) if k > 0 else start
 
 
-def _describe(raw: bytes) -> np.ndarray:
+def _describe(raw: bytes, lead: bool = False, last: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the passages of a part of a text and the hashes of its words. With ``lead`` the
+    first byte is the one before the part; ``last`` is the hash of the word before."""
     words = raw.split()
     if not words:
-        return np.zeros((0, FEATURES), np.float32)
+        return np.zeros((0, FEATURES), np.float32), np.zeros(0, np.int64)
     n = -(-len(words) // PASSAGE)
     data = np.frombuffer(raw, np.uint8)
     blank = _BLANK[data]
@@ -55,21 +81,21 @@ def _describe(raw: bytes) -> np.ndarray:
     pairs = of_byte[1:] * (KINDS * KINDS) + kind[:-1] * KINDS + kind[1:]
     out = np.zeros((n, FEATURES), np.float32)
     shares = np.bincount(pairs, minlength=n * KINDS * KINDS).reshape(n, -1)
-    sizes = np.bincount(of_byte, minlength=n)
+    sizes = np.bincount(of_byte[lead:], minlength=n)
     out[:, : KINDS * KINDS] = np.sqrt(shares / np.maximum(1, sizes)[:, None])
     hashed = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
     of_word = np.arange(len(words)) // PASSAGE
     held = np.bincount(of_word, minlength=n)
     same = np.zeros(len(words))
     same[1:] = hashed[1:] == hashed[:-1]
+    same[0] = hashed[0] == last
     distinct = np.bincount(np.unique((of_word << 32) | hashed) >> 32, minlength=n)
     rest = out[:, KINDS * KINDS :]
     rest[:, 0] = np.bincount(of_word, same, n) / held
     rest[:, 1] = distinct / held
-    rest[:, 2] = len(np.unique(hashed)) / len(words)
     rest[:, 3] = np.minimum(sizes / held, 40) / 10
     rest[:, 4] = held / PASSAGE
-    return out
+    return out, hashed
 
 
 @dataclass
@@ -154,7 +180,9 @@ def _gradients(model: AttentionMil, bags: list[np.ndarray], y: np.ndarray) -> li
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES,
           id_col: str = "doc_id", text_col: str = "text") -> AttentionMil:
     """Fit on a bounded sample (``training.labelled_sample``) that leaves out the held-out fold."""
-    return fit(training.labelled_sample(docs, labels, label, per_class, most_bytes, id_col, text_col))
+    model = fit(training.labelled_sample(docs, labels, label, per_class, most_bytes, id_col, text_col))
+    training.give_back()
+    return model
 
 
 def score_documents(docs: DataFrame, model: AttentionMil, id_col: str = "doc_id", text_col: str = "text", together: int = 4000) -> DataFrame:

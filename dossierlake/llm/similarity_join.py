@@ -55,8 +55,9 @@ def place(tokens: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def rarity(counts: np.ndarray) -> np.ndarray:
-    """Counters on a scale of 16 bits, fine enough to tell neighbouring loads apart."""
-    return np.minimum(65535, np.round(2048 * np.log2(1.0 + counts))).astype(np.uint16)
+    """Counters on a scale that 16 bits hold for any count of 32 bits, fine enough to tell neighbouring
+    loads apart."""
+    return np.round(2047 * np.log2(1.0 + counts)).astype(np.uint16)
 
 
 def prefix(tokens: np.ndarray, sketches: list[np.ndarray], order: int, percent: int) -> np.ndarray:
@@ -138,7 +139,7 @@ def _sums(rows: DataFrame, finish, kind) -> dict[int, np.ndarray]:
     def add(rows):
         held: dict[int, np.ndarray] = {}
         for number, packed in rows:
-            part = np.frombuffer(zlib.decompress(packed), np.uint8)
+            part = np.frombuffer(zlib.decompress(packed), np.uint32)
             held[number] = held[number] + part if number in held else part.astype(np.int64)
         for number, part in held.items():
             yield number, finish(part).tobytes()
@@ -148,8 +149,7 @@ def _sums(rows: DataFrame, finish, kind) -> dict[int, np.ndarray]:
 
 
 def _packed(counts: np.ndarray, first: int = 0):
-    """Slices of a task's counters, each up to 255."""
-    counts = np.minimum(counts, 255).astype(np.uint8)
+    """Slices of a task's counters of 32 bits."""
     for number, part in enumerate(counts.reshape(SLICES, -1)):
         if part.any():
             yield first + number, zlib.compress(part.tobytes(), 1)

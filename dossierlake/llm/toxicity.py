@@ -19,8 +19,9 @@ PLACES = WORD_PLACES + 2 * PART_PLACES + 1
 DIMENSIONS, FILTERS, WIDTHS = 12, 8, (1, 2, 3)
 #: Texts a hashed place must occur in to be learned, and those that count for half of its odds.
 LEAST_TEXTS, TRUST = 3, 8
-#: Words that are convolved at once; longer texts go piece by piece, overlapping.
-PIECE = 50_000
+#: Words that are convolved at once, longer texts go piece by piece, overlapping; and bytes of a text
+#: whose words are listed at once.
+PIECE, PIECE_BYTES = 50_000, 1 << 20
 
 #: Function words that tell the language of a text.
 FUNCTION_WORDS = {
@@ -34,7 +35,7 @@ LANGUAGES = (*FUNCTION_WORDS, "other")
 
 def word_places(words: list[bytes]) -> np.ndarray:
     """Embedding rows of every word: the word, its first four and its first five bytes."""
-    out = np.empty((len(words), 3), np.int64)
+    out = np.empty((len(words), 3), np.int32)
     out[:, 0] = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) & (WORD_PLACES - 1)
     for i, n in enumerate((4, 5)):
         parts = np.fromiter(map(zlib.crc32, [w[:n] for w in words]), np.int64, len(words))
@@ -42,8 +43,20 @@ def word_places(words: list[bytes]) -> np.ndarray:
     return out
 
 
+def text_places(text: str | None, piece_bytes: int = PIECE_BYTES) -> np.ndarray:
+    """The same for a whole text; the words of a long one are listed piece by piece."""
+    raw = text.encode().translate(common.WORD_BYTES) if text else b""
+    parts, at = [], 0
+    while at < len(raw):
+        end = raw.find(b" ", at + piece_bytes)
+        end = len(raw) if end < 0 else end
+        parts.append(word_places(raw[at:end].split()))
+        at = end
+    return np.concatenate(parts) if parts else np.zeros((0, 3), np.int32)
+
+
 def _language_table() -> np.ndarray:
-    table = np.full(WORD_PLACES, len(FUNCTION_WORDS), np.int64)
+    table = np.full(WORD_PLACES, len(FUNCTION_WORDS), np.int32)
     for i, words in enumerate(FUNCTION_WORDS.values()):
         for word in words.split():
             table[zlib.crc32(word.encode()) & (WORD_PLACES - 1)] = i
@@ -93,23 +106,32 @@ class TextCnn:
             out[:, i * FILTERS : (i + 1) * FILTERS] = part
         return out
 
+    def largest(self, pieces: list[np.ndarray]) -> np.ndarray:
+        """The largest response of every filter in every piece."""
+        pad = np.full((max(WIDTHS) - 1, 3), PLACES - 1, np.int32)
+        ends = np.cumsum([len(p) + len(pad) for p in pieces])
+        starts = np.concatenate([[0], ends[:-1]])
+        r = self.responses(np.concatenate([x for p in pieces for x in (p, pad)] + [pad]))
+        # windows that begin in the padding belong to no text
+        r[np.concatenate([np.arange(e - len(pad), e) for e in ends])] = -np.inf
+        return np.maximum.reduceat(r[: ends[-1]], starts)
+
     def logits(self, texts: list[np.ndarray]) -> np.ndarray:
         """One logit per text, from the places of its words."""
-        pad = np.full((max(WIDTHS) - 1, 3), PLACES - 1, np.int64)
         pieces, owner = [], []
+        best = np.full((len(texts), FILTERS * len(WIDTHS)), -np.inf, np.float32)
+        held = 0
         for i, places in enumerate(texts):
             for at in range(0, max(1, len(places)), PIECE):
                 part = places[at : at + PIECE + max(WIDTHS) - 1]
-                pieces.append(np.concatenate([part, np.full((1, 3), PLACES - 1)]) if not len(part) else part)
+                pieces.append(part if len(part) else np.full((1, 3), PLACES - 1, np.int32))
                 owner.append(i)
-        ends = np.cumsum([len(p) + len(pad) for p in pieces])
-        starts = np.concatenate([[0], ends[:-1]])
-        r = self.responses(np.concatenate([x for p in pieces for x in (p, pad)] + [pad]))
-        # windows that begin in the padding belong to no text
-        r[np.concatenate([np.arange(e - len(pad), e) for e in ends])] = -np.inf
-        top = np.maximum.reduceat(r[: ends[-1]], starts)
-        best = np.full((len(texts), r.shape[1]), -np.inf, np.float32)
-        np.maximum.at(best, owner, top)
+                held += len(part)
+                if held >= 4 * PIECE:
+                    np.maximum.at(best, owner, self.largest(pieces))
+                    pieces, owner, held = [], [], 0
+        if pieces:
+            np.maximum.at(best, owner, self.largest(pieces))
         return np.tanh(best + self.bias) @ self.weight + self.offset
 
 
@@ -127,7 +149,7 @@ def fit(sample: list[tuple[str, int]], epochs: int = 6, steps: int = 800, rate:
     """
     rng = np.random.default_rng(seed)
     model = TextCnn.start(rng)
-    places = [word_places(common.alnum_words(t)) for t, _ in sample]
+    places = [text_places(t) for t, _ in sample]
     y = np.array([l for _, l in sample], np.float32)
     if not len(y) or y.min() == y.max():
         model.weight[:] = 0
@@ -149,7 +171,7 @@ def fit(sample: list[tuple[str, int]], epochs: int = 6, steps: int = 800, rate:
     known[-1] = False
     model.embedding[~known] = 0
 
-    pad = np.full((max(WIDTHS) - 1, 3), PLACES - 1, np.int64)
+    pad = np.full((max(WIDTHS) - 1, 3), PLACES - 1, np.int32)
     squares = [np.full_like(p, 1e-2) for p in (model.embedding, *model.filters, model.bias, model.weight, model.offset)]
     for _ in range(max(epochs, -(-steps * batch // max(1, len(learn))))):
         rng.shuffle(learn)
@@ -245,7 +267,7 @@ def _scored(rows, model: TextCnn, words: int = 200_000):
     held: list[tuple] = []
     size = 0
     for *key, text in rows:
-        places = word_places(common.alnum_words(text))
+        places = text_places(text)
         held.append((key, places))
         size += len(places)
         if size > words or len(held) >= 2000:
@@ -258,11 +280,14 @@ def _scored(rows, model: TextCnn, words: int = 200_000):
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES,
           id_col: str = "doc_id", text_col: str = "text") -> TextCnn:
     """Fit on a bounded sample (``training.labelled_sample``) that leaves out the held-out fold."""
-    return fit(training.labelled_sample(docs, labels, label, per_class, most_bytes, id_col, text_col))
+    model = fit(training.labelled_sample(docs, labels, label, per_class, most_bytes, id_col, text_col))
+    training.give_back()
+    return model
 
 
 def score_documents(docs: DataFrame, model: TextCnn, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score (0 to 1, 0.5 is the threshold of the text's language) of whole texts.
+    """doc_id and score (0 to 1, 0.5 is the threshold of the text's language) of whole texts. Of a long
+    text twelve bytes a word are held besides the text; all else goes piece by piece.
 
     Null and empty texts, and texts without words, get the score of the padding alone. Repeated rows
     and null ids are kept. Only the two named columns are read.

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,3 +46,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     joined = texts.join(F.broadcast(chosen.dropDuplicates(["_id"])), F.col("_key") == F.col("_id"))
     found = joined.groupBy("_id").agg(F.first("_text").alias("_text"), F.first("_label").alias("_label")).toArrow().to_pylist()
     return [(r["_text"], r["_label"]) for r in sorted(found, key=lambda r: r["_id"])]
+
+
+def give_back() -> None:
+    """Return the memory that a sample and its training took to the system, where its library can."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return

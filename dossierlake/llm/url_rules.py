@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: An index of up to this many rules is broadcast (below 10 MB); a longer one is shuffled.
 BROADCAST_RULES = 50_000
@@ -59,6 +58,12 @@ def word_rules(spark: SparkSession, words: tuple[str, ...] = BLOCKED_WORDS, verd
     )
 
 
+def _backwards(name: Column) -> Column:
+    """A text that sorts the other way round: every byte taken from 255, and an end above all bytes."""
+    digits = F.translate(F.hex(F.encode(name, "UTF-8")), "0123456789ABCDEF", "fedcba9876543210")
+    return F.concat(digits, F.lit("g"))
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """The best rule of every URL: highest ``rank``, then longest, then first by name.
 
@@ -79,11 +84,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     total = rules.count()
     small = total <= BROADCAST_RULES
     hint = F.broadcast if small else (lambda df: df)
-    # larger is better: dense, so that the best rule is one long in the aggregate
-    best_first = Window.orderBy("rank", "length", F.col("rule").desc())
-    placed = rules.withColumn("place", F.row_number().over(best_first).cast("long")) if small else rules.withColumn(
-        "place", F.col("rank").cast("long") * (1 << 55) + F.col("length").cast("long") * (1 << 43) + F.pmod(F.xxhash64("rule"), F.lit(1 << 43))
-    )
+    # rank, length and name, so that every number of rules has the same order
+    placed = rules.withColumn("place", F.struct("rank", "length", _backwards(F.col("rule")).alias("name"), F.col("rule").alias("rule")))
     literal = placed.select("place", F.explode("tokens").alias("token"))
     found = seen.join(hint(literal.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     rarest = (
