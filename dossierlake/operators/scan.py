@@ -5,7 +5,7 @@ plain window is cheap and needs one exchange for a whole chain of scans. Beyond
 are cut into slices along their order, at quantiles of their own rows; each slice is scanned on its
 own, and one summary row per slice is combined across the key, so that no task holds a large key.
 Keys below the limit are one slice. Both plans give the same rows: keys are compared null-safely
-and fractions are added as decimals, whose sum does not depend on the order. ``hot`` is the largest
+and fractions are added as whole multiples of powers of two, whose sums are exact. ``hot`` is the largest
 key's number of rows (0 below the limit), and is measured where it is not given.
 """
 
@@ -36,10 +36,39 @@ def _same_key(keys: list[str], left: str = "l", right: str = "r") -> list[Column
     return [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys]
 
 
-def _exact(df: DataFrame, value: Column) -> tuple[Column, str | None]:
-    """A value to add up and the type its sum goes back to: fractions are added as decimals."""
-    kind = df.select(value.alias("v")).schema["v"].dataType.simpleString()
-    return (value.cast("decimal(30,9)"), kind) if kind in ("double", "float") else (value, None)
+#: Fractions are cut into whole multiples of fixed powers of two, whose sums are exact: 30 bits each
+#: from 2^120 down to 2^-120. What is larger, or is no number, is added as it is.
+LEVELS, LEVEL_BITS, TOP = 8, 30, 120
+
+
+def _parts(value: Column, kind: str) -> dict[str, Column]:
+    """Columns whose sums do not depend on the order of the rows; ``_total`` turns them into the sum."""
+    if kind not in ("double", "float"):
+        return {"_v": value}
+    value = value.cast("double")
+    plain = F.abs(value) < F.lit(2.0**TOP)
+    rest, out = F.when(plain, value).otherwise(F.lit(0.0)), {}
+    for level in range(LEVELS):
+        unit = F.lit(2.0 ** (TOP - LEVEL_BITS * (level + 1)))
+        # truncated towards zero: the rest keeps its sign and is exact
+        whole = (rest / unit).cast("long")
+        out[f"_v{level}"] = whole
+        rest = rest - whole * unit
+    out["_v"] = F.when(plain, F.lit(0.0)).otherwise(value)
+    return out
+
+
+def _total(parts: dict[str, Column], kind: str) -> Column:
+    if kind not in ("double", "float"):
+        return parts["_v"]
+    total = F.lit(0.0)
+    for level in reversed(range(LEVELS)):
+        total = total + parts[f"_v{level}"].cast("double") * F.lit(2.0 ** (TOP - LEVEL_BITS * (level + 1)))
+    return (total + parts["_v"]).cast(kind)
+
+
+def _kind(df: DataFrame, value: Column) -> str:
+    return df.select(value.alias("v")).schema["v"].dataType.simpleString()
 
 
 def _limit(hot: int | bool | None) -> int:
@@ -147,11 +176,13 @@ def running_sum(
     """Sum of ``value`` from the start of the key up to this row (or up to the row before)."""
     hot = _measured(hot, df, keys)
     if not hot:
-        exact, kind = _exact(df, F.coalesce(value, F.lit(0)))
-        valued = df.withColumn("_v", exact)
-        total = F.sum("_v").over(_up_to_here(keys, ordinal))
-        total = total - F.col("_v") if before else total
-        return valued.withColumn(name, total.cast(kind) if kind else total).drop("_v")
+        value = F.coalesce(value, F.lit(0))
+        kind = _kind(df, value)
+        parts = _parts(value, kind)
+        to = Window.currentRow - 1 if before else Window.currentRow
+        window = _order(keys, [F.col(ordinal)]).rowsBetween(Window.unboundedPreceding, to)
+        sums = {n: F.coalesce(F.sum(n).over(window), F.lit(0)) for n in parts}
+        return df.withColumns(parts).withColumn(name, _total(sums, kind)).drop(*parts)
     sliced = slice_by_value(df, keys, ordinal, ordinal, slices=slices, hot=hot, limit=_limit(hot))
     return _sliced_sum(sliced, keys, ordinal, value, name, before).drop("_slice")
 
@@ -159,12 +190,16 @@ def running_sum(
 def _sliced_sum(
     sliced: DataFrame, keys: list[str], ordinal: str, value: Column, name: str, before: bool = False
 ) -> DataFrame:
-    exact, kind = _exact(sliced, F.coalesce(value, F.lit(0)))
-    valued = sliced.withColumn("_v", exact)
-    joined = _carried(valued, keys, {"_s": F.sum("_v")}, {"_base": lambda w: F.sum("_s").over(w)})
-    total = F.sum("_v").over(_up_to_here([*keys, "_slice"], ordinal)) + F.coalesce("_base", F.lit(0))
-    total = total - F.col("_v") if before else total
-    return joined.withColumn(name, total.cast(kind) if kind else total).drop("_v", "_base")
+    value = F.coalesce(value, F.lit(0))
+    kind = _kind(sliced, value)
+    parts = _parts(value, kind)
+    joined = _carried(
+        sliced.withColumns(parts), keys, {f"_s{n}": F.sum(n) for n in parts}, {f"_b{n}": (lambda w, n=n: F.sum(f"_s{n}").over(w)) for n in parts}
+    )
+    to = Window.currentRow - 1 if before else Window.currentRow
+    window = _order([*keys, "_slice"], [F.col(ordinal)]).rowsBetween(Window.unboundedPreceding, to)
+    sums = {n: F.coalesce(F.sum(n).over(window), F.lit(0)) + F.coalesce(f"_b{n}", F.lit(0)) for n in parts}
+    return joined.withColumn(name, _total(sums, kind)).drop(*parts, *[f"_b{n}" for n in parts])
 
 
 def carry_last(
