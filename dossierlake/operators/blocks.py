@@ -265,27 +265,32 @@ def html_cells(pages: DataFrame, keys: list[str], html: str = "html") -> DataFra
     return cells.select(*keys, "table_no", "row", "seq", T.squeeze(text).alias("text"), span("rowspan"), span("colspan"))
 
 
-# widest column span of the HTML standard
-MAX_COLSPAN = 1000
+#: Rows that a fold holds before it hands them on as one block.
+FOLDED = 128
 
 
-def cell_grid(cells: DataFrame, table: list[str]) -> DataFrame:
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row, not once an element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def cell_grid(cells: DataFrame, table: list[str], max_colspan: int | None = None) -> DataFrame:
     """Dense grid of every table: a cell repeats across its column span and is blank below, along
     its row span; the cells of a row take the columns that spans from above leave free. A row ends before
     its first empty column; a span beyond it waits for a row that reaches it.
 
-    The rows of a table are folded in the JVM; what a row hands on is the columns still spanned.
-    Column spans count up to ``MAX_COLSPAN``. The cells of one
-    table come from one page, so an array per table is bounded by it.
+    The rows of a table are folded in the JVM; what a row hands on is the columns still spanned. Rows
+    are folded in blocks, so the work grows with their number. ``max_colspan`` bounds column spans (1000
+    in the HTML standard); by default they are whole. The cells of one table come from one page, so an
+    array per table is bounded by it.
     """
-    own = F.when(F.col("seq").isNotNull(), F.struct("seq", "text", "rowspan", F.least("colspan", F.lit(MAX_COLSPAN)).alias("colspan")))
+    width = F.col("colspan") if max_colspan is None else F.least("colspan", F.lit(max_colspan))
+    own = F.when(F.col("seq").isNotNull(), F.struct("seq", "text", "rowspan", width.alias("colspan")))
     by_row = cells.groupBy(*table, F.col("row").cast("int").alias("row")).agg(F.array_sort(F.collect_list(own)).alias("_own"))
-    packed = by_row.groupBy(*table).agg(
-        F.map_from_entries(F.collect_list(F.struct("row", "_own"))).alias("_rows"), F.max("row").alias("_last")
-    )
+    packed = by_row.groupBy(*table).agg(F.array_sort(F.collect_list(F.struct("row", "_own"))).alias("_rows"))
     kind = "array<struct<row:int,placed:array<struct<col:int,text:string,rowspan:int>>,spanned:array<struct<col:int,left:int>>,until:int>>"
 
-    def one_row(done: Column, row: Column) -> Column:
+    def one_row(done: Column, line: Column) -> Column:
         above = F.try_element_at(done, F.lit(-1))
         going_on = F.transform(above["spanned"], lambda s: F.struct(s["col"].alias("col"), (s["left"] - (s["col"] < above["until"]).cast("int")).alias("left")))
         begun = F.transform(above["placed"], lambda p: F.struct(p["col"].alias("col"), (p["rowspan"] - 1).alias("left")))
@@ -293,19 +298,50 @@ def cell_grid(cells: DataFrame, table: list[str]) -> DataFrame:
             F.filter(F.concat(going_on, begun), lambda s: s["left"] > 0), F.array().cast("array<struct<col:int,left:int>>")
         )
         units = F.coalesce(
-            F.flatten(F.transform(F.col("_rows")[row], lambda c: F.array_repeat(F.struct(c["text"].alias("text"), c["rowspan"].cast("int").alias("rowspan")), c["colspan"]))),
+            F.flatten(F.transform(line["_own"], lambda c: F.array_repeat(F.struct(c["text"].alias("text"), c["rowspan"].cast("int").alias("rowspan")), c["colspan"]))),
             F.array().cast("array<struct<text:string,rowspan:int>>"),
         )
-        taken = F.transform(spanned, lambda s: s["col"])
-        free = F.filter(F.sequence(F.lit(0), F.size(units) + F.size(spanned)), lambda c: ~F.array_contains(taken, c))
-        placed = F.zip_with(
-            units, F.slice(free, 1, F.size(units)),
-            lambda u, c: F.struct(c.alias("col"), u["text"].alias("text"), u["rowspan"].alias("rowspan")),
-        )
-        new = F.struct(row.alias("row"), placed.alias("placed"), spanned.alias("spanned"), F.get(free, F.size(units)).alias("until"))
-        return F.concat(done, F.array(new))
 
-    folded = packed.select(*table, F.explode(F.aggregate(F.sequence(F.lit(0), "_last"), F.array().cast(kind), one_row)).alias("_r"))
+        def place(units: Column, spanned: Column, free: Column) -> Column:
+            placed = F.zip_with(
+                units, F.slice(free, F.lit(1), F.size(units)),
+                lambda u, c: F.struct(c.alias("col"), u["text"].alias("text"), u["rowspan"].alias("rowspan")),
+            )
+            return F.struct(line["row"].alias("row"), placed.alias("placed"), spanned.alias("spanned"), F.get(free, F.size(units)).alias("until"))
+
+        def with_free(units: Column, spanned: Column) -> Column:
+            taken = F.transform(spanned, lambda s: s["col"])
+            free = F.array_except(F.sequence(F.lit(0), F.size(units) + F.size(spanned)), taken)
+            return _let(free, lambda f: place(units, spanned, f))
+
+        # only the new row is bound: what a binding holds is copied
+        return F.concat(done, F.array(_let(units, lambda u: _let(spanned, lambda s: with_free(u, s)))))
+
+    def one_block(blocks: Column, lines: Column) -> Column:
+        """The fold of some rows, begun with the last row before them."""
+        last = F.slice(F.coalesce(F.try_element_at(blocks, F.lit(-1)), F.array().cast(kind)), F.lit(-1), F.lit(1))
+        return F.concat(blocks, F.array(F.aggregate(lines, F.when(F.size(blocks) > 0, last).otherwise(F.array().cast(kind)), one_row)))
+
+    def own_rows(blocks: Column) -> Column:
+        return F.flatten(F.transform(blocks, lambda b, i: F.when(i == 0, b).otherwise(F.slice(b, F.lit(2), F.size(b)))))
+
+    def every_row(rows: Column) -> Column:
+        """Rows without a cell of their own are there as well, from row 0 on."""
+        none = F.element_at(rows, 1)["_own"]
+
+        def with_gap(r: Column, i: Column) -> Column:
+            first = F.coalesce(F.get(rows, i - 1)["row"], F.lit(-1)) + 1
+            gap = F.when(first < r["row"], F.transform(F.sequence(first, r["row"] - 1), lambda n: F.struct(n.alias("row"), F.slice(none, 1, 0).alias("_own"))))
+            return F.when(gap.isNull(), F.array(r)).otherwise(F.concat(gap, F.array(r)))
+
+        return F.flatten(F.transform(rows, with_gap))
+
+    def in_blocks(rows: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(rows), F.lit(FOLDED))
+        return F.transform(starts, lambda at: F.slice(rows, at, F.lit(FOLDED)))
+
+    blocks = _let(every_row(F.col("_rows")), in_blocks)
+    folded = packed.select(*table, F.explode(F.aggregate(blocks, F.array().cast(f"array<{kind}>"), one_block, own_rows)).alias("_r"))
     blank = F.transform(F.filter("_r.spanned", lambda s: s["col"] < F.col("_r.until")), lambda s: F.struct(s["col"].alias("col"), F.lit("").alias("text"), F.lit(1).alias("rowspan")))
     return folded.select(*table, F.col("_r.row").alias("row"), F.explode(F.concat("_r.placed", blank)).alias("_c")).select(
         *table, "row", "_c.*"

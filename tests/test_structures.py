@@ -155,7 +155,58 @@ def test_grid(spark):
 def test_grid_of_a_wide_span(spark):
     html = "<table><tr><td rowspan=2>a</td><td colspan=999999999>w</td></tr><tr><td>x</td><td>y</td></tr></table>"
     cells = blocks.html_cells(spark.createDataFrame([(1, html)], "page int, html string"), ["page"])
-    grid = blocks.cell_grid(cells, ["page", "table_no"])
+    grid = blocks.cell_grid(cells, ["page", "table_no"], max_colspan=1000)
     got = {(r.row, r.col): r.text for r in grid.collect()}
-    assert len(got) == 1 + blocks.MAX_COLSPAN + 3 and got[0, 1000] == "w" and got[1, 0] == "" and got[1, 2] == "y"
+    assert len(got) == 1 + 1000 + 3 and got[0, 1000] == "w" and got[1, 0] == "" and got[1, 2] == "y"
     assert "Python" not in grid._jdf.queryExecution().executedPlan().toString()
+
+
+def brute_grid(cells):
+    """row -> [(seq, text, rowspan, colspan)] to (row, col, text, rowspan), cell by cell."""
+    out, open_spans, until = [], {}, None
+    for row in range(max(cells) + 1):
+        units = [(t, rs) for _, t, rs, cs in sorted(cells.get(row, [])) for _ in range(cs)]
+        free = [c for c in range(len(units) + len(open_spans) + 1) if c not in open_spans]
+        placed = list(zip(free, units))
+        until = free[len(units)]
+        out += [(row, c, t, rs) for c, (t, rs) in placed] + [(row, c, "", 1) for c in open_spans if c < until]
+        going = {c: left - (c < until) for c, left in open_spans.items()}
+        going.update({c: rs - 1 for c, (_, rs) in placed})
+        open_spans = {c: left for c, left in going.items() if left > 0}
+    return sorted(out)
+
+
+def test_grids_of_any_length(spark, monkeypatch):
+    """Folds in blocks of any size, rows without cells, spans over them and wide ones."""
+    import random
+
+    rng = random.Random(3)
+    tables = {}
+    for t in range(12):
+        rows = sorted(rng.sample(range(60), rng.randint(1, 40)))
+        tables[t] = {r: [(i, f"{r}.{i}", rng.choice([1, 1, 1, 2, 5, 40]), rng.choice([1, 1, 2, 6])) for i in range(rng.randint(1, 4))] for r in rows}
+    tables[12] = {0: [(0, "w", 2, 5000)], 1: [(0, "x", 1, 1)]}
+    flat = [(t, r, *c) for t, rows in tables.items() for r, cells in rows.items() for c in cells]
+    cells = spark.createDataFrame(flat, "t int, row int, seq int, text string, rowspan int, colspan int")
+    for folded in (1, 7, 128):
+        monkeypatch.setattr(blocks, "FOLDED", folded)
+        got = {}
+        for r in blocks.cell_grid(cells, ["t"]).collect():
+            got.setdefault(r.t, []).append((r.row, r.col, r.text, r.rowspan))
+        assert {t: sorted(g) for t, g in got.items()} == {t: brute_grid(c) for t, c in tables.items()}
+
+
+def test_long_grids_take_linear_work(spark):
+    import time
+
+    def seconds(n):
+        cells = spark.range(n).select(F.lit(1).alias("t"), F.col("id").alias("row"), F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("seq")).select(
+            "t", "row", "seq", F.col("row").cast("string").alias("text"), F.when(F.col("row") % 7 == 0, 3).otherwise(1).alias("rowspan"), F.lit(1).alias("colspan")
+        )
+        start = time.perf_counter()
+        assert blocks.cell_grid(cells, ["t"]).agg(F.countDistinct("row")).first()[0] == n
+        return time.perf_counter() - start
+
+    seconds(500)
+    short, long = seconds(5000), seconds(40_000)
+    assert long < 20 * short + 5
