@@ -257,7 +257,8 @@ def oracle(uses: str, sql: str) -> str:
     sql = sql.strip()
     views = with_clause(uses.split(), "duckdb") if uses.split() else ""
     if re.match(r"(?i)\w+ AS( MATERIALIZED)? \(", sql):
-        return "WITH " + (views + ",\n" if views else "") + sql
+        # RECURSIVE only allows what it names, so it may always stand there
+        return "WITH RECURSIVE " + (views + ",\n" if views else "") + sql
     return (f"WITH {views}\n" if views else "") + sql
 
 

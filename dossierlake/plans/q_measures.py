@@ -228,10 +228,12 @@ def cohort_compare(t: Tables):
 
 @query(
     "submission_vs_cohort", "quant",
-    STATS.replace(" AS (SELECT", " AS MATERIALIZED (SELECT") + f""" SELECT e.doc_id, e.field, e.value, {R4('w.mean')} AS win_mean, {R4('l.mean')} AS lose_mean,
-      CASE WHEN e.value < w.mean * 0.85E0 THEN 'low' WHEN e.value >= w.mean * 0.95E0 THEN 'ok' ELSE 'info' END AS status
-    FROM every e LEFT JOIN stats w ON w.facility_type = e.facility_type AND w.field = e.field AND w.cohort = 'win'
-    LEFT JOIN stats l ON l.facility_type = e.facility_type AND l.field = e.field AND l.cohort = 'lose'""",
+    STATS + f""",
+    sides AS MATERIALIZED (SELECT facility_type, field, max(mean) FILTER (WHERE cohort = 'win') AS win, max(mean) FILTER (WHERE cohort = 'lose') AS lose
+      FROM stats GROUP BY facility_type, field)
+    SELECT e.doc_id, e.field, e.value, {R4('win')} AS win_mean, {R4('lose')} AS lose_mean,
+      CASE WHEN e.value < win * 0.85E0 THEN 'low' WHEN e.value >= win * 0.95E0 THEN 'ok' ELSE 'info' END AS status
+    FROM every e LEFT JOIN sides USING (facility_type, field)""",
 )
 def submission_vs_cohort(t: Tables):
     quant = t.view("quant")

@@ -79,6 +79,26 @@ def duplicate_sets(t: Tables):
     return similar.duplicate_sets(lines, ["source", "lang"]).withColumn("similarity", r4("similarity"))
 
 
+@query(
+    "duplicate_classes", "doc_lines",
+    """w AS (SELECT source, lang, idx, list_sort(list_distinct([x for x in regexp_split_to_array(trim(lower(line)), '\\s+') if x <> ''])) AS tk FROM doc_lines),
+    s AS MATERIALIZED (SELECT source, lang, tk, min(idx) AS id, count(*) AS members FROM w WHERE len(tk) > 0 GROUP BY ALL),
+    e AS (SELECT source, lang, id, len(tk) AS n, unnest(tk) AS t FROM s),
+    c AS (SELECT a.source, a.lang, a.id AS a_id, b.id AS b_id, any_value(a.n) AS an, any_value(b.n) AS bn, count(*) AS k
+      FROM e a JOIN e b ON a.source = b.source AND a.lang = b.lang AND a.t = b.t AND a.id <> b.id GROUP BY a.source, a.lang, a.id, b.id),
+    l AS MATERIALIZED (SELECT source, lang, a_id, b_id FROM c WHERE k / (an + bn - k) >= 0.6E0),
+    reach AS (SELECT source, lang, a_id AS id, a_id AS other FROM l UNION SELECT r.source, r.lang, r.id, l.b_id FROM reach r JOIN l ON r.source = l.source AND r.lang = l.lang AND r.other = l.a_id),
+    classes AS (SELECT source, lang, id, min(other) AS class_id FROM reach GROUP BY ALL),
+    met AS (SELECT l.source, l.lang, l.a_id AS id, sum(s.members) AS met FROM l JOIN s ON s.source = l.source AND s.lang = l.lang AND s.id = l.b_id GROUP BY ALL)
+    SELECT w.source, w.lang, w.idx, coalesce(c.class_id, s.id) AS class_id, s.members AS copies, CAST(coalesce(m.met, 0) + s.members - 1 AS BIGINT) AS links
+    FROM w JOIN s ON w.source = s.source AND w.lang = s.lang AND w.tk = s.tk
+      LEFT JOIN classes c ON c.source = s.source AND c.lang = s.lang AND c.id = s.id LEFT JOIN met m ON m.source = s.source AND m.lang = s.lang AND m.id = s.id""",
+)
+def duplicate_classes(t: Tables):
+    lines = t.view("doc_lines").select("source", "lang", "idx", F.col("line").alias("description"))
+    return similar.duplicate_classes(lines, ["source", "lang"])
+
+
 RUNS = """
 items AS (SELECT conv_id AS doc_id, 'turn' AS field, CASE WHEN role = 'user' THEN 'a' ELSE 'b' END AS run, text AS item FROM conversations WHERE role <> 'system'
   UNION ALL SELECT user_id, event_type, CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END,

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from dossierlake.operators import conflicts, pages, prose, resolve, similar, sites
@@ -85,6 +86,26 @@ def test_duplicate_sets_cover_every_pair(spark):
     assert out.count() < expected / 3
 
 
+@pytest.mark.parametrize("frequent", [0, 3, 256])
+def test_duplicate_classes(spark, frequent):
+    rows = [("d", "ax%d" % (i % 2), i, t) for i, t in enumerate(_texts(80, 3) + ["공간 배치 동선"] * 40 + ["공간", "", "동선 배치", "공간 공간"])]
+    rows += [("e", None, 1, "공간 배치"), ("f", "ax0", 1, "공간 배치 동선")]
+    df = spark.createDataFrame(rows, "doc string, axis string, idx int, description string").where("axis IS NOT NULL")
+    items = [(k, a, i, frozenset(t.split())) for k, a, i, t in rows if a and t.split()]
+    links = {(k, a, i): [j for k2, a2, j, u in items if (k2, a2) == (k, a) and j != i and len(s & u) / len(s | u) >= 0.6] for k, a, i, s in items}
+    expected = []
+    for k, a, i, s in items:
+        seen, todo = {i}, [i]
+        while todo:
+            for j in links[k, a, todo.pop()]:
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        expected.append((k, a, i, min(seen), sum(1 for k2, a2, _, u in items if (k2, a2, u) == (k, a, s)), len(links[k, a, i])))
+    got = similar.duplicate_classes(df, ["doc", "axis"], frequent=frequent)
+    assert sorted(map(tuple, got.collect())) == sorted(expected)
+
+
 def test_run_difference_brute_force(spark):
     import re
 
