@@ -139,6 +139,21 @@ def hierarchy_stats(rows: DataFrame, doc: list[str]) -> DataFrame:
     )
 
 
+#: Row types that form the hierarchy of an area table.
+LEVELS = ("site_total", "facility", "division", "bureau", "space")
+
+
+def hierarchy_summary(rows: DataFrame, shared: DataFrame, doc: list[str]) -> DataFrame:
+    """Per document: filled areas, the hierarchy's levels that occur, and entries of shared areas
+    (``shared`` has one row each)."""
+    found = rows.groupBy(*doc).agg(
+        F.count("area").alias("area_filled"),
+        F.array_sort(F.collect_set(F.when(F.col("row_type").isin(*LEVELS), F.col("row_type")))).alias("levels"),
+    )
+    entries = shared.groupBy(*doc).agg(F.count(F.lit(1)).alias("_shared"))
+    return found.join(entries, doc, "left").select(*doc, "area_filled", "levels", F.coalesce("_shared", F.lit(0)).alias("shared"))
+
+
 def site_envelopes(sites: DataFrame, buckets: DataFrame, doc: list[str]) -> DataFrame:
     """Programme of every site against the floor area its limits allow.
 

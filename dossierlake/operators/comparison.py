@@ -85,9 +85,23 @@ def floor_cells(plans: DataFrame, keys: list[str]) -> DataFrame:
     ).withColumn("floor", floor_label("floor_order"))
 
 
-def floor_matrix(cells: DataFrame, keys: list[str], companies: list[str]) -> DataFrame:
-    """Floors as rows, the given companies as columns."""
-    return cells.groupBy(*keys, "floor_order", "floor").pivot("company", companies).agg(
+#: Columns that a matrix may have at most.
+MOST_COLUMNS = 200
+
+
+def found_values(df: DataFrame, column: str, most: int = MOST_COLUMNS) -> list:
+    """The values of a column, in order, that a pivot makes columns of; more than ``most`` are an error,
+    so what reaches the driver is bounded."""
+    values = [r[0] for r in df.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column).limit(most + 1).collect()]
+    if len(values) > most:
+        raise ValueError(f"{column} has more than {most} values; restrict the rows first")
+    return values
+
+
+def floor_matrix(cells: DataFrame, keys: list[str], companies: list | None = None) -> DataFrame:
+    """Floors as rows, companies as columns, the category of the first programme in each cell; the
+    companies are those that occur, in order, unless they are given."""
+    return cells.groupBy(*keys, "floor_order", "floor").pivot("company", companies if companies is not None else found_values(cells, "company")).agg(
         F.first("category")
     )
 
@@ -161,6 +175,24 @@ def reference_cases(winners: DataFrame, projects: DataFrame, keys: list[str], li
     )
 
 
+def pattern_summary(sizes: DataFrame, keywords: DataFrame, lines: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
+    """Signals of a facility's pattern, for facilities with winners: facility_type, win_n, lose_n,
+    section, rank, text; all or the first ``limits[section]`` of each.
+
+    ``sizes`` has facility_type, cohort, size; ``keywords`` facility_type, cohort, rank, keyword;
+    ``lines`` facility_type, kind, rank, text. Sections are winner_keywords, loser_keywords and the kinds.
+    """
+    n = lambda c: F.coalesce(F.sum(F.when(F.col("cohort") == c, F.col("size"))), F.lit(0))
+    won = sizes.groupBy("facility_type").agg(n("win").alias("win_n"), n("lose").alias("lose_n")).where("win_n > 0")
+    section = F.when(F.col("cohort") == "win", F.lit("winner_keywords")).otherwise(F.lit("loser_keywords"))
+    signals = keywords.select("facility_type", section.alias("section"), "rank", F.col("keyword").alias("text")).unionByName(
+        lines.select("facility_type", F.col("kind").alias("section"), "rank", "text")
+    )
+    for name, most in (limits or {}).items():
+        signals = signals.where((F.col("section") != name) | (F.col("rank") <= most))
+    return won.join(signals, "facility_type").select("facility_type", "win_n", "lose_n", "section", "rank", "text")
+
+
 def comparison_excerpts(texts: DataFrame, projects: DataFrame, limit: int | None = None, min_len: int = 10) -> DataFrame:
     """Concept texts per facility, newest projects first; all or the first ``limit``. ``texts`` has axis_ord and text."""
     long_enough = texts.filter(F.length(F.trim("text")) >= min_len)

@@ -254,6 +254,40 @@ def validation_summary(flags: DataFrame, doc: list[str]) -> DataFrame:
     )
 
 
+#: The rules of a brief's validation, in their order.
+RULES = ("points_mismatch", "duplicate", "omission", "area_cross", "facility_conflict", "low_confidence")
+
+
+def rule_flags(
+    doc: list[str], points: DataFrame, duplicates: DataFrame, omitted: DataFrame, areas: DataFrame, keywords: DataFrame, pages: DataFrame
+) -> DataFrame:
+    """Flags of all six rules, combined per document, rule and severity: doc, rule, severity, flags.
+
+    Each argument is what its operator returns: ``points_check``, ``similar.duplicate_sets`` (every
+    pair is a flag; ``pairs`` counts those of equal sets), ``omissions``, ``area_cross_check``,
+    ``keyword_conflicts`` and ``pages.low_confidence``.
+    """
+    one, low = F.lit(1).cast("long"), F.lit("low")
+    found = (points, duplicates, omitted, areas, keywords, pages)
+    severity = (F.col("severity"), F.lit("medium"), F.col("severity"), F.col("severity"), F.col("severity"), low)
+    every = None
+    for rule, rows, how in zip(RULES, found, severity):
+        part = rows.select(*doc, F.lit(rule).alias("rule"), how.alias("severity"), (F.col("pairs") if rule == "duplicate" else one).alias("flags"))
+        every = part if every is None else every.unionByName(part)
+    return every.groupBy(*doc, "rule", "severity").agg(F.sum("flags").alias("flags"))
+
+
+def validate_briefs(briefs: DataFrame, flags: DataFrame, doc: list[str]) -> DataFrame:
+    """Flags of every brief by severity, zeros where nothing was flagged, and the number of rules that
+    flagged something. ``flags`` is what ``rule_flags`` returns."""
+    names = ("high", "medium", "low")
+    counted = flags.groupBy(*doc).agg(
+        *[F.coalesce(F.sum(F.when(F.col("severity") == s, F.col("flags"))), F.lit(0)).alias(s) for s in names],
+        F.count_distinct("rule").alias("rules"),
+    )
+    return briefs.select(*doc).distinct().join(counted, doc, "left").select(*doc, *[F.coalesce(c, F.lit(0)).alias(c) for c in (*names, "rules")])
+
+
 def severity_order(flags: DataFrame, doc: list[str], tie: list[str], cap: int | None = None) -> DataFrame:
     """Worst flags first, all or the first ``cap`` of a document; the rest is counted."""
     from pyspark.sql import Window

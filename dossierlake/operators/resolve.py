@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossierlake import fixed
+from dossierlake.functions import nested
 from dossierlake.functions.text import blank_to_null, path_segments
 
 AREA_TABLE, SITE_PLAN, PROGRAMME, REGULATIONS, PROGRAMME_SITE = range(5)
@@ -260,3 +261,11 @@ def variant_items(v) -> Column:
         .when(kind.startswith("OBJECT"), F.array(c))
         .otherwise(F.array().cast("array<variant>"))
     )
+
+
+def distinct_records(rows: DataFrame, keys: list[str], json: str, ordinal: str = "ord") -> DataFrame:
+    """Records of a key in order of their first appearance, each once: records are equal whose JSON
+    is, however its keys are ordered. Columns: keys, the record's first ordinal, text and copies."""
+    same = rows.withColumn("_same", F.coalesce(nested.canonical(json), F.col(json)))
+    first = F.min_by(F.struct(F.col(ordinal), F.col(json)), ordinal)
+    return same.groupBy(*keys, "_same").agg(first.alias("_r"), F.count(F.lit(1)).alias("copies")).select(*keys, "_r.*", "copies")

@@ -46,6 +46,30 @@ def limits_by_review(conditions: str) -> Column:
     return F.when(F.coalesce(hit, F.lit(False)), F.lit("심의")).otherwise(F.lit("법정"))
 
 
+def limit_authority(conditions: DataFrame, doc: list[str], text: str = "text") -> DataFrame:
+    """'심의' for documents with a condition that ties a limit to a review, one row per condition."""
+    review, limit = any_of(fixed.REVIEW_WORDS), any_of(fixed.LIMIT_WORDS)
+    hit = F.coalesce(F.max(F.col(text).rlike(review) & F.col(text).rlike(limit)), F.lit(False))
+    return conditions.groupBy(*doc).agg(F.when(hit, F.lit("심의")).otherwise(F.lit("법정")).alias("limits_determined_by"))
+
+
+def certificate_codes(briefs: DataFrame, certs: DataFrame, doc: list[str], sustain: str = "sustain", ordinal: str = "ord") -> DataFrame:
+    """Certificate codes of every brief and the least share of renewable energy, which counts only
+    where the VARIANT ``sustain`` states a number."""
+    field = F.variant_get(F.col(sustain), "$.renewable_energy_min_pct", "variant")
+    kind = F.schema_of_variant(field)
+    number = F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(field, "$", "double"))
+    known = certifications(certs, doc, ordinal)
+    return briefs.select(*doc, number.alias("renewable_pct")).join(known, doc, "left")
+
+
+def feasibility_projects(briefs: DataFrame, certs: DataFrame, doc: list[str], sustain: str = "sustain") -> DataFrame:
+    """The part of a feasibility block that concerns the whole project: certificates, costs (in 100
+    million won) and months of construction."""
+    figures = ["construction_cost_100m_won", "design_cost_100m_won", "construction_period_months"]
+    return certificate_codes(briefs, certs, doc, sustain).join(briefs.select(*doc, *figures), doc)
+
+
 def certifications(certs: DataFrame, doc: list[str], ordinal: str = "ord") -> DataFrame:
     """Certificate codes from free text; the last statement of each kind holds."""
     text = F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("required_grade", F.lit("")))
@@ -148,7 +172,8 @@ def feasibility_sites(
 ) -> DataFrame:
     """Normalised sites: address, uses, parking, zone, who sets the limits, key figures.
 
-    ``sites`` has doc, ord, site_id, address, zoning, facilities and the site figures.
+    ``sites`` has doc, ord, site_id, address, zoning, facilities and the site figures; ``conditions``
+    has one row (doc, text) per special condition.
     """
     canonical = sites.withColumn(
         "site_id", F.coalesce(blank_to_null("site_id"), F.concat(F.lit("부지"), F.col("ord").cast("string")))
@@ -161,7 +186,7 @@ def feasibility_sites(
         canonical.join(parsed, [*doc, "site_id"], "left")
         .join(parking_by_site(statements, doc), [*doc, "site_id"], "left")
         .join(parking_generic(statements, doc), doc, "left")
-        .join(conditions.select(*doc, "special_conditions"), doc, "left")
+        .join(limit_authority(conditions, doc), doc, "left")
         .select(
             *doc, "site_id",
             F.coalesce(blank_to_null("address"), F.col("_parsed")).alias("address"),
@@ -170,7 +195,7 @@ def feasibility_sites(
             F.coalesce("parking_note", "generic_note").alias("parking_note"),
             zone_use("zoning").alias("zone_use"),
             zone_use_raw("zoning").alias("zone_use_raw"),
-            limits_by_review("special_conditions").alias("limits_determined_by"),
+            F.coalesce("limits_determined_by", F.lit("법정")).alias("limits_determined_by"),
             *figures,
         )
     )

@@ -79,6 +79,22 @@ def floor_matrix(t: Tables):
     return comparison.floor_cells(plans, ["competition_id"])
 
 
+@query(
+    "floor_matrix_pivot", "subs",
+    PLANS.strip() + """,
+    f AS (SELECT * EXCLUDE (company), company % 4 AS company, trim(programme) AS p, CASE WHEN floor_level = '옥상' THEN 10000 WHEN floor_level LIKE 'b%' OR floor_level LIKE '지하%' THEN -CAST(regexp_extract(floor_level, '(\\d+)', 1) AS INT)
+        WHEN regexp_matches(floor_level, '\\d') THEN CAST(regexp_extract(floor_level, '(\\d+)', 1) AS INT) END AS o FROM plans),
+    c AS (SELECT competition_id, company, o AS floor_order, CASE arg_min(p, ord) WHEN '주차장' THEN 'core' WHEN '주민 도서관' THEN 'culture' WHEN 'unit plan' THEN 'residence' ELSE 'office' END AS category
+      FROM f WHERE o IS NOT NULL AND o <> 0 GROUP BY ALL)
+    SELECT competition_id, floor_order, CASE WHEN floor_order = 10000 THEN 'ROOF' WHEN floor_order < 0 THEN 'B' || -floor_order ELSE floor_order || 'F' END AS floor,
+      max(category) FILTER (company = 0) AS "0", max(category) FILTER (company = 1) AS "1", max(category) FILTER (company = 2) AS "2", max(category) FILTER (company = 3) AS "3" FROM c GROUP BY competition_id, floor_order""",
+)
+def floor_matrix_pivot(t: Tables):
+    """The matrix itself; its columns are the companies found."""
+    plans = t.sql(PLANS.strip()[len("plans AS ("):-1], "subs").withColumn("company", F.col("company") % 4)
+    return comparison.floor_matrix(comparison.floor_cells(plans, ["competition_id"]), ["competition_id"])
+
+
 @query(
     "grade_resolve", "",
     """SELECT event_id, g AS grade, CASE WHEN g IN ('A', 'B') THEN '우수' WHEN g = 'C' THEN '보통' WHEN g IN ('D', 'E') THEN '미흡' ELSE '' END AS label FROM (
@@ -193,6 +209,29 @@ def axis_rubric(t: Tables):
     return out.select("facility_type", "axis", F.array_join("signals", "|").alias("signals"), "rubric_hint")
 
 
+@query(
+    "pattern_summary", "subs keywords",
+    """lines AS (SELECT s.facility_type, CASE l.l_returnflag WHEN 'A' THEN 'winner_patterns' WHEN 'N' THEN 'loser_patterns' ELSE 'key_differentiators' END AS kind, p.p_name || ' ' || p.p_type AS text
+        FROM subs s JOIN lineitem l ON l.l_orderkey = s.doc_id JOIN part p ON p.p_partkey = l.l_partkey),
+    kw AS (SELECT facility_type, CASE cohort WHEN 'win' THEN 'winner_keywords' ELSE 'loser_keywords' END AS section, keyword AS text, count(*) AS n FROM keywords WHERE keyword <> '' GROUP BY ALL),
+    every AS (SELECT * FROM kw UNION ALL SELECT facility_type, kind, text, count(*) FROM lines GROUP BY ALL),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY facility_type, section ORDER BY n DESC, text) AS rank FROM every),
+    won AS (SELECT facility_type, count(*) FILTER (cohort = 'win') AS win_n, count(*) FILTER (cohort = 'lose') AS lose_n FROM subs GROUP BY facility_type)
+    SELECT facility_type, win_n, lose_n, section, rank, text FROM ranked JOIN won USING (facility_type)
+    WHERE win_n > 0 AND rank <= CASE section WHEN 'winner_keywords' THEN 8 WHEN 'loser_keywords' THEN 8 WHEN 'key_differentiators' THEN 4 ELSE 5 END""",
+)
+def pattern_summary(t: Tables):
+    sizes = t.view("subs").groupBy("facility_type", "cohort").agg(F.count("*").alias("size"))
+    freq = patterns.term_frequency(t.view("keywords"), sizes, ["facility_type", "cohort"], "keyword", 8)
+    lines = t.sql(
+        """SELECT s.facility_type, CASE l.l_returnflag WHEN 'A' THEN 'winner_patterns' WHEN 'N' THEN 'loser_patterns' ELSE 'key_differentiators' END AS kind,
+           p.p_name || ' ' || p.p_type AS text FROM subs s JOIN lineitem l ON l.l_orderkey = s.doc_id JOIN part p ON p.p_partkey = l.l_partkey""",
+        "subs",
+    )
+    limits = {"winner_keywords": 8, "loser_keywords": 8, "winner_patterns": 5, "loser_patterns": 5, "key_differentiators": 4}
+    return comparison.pattern_summary(sizes, freq, patterns.frequent_lines(lines, ["facility_type"]), limits)
+
+
 # --- search --------------------------------------------------------------------------
 
 W = fixed.SEARCH_WEIGHTS
@@ -241,6 +280,13 @@ def _documents(t: Tables) -> search_index.Index:
     return _stored_index(t, "documents", lambda: t.table("documents"), "doc_id", ["text", "source"])
 
 
+def prepare_indexes(spark, folder: str) -> None:
+    """Write the stored indexes that the searches of a session share."""
+    t = Tables(spark, folder)
+    _parts(t)
+    _documents(t)
+
+
 _ANY_COLUMN = " || chr(10) || ".join(W)
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from dossierlake.functions import nested
+from dossierlake.operators import resolve
 from dossierlake.plans.adapters import Tables
 from dossierlake.plans.registry import query
-from dossierlake.sources import readers
+from dossierlake.sources import files, readers, upserts
 
 
 @query(
@@ -83,3 +87,55 @@ def brief_digest(t: Tables):
         F.col("has.insight").alias("has_insight"), F.col("has.proposal").alias("has_proposal"),
         F.col("contradictions").isNotNull().alias("has_contradictions"),
     )
+
+
+# an event's record with its key order and the depth of its pages depending on the event
+NESTED = """
+nested AS (SELECT user_id, event_id, CASE event_id % 4
+    WHEN 0 THEN '{"kind": "' || event_type || '", "_page": ' || CAST(event_id % 40 AS STRING) || ', "items": [{"_page": ' || CAST(event_id % 70 AS STRING) || '}]}'
+    WHEN 1 THEN '{"items": [{"deep": {"_page": ' || CAST(event_id % 70 AS STRING) || '.0}, "text": "a \\\\"_page\\\\":99 b"}], "kind": "' || event_type || '"}'
+    WHEN 2 THEN '{"total_pages": ' || CAST(event_id % 30 AS STRING) || ', "_page": "x", "kind": "' || event_type || '"}'
+    ELSE '{"kind":"' || event_type || '","b":' || CAST(event_id % 3 AS STRING) || ',"a":[1,2]}' END AS record FROM events)"""
+
+
+@query(
+    "nested_pages", "",
+    """SELECT event_id, CAST(CASE event_id % 4 WHEN 0 THEN greatest(event_id % 40, event_id % 70) WHEN 1 THEN event_id % 70
+         WHEN 2 THEN CASE WHEN event_id % 30 > 0 THEN event_id % 30 END END AS BIGINT) AS bound,
+       CASE event_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS pages FROM events""",
+)
+def nested_pages(t: Tables):
+    rows = t.sql("WITH " + NESTED + " SELECT * FROM nested")
+    return rows.select("event_id", nested.page_bound("record").alias("bound"), F.size(nested.page_numbers("record")).alias("pages"))
+
+
+@query(
+    "distinct_records", "",
+    """WITH r AS (SELECT user_id, event_id, CASE event_id % 2 WHEN 0 THEN event_type || '|' || event_id % 3 ELSE event_type || '|' || event_id % 3 END AS same FROM events)
+    SELECT user_id, min(event_id) AS event_id, count(*) AS copies FROM r GROUP BY user_id, same""",
+)
+def distinct_records(t: Tables):
+    rows = t.sql(
+        """SELECT user_id, event_id, CASE event_id % 2 WHEN 0 THEN '{"t": "' || event_type || '", "n": {"x": ' || CAST(event_id % 3 AS STRING) || ', "y": [1]}}'
+           ELSE '{"n":{"y":[1],"x":' || CAST(event_id % 3 AS STRING) || '},"t":"' || event_type || '"}' END AS record FROM events"""
+    )
+    return resolve.distinct_records(rows, ["user_id"], "record", "event_id").drop("record")
+
+
+@query(
+    "backfill_apply", "",
+    """SELECT o_custkey AS doc_id, o_orderkey AS ord, CASE WHEN o_custkey % 3 = 1 OR (o_custkey % 3 = 0) THEN 'new ' || o_orderkey ELSE 'old ' || o_orderkey END AS address, o_custkey % 5 AS part FROM orders""",
+)
+def backfill_apply(t: Tables):
+    """Address lists after a dry run and two applications: documents gain addresses (one in three),
+    are new (one in three) or lose some and stay."""
+    path = f"{files.shared_folder(t.spark)}/addresses-{uuid.uuid4().hex}"
+    every = t.sql("SELECT o_custkey AS doc_id, o_orderkey AS ord, o_custkey % 5 AS part, 'old ' || CAST(o_orderkey AS STRING) AS address FROM orders")
+    old = every.withColumn("address", F.when(F.col("doc_id") % 3 == 2, F.col("address")).otherwise(F.lit(" ")))
+    upserts.write_partitions(old.where("doc_id % 3 <> 0"), path, "part")
+    new = every.withColumn("address", F.regexp_replace("address", "old", "new"))
+    new = new.withColumn("address", F.when(F.col("doc_id") % 3 == 2, F.lit("")).otherwise(F.col("address")))
+    upserts.apply_backfill(t.spark, path, new, ["doc_id"], "address", "part", dry_run=True)
+    for _ in range(2):
+        upserts.apply_backfill(t.spark, path, new, ["doc_id"], "address", "part", dry_run=False)
+    return t.spark.read.parquet(path).select("doc_id", "ord", "address", F.col("part").cast("long").alias("part"))

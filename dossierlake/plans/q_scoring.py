@@ -271,3 +271,48 @@ def severity_order(t: Tables):
            l_orderkey * 10 + l_linenumber AS k, l_partkey AS p FROM lineitem"""
     )
     return conflicts.severity_order(flags, ["doc_id"], ["k", "p"], 12)
+
+
+# the same six rules over one order: its lines are categories, pages, texts, rooms and requirements
+RULE_TABLES = """
+rbriefs AS (SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END AS fa,
+    CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE 50.0E0 END AS bc, CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE 200.0E0 END AS fr,
+    CASE WHEN o_orderstatus = 'P' THEN 'bid' END AS genre, CASE WHEN o_orderkey % 4 <> 0 THEN true END AS has_scoring FROM orders),
+rrooms AS (SELECT l_orderkey AS doc_id, l_quantity AS area FROM lineitem),
+rtotals AS (SELECT o_orderkey AS doc_id, CAST(o_custkey % 400 AS DOUBLE) AS stated_total FROM orders),
+rreqs AS (SELECT l_orderkey AS doc_id, l_returnflag AS axis, (l_partkey * 100000 + l_suppkey) * 10 + l_linenumber AS idx, p_name || ' ' || l_linestatus || ' ' || p_brand AS description
+    FROM lineitem JOIN part ON p_partkey = l_partkey)"""
+
+
+@query(
+    "validate_briefs", "subs categories cls",
+    SUMS.strip() + "," + EVAL_TEXT.strip() + "," + RULE_TABLES.strip() + f""",
+    khits AS (SELECT *, {_HIT} AS keyword FROM texts),
+    rwords AS (SELECT doc_id, axis, idx, list_sort(list_distinct([x for x in string_split(lower(description), ' ') if x <> ''])) AS w FROM rreqs),
+    rroom AS (SELECT doc_id, sum(area) / stated_total AS ratio FROM rrooms JOIN rtotals USING (doc_id) WHERE area > 0 AND stated_total > 0 GROUP BY doc_id, stated_total),
+    flags AS (
+      SELECT doc_id, 'points_mismatch' AS rule, severity FROM pflags
+      UNION ALL SELECT a.doc_id, 'duplicate', 'medium' FROM rwords a JOIN rwords b ON a.doc_id = b.doc_id AND a.axis = b.axis AND a.idx < b.idx
+        WHERE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.6E0
+      UNION ALL SELECT doc_id, 'omission', unnest(['high'] ) FROM rbriefs WHERE fa IS NULL AND genre IS NULL
+      UNION ALL SELECT doc_id, 'omission', 'medium' FROM rbriefs WHERE bc IS NULL AND genre IS NULL
+      UNION ALL SELECT doc_id, 'omission', 'medium' FROM rbriefs WHERE fr IS NULL AND genre IS NULL
+      UNION ALL SELECT doc_id, 'omission', 'high' FROM rbriefs WHERE has_scoring IS NULL
+      UNION ALL SELECT doc_id, 'area_cross', CASE WHEN abs(ratio - 1) > 0.25E0 THEN 'high' ELSE 'medium' END FROM rroom WHERE abs(ratio - 1) > 0.12E0
+      UNION ALL SELECT doc_id, 'facility_conflict', 'high' FROM (SELECT DISTINCT doc_id, facility_type, keyword FROM khits WHERE keyword IS NOT NULL)
+      UNION ALL SELECT doc_id, 'low_confidence', 'low' FROM cls WHERE confidence < 0.55E0)
+    SELECT o_orderkey AS doc_id, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low,
+      count(DISTINCT rule) AS rules FROM orders LEFT JOIN flags ON doc_id = o_orderkey GROUP BY o_orderkey""",
+)
+def validate_briefs(t: Tables):
+    from dossierlake.operators import pages, similar
+
+    made = {n: t.sql("WITH " + RULE_TABLES + f" SELECT * FROM {n}") for n in ("rbriefs", "rrooms", "rtotals", "rreqs")}
+    doc = ["doc_id"]
+    facts = {"total_floor_area_sqm": ["fa"], "building_coverage_ratio_pct": ["bc"], "floor_area_ratio_pct": ["fr"]}
+    flags = conflicts.rule_flags(
+        doc, conflicts.points_check(_categories(t), doc), similar.duplicate_sets(made["rreqs"], ["doc_id", "axis"]),
+        conflicts.omissions(made["rbriefs"], doc, facts), conflicts.area_cross_check(made["rrooms"], made["rtotals"], doc),
+        conflicts.keyword_conflicts(t.sql(EVAL_TEXT.strip()[len("texts AS ("):-1], "subs"), doc), pages.low_confidence(t.view("cls")),
+    )
+    return conflicts.validate_briefs(made["rbriefs"], flags, doc)

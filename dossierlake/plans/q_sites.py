@@ -51,6 +51,32 @@ def certifications(t: Tables):
     return sites.certifications(certs, ["doc_id"])
 
 
+@query(
+    "feasibility_projects", "",
+    """WITH b AS (SELECT o_custkey AS doc_id, max(o_orderkey) AS k, CAST(count(*) AS DOUBLE) AS n, max(o_totalprice) AS top, min(o_totalprice) AS least FROM orders GROUP BY o_custkey),
+    c AS (SELECT o_custkey AS doc_id, o_orderkey AS ord, o_orderkey % 5 AS m, o_orderkey % 2 AS h FROM orders),
+    g AS (SELECT doc_id, arg_max(CASE WHEN h = 0 THEN '최우수' ELSE '우수' END, ord) FILTER (m = 0) AS green_building, CAST(arg_max(ord % 4 + 1, ord) FILTER (m = 1) AS INT) AS zeb_grade,
+      arg_max(CASE WHEN h = 0 THEN '최우수' ELSE '우수' END, ord) FILTER (m = 2) AS bf_grade FROM c GROUP BY doc_id)
+    SELECT doc_id, CASE k % 4 WHEN 0 THEN CAST(k % 40 AS DOUBLE) WHEN 1 THEN (k % 40) + 0.5E0 END AS renewable_pct, green_building, zeb_grade, bf_grade,
+      top AS construction_cost_100m_won, least AS design_cost_100m_won, n AS construction_period_months FROM b JOIN g USING (doc_id)""",
+)
+def feasibility_projects(t: Tables):
+    briefs = t.sql(
+        """SELECT o_custkey AS doc_id, max(o_totalprice) AS construction_cost_100m_won, min(o_totalprice) AS design_cost_100m_won,
+           CAST(count(*) AS DOUBLE) AS construction_period_months, max(o_orderkey) AS k FROM orders GROUP BY o_custkey"""
+    )
+    share = F.when(F.col("k") % 4 == 0, F.concat(F.lit('{"renewable_energy_min_pct": '), F.col("k") % 40, F.lit("}")))
+    share = share.when(F.col("k") % 4 == 1, F.concat(F.lit('{"renewable_energy_min_pct": '), F.col("k") % 40, F.lit(".5}")))
+    share = share.when(F.col("k") % 4 == 2, F.lit('{"renewable_energy_min_pct": "20"}')).otherwise(F.lit('{"other": 1}'))
+    certs = t.sql(
+        """SELECT o_custkey AS doc_id, o_orderkey AS ord,
+           CASE o_orderkey % 5 WHEN 0 THEN '녹색건축 인증' WHEN 1 THEN 'zeb 인증' WHEN 2 THEN '장애물 없는 생활환경' ELSE '에너지효율' END AS name,
+           CASE WHEN o_orderkey % 5 = 1 THEN CAST(o_orderkey % 4 + 1 AS STRING) || ' 등급'
+                WHEN o_orderkey % 2 = 0 THEN '최우수' ELSE '우수' END AS required_grade FROM orders"""
+    )
+    return sites.feasibility_projects(briefs.withColumn("sustain", F.parse_json(share)).drop("k"), certs, ["doc_id"])
+
+
 PARKING = """
 park AS (SELECT doc_id, ord, text, CASE ord % 6 WHEN 0 THEN ord % 900 WHEN 1 THEN 2001000 + ord % 800 + 100 ELSE ord % 70 END AS cnt,
    CASE WHEN ord % 6 = 0 THEN '부지' || (ord % 3 + 1) END AS site_id FROM statements WHERE ord % 6 IN (0, 1))"""
@@ -78,24 +104,23 @@ def address_inherit(t: Tables):
 
 def _feasibility(t: Tables):
     rows = t.view("site_rows")
-    base = rows.filter("ord % 2 = 0").select(
+    base = rows.select(
         "doc_id", "ord", F.regexp_replace("site_id", r"\s*\(.*", "").alias("site_id"),
         F.when(F.col("ord") % 8 == 0, F.concat(F.lit("종로 "), "ord")).alias("address"),
         "zoning", F.array("facility").alias("facilities"),
         "site_area_sqm", "building_coverage_pct", "floor_area_ratio_pct", "max_height_m", "floor_area_sqm",
     )
     statements = t.view("statements")
-    conditions = statements.groupBy("doc_id").agg(F.collect_list("text").alias("special_conditions"))
-    return sites.feasibility_sites(base, t.view("addresses"), statements, conditions, ["doc_id"])
+    return sites.feasibility_sites(base, t.view("addresses"), statements, statements, ["doc_id"])
 
 
 FEAS = ADDR.replace("(ord, pos)", "row(ord, pos)") + "," + PARKING + f""",
 base AS (SELECT doc_id, ord, coalesce(regexp_replace(site_id, '\\s*\\(.*', ''), '부지' || ord) AS sid,
-    CASE WHEN ord % 8 = 0 THEN '종로 ' || ord END AS own, * EXCLUDE (doc_id, ord, site_id) FROM site_rows WHERE ord % 2 = 0),
+    CASE WHEN ord % 8 = 0 THEN '종로 ' || ord END AS own, * EXCLUDE (doc_id, ord, site_id) FROM site_rows),
 psite AS (SELECT doc_id, site_id, arg_min(cnt, ord) AS cnt FROM park WHERE site_id IS NOT NULL GROUP BY ALL),
 rev AS (SELECT doc_id, bool_or(ord % 6 = 3) AS review FROM statements GROUP BY doc_id),
 feas AS (SELECT b.doc_id, b.ord, b.sid AS site_id, coalesce(b.own, a.address) AS address, p.cnt AS parking, {ZONE.replace('ord', 'b.ord')} AS zone_use,
-    CASE WHEN b.ord % 5 IN (2, 3) THEN b.zoning END AS zone_use_raw, b.ord % 4 = 0 AS infant, b.facility,
+    CASE WHEN b.ord % 5 IN (2, 3) THEN b.zoning END AS zone_use_raw, b.ord % 4 AS uses_of, b.facility,
     CASE WHEN coalesce(r.review, false) THEN '심의' ELSE '법정' END AS limits_determined_by, site_area_sqm, building_coverage_pct, floor_area_ratio_pct, max_height_m
   FROM base b LEFT JOIN addr a ON a.doc_id = b.doc_id AND a.site_id = b.sid LEFT JOIN psite p ON p.doc_id = b.doc_id AND p.site_id = b.sid
   LEFT JOIN rev r ON r.doc_id = b.doc_id)"""
@@ -104,7 +129,7 @@ feas AS (SELECT b.doc_id, b.ord, b.sid AS site_id, coalesce(b.own, a.address) AS
 @query(
     "feasibility_sites", "site_rows addresses statements",
     FEAS + """ SELECT doc_id, site_id, address, CAST(parking AS INT) AS required_parking_count, zone_use, limits_determined_by, site_area_sqm,
-      CASE WHEN infant THEN '노유자시설' ELSE '' END AS uses FROM feas""",
+      CASE uses_of WHEN 0 THEN '노유자시설' WHEN 1 THEN '업무시설|공동주택' ELSE '' END AS uses FROM feas""",
 )
 def feasibility_sites(t: Tables):
     return _feasibility(t).select(
@@ -115,7 +140,7 @@ def feasibility_sites(t: Tables):
 
 @query(
     "diagnosis_requests", "site_rows addresses statements",
-    FEAS + f""" SELECT doc_id, site_id, address, CASE WHEN infant THEN '노유자시설' ELSE coalesce(zone_use_raw, '미상') END AS building_use,
+    FEAS + f""" SELECT doc_id, site_id, address, CASE uses_of WHEN 0 THEN '노유자시설' WHEN 1 THEN '업무시설' ELSE coalesce(zone_use_raw, '미상') END AS building_use,
       {R4('site_area_sqm * building_coverage_pct / 100')} AS building_area,
       CAST(greatest(1, round_even(max_height_m / 4.0E0, 0)) AS INT) AS floors_above FROM feas
       WHERE coalesce(trim(address), '') <> '' AND site_area_sqm <> 0 AND building_coverage_pct <> 0 AND floor_area_ratio_pct <> 0 AND max_height_m <> 0""",
@@ -282,3 +307,24 @@ def ring_projection(t: Tables):
     y = (F.col("bounds.maxy") - geo.metre_y("lat")) / (F.col("bounds.maxy") - F.col("bounds.miny"))
     three = lambda c: c.cast("decimal(18,3)").cast("double")
     return placed.select("doc_id", "ord", three(x).alias("nx"), three(y).alias("ny"))
+
+
+@query(
+    "hierarchy_summary", "area_rows",
+    """r AS (SELECT doc_id, count(area) AS area_filled, string_agg(DISTINCT row_type, ',' ORDER BY row_type) AS levels FROM area_rows GROUP BY doc_id),
+    s AS (SELECT l_orderkey AS doc_id, count(*) AS shared FROM lineitem WHERE l_discount > 0.08 GROUP BY 1)
+    SELECT doc_id, area_filled, levels, coalesce(shared, 0) AS shared FROM r LEFT JOIN s USING (doc_id)""",
+)
+def hierarchy_summary(t: Tables):
+    shared = t.sql("SELECT l_orderkey AS doc_id, l_partkey AS name FROM lineitem WHERE l_discount > 0.08")
+    out = areas.hierarchy_summary(t.view("area_rows"), shared, ["doc_id"])
+    return out.withColumn("levels", F.array_join("levels", ","))
+
+
+@query(
+    "whole_area_blocks", "area_rows",
+    AREA + " SELECT doc_id, name, area, rank, total FROM ranked WHERE n >= 2",
+)
+def whole_area_blocks(t: Tables):
+    """Every block, without the collecting one."""
+    return areas.programme_blocks(t.view("area_rows"), ["doc_id"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -97,6 +97,40 @@ def backfill(old: DataFrame, new: DataFrame, key: list[str], items: str = "addre
     )
 
 
+def backfill_changes(old: DataFrame, new: DataFrame, key: list[str], item: str) -> DataFrame:
+    """Records whose recomputed rows fill more items than the stored ones, or that had none: key,
+    before, after. One row per item on both sides, so no record is held in one row."""
+    filled = F.count_if(F.trim(F.coalesce(item, F.lit(""))) != "")
+    before = old.groupBy(*key).agg(filled.alias("before"))
+    after = new.groupBy(*key).agg(filled.alias("after"))
+    return after.join(before, key, "left").where(F.col("before").isNull() | (F.col("after") > F.col("before"))).select(
+        *key, F.coalesce("before", F.lit(0)).alias("before"), "after"
+    )
+
+
+def apply_backfill(spark: SparkSession, path: str, new: DataFrame, key: list[str], item: str, by: str, dry_run: bool = True) -> DataFrame:
+    """Replace the rows of records that ``backfill_changes`` names in a table partitioned by ``by``;
+    returns the changes. A dry run only returns them.
+
+    Only partitions with a change are rewritten, each as a whole, from rows written aside first; a
+    second run finds no change and writes nothing.
+    """
+    old = spark.read.parquet(path)
+    changes = backfill_changes(old, new, key, item)
+    if dry_run:
+        return changes
+    noted = f"{path}__changes"
+    changes.write.mode("overwrite").parquet(noted)
+    changes = spark.read.parquet(noted)
+    fresh = new.join(changes.select(*key), key, "left_semi")
+    kept = old.join(changes.select(*key), key, "left_anti").withColumn(by, F.col(by).cast(new.schema[by].dataType))
+    touched = fresh.select(by).distinct()
+    staged = f"{path}__staged"
+    kept.join(touched, by, "left_semi").unionByName(fresh).write.mode("overwrite").parquet(staged)
+    write_partitions(spark.read.parquet(staged), path, by)
+    return changes
+
+
 def export_sheets(sheets: dict[str, DataFrame], root: str, fmt: str = "parquet") -> None:
     """One output folder per logical sheet."""
     for name, df in sheets.items():
