@@ -113,13 +113,14 @@ items AS (SELECT conv_id AS doc_id, 'turn' AS field, CASE WHEN role = 'user' THE
         [lower(x) for x in regexp_split_to_array(item, '[\s·,./()\[\]''"~:;|]+') if length(x) >= 2] AS words FROM d),
     pairs AS (SELECT a.doc_id, a.field, a.item AS ai, b.item AS bi,
         (a.norm <> '' AND b.norm <> '' AND (contains(b.norm, a.norm) OR contains(a.norm, b.norm))) AS inside,
-        CASE WHEN len(a.words) <= len(b.words) THEN a.words ELSE b.words END AS s,
-        CASE WHEN len(a.words) <= len(b.words) THEN b.words ELSE a.words END AS l
+        a.words AS aw, b.words AS bw
       FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.field = b.field AND a.run = 'a' AND b.run = 'b'),
-    sim AS (SELECT doc_id, field, ai, bi FROM pairs WHERE inside OR (len(s) > 0 AND len(l) > 0 AND
-        2 * len([x for x in s if len([y for y in l if contains(y, x) OR contains(x, y)]) > 0]) >= len(s)))
+    met AS (SELECT *, len([x for x in aw if len([y for y in bw if contains(y, x) OR contains(x, y)]) > 0]) AS a_met,
+        len([x for x in bw if len([y for y in aw if contains(y, x) OR contains(x, y)]) > 0]) AS b_met, len(aw) > 0 AND len(bw) > 0 AS told FROM pairs),
+    sim AS (SELECT doc_id, field, ai, bi, inside OR (told AND CASE WHEN len(aw) <= len(bw) THEN 2 * a_met >= len(aw) ELSE 2 * b_met >= len(bw) END) AS for_a,
+        inside OR (told AND CASE WHEN len(bw) <= len(aw) THEN 2 * b_met >= len(bw) ELSE 2 * a_met >= len(aw) END) AS for_b FROM met)
     SELECT doc_id, field, run, item FROM d WHERE NOT EXISTS (SELECT 1 FROM sim WHERE sim.doc_id = d.doc_id AND sim.field = d.field
-      AND CASE WHEN d.run = 'a' THEN sim.ai ELSE sim.bi END = d.item)""",
+      AND CASE WHEN d.run = 'a' THEN for_a AND sim.ai = d.item ELSE for_b AND sim.bi = d.item END)""",
 )
 def run_difference(t: Tables):
     items = t.sql("WITH " + RUNS + " SELECT * FROM items")
