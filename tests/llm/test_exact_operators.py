@@ -151,6 +151,20 @@ def test_shards(spark, which):
     assert sharding.contiguous_shards(empty_docs(spark)).count() == 0
 
 
+@pytest.mark.parametrize("levels", [(63, 60, 57, 0), (60, 48, 0), (48, 36, 24, 12, 0), (0,)])
+def test_cuts_between_single_texts(spark, monkeypatch, levels):
+    """However coarse the first groups, the largest shard comes within two texts of the equal share."""
+    rng = np.random.default_rng(8)
+    texts = ["x" * int(rng.integers(1, 200)) + str(i % 700) for i in range(900)] + [None, ""]
+    monkeypatch.setattr(sharding, "LEVELS", levels)
+    got = sharding.contiguous_shards(edge_docs(spark, list(enumerate(texts))), shards=7).collect()
+    sums, home = collections.Counter(), {}
+    for r in got:
+        sums[r.shard] += r["size"]
+        assert home.setdefault((texts[r.doc_id] or ""), r.shard) == r.shard
+    assert len(got) == len(texts) and max(sums.values()) <= sum(sums.values()) / 7 + 2 * 420
+
+
 # url rules
 
 
