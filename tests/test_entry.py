@@ -13,7 +13,10 @@ import __spark_entry__ as contract
 from dossierlake.plans.adapters import TABLES
 
 FOLDER = "/root/testdata/sf0.001"
-SAMPLE = ["facility_pattern", "page_merge", "file_conflicts", "gap_analysis", "or_search", "area_blocks", "eval_summary"]
+SAMPLE = [
+    "facility_pattern", "page_merge", "file_conflicts", "gap_analysis", "or_search", "area_blocks", "eval_summary", "word_search", "index_refresh",
+    "run_difference", "duplicate_classes", "validate_briefs", "feasibility_sites", "backfill_apply", "nested_pages", "cell_grid", "submission_vs_cohort",
+]
 NAMES = sorted(contract.oracle_sql()) if os.environ.get("DOSSIERLAKE_ALL_ORACLES") == "1" else SAMPLE
 
 
