@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,50 +67,133 @@ def segments(
     )
 
 
-def _cut_rows(keys: list[str]):
-    """Forced cuts over rows sorted by (keys, ord): constant state, no group in memory."""
+#: Paragraphs of a slice and, where a document is large, slices or groups of slices of one group.
+CUT_SLICE, CUT_LEVELS = 256, 2
+
+
+def _table(of_entry) -> Column:
+    """What ``of_entry`` gives for each of the 60 places at which a cut can enter a slice."""
+    return F.transform(F.sequence(F.lit(0), F.lit(fixed.FORCE_CUT_PARAGRAPHS - 1)), of_entry)
+
+
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, although ``use`` looks at it again and again."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _state(off: Column, cuts: Column) -> Column:
+    return F.struct(off.cast("int").alias("off"), cuts.cast("long").alias("cuts"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, count, chars, cut = None, 0, 0, 0
-        for frame in batches:
-            cuts = []
-            rows = zip(*[frame[k] for k in keys], frame["kind"], frame["size"])
-            for *key, kind, size in rows:
-                if key != current:
-                    current, count, chars, cut = key, 0, 0, 0
-                cuts.append(cut)
-                if kind == "paragraph":
-                    first = count == 0 and cut == 0
-                    count, chars = count + 1, chars + size
-                    full = count >= fixed.FORCE_CUT_PARAGRAPHS or chars >= fixed.FORCE_CUT_CHARS
-                    if full and not first:
-                        cut, count, chars = cut + 1, 0, 0
-            yield frame.assign(cut=cuts)
 
-    return run
+def _through(state: Column, table: Column) -> Column:
+    """State behind a slice: place of the first cut in the next one (-1: none follows) and cuts so far."""
+    found = F.element_at(table, F.greatest(state.off, F.lit(0)) + 1)
+    return F.when(state.off < 0, state).otherwise(_state(found.off, state.cuts + found.cuts))
 
 
-def forced_cuts(segmented: DataFrame, doc: list[str]) -> DataFrame:
-    """Split segments that reach 60 paragraphs or 12 000 characters.
+def _hops(sizes: Column, first: Column) -> Column:
+    """For every paragraph of a slice, how many later ones fill a block that starts behind the one
+    before it; 0 where the segment ends sooner. The first paragraph of a segment is never cut off alone."""
 
-    Where a cut falls depends on the cut before it, so long segments are read in order by a
-    streaming pass. Only segments that can contain a cut take that path; documents are
-    spread by segment, not kept whole.
+    def hop(x: Column) -> Column:
+        def step(acc: Column, size: Column) -> Column:
+            n, chars = acc.n + 1, acc.chars + size
+            full = ((n >= fixed.FORCE_CUT_PARAGRAPHS) | (chars >= fixed.FORCE_CUT_CHARS)) & ~(first & (x == 0) & (n == 1))
+            return F.struct(n.alias("n"), chars.alias("chars"), F.when(acc.hop > 0, acc.hop).when(full, n).otherwise(0).alias("hop"))
+
+        start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("chars"), F.lit(0).alias("hop"))
+        return F.aggregate(F.slice(sizes, x + 1, F.lit(fixed.FORCE_CUT_PARAGRAPHS)), start, step, lambda acc: acc.hop)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(CUT_SLICE - 1)), hop)
+
+
+def _walk(hops: Column, entry: Column, finish=None) -> Column:
+    """Cuts at or behind ``entry`` inside a slice; the last may lie in the next slice, -1 says that none follows."""
+
+    def step(marks: Column, x: Column) -> Column:
+        hop = F.element_at(hops, x + 1)
+        return F.when(F.element_at(marks, -1) != x, marks).otherwise(
+            F.concat(marks, F.array(F.when(hop > 0, x + hop).otherwise(F.lit(-1))))
+        )
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(CUT_SLICE - 1)), F.array(entry.cast("int")), step, finish)
+
+
+def _entries(tables: DataFrame, keys: list[str], levels: int) -> DataFrame:
+    """State in which every slice (keys, s, table) is entered.
+
+    The tables of a segment are followed from its start in one row. With ``levels`` those of 256
+    slices are first joined into one, so that the row stays short however long the segment is.
+    """
+
+    def follow(parts: Column, start: Column) -> Column:
+        def step(acc: Column, part: Column) -> Column:
+            out = F.concat(acc.out, F.array(F.struct(part.s.alias("s"), acc.state.alias("entry"))))
+            return F.struct(_through(acc.state, part.table).alias("state"), out.alias("out"))
+
+        empty = F.array().cast("array<struct<s:bigint,entry:struct<off:int,cuts:bigint>>>")
+        return F.aggregate(parts, F.struct(start.alias("state"), empty.alias("out")), step, lambda acc: acc.out)
+
+    parts = F.array_sort(F.collect_list(F.struct("s", "table"))).alias("parts")
+    if levels == 0:
+        rows = tables.groupBy(*keys).agg(parts)
+        return rows.select(*keys, F.inline(follow(F.col("parts"), _state(F.lit(0), F.lit(0)))))
+    grouped = tables.withColumn("g", F.floor(F.col("s") / CUT_SLICE)).groupBy(*keys, "g").agg(parts)
+    joined = _once(F.col("parts"), lambda p: _table(lambda e: F.aggregate(p, _state(e, F.lit(0)), lambda state, part: _through(state, part.table))))
+    above = _entries(grouped.select(*keys, F.col("g").alias("s"), joined.alias("table")), keys, levels - 1)
+    found = grouped.alias("l").join(
+        above.withColumnRenamed("s", "g").alias("r"), scan.same_key([*keys, "g"])
+    ).select("l.*", "r.entry")
+    return found.select(*keys, F.inline(follow(F.col("parts"), F.col("entry"))))
+
+
+def forced_cuts(
+    segmented: DataFrame, doc: list[str], hot: int | bool | None = None, levels: int | None = None
+) -> DataFrame:
+    """Split segments that reach 60 paragraphs or 12 000 characters, in column ``cut`` (from 0).
+
+    Where a cut falls depends on the cut before it, but never more than 60 paragraphs behind it.
+    So a slice of 256 paragraphs is entered at one of 60 places, and a table of what leaves it for
+    each of them stands for the slice; tables are followed in order, rows are not. Every slice then
+    finds its own cuts. A segment of any length is so dealt over many tasks. Runs of contents lines
+    stay whole; empty input gives no rows; null documents are one document.
     """
     keys = [*doc, "segment"]
-    sized = segmented.withColumn("size", F.length("text"))
-    long = sized.filter(~F.col("is_toc")).groupBy(*keys).agg(
-        F.count_if(F.col("kind") == "paragraph").alias("_n"), F.sum("size").alias("_chars")
-    ).filter(
-        (F.col("_n") >= fixed.FORCE_CUT_PARAGRAPHS) | (F.col("_chars") >= fixed.FORCE_CUT_CHARS)
-    ).select(*keys)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sized.schema) + ", cut int"
-    streamed = (
-        sized.join(long, keys, "left_semi").repartition(*keys).sortWithinPartitions(*keys, "ord")
-        .mapInPandas(_cut_rows(keys), schema)
+    hot = scan.is_hot(segmented, doc) if hot is None else hot
+    levels = (CUT_LEVELS if hot else 0) if levels is None else levels
+    para = F.col("kind") == "paragraph"
+    counted = scan.running_sum(segmented, keys, "ord", para.cast("long"), "_k", before=True, hot=hot)
+    # the first paragraphs of a slice are seen from the slice before, too
+    own = F.floor(F.col("_k") / CUT_SLICE)
+    ahead = (F.col("_k") % CUT_SLICE < fixed.FORCE_CUT_PARAGRAPHS) & (own > 0)
+    sizes = (
+        counted.filter(para & ~F.col("is_toc"))
+        .select(*keys, "_k", F.length("text").alias("size"), F.explode(F.when(ahead, F.array(own - 1, own)).otherwise(F.array(own))).alias("s"))
+        .groupBy(*keys, "s").agg(F.array_sort(F.collect_list(F.struct("_k", "size"))).alias("_p"), F.sum("size").alias("_chars"))
+        .filter((F.col("s") > 0) | (F.size("_p") >= fixed.FORCE_CUT_PARAGRAPHS) | (F.col("_chars") >= fixed.FORCE_CUT_CHARS))
+        .select(*keys, "s", _hops(F.transform("_p", lambda p: p["size"]), F.col("s") == 0).alias("hops"))
+    )
+
+    def leaving(marks: Column) -> Column:
+        last = F.element_at(marks, -1)
+        return _state(F.when(last < 0, last).otherwise(last - CUT_SLICE), F.size(marks) - 1 - (last < 0).cast("int"))
+
+    table = _once(F.col("hops"), lambda h: _table(lambda e: _walk(h, e, leaving)))
+    entries = _entries(sizes.select(*keys, "s", table.alias("table")), keys, levels)
+    marks = F.when(F.col("entry.off") < 0, F.array().cast("array<int>")).otherwise(_walk(F.col("hops"), F.col("entry.off")))
+    # cuts before the slice, the one that enters it left out, as it is a mark of the slice
+    base = F.col("entry.cuts") - (F.col("entry.off") >= 0).cast("long")
+    cuts = sizes.alias("l").join(entries.alias("r"), scan.same_key([*keys, "s"])).select(
+        *[f"l.{k}" for k in keys], "l.s", marks.alias("_marks"), base.alias("_base")
+    )
+    placed = counted.withColumn("s", F.floor(F.greatest(F.col("_k") - 1, F.lit(0)) / CUT_SLICE))
+    place = F.col("_k") - F.col("s") * CUT_SLICE
+    found = F.col("_base") + F.size(F.filter("_marks", lambda m: (m >= 0) & (m <= place)))
+    return (
+        placed.alias("l").join(cuts.alias("r"), scan.same_key([*keys, "s"]), "left").select("l.*", "r._marks", "r._base")
+        .withColumn("cut", F.when(F.col("is_toc") | F.col("_base").isNull(), F.lit(0)).otherwise(found).cast("int"))
+        .drop("_marks", "_base", "_k", "s")
     )
-    whole = sized.join(long, keys, "left_anti").withColumn("cut", F.lit(0))
-    return whole.unionByName(streamed).drop("size")
 
 
 def _first_text(cond: Column) -> Column:
@@ -135,7 +215,7 @@ def document_blocks(
     ``trail_max`` say how many characters to keep.
     """
     hot = scan.is_hot(elements, doc)
-    cut = forced_cuts(segments(elements, doc, tables_alone, hot), doc)
+    cut = forced_cuts(segments(elements, doc, tables_alone, hot), doc, hot)
     para, section = F.col("kind") == "paragraph", _section(tables_alone)
     figure = F.col("text").rlike(fixed.FIGURE_LINE) | F.col("text").rlike(fixed.CONTINUED)
     raw = cut.groupBy(*doc, "segment", "cut").agg(

@@ -32,7 +32,7 @@ def _measured(hot: int | bool | None, df: DataFrame, keys: list[str]) -> int | b
     return is_hot(df, keys) if hot is None else hot
 
 
-def _same_key(keys: list[str], left: str = "l", right: str = "r") -> list[Column]:
+def same_key(keys: list[str], left: str = "l", right: str = "r") -> list[Column]:
     return [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys]
 
 
@@ -97,9 +97,9 @@ def slice_by_value(
         return F.array_distinct(F.percentile_approx(F.col(c).cast("double"), points))
 
     large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit)
-    of_large = df.alias("l").join(large.alias("r"), _same_key(keys)).select("l.*")
+    of_large = df.alias("l").join(large.alias("r"), same_key(keys)).select("l.*")
     cuts = of_large.groupBy(*keys).agg(F.struct(cut_points(lead).alias("lead"), cut_points(tie).alias("tie")).alias("_cuts"))
-    cut = df.alias("l").join(cuts.alias("r"), _same_key(keys), "left").select("l.*", "r._cuts")
+    cut = df.alias("l").join(cuts.alias("r"), same_key(keys), "left").select("l.*", "r._cuts")
     value, other = F.col(lead).cast("double"), F.col(tie).cast("double")
     below = F.size(F.filter(F.col("_cuts.lead"), lambda c: c < value))
     at_cut = F.coalesce(F.array_contains(F.col("_cuts.lead"), value), F.lit(False))
@@ -123,7 +123,7 @@ def _carried(sliced: DataFrame, keys: list[str], sums: dict[str, Column], carry:
         .rowsBetween(Window.unboundedPreceding, Window.currentRow - 1)
     )
     handed = summary.select(*keys, "_slice", *[f(before).alias(n) for n, f in carry.items()])
-    joined = sliced.alias("l").join(handed.alias("r"), _same_key([*keys, "_slice"]), "left")
+    joined = sliced.alias("l").join(handed.alias("r"), same_key([*keys, "_slice"]), "left")
     return joined.select("l.*", *[f"r.{n}" for n in carry])
 
 
@@ -296,5 +296,5 @@ def group_any(df: DataFrame, keys: list[str], cond: Column, name: str, hot: int
     if not _measured(hot, df, keys):
         return df.withColumn(name, F.max(cond).over(Window.partitionBy(*keys)))
     flags = df.groupBy(*keys).agg(F.max(cond).alias(name))
-    joined = df.alias("l").join(flags.alias("r"), _same_key(keys))
+    joined = df.alias("l").join(flags.alias("r"), same_key(keys))
     return joined.select("l.*", f"r.{name}")

@@ -215,12 +215,49 @@ def block_segments(t: Tables):
     )
 
 
-@query("document_blocks")
+FLAT = BLOCKS.replace("(\\.\\d+){0,3}", "(\\.\\d+)*").replace("lag(toc) OVER w AS ptoc", "lag(toc) OVER w AS ptoc, lag(ord) OVER w AS pord").replace(
+    "ptb IS NULL OR ptb OR", "ptb IS NULL OR ptb OR tb OR ord - pord > 3 OR"
+)
+
+
+def _blocks_sql(segments: str, orphan: str, own: str) -> str:
+    """Blocks cut one after the other by recursion, then their headers."""
+    return segments + f""",
+pr AS (SELECT *, toc AND NOT tb AS tc, count(*) FILTER (WHERE NOT tb) OVER (PARTITION BY doc_id, segment ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - CAST(NOT tb AS INT) AS k,
+    regexp_matches(text, '\\[\\s*(표|양식|서식|별표)\\s*\\d+') AS cap, regexp_matches(text, '^(그림\\s*\\d+|Fig\\.)') AS fig, regexp_matches(text, '\\(\\s*계속\\s*\\)') AS cont FROM seg),
+sz AS (SELECT doc_id, segment, k + 1 AS p, length(text) AS size, sum(length(text)) OVER (PARTITION BY doc_id, segment ORDER BY k) AS c FROM pr WHERE NOT tb AND NOT tc),
+lo AS (SELECT doc_id, segment FROM sz GROUP BY ALL HAVING count(*) >= 60 OR sum(size) >= 12000),
+nx AS (SELECT a.doc_id, a.segment, a.p - 1 AS j, min(b.p) AS i FROM sz a JOIN lo USING (doc_id, segment)
+    JOIN sz b ON a.doc_id = b.doc_id AND a.segment = b.segment AND b.p BETWEEN a.p AND a.p + 59
+    WHERE (b.p - a.p >= 59 OR b.c - a.c + a.size >= 12000) AND NOT (a.p = 1 AND b.p = 1) GROUP BY ALL),
+cutting AS (SELECT doc_id, segment, i AS b, 1 AS n FROM nx WHERE j = 0
+    UNION ALL SELECT o.doc_id, o.segment, nx.i, n + 1 FROM cutting o JOIN nx ON nx.doc_id = o.doc_id AND nx.segment = o.segment AND nx.j = o.b),
+ct AS (SELECT pr.*, coalesce(o.n, 0) AS cut FROM pr ASOF LEFT JOIN cutting o ON o.doc_id = pr.doc_id AND o.segment = pr.segment AND pr.k >= o.b),
+raw AS (SELECT doc_id, segment, cut, min(ord) AS start, count(*) FILTER (WHERE NOT tb) AS paragraphs, coalesce(sum(length(text)) FILTER (WHERE NOT tb), 0) AS chars,
+    bool_or(tb) AS has_table, bool_or(tc) AS is_toc, bool_or(NOT tb AND (hd OR num)) AS headed,
+    arg_min(text, ord) FILTER (WHERE NOT tb AND hd AND NOT (fig OR cont)) AS heading, arg_min(text, ord) FILTER (WHERE NOT tb AND cap) AS caption,
+    arg_min(text, ord) FILTER (WHERE tb AND text <> '') AS tab, arg_min(text, ord) FILTER (WHERE NOT tb AND NOT (fig OR cont)) AS plain,
+    arg_min(text, ord) FILTER (WHERE NOT tb) AS only_, arg_min(text, ord) FILTER (WHERE NOT tb AND num) AS numbered FROM ct GROUP BY doc_id, segment, cut),
+nu AS (SELECT *, {orphan} AS orphan, sum(CASE WHEN {orphan} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY start) AS block_num FROM raw),
+cr AS (SELECT doc_id, block_num + 1 AS block_num, list(only_ ORDER BY start) AS trail FROM nu WHERE orphan GROUP BY ALL),
+bl AS (SELECT * FROM (SELECT * FROM nu WHERE NOT orphan) FULL JOIN cr USING (doc_id, block_num)),
+hd AS (SELECT *, CASE WHEN is_toc THEN '(목차)' ELSE coalesce({own}, '(블록 ' || block_num || ')') END AS own FROM bl)
+SELECT doc_id, block_num, array_to_string(list_concat(coalesce(trail, []), CASE WHEN start IS NULL THEN [] ELSE [own] END), ' > ') || CASE WHEN cut > 0 THEN ' (계속)' ELSE '' END AS header_text,
+    coalesce(paragraphs, 0) AS paragraphs, coalesce(chars, 0) AS chars, coalesce(has_table, FALSE) AS has_table, coalesce(is_toc, FALSE) AS is_toc, segment, cut FROM hd"""
+
+
+@query(
+    "document_blocks", "doc_lines",
+    _blocks_sql(BLOCKS, "(paragraphs = 1 AND NOT has_table AND NOT is_toc AND headed)", "heading, caption, tab, plain"),
+)
 def document_blocks(t: Tables):
     return blocks.document_blocks(_elements(t), ["doc_id"])
 
 
-@query("flat_blocks")
+@query(
+    "flat_blocks", "doc_lines",
+    _blocks_sql(FLAT, "FALSE", "numbered, CASE WHEN length(only_) < 60 AND NOT regexp_matches(only_, '^(그림\\s*\\d+|Fig\\.)') THEN only_ END, tab, plain"),
+)
 def flat_blocks(t: Tables):
     return blocks.document_blocks(_elements(t), ["doc_id"], tables_alone=True)
 

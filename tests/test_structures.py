@@ -1,7 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from dossierlake.operators import areas, blocks, scoring, sites
+from dossierlake.operators import areas, blocks, scan, scoring, sites
 
 
 def cells(spark, grid, spans=()):
@@ -127,6 +129,41 @@ def test_forced_cut(spark):
     assert [r.paragraphs for r in blocks.document_blocks(elements(spark, long), ["doc"]).orderBy("block_num").collect()] == [2, 2]
 
 
+def cut_one_by_one(sizes):
+    """Cut number of every element (size, is a paragraph) of a segment, read in order."""
+    out, cut, n, chars = [], 0, 0, 0
+    for size, para in sizes:
+        out.append(cut)
+        if para:
+            first = n == 0 and cut == 0
+            n, chars = n + 1, chars + size
+            if (n >= 60 or chars >= 12000) and not first:
+                cut, n, chars = cut + 1, 0, 0
+    return out
+
+
+@pytest.mark.parametrize("hot,levels", [(0, 0), (0, 2), (2000, 2)])
+def test_forced_cuts_follow_tables_of_slices(spark, monkeypatch, hot, levels):
+    draw = random.Random(7)
+    monkeypatch.setattr(blocks, "CUT_SLICE", 64)
+    monkeypatch.setattr(scan, "GROUP_LIMIT", 500 if hot else scan.GROUP_LIMIT)
+    shapes = {
+        "long": [(draw.choice([0, 5, 150, 900, 4000, 13000]), draw.random() < 0.95) for _ in range(9000)],
+        "even": [(1, True)] * 6000, "huge first": [(20000, True)] * 300, "exact": [(200, True)] * 128 + [(5, False)],
+        "short": [(10, True)] * 59, "table": [(30000, False)], "tables": [(30000, False)] * 70, "sixty": [(1, True)] * 60 + [(1, False)],
+        None: [(300, True)] * 500,
+    }
+    rows = [(d, 1, i, "paragraph" if p else "table", "x" * n, d == "toc") for d, e in shapes.items() for i, (n, p) in enumerate(e)]
+    rows += [("toc", 1, i, "paragraph", "x", True) for i in range(300)]
+    found = blocks.forced_cuts(spark.createDataFrame(rows, "doc string, segment long, ord int, kind string, text string, is_toc boolean"), ["doc"], hot, levels)
+    got = {}
+    for r in found.select("doc", "ord", "cut").orderBy("ord").collect():
+        got.setdefault(r.doc, []).append(r.cut)
+    assert got.pop("toc") == [0] * 300
+    assert got == {d: cut_one_by_one(e) for d, e in shapes.items()}
+    assert max(got["long"]) > 1000
+
+
 def test_headers_and_source_text_are_whole(spark):
     from pyspark.sql import functions as F
 
