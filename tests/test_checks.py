@@ -125,14 +125,15 @@ def _run_similar(x, y):
     return sum(any(t in u or u in t for u in l) for t in s) / len(s) >= 0.5
 
 
-@pytest.mark.parametrize("frequent", [0, 2, 256])
-def test_run_difference_of_random_lists(spark, frequent):
+@pytest.mark.parametrize("frequent,row_work", [(0, -1), (256, -1), (2, 400), (256, similar.ROW_WORK)])
+def test_run_difference_of_random_lists(spark, frequent, row_work):
+    """Lists settled in one row, in stages, and some this way and some that way."""
     rng = random.Random(11)
     vocabulary = ["ab", "abc", "bc", "가나", "가나다", "xy", "xyz", "12", "123", "9", "long-word", "view", "qq", "rr", "ss", "tt"]
     line = lambda: " ".join(rng.choice(vocabulary[rng.randint(0, 8):]) for _ in range(rng.choice([1, 2, 3, 3, 4, 5, 8])))
     rows = [("d", f"f{k}", run, line()) for k in range(4) for run in "ab" for _ in range((6, 14, 3, 30)[k])]
     rows += [("d", "g", "a", "view view xx yy zz"), ("d", "g", "b", "view pp oo nn mm ll"), ("d", "g", "b", "·"), ("d", "h", "a", "only"), ("d", "g", "a", " ")]
-    got = similar.run_difference(spark.createDataFrame(rows, "doc string, field string, run string, item string"), ["doc", "field"], frequent=frequent)
+    got = similar.run_difference(spark.createDataFrame(rows, "doc string, field string, run string, item string"), ["doc", "field"], frequent=frequent, row_work=row_work)
     expected = {
         (f, run, x) for _, f, run, x in rows
         if x.strip() and not any(f2 == f and r2 != run and y.strip() and _run_similar(x, y) for _, f2, r2, y in rows)
