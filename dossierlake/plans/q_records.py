@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossierlake.functions import nested
-from dossierlake.operators import resolve
+from dossierlake.operators import resolve, sheets
 from dossierlake.plans.adapters import Tables
 from dossierlake.plans.registry import query
 from dossierlake.sources import files, readers, upserts
@@ -139,3 +141,40 @@ def backfill_apply(t: Tables):
     for _ in range(2):
         upserts.apply_backfill(t.spark, path, new, ["doc_id"], "address", "part", dry_run=False)
     return t.spark.read.parquet(path).select("doc_id", "ord", "address", F.col("part").cast("long").alias("part"))
+
+
+# --- checklist sheets ----------------------------------------------------------------
+
+SHEETS = """
+sh AS (SELECT l_orderkey AS doc_id, (l_partkey * 100000 + l_suppkey) * 10 + l_linenumber AS ord, l_returnflag AS category, l_linestatus AS detail,
+    CASE WHEN l_linenumber = 3 THEN NULL ELSE l_quantity END AS points, CASE l_returnflag WHEN 'A' THEN 'high' WHEN 'N' THEN 'medium' WHEN 'R' THEN NULL END AS severity,
+    l_discount, CASE l_linenumber WHEN 1 THEN 'site_total' WHEN 2 THEN 'facility' WHEN 3 THEN 'bureau' WHEN 4 THEN 'division' WHEN 5 THEN 'other' END AS row_type FROM lineitem)"""
+
+
+@query(
+    "checklist_sheets", "",
+    "WITH " + SHEETS.strip() + """,
+    fl AS (SELECT doc_id, ord, coalesce(severity, 'low') AS sev, detail FROM sh WHERE l_discount > 0.07),
+    al AS (SELECT o_orderkey AS doc_id, count(*) FILTER (WHERE sev = 'high') AS h, count(*) FILTER (WHERE sev = 'medium') AS m, count(*) FILTER (WHERE sev = 'low') AS l, count(sev) AS n
+        FROM orders LEFT JOIN fl ON doc_id = o_orderkey GROUP BY ALL)
+    SELECT doc_id, '2.심사기준' AS sheet, 1 AS part, ord, CASE WHEN lag(category) OVER (PARTITION BY doc_id ORDER BY ord) = category THEN NULL ELSE category END AS label, detail AS text, CAST(points AS DOUBLE) AS amount FROM sh
+    UNION ALL SELECT doc_id, '2.심사기준', 2, 0, '합계', NULL, sum(points) FROM sh GROUP BY doc_id
+    UNION ALL SELECT doc_id, '3.요구사항', 1, ord, category, detail, l_discount FROM sh
+    UNION ALL SELECT doc_id, '4.검증경고', 0, 0, '높음', NULL, h FROM al UNION ALL SELECT doc_id, '4.검증경고', 0, 1, '보통', NULL, m FROM al
+    UNION ALL SELECT doc_id, '4.검증경고', 0, 2, '낮음', NULL, l FROM al
+    UNION ALL SELECT doc_id, '4.검증경고', 1, 0, NULL, '검출된 경고 없음', NULL FROM al WHERE n = 0
+    UNION ALL SELECT doc_id, '4.검증경고', CASE sev WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, ord, CASE sev WHEN 'high' THEN '높음' WHEN 'medium' THEN '보통' ELSE '낮음' END, detail, NULL FROM fl
+    UNION ALL SELECT doc_id, '5.면적표상세', 1, ord, CASE row_type WHEN 'site_total' THEN '부지' WHEN 'facility' THEN '시설' WHEN 'bureau' THEN '영역' WHEN 'division' THEN '과' ELSE '세부' END,
+        CASE row_type WHEN 'site_total' THEN '' WHEN 'facility' THEN '  ' WHEN 'bureau' THEN '    ' WHEN 'division' THEN '      ' ELSE '        ' END || category,
+        coalesce(points, l_discount) FROM sh""",
+)
+def checklist_sheets(t: Tables):
+    rows = t.sql("WITH " + SHEETS + " SELECT * FROM sh")
+    docs = t.table("orders").select(F.col("o_orderkey").alias("doc_id"))
+    parts = sheets.checklist(
+        docs, rows.select("doc_id", "ord", "category", "detail", "points"),
+        rows.select("doc_id", "ord", F.col("category").alias("axis"), F.col("detail").alias("description"), F.col("l_discount").alias("weight")),
+        rows.where("l_discount > 0.07").select("doc_id", "ord", "severity", F.col("detail").alias("message")),
+        rows.select("doc_id", "ord", "row_type", F.col("category").alias("name"), F.col("points").alias("area"), F.col("l_discount").alias("subtotal_area")), ["doc_id"],
+    )
+    return reduce(DataFrame.unionByName, parts.values())

@@ -356,3 +356,27 @@ def truth_records(spark: SparkSession, root: str, facility_type: str | None = No
         "facility_type", F.coalesce(F.try_variant_get("record", "$.meta.facility_type", "string"), F.col("facility_type"))
     )
     return out.filter(F.col("facility_type") == facility_type) if facility_type else out
+
+
+def predicted_records(spark: SparkSession, root: str) -> DataFrame:
+    """Cached predictions by ``record_key``: one file ``<competition>_<record>.json`` each in one folder.
+    Unreadable files are left out, as ``quarantine`` shows them."""
+    found = readable(scan_records(spark, root, "*.json", recursive=False))
+    return found.select(F.regexp_replace("file_name", r"\.json$", "").alias("record_key"), F.col("record").alias("predicted"))
+
+
+def with_predictions(truth: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Truth records with the prediction made for them, NULL where there is none.
+
+    The names are joined before they are compared, since both parts may hold underscores."""
+    stem = F.regexp_replace("file_name", r"_gt\.json$", "")
+    keyed = truth.withColumn("record_key", F.concat("competition_id", F.lit("_"), stem))
+    return keyed.join(predicted, "record_key", "left")
+
+
+def all_patterns(spark: SparkSession, root: str) -> DataFrame:
+    """facility_type and pattern of every ``<facility>.json`` under ``_patterns``; unreadable ones are NULL.
+
+    The folder is named itself, so Spark does not hide it."""
+    found = scan_records(spark, f"{root}/_patterns", "*.json", recursive=False)
+    return found.select(F.regexp_replace("file_name", r"\.json$", "").alias("facility_type"), F.col("record").alias("pattern"))

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossierlake.functions import nested
-from dossierlake.operators import areas, comparison, conflicts, resolve, sites
-from dossierlake.sources import upserts
+from dossierlake.operators import areas, comparison, conflicts, resolve, sheets, sites
+from dossierlake.sources import readers, upserts
 
 
 def random_record(rng, depth=0):
@@ -123,3 +123,48 @@ def test_backfill_is_idempotent(spark, tmp_path):
     written = files("p")
     assert upserts.apply_backfill(spark, path, new, ["doc"], "address", "part", dry_run=False).isEmpty()
     assert state() == after and files("p") == written
+
+
+@pytest.mark.parametrize("hot", [0, True])
+def test_checklist_sheets(spark, tmp_path, hot):
+    docs = spark.createDataFrame([("d",), ("none",), (None,)], "doc string")
+    scoring = spark.createDataFrame(
+        [("d", 1, "배치", "동선", 10.1), ("d", 2, "배치", "조망", 20.2), ("d", 3, None, "기타", None), ("d", 4, None, "등", 0.3), ("d", 5, "배치", "", 1.0), (None, 1, "구조", "x", 5.0)],
+        "doc string, ord long, category string, detail string, points double",
+    )
+    got = [(r.part, r.label, r.text, r.amount) for r in sheets.scoring_sheet(scoring, ["doc"], hot).where("doc = 'd'").orderBy("part", "ord").collect()]
+    assert got == [(1, "배치", "동선", 10.1), (1, None, "조망", 20.2), (1, None, "기타", None), (1, None, "등", 0.3), (1, "배치", "", 1.0), (2, "합계", None, 31.6)]
+    flags = spark.createDataFrame(
+        [("d", 1, "low", "c"), ("d", 2, "high", "a"), ("d", 3, "odd", "e"), ("d", 4, "medium", "b"), ("d", 5, None, "d"), (None, 1, "high", None)], "doc string, ord long, severity string, message string"
+    )
+    lines = sheets.warning_sheet(docs, flags, ["doc"]).orderBy("doc", "part", "ord").collect()
+    of = lambda d: [(r.part, r.label, r.text, r.amount) for r in lines if r.doc == d]
+    assert of("d") == [
+        (0, "높음", None, 1.0), (0, "보통", None, 1.0), (0, "낮음", None, 2.0), (1, "높음", "a", None), (2, "보통", "b", None), (3, "낮음", "c", None), (3, "odd", "e", None), (3, "낮음", "d", None),
+    ]
+    assert of("none") == [(0, "높음", None, 0.0), (0, "보통", None, 0.0), (0, "낮음", None, 0.0), (1, None, "검출된 경고 없음", None)]
+    assert of(None)[0] == (0, "높음", None, 1.0) and of(None)[3] == (1, "높음", "", None)
+    rooms = spark.createDataFrame(
+        [("d", 1, "site_total", "부지 1", 900.0, None), ("d", 2, "division", "과", None, 50.0), ("d", 3, "new", None, None, None)],
+        "doc string, ord long, row_type string, name string, area double, subtotal_area double",
+    )
+    assert [(r.label, r.text, r.amount) for r in sheets.area_sheet(rooms, ["doc"]).orderBy("ord").collect()] == [("부지", "부지 1", 900.0), ("과", "      과", 50.0), ("세부", "        ", None)]
+    needs = spark.createDataFrame([], "doc string, ord long, axis string, description string, weight double")
+    parts = sheets.checklist(docs, scoring, needs, flags, rooms, ["doc"])
+    upserts.export_sheets(parts, str(tmp_path))
+    assert {n: spark.read.parquet(f"{tmp_path}/{n}").count() for n in parts} == {sheets.SCORING: 8, sheets.REQUIREMENTS: 0, sheets.WARNINGS: 16, sheets.AREAS: 3}
+
+
+def test_predictions_and_patterns(spark, tmp_path):
+    for path, text in {
+        "truth/office/c_1/win_a_gt.json": '{"meta": {"facility_type": "school"}, "x": 1}', "truth/office/c_1/b_gt.json": '{"x": 2}', "truth/office/c_1/TEMPLATE_gt.json": "{}",
+        "cache/c_1_win_a.json": '{"x": 3}', "cache/c_1_b.json": "{broken", "cache/deeper/c_1_b.json": '{"x": 4}',
+        "db/_patterns/office.json": '{"n": 5}', "db/_patterns/hall.json": "{", "db/office/c/_meta.json": "{}",
+    }.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text, encoding="utf-8")
+    joined = readers.with_predictions(readers.truth_records(spark, f"{tmp_path}/truth"), readers.predicted_records(spark, f"{tmp_path}/cache"))
+    got = {r.record_key: (r.t, r.p) for r in joined.select("record_key", F.try_variant_get("record", "$.x", "int").alias("t"), F.try_variant_get("predicted", "$.x", "int").alias("p")).collect()}
+    assert got == {"c_1_win_a": (1, 3), "c_1_b": (2, None)}
+    patterns = {r.facility_type: r.n for r in readers.all_patterns(spark, f"{tmp_path}/db").select("facility_type", F.expr("try_variant_get(pattern, '$.n', 'int') AS n")).collect()}
+    assert patterns == {"office": 5, "hall": None}
