@@ -195,7 +195,8 @@ def effective_labels(t: Tables):
 
 @query(
     "money_labels", "",
-    """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 AND o_custkey > 0 THEN format('{:,}', CAST(o_custkey AS BIGINT)) || '억'
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 AND o_custkey >= 10000 THEN format('{:,.1f}', o_custkey / 10000.0E0) || '조'
+         WHEN o_orderkey % 3 = 0 AND o_custkey > 0 THEN format('{:,}', CAST(o_custkey AS BIGINT)) || '억'
          WHEN o_orderkey % 3 = 1 THEN '-' || format('{:,}', CAST(o_custkey AS BIGINT) % 9000 + 1) || '만' ELSE format('{:,}', CAST(o_custkey AS BIGINT) % 9999) || '원' END AS label,
          format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) AS amount FROM orders""",
 )
