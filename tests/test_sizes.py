@@ -1,8 +1,14 @@
 """What only shows on larger tables: keys, amounts and plans beyond the small folders."""
 
+import itertools
+import random
+
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from dossierlake.operators import similar
 
 
 def test_money_labels_of_large_keys(spark, tmp_path):
@@ -15,3 +21,32 @@ def test_money_labels_of_large_keys(spark, tmp_path):
     con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
     assert got == sorted(con.execute(contract.oracle_sql()["money_labels"]).fetchall())
     assert [label for key, label, _ in got if key % 3 == 0][:5] == ["1억", "9,999억", "1.0조", "1.1조", "1.2조"]
+
+
+def _lines(n, words, seed):
+    rnd = random.Random(seed)
+    base = [[f"w{int(words * rnd.random() ** 2)}" for _ in range(rnd.randint(1, 30))] for _ in range(n)]
+    near = [[w if rnd.random() < 0.9 else f"w{rnd.randrange(words)}" for w in rnd.choice(base)] for _ in range(n // 2)]
+    return [(f"k{i % 2}", i, " ".join(t)) for i, t in enumerate(base + near)]
+
+
+def _close(rows):
+    """Pairs of different word sets of one key with a Jaccard index of 0.6 or more, by their smallest rows."""
+    first = {}
+    for key, i, text in rows:
+        first.setdefault((key, frozenset(text.split())), i)
+    return sorted(
+        (k, min(i, j), max(i, j)) for ((k, s), i), ((m, t), j) in itertools.combinations(first.items(), 2) if k == m and 10 * len(s & t) >= 6 * len(s | t)
+    )
+
+
+@pytest.mark.parametrize("frequent", [20, similar.FREQUENT_LINKS])
+def test_posts_of_frequent_words(spark, frequent):
+    """Words that many lines hold cost one post each, not one for every pair of them, and lose no pair."""
+    rows = _lines(500, 120, 5)
+    df = spark.createDataFrame(rows, "doc string, idx int, description string")
+    sets, linked = similar.duplicate_links(df, ["doc"], frequent=frequent)
+    assert sorted(map(tuple, linked.select("doc", "a_id", "b_id").collect())) == _close(rows)
+    if frequent == similar.FREQUENT_LINKS:
+        named = sets.select(F.xxhash64("doc").alias("k"), "id", "tokens", F.size("tokens").alias("size"))
+        assert similar._posts(named, 0.6, frequent).count() <= named.agg(F.sum(F.col("size") - F.ceil(F.col("size") * 0.6 - 1e-9) + 1)).first()[0]
