@@ -50,3 +50,13 @@ def test_posts_of_frequent_words(spark, frequent):
     if frequent == similar.FREQUENT_LINKS:
         named = sets.select(F.xxhash64("doc").alias("k"), "id", "tokens", F.size("tokens").alias("size"))
         assert similar._posts(named, 0.6, frequent).count() <= named.agg(F.sum(F.col("size") - F.ceil(F.col("size") * 0.6 - 1e-9) + 1)).first()[0]
+
+
+@pytest.mark.parametrize("row_sets", [0, similar.ROW_SETS, 10_000])
+def test_duplicate_sets_of_short_and_long_keys(spark, row_sets):
+    """Keys settled in one row, by posts, and some this way and some that way give the same pairs."""
+    rows = _lines(120, 60, 7) + [("short", 1, "a b c"), ("short", 2, "a b c d"), ("short", 3, "c b a"), (None, 1, "a b"), (None, 2, "a b c")]
+    out = similar.duplicate_sets(spark.createDataFrame(rows, "doc string, idx int, description string"), ["doc"], row_sets=row_sets)
+    across = out.where("a_id <> b_id").select("doc", "a_id", "b_id").collect()
+    assert sorted(map(tuple, across)) == _close([r for r in rows if r[0]])
+    assert [r.pairs for r in out.where("doc = 'short' AND a_id <> b_id").collect()] == [2]
