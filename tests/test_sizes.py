@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from dossierlake.operators import similar
+from dossierlake.sources import search_index
 
 
 def test_money_labels_of_large_keys(spark, tmp_path):
@@ -60,3 +61,21 @@ def test_duplicate_sets_of_short_and_long_keys(spark, row_sets):
     across = out.where("a_id <> b_id").select("doc", "a_id", "b_id").collect()
     assert sorted(map(tuple, across)) == _close([r for r in rows if r[0]])
     assert [r.pairs for r in out.where("doc = 'short' AND a_id <> b_id").collect()] == [2]
+
+
+def test_index_of_many_places_is_dealt_out(spark, tmp_path, monkeypatch):
+    """A bucket is not one task's: more places make more tasks, and postings are those of plain Python."""
+    monkeypatch.setattr(search_index, "PLACES_OF_TASK", 60)
+    monkeypatch.setattr(search_index, "PLACES_AT_ONCE", 30)
+    rnd = random.Random(3)
+    text = lambda: "".join(rnd.choice("abA 가😀\n") for _ in range(rnd.choice([0, 1, 2, 3, 40])))
+    docs = [(i, text() if i % 5 else None, text()) for i in range(60)]
+    index = search_index.build_index(spark.createDataFrame(docs, "id long, a string, b string"), "id", ["a", "b"], str(tmp_path / "i"), buckets=2, splits=1)
+    expected = {}
+    for i, *columns in docs:
+        for n, t in enumerate((c or "").lower() for c in columns):
+            for p in range(len(t) - 2):
+                expected.setdefault((t[p : p + 3], i), []).append((n << search_index.PLACE_BITS) + p)
+    assert {(r.gram, r.key): list(r["at"]) for r in index.postings().collect()} == expected
+    assert index.state["length"] == sum(map(len, expected.values())) == sum(r.len for r in index.documents().collect())
+    assert len(list((tmp_path / "i/postings/generation=0/bucket=0").glob("*.parquet"))) > 5
