@@ -234,7 +234,7 @@ LOST = """
 )
 def file_conflicts(t: Tables):
     vals = t.sql("WITH " + FILES + " SELECT * FROM vals")
-    return conflicts.file_conflicts(vals, ["doc_id"]).drop("chosen", "other")
+    return conflicts.file_conflicts(vals, ["doc_id"], shown=False)
 
 
 @query(
@@ -245,7 +245,7 @@ def file_conflicts(t: Tables):
 )
 def conflict_flags(t: Tables):
     vals = t.sql("WITH " + FILES + " SELECT * FROM vals")
-    rows = conflicts.file_conflicts(vals, ["doc_id"])
+    rows = conflicts.file_conflicts(vals, ["doc_id"], shown=False)
     return conflicts.conflict_flags(rows, ["doc_id"]).select("doc_id", "kind", "key", "chosen_file", "others", "later_differs")
 
 
