@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from dossierlake.operators import similar
+from dossierlake import session
+from dossierlake.operators import conflicts, similar
 from dossierlake.sources import search_index
 
 
@@ -79,3 +80,21 @@ def test_index_of_many_places_is_dealt_out(spark, tmp_path, monkeypatch):
     assert {(r.gram, r.key): list(r["at"]) for r in index.postings().collect()} == expected
     assert index.state["length"] == sum(map(len, expected.values())) == sum(r.len for r in index.documents().collect())
     assert len(list((tmp_path / "i/postings/generation=0/bucket=0").glob("*.parquet"))) > 5
+
+
+def test_conflicts_without_their_values(spark):
+    """Texts do not travel where only the flags are wanted; the losing rows are the same."""
+    rows = [("d", "block", "b", n, f"{n}.pdf", None, "long text " * 50 + str(n // 2)) for n in range(5)]
+    rows += [("d", "site", "s", n, f"2024010{n + 1}.pdf", 1.0 + n // 3, None) for n in range(5)]
+    df = spark.createDataFrame(rows, "doc string, kind string, key string, file_no int, file_name string, number double, text string")
+    shown, flags = conflicts.file_conflicts(df, ["doc"]), conflicts.file_conflicts(df, ["doc"], shown=False)
+    assert sorted(map(tuple, shown.drop("chosen", "other").collect())) == sorted(map(tuple, flags.collect())) and flags.count() == 5
+    assert {(r.chosen[-1], r.other[-1]) for r in shown.where("kind = 'block'").collect()} == {("0", "1"), ("0", "2")}
+    assert [r.others for r in conflicts.conflict_flags(flags, ["doc"]).orderBy("kind").collect()] == [3, 2]
+
+
+def test_partitions_are_bounded_by_size(spark):
+    """Tuned sessions cut exchanges into many parts and join them up to a size, whatever the session's own number."""
+    session.tune(spark)
+    prefix = "spark.sql.adaptive."
+    assert int(spark.conf.get(prefix + "coalescePartitions.initialPartitionNum")) > 3 and spark.conf.get(prefix + "advisoryPartitionSizeInBytes") == "16m"
