@@ -98,3 +98,20 @@ def test_partitions_are_bounded_by_size(spark):
     session.tune(spark)
     prefix = "spark.sql.adaptive."
     assert int(spark.conf.get(prefix + "coalescePartitions.initialPartitionNum")) > 3 and spark.conf.get(prefix + "advisoryPartitionSizeInBytes") == "16m"
+
+
+def test_only_sets_of_candidates_are_asked_again(spark):
+    """The words of a set are exchanged again only where a candidate pair names it."""
+    sets = spark.range(20_000).selectExpr("id % 3 AS k", "id")
+    wanted = similar._marked(sets.where("id % 50 = 0"))
+    passed = {r.id for r in sets.where(similar._is_marked(wanted, "k", "id")).collect()}
+    assert {i for i in range(20_000) if i % 50 == 0} <= passed
+    assert len(passed) < 500
+
+
+def test_word_sets_that_differ_by_a_sign_stay_apart(spark):
+    rows = [("d", 1, "a b\tc"), ("d", 2, "c  b a"), ("d", 3, "a b c ab"), ("d", 4, "a,b c"), ("d", 5, " ")]
+    sets, _ = similar.duplicate_links(spark.createDataFrame(rows, "doc string, idx int, description string"), ["doc"])
+    assert sorted((r.id, r.members, tuple(r.tokens)) for r in sets.collect()) == [
+        (1, 2, ("a", "b", "c")), (3, 1, ("a", "ab", "b", "c")), (4, 1, ("a,b", "c")),
+    ]
