@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -22,6 +23,10 @@ WORD_BYTES = bytes(
 )
 
 
+#: Bytes of a batch that goes to a Python worker or comes from it (a longer row goes alone).
+BATCH_BYTES = 4 << 20
+
+
 def alnum_words(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z) words of ASCII letters, ASCII digits and all characters beyond ASCII."""
     return text.encode().translate(WORD_BYTES).split() if text else []
@@ -45,7 +50,7 @@ def small(batches: Iterable[pa.RecordBatch], size: int = 256) -> Iterator[pa.Rec
             yield batch.slice(at, size)
 
 
-def arrow_batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 4096, max_bytes: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def arrow_batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 4096, max_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Rows as Arrow batches of bounded length and, as far as strings and binaries go, bounded bytes."""
     held: list[tuple] = []
     weight = 0
@@ -77,6 +82,21 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(f.name, kind(f.dataType)) for f in kinds.fields])
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """The same rows; Python workers get them in batches of ``BATCH_BYTES``, whatever a row's length."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where its library can: a worker lives longer than its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return
+
+
 def map_rows(df: DataFrame, names: list[str], work, ddl: str) -> DataFrame:
     """``work`` maps an iterator of tuples of the named columns to tuples of ``ddl``; batches
     stream, so a task holds only a few thousand rows of either side."""
@@ -84,8 +104,9 @@ def map_rows(df: DataFrame, names: list[str], work, ddl: str) -> DataFrame:
 
     def run(batches):
         yield from arrow_batches(work(rows_of(batches, *names)), schema)
+        give_back()
 
-    return df.select(*names).mapInArrow(run, ddl)
+    return bounded(df.select(*names)).mapInArrow(run, ddl)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

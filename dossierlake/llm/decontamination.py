@@ -181,6 +181,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
             for batch in common.small(batches):
                 texts = batch.column(text_col).to_pylist()
                 yield batch.filter(pa.array([not any(True for s in tables.value for _ in s.search(w)) for w in map(common.alnum_words, texts)], pa.bool_()))
+            common.give_back()
 
-        docs = (common.checkpoint(docs) if number else docs).mapInArrow(clean, docs.schema)
+        docs = common.bounded(common.checkpoint(docs) if number else docs).mapInArrow(clean, docs.schema)
     return docs

@@ -441,5 +441,6 @@ def mask_private_data(docs: DataFrame, model: SkipChainCrf, text_col: str = "tex
                 changed = [length if n is None or n == old else len(n) for n, old, length in zip(new, texts, columns[length_col].to_pylist())]
                 columns[length_col] = pa.array(changed, kind)
             yield pa.RecordBatch.from_arrays(list(columns.values()), schema=batch.schema)
+        common.give_back()
 
-    return docs.mapInArrow(mask, schema)
+    return common.bounded(docs).mapInArrow(mask, schema)

@@ -313,5 +313,6 @@ def drop_toxic(docs: DataFrame, model: TextCnn, text_col: str = "text", threshol
         for batch in common.small(batches, 1024):
             got = [s for _, s in _scored(((t,) for t in batch.column(text_col).to_pylist()), shared.value)]
             yield batch.filter(pa.array([s < threshold for s in got], pa.bool_()))
+        common.give_back()
 
-    return docs.mapInArrow(keep, docs.schema)
+    return common.bounded(docs).mapInArrow(keep, docs.schema)

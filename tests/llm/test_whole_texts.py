@@ -1,6 +1,7 @@
 """What former cuts and switches by size left out: the same result on either side of each."""
 
 import numpy as np
+import pyarrow as pa
 from llm_helpers import prose
 from dossierlake.llm import page_text, private_data, quality, toxicity, url_rules
 from dossierlake.llm.common import alnum_words
@@ -89,3 +90,19 @@ def test_equal_length_rules_go_by_name(spark, monkeypatch):
         assert [(r.rule, r.verdict) for r in got.collect()] == [("n", "block")]
 
 
+
+
+def test_batches_of_long_rows_are_bounded(spark):
+    """A worker's batch follows the bytes of its rows, not their number alone."""
+    from dossierlake.llm import common
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [batch.nbytes], "rows": [batch.num_rows]}, schema=pa.schema([("bytes", pa.int64()), ("rows", pa.int64())]))
+
+    rows = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat(cast(id % 10 as string), 10000) AS text")
+    got = common.bounded(rows).mapInArrow(sizes, "bytes long, rows long").collect()
+    assert sum(r.rows for r in got) == 3000
+    assert max(r.bytes for r in got) < 2 * common.BATCH_BYTES
+    out = list(common.arrow_batches(((i, "x" * 1_000_000) for i in range(20)), pa.schema([("i", pa.int64()), ("t", pa.string())])))
+    assert sum(b.num_rows for b in out) == 20 and max(b.nbytes for b in out) < 2 * common.BATCH_BYTES
