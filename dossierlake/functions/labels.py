@@ -49,7 +49,7 @@ def floor_order(c) -> Column:
     storey = F.regexp_extract(s, r"(\d+\s*[F층]|지상\s*\d+)", 1)
     above = F.regexp_extract(storey, r"(\d+)", 1).try_cast("int")
     roof = s.rlike(r"ROOF|옥상|PENTHOUSE|^PH\d?$")
-    return F.coalesce(F.when(roof, F.lit(10000)), -below, F.when(above > 0, above))
+    return F.coalesce(F.when(roof, F.lit(10000)), -below, F.nullif(above, F.lit(0)))
 
 
 def floor_label(order) -> Column:

@@ -115,3 +115,15 @@ def test_word_sets_that_differ_by_a_sign_stay_apart(spark):
     assert sorted((r.id, r.members, tuple(r.tokens)) for r in sets.collect()) == [
         (1, 2, ("a", "b", "c")), (3, 1, ("a", "ab", "b", "c")), (4, 1, ("a,b", "c")),
     ]
+
+
+def test_floor_matrix_makes_its_cells_once(spark):
+    """The cells that name the columns are the ones that the pivot reads, not a second computation."""
+    from dossierlake.operators import comparison
+
+    rows = [("k", 1, 1, "B2", "office"), ("k", 2, 2, "3F", "office"), ("k", 2, 3, "0F", "office"), ("k", 3, 4, "?", "office"), ("k", 1, 5, "옥상", "office")]
+    plans = spark.createDataFrame(rows, "key string, company int, ord int, floor_level string, programme string")
+    out = comparison.floor_matrix(comparison.floor_cells(plans, ["key"]), ["key"])
+    assert out.inputFiles()
+    assert out.columns == ["key", "floor_order", "floor", "1", "2"]
+    assert sorted((r.floor, r["1"] is None, r["2"] is None) for r in out.collect()) == [("3F", True, False), ("B2", False, True), ("ROOF", False, True)]
