@@ -64,23 +64,24 @@ def citation_flags(
 
 
 def _tokens(rows: DataFrame, keys: list[str], pattern: str) -> DataFrame:
-    """One row per number with its unit; the text itself is not carried along.
+    """One row per different number of a text with its unit; the text itself is not carried along.
 
-    Matching runs once per pattern; cleaning runs on the exploded tokens, in generated code.
+    Matching runs once per pattern; cleaning runs on the exploded tokens, in generated code. A token
+    that ends like a number has no unit.
     """
     found = F.concat(
         F.regexp_extract_all("text", F.lit(PAIR), F.lit(0)), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
     )
-    tokens = rows.select(*keys, F.explode(found).alias("_t"))
-    value = F.regexp_extract("_t", "^(" + T.NUMBER + ")", 1)
-    return tokens.select(
-        *keys, value.alias("value"), F.regexp_extract("_t", "(" + _UNIT + ")$", 1).alias("unit")
-    )
+    tokens = rows.select(*keys, F.explode(F.array_distinct(found)).alias("_t"))
+    bare = F.right("_t", F.lit(1)).isin(*"0123456789,")
+    value = F.when(bare, F.col("_t")).otherwise(F.regexp_extract("_t", "^(" + T.NUMBER + ")", 1))
+    unit = F.when(bare, F.lit("")).otherwise(F.regexp_extract("_t", "(" + _UNIT + ")$", 1))
+    return tokens.select(*keys, value.alias("value"), unit.alias("unit"))
 
 
 def prose_numbers(prose: DataFrame, keys: list[str], min_digits: int = 2) -> DataFrame:
     """Numbers a text claims: any with a risky unit, and bare ones of two or more digits."""
-    digits = F.length(F.regexp_replace("value", r"\D", ""))
+    digits = F.length(F.translate("value", ",.", ""))
     return _tokens(prose, keys, BARE).filter((F.col("unit") != "") | (digits >= min_digits)).withColumn(
         "norm", T.plain_number("value")
     )
@@ -112,9 +113,9 @@ def ungrounded_numbers(
     known = corpus_numbers(corpus, doc)
     if scoring is not None:
         known = known.unionByName(scoring_numbers(scoring, doc)).distinct()
-    claimed = prose_numbers(prose, [*doc, field])
-    flags = claimed.select(*doc, field, "norm", "unit").distinct()
-    return flags.join(known, [*doc, "norm", "unit"], "left_anti")
+    claimed = prose_numbers(prose, [*doc, field]).select(*doc, field, "norm", "unit")
+    # what the sources hold goes first: the exchange of the join serves the rest too
+    return claimed.join(known, [*doc, "norm", "unit"], "left_anti").distinct()
 
 
 def with_context(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from dossierlake import session
+from dossierlake.functions import text
 from dossierlake.operators import conflicts, similar
 from dossierlake.sources import search_index
 
@@ -127,3 +128,20 @@ def test_floor_matrix_makes_its_cells_once(spark):
     assert out.inputFiles()
     assert out.columns == ["key", "floor_order", "floor", "1", "2"]
     assert sorted((r.floor, r["1"] is None, r["2"] is None) for r in out.collect()) == [("3F", True, False), ("B2", False, True), ("ROOF", False, True)]
+
+
+def test_plain_numbers(spark):
+    texts = ["1,440", "30.0", "18.30", "007", "0", "00", "0.50", "7", "1,0.0", "100", "1.", "", "0,01", "12.005", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(text.plain_number("t")).collect()]
+    assert got == ["1440", "30", "18.3", "7", "0", "0", "0.5", "7", "10", "100", "1", "", "1", "12.005", None]
+
+
+def test_numbers_are_claimed_once(spark):
+    """A number that a text repeats is one row, and what is claimed is exchanged once, for the join with the sources."""
+    from dossierlake.operators import prose
+
+    claims = spark.createDataFrame([("d", "f", "15세대, 15세대 15 세대 그리고 15 또 15 1,500만원 7 5% 007호"), ("d", "g", "15 20.0")], "doc string, field string, text string")
+    sources = spark.createDataFrame([("d", "20 15 5 %"), ("e", "1,500만원")], "doc string, text string")
+    assert prose.prose_numbers(claims, ["doc", "field"]).count() == 8
+    out = prose.ungrounded_numbers(claims, sources, ["doc"])
+    assert sorted(map(tuple, out.select("field", "norm", "unit").collect())) == [("f", "15", "세대"), ("f", "1500", "만원"), ("f", "7", "호")]
