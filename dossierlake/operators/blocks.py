@@ -336,12 +336,15 @@ def html_cells(pages: DataFrame, keys: list[str], html: str = "html") -> DataFra
 
     def span(name: str) -> Column:
         raw = F.regexp_extract(F.col("z.a"), r"(?i)" + name + r"\s*=\s*[\"']?\s*(\d+)", 1).try_cast("int")
-        return F.greatest(F.coalesce(raw, F.lit(1)), F.lit(1)).alias(name)
+        stated = F.greatest(F.coalesce(raw, F.lit(1)), F.lit(1))
+        return F.when(F.contains(F.col("z.a"), F.lit("=")), stated).otherwise(F.lit(1)).alias(name)
 
     text = F.regexp_replace(F.col("z.b"), r"(?i)<(br|p|div|li)\b[^>]*>", " ")
     text = F.regexp_replace(text, r"<[^>]*>", "")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#124;", "|"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
+    # most cells hold neither markup nor references
+    text = F.when(F.contains(F.col("z.b"), F.lit("<")) | F.contains(F.col("z.b"), F.lit("&")), text).otherwise(F.col("z.b"))
     return cells.select(*keys, "table_no", "row", "seq", T.squeeze(text).alias("text"), span("rowspan"), span("colspan"))
 
 

@@ -247,3 +247,12 @@ def test_long_grids_take_linear_work(spark):
     seconds(500)
     short, long = seconds(5000), seconds(40_000)
     assert long < 20 * short + 5
+
+
+def test_cells_with_and_without_attributes(spark):
+    """Cells that hold no markup, reference or span pass unchanged; stated ones are read as before."""
+    html = "<table><tr><td> a  b </td><TD class=x>c</TD><th rowspan = '3' colspan=0>d<br/>e</th><td colspan=2>&lt;f&gt;</td><td rowspan=x></td></tr><tr></tr></table>"
+    cells = blocks.html_cells(spark.createDataFrame([(1, html)], "page int, html string"), ["page"]).orderBy("row", "seq").collect()
+    assert [(r.row, r.seq, r.text, r.rowspan, r.colspan) for r in cells] == [
+        (0, 0, "a b", 1, 1), (0, 1, "c", 1, 1), (0, 2, "d e", 3, 1), (0, 3, "<f>", 1, 2), (0, 4, "", 1, 1), (1, None, None, 1, 1),
+    ]
