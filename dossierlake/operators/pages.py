@@ -172,8 +172,12 @@ def scoring_stack(pages: DataFrame, doc: list[str], page: str = "page") -> DataF
     )
 
 
+def is_low(confidence: str, floor: float = 0.55) -> Column:
+    return F.col(confidence) < floor
+
+
 def low_confidence(pages: DataFrame, floor: float = 0.55) -> DataFrame:
-    return pages.filter(F.col("confidence") < floor)
+    return pages.filter(is_low("confidence", floor))
 
 
 def form_pages(pages: DataFrame, doc: list[str], page: str = "page") -> DataFrame:

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossierlake.functions import nested
-from dossierlake.operators import areas, comparison, conflicts, resolve, sheets, sites
+from dossierlake.operators import areas, comparison, conflicts, pages, resolve, sheets, similar, sites
+from dossierlake.plans.catalogue import QUERIES
 from dossierlake.sources import readers, upserts
 
 
@@ -168,3 +169,52 @@ def test_predictions_and_patterns(spark, tmp_path):
     assert got == {"c_1_win_a": (1, 3), "c_1_b": (2, None)}
     patterns = {r.facility_type: r.n for r in readers.all_patterns(spark, f"{tmp_path}/db").select("facility_type", F.expr("try_variant_get(pattern, '$.n', 'int') AS n")).collect()}
     assert patterns == {"office": 5, "hall": None}
+
+
+def test_words_split_at_any_white_space(spark):
+    from dossierlake.functions import text as T
+
+    df = spark.createDataFrame([(" Aa\tb\x0bC\x0cd\r\ne  b\u00a0x ",), ("",), (None,), ("\t ",)], "s string")
+    assert [r[0] for r in df.select(T.word_set("s")).collect()] == [["aa", "b", "c", "d", "e", "b\u00a0x"], [], [], []]
+
+
+def test_check_lines_agrees_with_the_rules(spark):
+    """Lines settled in one row, by the operators of the rules, and in a mix of both give what the rules give one by one."""
+    rnd = random.Random(5)
+    said = ["문 창 벽", "문\t창  벽 ", "창 벽 문 문", "문 창", "바닥", " ", None]
+    texts = ["연구원 병원", "학교와 호텔", "공장", "배치", None]
+    lines = [
+        (d, rnd.choice([None, 1.0, 40.0, 60.0]), rnd.choice([None, 100.0]), rnd.choice([[], ["공유"], None]), rnd.choice([-1.0, 5.0, 30.0, None]), rnd.choice(["a", "b", None]),
+         (d or 0) * 100 + i, rnd.choice(said), i, rnd.choice(texts), rnd.choice([0.2, 0.7, None]))
+        for d in [*range(1, 30), None] for i in range(rnd.randint(0, 9))
+    ]
+    ddl = "doc int, points double, total_points double, shared_with array<string>, area double, axis string, idx int, description string, ord int, text string, confidence double"
+    lines = spark.createDataFrame(lines, ddl)
+    briefs = spark.createDataFrame(
+        [(d, rnd.choice(["public", "residential", "industrial", "odd", None]), rnd.choice([0.0, 30.0, 60.0, None]), rnd.choice(["bid", None]), rnd.choice([True, None]), rnd.choice([1.0, None]), rnd.choice([2.0, None]))
+         for d in range(35)],
+        "doc int, facility_type string, stated_total double, genre string, has_scoring boolean, fa double, bc double",
+    )
+    facts = {"total_floor_area_sqm": ["fa"], "building_coverage_ratio_pct": ["bc"]}
+    flags = conflicts.rule_flags(
+        ["doc"], conflicts.points_check(lines, ["doc"]), similar.duplicate_sets(lines.dropna(subset=["axis"]), ["doc", "axis"]), conflicts.omissions(briefs, ["doc"], facts),
+        conflicts.area_cross_check(lines, briefs.select("doc", "stated_total"), ["doc"]),
+        conflicts.keyword_conflicts(lines.join(briefs.select("doc", "facility_type"), "doc"), ["doc"]), pages.low_confidence(lines),
+    )
+    wanted = sorted(map(tuple, conflicts.validate_briefs(briefs, flags, ["doc"]).collect()))
+    assert len(wanted) == 35 and any(r[2] > 2 for r in wanted)
+    for row_lines in (64, 4):
+        got = conflicts.check_lines(lines, briefs, ["doc"], facts, row_lines=row_lines)
+        assert sorted(map(tuple, got.collect())) == wanted, row_lines
+
+
+def test_one_requirement_is_not_its_own_duplicate(spark):
+    items = [("a", 1, "문 창"), ("a", 1, "문 창 벽"), ("a", 2, "창 문"), ("b", 3, "창 문")]
+    df = spark.createDataFrame([(items,)], "l array<struct<axis:string,idx:int,description:string>>")
+    assert df.select(similar.similar_within("l")).first()[0] == 2
+
+
+def test_validate_briefs_exchanges_a_line_once(spark):
+    plan = QUERIES["validate_briefs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    reads = [line for line in plan.splitlines() if "Relation" in line]
+    assert sum("l_orderkey" in line for line in reads) == 1 and len(reads) == 5
