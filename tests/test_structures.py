@@ -256,3 +256,17 @@ def test_cells_with_and_without_attributes(spark):
     assert [(r.row, r.seq, r.text, r.rowspan, r.colspan) for r in cells] == [
         (0, 0, "a b", 1, 1), (0, 1, "c", 1, 1), (0, 2, "d e", 3, 1), (0, 3, "<f>", 1, 2), (0, 4, "", 1, 1), (1, None, None, 1, 1),
     ]
+
+
+def test_scoring_table_stays_with_its_order(spark):
+    """Lines are exchanged once, by order; what follows needs no other exchange."""
+    from dossierlake.plans.catalogue import QUERIES
+
+    plan = QUERIES["scoring_table"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Union" not in plan
+
+
+def test_points_are_the_first_number(spark):
+    df = cells(spark, [["구분", "평가 항목", "배점"], ["가\n나", "x", "약 1 (2)"], ["다", "y", "0.25점"], ["라", "", "없음"], ["", "", "7"], [" ", "", " "]])
+    got = [(r.row, r.name, r.points, r.shared_with, r.sub_items) for r in scoring.scoring_rows(df, ["doc"]).orderBy("row").collect()]
+    assert got == [(1, "가 나", 100.0, [], ["x"]), (2, "다", 25.0, [], ["y"]), (3, "라", None, [], [])]
