@@ -1,4 +1,4 @@
-"""N-gram Jaccard join with filters under several global token orders."""
+"""N-gram Jaccard join with a prefix filter under a global token order."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,16 +16,18 @@ from dossierlake.llm import common, graph
 
 #: Counters of every frequency sketch, and the slices in which they are summed.
 SKETCH_BITS, SLICES = 22, 256
-#: Places of the filter that keeps texts without candidates from being read twice.
-FILTER = 1 << 20
+#: Places of the filter that keeps texts without candidates from being read twice: so many a candidate, within these powers of two.
+FILTER, FILTER_BITS = 16, (20, 24)
 #: Classes of a token that are paired with each other; more are tied to one of them instead.
 PAIRED = 16
-#: Prefix tokens that a pair has to share under an order; prefixes are longer by all but one of them.
+#: Prefix tokens that a pair has to share; prefixes are longer by all but one of them.
 SHARED = 4
 #: Classes and shingles of a block; two blocks meet in a task.
 BLOCK_ROWS, BLOCK_SHINGLES = 256, 1 << 20
-#: Multipliers of the token orders; each has a sketch of its own.
-ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Prefix tokens that go to the JVM at once.
+POSTS = 1 << 17
+#: Multipliers of the sketches' hashes.
+SKETCHES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -48,9 +51,14 @@ def set_key(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def place(tokens: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counter of every token in the order's sketch, and its 64-bit hash under that order."""
-    mixed = (tokens ^ (tokens >> np.uint64(31))) * np.uint64(ORDERS[order])
+def short_key(key: bytes) -> int:
+    """64 bits of a key."""
+    return int.from_bytes(key[:8], "big", signed=True)
+
+
+def place(tokens: np.ndarray, sketch: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counter of every token in a sketch, and its 64-bit hash there."""
+    mixed = (tokens ^ (tokens >> np.uint64(31))) * np.uint64(SKETCHES[sketch])
     return (mixed >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), mixed
 
 
@@ -60,17 +68,20 @@ def rarity(counts: np.ndarray) -> np.ndarray:
     return np.round(2047 * np.log2(1.0 + counts)).astype(np.uint16)
 
 
-def prefix(tokens: np.ndarray, sketches: list[np.ndarray], order: int, percent: int) -> np.ndarray:
-    """The first tokens of a set under a global order: by the order's sketch, rarest first, then by
-    its hash. Two sets of the required likeness have at least ``percent`` / 100 of the larger one in
+def prefix(tokens: np.ndarray, sketches: list[np.ndarray], percent: int) -> np.ndarray:
+    """The first tokens of a set under one global order: by the sum of their counters' logarithms, least first,
+    then by hash. What else a counter holds differs from sketch to sketch, so the sum tells more than either. Two sets of the required likeness have at least ``percent`` / 100 of the larger one in
     common, so at most the rest comes before the first ``SHARED`` common tokens of either: they
     share ``SHARED`` tokens of their prefixes (all that is in common, if that is less)."""
     n = len(tokens)
     keep = n - -(-percent * n // 100) + SHARED
     if keep >= n:
         return tokens
-    at, mixed = place(tokens, order)
-    key = (sketches[order][at].astype(np.uint64) << np.uint64(48)) | (mixed & np.uint64((1 << 48) - 1))
+    count = np.zeros(n, np.uint64)
+    for i, sketch in enumerate(sketches):
+        at, mixed = place(tokens, i)
+        count += sketch[at]
+    key = (count << np.uint64(47)) | (mixed & np.uint64((1 << 47) - 1))
     return tokens[np.argpartition(key, keep - 1)[:keep]]
 
 
@@ -97,19 +108,18 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def links_within(sets: list[np.ndarray], blocks: list[int], sketches: list[np.ndarray], percent: int, cross: bool) -> np.ndarray:
-    """Which sets link: pairs that share prefix tokens under every order, then verified exactly.
-    ``cross``: only pairs of different blocks."""
+    """Which sets link: pairs that share prefix tokens, then verified exactly. ``cross``: only pairs of
+    different blocks."""
     sizes = np.array([len(s) for s in sets], np.int64)
     may = 100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes)
     np.fill_diagonal(may, False)
     if cross:
         b = np.array(blocks)
         may &= b[:, None] != b[None, :]
-    needed = np.minimum(SHARED, -(-percent * np.maximum.outer(sizes, sizes) // 100))
-    for order in range(len(ORDERS)):
-        if not may.any():
-            return may
-        may &= overlaps([prefix(s, sketches, order, percent) for s in sets]) >= needed
+    if not may.any():
+        return may
+    least = np.minimum(SHARED, -(-percent * np.maximum.outer(sizes, sizes) // 100))
+    may &= overlaps([prefix(s, sketches, percent) for s in sets]) >= least
     rows = np.flatnonzero(may.any(axis=1))
     if not len(rows):
         return may
@@ -164,6 +174,121 @@ def _joined(parts: dict[int, np.ndarray], first: int, width: int, kind) -> np.nd
     return out.reshape(-1)
 
 
+def _posted(batches, sketches, n: int, percent: int):
+    """The prefix tokens of every set, each with its class and size. Short keys only propose: what they stand for is compared later."""
+    done: set[bytes] = set()
+    held: list[tuple[np.ndarray, int, int]] = []
+
+    def batch():
+        lengths = [len(p) for p, _, _ in held]
+        columns = [np.concatenate([p for p, _, _ in held]).view(np.int64), np.repeat(np.array([k for _, k, _ in held], np.int64), lengths),
+                   np.repeat(np.array([size for _, _, size in held], np.int32), lengths)]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "key", "n"])
+
+    waiting = 0
+    for (text,) in common.rows_of(batches, "text"):
+        tokens = shingles(text, n)
+        if len(tokens) and (key := set_key(tokens)) not in done:
+            done.add(key)
+            held.append((prefix(tokens, sketches.value.open(), percent), short_key(key), len(tokens)))
+            waiting += len(held[-1][0])
+            if waiting >= POSTS:
+                yield batch()
+                waiting = 0
+    if held:
+        yield batch()
+    common.give_back()
+
+
+def _met(batches, percent: int):
+    """From posts sorted by token and class: pairs (u, v, their sizes a and b) of classes at tokens of up to
+    ``PAIRED`` classes whose sizes allow a link, and the classes (u, a) of more frequent tokens. A token's
+    classes are held only until they are known to be too many."""
+    empty = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+    held, often = empty, None
+
+    def batch(token, u, v, a, b):
+        columns = [pa.nulls(len(u), kind) if c is None else pa.array(c, kind) for c, kind in ((token, pa.int64()), (u, pa.int64()), (v, pa.int64()), (a, pa.int32()), (b, pa.int32()))]
+        return pa.RecordBatch.from_arrays(columns, names=["token", "u", "v", "a", "b"])
+
+    def closed(token, key, size):
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        counts = np.diff(np.append(starts, len(token)))
+        known = token[starts] == often if often is not None else np.zeros(len(starts), bool)
+        many = np.repeat((counts > PAIRED) | known, counts)
+        if many.any():
+            yield batch(token[many], key[many], None, size[many], None)
+        for width in range(2, PAIRED + 1):
+            at = starts[(counts == width) & ~known]
+            i, j = np.triu_indices(width, 1)
+            for some in np.array_split(at, -(-len(at) * len(i) // POSTS) or 1):
+                u, v = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
+                a, b = size[u].astype(np.int64), size[v].astype(np.int64)
+                may = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+                if may.any():
+                    u, v = u[may], v[may]
+                    yield batch(None, key[u], key[v], size[u], size[v])
+
+    for part in batches:
+        if not part.num_rows:
+            continue
+        token, key, size = (np.concatenate([h, part.column(c).to_numpy(zero_copy_only=False)]) for h, c in zip(held, ("token", "key", "n")))
+        new = np.concatenate([[True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])])  # copies of a class that several tasks posted
+        token, key, size = token[new], key[new], size[new]
+        cut = int(np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))[-1])
+        if cut:
+            yield from closed(token[:cut], key[:cut], size[:cut])
+        held = [token[cut:], key[cut:], size[cut:]]
+        if len(held[0]) > PAIRED + 1:
+            yield batch(held[0][:-1], held[1][:-1], None, held[2][:-1], None)
+            held, often = [h[-1:] for h in held], int(held[0][0])
+    if len(held[0]):
+        yield from closed(*held)
+    common.give_back()
+
+
+def _edges(found: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes and ties between them whose components hold every link.
+
+    Classes that link share ``SHARED`` prefix tokens, or all they have in common. Where one of these has few classes the pair
+    was met there, and what it lacks must be among the frequent tokens of both. Where all are frequent,
+    both classes have that many frequent ones, and of these the rarest shared one is not among the last: only there
+    a class is tied to the next smaller one, unless their sizes, and so all across that gap, rule a link out.
+    """
+    least = lambda n: F.least(F.lit(SHARED), F.ceil(n * percent / 100))
+    pairs = found.where("token IS NULL").select("u", "v", "tokens", least(F.greatest("a", "b")).alias("needed"))
+    often = found.where("token IS NOT NULL").select("token", F.col("u").alias("key"), F.col("a").alias("n"), least(F.col("a")).alias("needed"))
+    held = often.groupBy("key").agg(F.count(F.lit(1)).alias("held"))
+    of = lambda c: held.select(F.col("key").alias(c), F.col("held").alias(f"{c}_held"))
+    lacking = pairs.where("tokens < needed").join(of("u"), "u").join(of("v"), "v").where("tokens + least(u_held, v_held) >= needed")
+    classes = often.groupBy("token").agg(F.count(F.lit(1)).alias("classes"))
+    of_class = Window.partitionBy("key")
+    tied = (
+        often.withColumn("held", F.count(F.lit(1)).over(of_class)).where("held >= needed").join(classes, "token")
+        .withColumn("place", F.row_number().over(of_class.orderBy("classes", "token"))).where("place <= held - needed + 1")
+    )
+    by_size = Window.partitionBy("token").orderBy("n", "key")
+    before = tied.select(F.col("key").alias("u"), "n", F.lag("key").over(by_size).alias("v"), F.lag("n").over(by_size).alias("m"))
+    ties = before.where("v IS NOT NULL").where(_may_link(F.col("m"), F.col("n"), percent)).select("u", "v").distinct()
+    return ties.unionByName(pairs.where("tokens >= needed").select("u", "v")).unionByName(lacking.select("u", "v"))
+
+
+def _noted(rows: DataFrame, mark: str) -> np.ndarray:
+    """Bits, lowest first, in which the rows have set those of their marks; so many that few others are set by chance."""
+    least, most = FILTER_BITS
+    places = 1 << min(max((FILTER * rows.count()).bit_length(), least), most)
+
+    def note(rows):
+        held = np.zeros(places, np.uint32)
+        for (value,) in rows:
+            held[value % places] = 1
+        yield from _packed(held)
+
+    parts = _sums(common.map_rows(rows, [mark], note, "slice int, packed binary"), lambda part: part > 0, bool)
+    return np.packbits(_joined(parts, 0, places, bool), bitorder="little")
+
+
 def _may_link(a, b, percent: int):
     """Whether sets of these sizes can have the required likeness."""
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
@@ -194,12 +319,11 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     (the row is the first of its component).
 
     Documents of equal sets form one class, and only classes go on. Two sketches over all documents'
-    shingles rank them by frequency, one per global token order. Under both orders every class posts
-    the prefix of its set. Classes that meet at ``SHARED`` tokens of up to ``PAIRED`` classes become
-    pairs, if their sizes allow a link and they meet as often under the other order; those that meet
-    at a more frequent token are tied to one of them, so no group is paired out. The components of pairs and ties are the candidate
-    groups. They are cut into blocks; two blocks meet in a task, where a pair has to share prefix
-    tokens under every order before whole sets are compared. Tasks report one root per class, whose
+    shingles rank them by frequency. Every class posts the prefix of its set under that order. Classes that
+    meet at ``SHARED`` tokens of up to ``PAIRED`` classes become pairs, if their sizes allow a link; those that
+    may meet at more frequent tokens alone are tied to one of them, so no group is paired out. The
+    components of pairs and ties are the candidate groups. They are cut into blocks; two blocks meet in a task, where a pair has to share prefix
+    tokens before whole sets are compared. Tasks report one root per class, whose
     components are the result.
 
     Null and empty texts, and texts of blanks, have no shingles and link with nothing. A null id
@@ -213,86 +337,47 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     width = 1 << SKETCH_BITS
 
     def first_pass(rows):
-        counts = [np.zeros(width, np.uint32) for _ in ORDERS]
+        counts = [np.zeros(width, np.uint32) for _ in SKETCHES]
         for doc_id, text, mark in rows:
             tokens = shingles(text, n)
-            for order, held in enumerate(counts):
-                np.add.at(held, place(tokens, order)[0], np.uint32(1))
-            yield doc_id, mark, len(tokens), set_key(tokens) if len(tokens) else None, None, None
-        for order, held in enumerate(counts):
-            for number, packed in _packed(held, order * SLICES):
-                yield None, None, None, None, number, packed
+            for i, held in enumerate(counts):
+                np.add.at(held, place(tokens, i)[0], np.uint32(1))
+            key = set_key(tokens) if len(tokens) else None
+            yield doc_id, mark, len(tokens), key, short_key(key) if key else None, None, None
+        for i, held in enumerate(counts):
+            for number, packed in _packed(held, i * SLICES):
+                yield None, None, None, None, None, number, packed
 
     read = common.checkpoint(
-        common.map_rows(rows, ["doc_id", "text", "mark"], first_pass, f"doc_id {kind}, mark long, n long, key binary, slice int, packed binary")
+        common.map_rows(rows, ["doc_id", "text", "mark"], first_pass, f"doc_id {kind}, mark long, n long, key binary, short long, slice int, packed binary")
     )
     parts = _sums(read.where("slice IS NOT NULL").select("slice", "packed"), rarity, np.uint16)
-    sketches = spark.sparkContext.broadcast(Sketches([zlib.compress(_joined(parts, o * SLICES, width, np.uint16), 1) for o in range(len(ORDERS))]))
-    members = read.where("slice IS NULL").select("doc_id", "mark", "n", "key")
+    sketches = spark.sparkContext.broadcast(Sketches([zlib.compress(_joined(parts, i * SLICES, width, np.uint16), 1) for i in range(len(SKETCHES))]))
+    members = read.where("slice IS NULL").select("doc_id", "mark", "n", "key", "short")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
     classes = members.where("key IS NOT NULL").groupBy("key").agg(
-        F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"), F.min("mark").alias("mark"), F.first("n").alias("n")
+        F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"), F.min("mark").alias("mark"), F.first("n").alias("n"), F.first("short").alias("short")
     )
 
-    def post(rows):
-        done: set[bytes] = set()
-        for (text,) in rows:
-            tokens = shingles(text, n)
-            if len(tokens) and (key := set_key(tokens)) not in done:
-                done.add(key)
-                for order in range(len(ORDERS)):
-                    for token in prefix(tokens, sketches.value.open(), order, percent).view(np.int64).tolist():
-                        yield order, token, key, len(tokens)
-
-    at_token = Window.partitionBy("ord", "token")
-    shared = (
-        common.map_rows(rows, ["text"], post, "ord int, token long, key binary, n int")
-        .withColumn("key", F.xxhash64("key"))  # short keys only propose: what they stand for is compared later
-        .select("*", F.min("key").over(at_token).alias("least"), F.max("key").over(at_token).alias("most"))
-        .where("least != most")
-        .drop("most")
-        .distinct()  # copies of a class that several tasks posted
-    )
-    met = common.checkpoint(shared.withColumn("classes", F.count(F.lit(1)).over(at_token)))
-    frequent = met.where(F.col("classes") > PAIRED)
-    ties = frequent.where((F.col("ord") == 0) & (F.col("key") != F.col("least"))).select(F.col("key").alias("u"), F.col("least").alias("v")).distinct()
-    # a list holds at most PAIRED classes
-    listed = met.where(F.col("classes") <= PAIRED).groupBy("ord", "token").agg(F.array_sort(F.collect_list(F.struct("key", "n"))).alias("keys"))
-    ahead = listed.select("ord", F.posexplode("keys").alias("i", "u"), "keys").select(
-        "ord", "u", F.explode(F.filter("keys", lambda v: (v["key"] > F.col("u.key")) & _may_link(F.col("u.n"), v["n"], percent))).alias("v")
-    )
-    needed = F.least(F.lit(SHARED), F.ceil(F.greatest("u.n", "v.n") * percent / 100))
-    pairs = (
-        ahead.groupBy(F.col("u.key").alias("u"), F.col("v.key").alias("v"), needed.alias("needed"))
-        .agg(F.count_if(F.col("ord") == 0).alias("first"), F.count_if(F.col("ord") == 1).alias("second"))
-        .where("first >= needed")
-    )
-    # under the second order frequent tokens are not counted, so classes that have some may pass
-    often = frequent.where("ord = 1").select("key").distinct()
-    unsure = pairs.where("second < needed").select("u", "v")
-    half = unsure.join(often.withColumnRenamed("key", "u"), "u", "left_semi").join(often.withColumnRenamed("key", "v"), "v", "left_semi")
-    edges = ties.unionByName(pairs.where("second >= needed").select("u", "v")).unionByName(half.select("u", "v"))
-    grouped = graph.components(edges)
+    posts = common.bounded(rows.select("text")).mapInArrow(lambda batches: _posted(batches, sketches, n, percent), "token long, key long, n int")
+    together = common.bounded(posts.repartition("token").sortWithinPartitions("token", "key"))
+    met = together.mapInArrow(lambda batches: _met(batches, percent), "token long, u long, v long, a int, b int")
+    found = common.checkpoint(met.groupBy("token", "u", "v", "a", "b").agg(F.count(F.lit(1)).alias("tokens")))
+    grouped = graph.components(_edges(found, percent))
     candidates = common.checkpoint(
         grouped.select(F.col("node").alias("short"), F.col("label").alias("cluster"))
-        .join(classes.select("key", "n", "copies", "mark", F.xxhash64("key").alias("short")), "short")
+        .join(classes.select("key", "n", "copies", "mark", "short"), "short")
         .drop("short")
     )
-
-    def note(rows):
-        held = np.zeros(FILTER, np.uint32)
-        for (mark,) in rows:
-            held[mark % FILTER] = 1
-        yield from _packed(held)
-
-    noted = _sums(common.map_rows(candidates, ["mark"], note, "slice int, packed binary"), lambda part: part > 0, bool)
-    wanted = spark.sparkContext.broadcast(_joined(noted, 0, FILTER, bool))
+    noted = _noted(candidates, "mark")
+    places, wanted = len(noted) * 8, spark.sparkContext.broadcast(noted)
 
     def read_sets(rows):
         held = wanted.value
         done: set[bytes] = set()
         for text, mark in rows:
-            if held[mark % FILTER]:
+            place = mark % places
+            if held[place >> 3] >> (place & 7) & 1:
                 tokens = shingles(text, n)
                 if len(tokens) and (key := set_key(tokens)) not in done:
                     done.add(key)
@@ -341,7 +426,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     resolved = classes.join(grouped, "key", "left").select(
         "key", "copies", F.coalesce("group_first", "first").alias("first"), F.coalesce("links", F.lit(0).cast("long")).alias("links")
     )
-    return members.join(resolved, "key", "left").select(
+    return members.drop("short").join(resolved, "key", "left").select(
         "doc_id",
         "mark",
         F.col("n").alias("n_shingles"),

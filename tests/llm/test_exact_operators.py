@@ -283,3 +283,32 @@ def test_keep_one(spark):
     kept = sorted((r.doc_id for r in got.collect()), key=repr)
     assert kept == sorted([1, 2, 3, 4, 5, 6, 8, 9, 11], key=repr)
     assert similarity_join.keep_one(empty_docs(spark)).count() == 0
+
+
+def test_common_passages_tie_no_texts(spark, monkeypatch):
+    rows = [(i, f"the old house stands here u{i} v{i} w{i}") for i in range(60)]
+    clusters, real = [], similarity_join.common.checkpoint
+
+    def seen(df):
+        out = real(df)
+        clusters.extend([out.count()] if "cluster" in out.columns else [])
+        return out
+
+    monkeypatch.setattr(similarity_join.common, "checkpoint", seen)
+    got = similarity_join.link_documents(edge_docs(spark, rows), n=3, percent=90)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got.collect()) == brute_links(rows, 3, 90)
+    assert clusters == [0]  # three of six shingles in common, and one of them in the prefix
+
+
+@pytest.mark.parametrize("size", [3, 7, 40])
+def test_groups_met_at_frequent_tokens(spark, monkeypatch, size):
+    monkeypatch.setattr(similarity_join, "PAIRED", 5)
+    rows = []
+    for group in range(3):
+        base = prose(20 + group, 80).split()
+        for k in range(size):
+            words = list(base)
+            words[(7 * k + 13) % 80] = f"new{group}x{k}"
+            rows.append((100 * group + k, " ".join(words[: 80 - k % 3])))
+    got = similarity_join.link_documents(edge_docs(spark, rows), n=3, percent=90, block_rows=16)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got.collect()) == brute_links(rows, 3, 90)
