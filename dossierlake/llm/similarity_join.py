@@ -439,11 +439,19 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """The documents with all their columns, of every group of near duplicates only the first (by id,
     nulls last, then by the text's hash). Documents without shingles all stay."""
-    stays = link_documents(docs, id_col, text_col, n, percent).where("stays").groupBy("doc_id", "mark").agg(
-        (F.max("n_shingles") == 0).alias("bare")
-    )
+    linked = link_documents(docs, id_col, text_col, n, percent)
+    # rows that go, or may have to; all others stay where they are, and no text of theirs is exchanged
+    known = linked.groupBy("doc_id", "mark").agg((F.max("n_shingles") == 0).alias("bare"), F.count(F.lit(1)).alias("rows"), F.max("stays").alias("stays"))
+    asked = common.checkpoint(known.where("NOT bare AND (rows > 1 OR NOT stays)").select("doc_id", "mark", "stays", F.xxhash64("doc_id", "mark").alias("place")))
+    noted = _noted(asked, "place").view(np.int64)
+    words = common.local_table(docs.sparkSession, {"words": [noted.tolist()]}, "words array<long>").scalar()
+    mark = F.xxhash64(F.col(text_col))
+    place = F.pmod(F.xxhash64(F.col(id_col), mark), F.lit(len(noted) * 64))
+    word = F.get(words, F.shiftright(place, 6).cast("int"))
+    is_asked = F.call_function("shiftright", word, place.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
     # the row travels as one column, so its own columns cannot clash with these
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("row_id"), F.xxhash64(F.col(text_col)).alias("row_mark"))
-    joined = rows.join(stays, F.col("row_id").eqNullSafe(F.col("doc_id")) & (F.col("row_mark") == F.col("mark")))
-    number = F.row_number().over(Window.partitionBy("doc_id", "mark").orderBy("mark"))
-    return joined.withColumn("number", number).where("bare OR number = 1").select("row.*")
+    rows = docs.where(is_asked).select(F.struct("*").alias("row"), F.col(id_col).alias("row_id"), mark.alias("row_mark"))
+    joined = rows.join(asked, F.col("row_id").eqNullSafe(F.col("doc_id")) & (F.col("row_mark") == F.col("mark")), "left").where("stays IS NULL OR stays")
+    number = F.row_number().over(Window.partitionBy("row_id", "row_mark").orderBy("row_mark"))
+    kept = joined.withColumn("number", number).where("stays IS NULL OR number = 1").select("row.*")
+    return docs.where(~is_asked).unionAll(kept)

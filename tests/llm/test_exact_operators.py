@@ -312,3 +312,12 @@ def test_groups_met_at_frequent_tokens(spark, monkeypatch, size):
             rows.append((100 * group + k, " ".join(words[: 80 - k % 3])))
     got = similarity_join.link_documents(edge_docs(spark, rows), n=3, percent=90, block_rows=16)
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got.collect()) == brute_links(rows, 3, 90)
+
+
+def test_keep_one_exchanges_no_text_that_stays(spark):
+    rows = [(1, prose(1, 50)), (1, prose(1, 50)), (2, prose(2, 50)), (3, prose(2, 50)), (None, prose(1, 50)), (4, None), (4, None), (5, ""), (6, prose(3, 50))]
+    got = similarity_join.keep_one(edge_docs(spark, rows), n=5, percent=80)
+    assert sorted((r.doc_id for r in got.collect()), key=repr) == sorted([1, 2, 4, 4, 5, 6], key=repr)
+    whole = got._jdf.queryExecution().sparkPlan()
+    assert whole.nodeName() == "Union"
+    assert "Join" not in whole.children().apply(0).toString() and "Exchange" not in whole.children().apply(0).toString()
