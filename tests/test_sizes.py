@@ -55,6 +55,16 @@ def test_posts_of_frequent_words(spark, frequent):
         assert similar._posts(named, 0.6, frequent).count() <= named.agg(F.sum(F.col("size") - F.ceil(F.col("size") * 0.6 - 1e-9) + 1)).first()[0]
 
 
+def test_posts_carry_no_counters(spark):
+    """The counters are broadcast, not a column that every row would copy; tokens and keys find theirs."""
+    rows = [(i % 3 - 1, i, [f"w{i % 7}", f"v{i}"], 2) for i in range(60)]
+    sets = spark.createDataFrame(rows, "k long, id long, tokens array<string>, size int")
+    assert "AS _c" not in similar._posts(sets, 0.6, similar.FREQUENT_LINKS)._jdf.queryExecution().optimizedPlan().toString()
+    for counters in (similar.COUNTERS, 2 * similar.COUNTERS):
+        got = similar._counted(sets, counters).collect()
+        assert len(got) == 60 and all(r.own == 20 and list(r.f) == [9 if r.id % 7 < 4 else 8, 1] for r in got)
+
+
 @pytest.mark.parametrize("row_sets", [0, similar.ROW_SETS, 10_000])
 def test_duplicate_sets_of_short_and_long_keys(spark, row_sets):
     """Keys settled in one row, by posts, and some this way and some that way give the same pairs."""
